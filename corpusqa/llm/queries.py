@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, piece_codec
+from . import language_id, piece_codec, secret_scan, spot_signatures
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -16,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    return found.select(
+        "doc_id",
+        *(secret_scan.counted("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(secret_scan.joined("base").cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined("spans").alias("spans"),
+    )
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     return piece_codec.digests(piece_codec.encode_decode(table(spark, sf_dir, "documents"), model_path))
 
@@ -28,7 +43,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_piece_codec, op10_language_id)}
+    return {f.__name__: f for f in (op1_spot_signatures, op3_secret_scan, op4_piece_codec, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
