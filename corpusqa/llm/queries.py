@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, piece_codec, secret_scan, spot_signatures
+from . import language_id, piece_codec, secret_scan, spot_signatures, suffix_dedup
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -35,6 +35,11 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str, model_path: str = f"{TOKEN
     return piece_codec.digests(piece_codec.encode_decode(table(spark, sf_dir, "documents"), model_path))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -43,7 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spot_signatures, op3_secret_scan, op4_piece_codec, op10_language_id)}
+    return {f.__name__: f for f in (op1_spot_signatures, op3_secret_scan, op4_piece_codec, op8_suffix_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
