@@ -27,9 +27,9 @@ from .common import lower_table, slices, text_buffer
 
 UNKNOWN = "und"
 #: Cells of the tables of n = 1, 2, 3, 4.
-CELLS = (256, 1 << 16, 1 << 16, 1 << 16)
+CELLS = (256, 1 << 14, 1 << 15, 1 << 15)
 #: Bounds of what is learned from: rows (most evenly over the languages) and landmarks.
-SAMPLE_ROWS = 1200
+SAMPLE_ROWS = 1000
 LANDMARKS = 96
 
 
@@ -46,15 +46,15 @@ def _codes(data: np.ndarray) -> list[np.ndarray]:
     """The cell of the n-gram that begins at each byte, for n = 2, 3, 4."""
     x = data.astype(np.uint32)
     two = (x[:-1] << np.uint32(8)) | x[1:]
-    out = [two.astype(np.int32)]
-    for n, odd in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
+    out = []
+    for n, odd, cells in ((2, 0xC2B2AE35, CELLS[1]), (3, 0x9E3779B1, CELLS[2]), (4, 0x85EBCA77, CELLS[3])):
         if len(x) < n:
             out.append(np.zeros(0, np.int32))
             continue
         h = two[: len(x) - n + 1] * np.uint32(0x01000193) ^ (two[n - 2 : len(x) - 1] + np.uint32(n)) * np.uint32(odd)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        out.append((h >> np.uint32(16)).astype(np.int32))
+        out.append((h >> np.uint32(33 - cells.bit_length())).astype(np.int32))
     return out
 
 
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMA
     """Learn from ``text`` and ``lang`` of at most ``sample_rows`` rows of ``docs``.
 
     Rows are taken in the order of a hash of doc_id within each language, by turns.  They reach
-    the driver as bit tables of fixed size (24.6 kB each), not as texts.
+    the driver as bit tables of fixed size (10 kB each), not as texts.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("order"))
     chosen = known.selectExpr("doc_id", "lang", "order", "row_number() OVER (PARTITION BY lang ORDER BY order, doc_id) AS turn")
@@ -95,13 +95,16 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMA
     if rows.empty:
         return KernelModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
     rows = rows.sort_values(["turn", "label", "doc_id"], kind="stable")
-    table = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in rows["bits"]])
-    marks = table[:landmarks]
+    unpacked = lambda part: np.stack([np.unpackbits(np.frombuffer(b, np.uint8))[: sum(CELLS)] for b in part])
+    marks = unpacked(rows["bits"].iloc[:landmarks])
     cells = np.flatnonzero(marks.any(0))
     scaled = (marks[:, cells] / np.sqrt(marks.sum(1, dtype=np.int64))[:, None]).astype(np.float32)
-    x = np.stack([t[cells] / np.sqrt(t.sum(dtype=np.int64)) for t in table]).astype(np.float32)
-    kernel = x.astype(np.float64) @ scaled.T.astype(np.float64)
-    values, vectors = np.linalg.eigh(scaled.astype(np.float64) @ scaled.T.astype(np.float64))
+    kernel = []
+    for at in range(0, len(rows), 64):
+        table = unpacked(rows["bits"].iloc[at : at + 64])
+        kernel.append((table[:, cells].astype(np.float32) @ scaled.T) / np.sqrt(table.sum(1, dtype=np.int64))[:, None])
+    kernel = np.concatenate(kernel).astype(np.float64)
+    values, vectors = np.linalg.eigh((scaled @ scaled.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     features = kernel @ root
