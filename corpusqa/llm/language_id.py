@@ -117,12 +117,12 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMA
 
 def predict(docs: DataFrame, model: KernelModel) -> DataFrame:
     """Add lang_pred and score (softmax of the margins) to every row; text is left out."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: landmarks x cells
+    held = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded: landmarks x cells
     keep = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = KernelModel(**held.value)
         for batch in batches:
             for whole in slices(batch, "text"):
                 for at in range(0, whole.num_rows, 256):
