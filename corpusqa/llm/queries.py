@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, piece_codec, secret_scan, spot_signatures, suffix_dedup
+from . import decontaminate, language_id, line_dedup, mixing_lm, ngram_join, ordinal_quality, piece_codec, secret_scan, spot_signatures, suffix_dedup
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -20,6 +20,10 @@ def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_signatures.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, secret_scan.train(docs))
@@ -35,11 +39,40 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str, model_path: str = f"{TOKEN
     return piece_codec.digests(piece_codec.encode_decode(table(spark, sf_dir, "documents"), model_path))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leak of a benchmark item: what decontamination acts on."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("training", F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+    out = mixing_lm.score(docs)
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str, least_tail: float = 0.5) -> DataFrame:
+    """The documents selected for training: those that are more likely than not of the best grade."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = ordinal_quality.fit(docs, labels.select("doc_id", ordinal_quality.grade(F.col("quality"), F.col("toxic")).alias("grade")))
+    return ordinal_quality.rate(docs, model).where(F.col("tail_2") >= least_tail)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        "n_lines",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -48,7 +81,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spot_signatures, op3_secret_scan, op4_piece_codec, op8_suffix_dedup, op10_language_id)}
+    named = (
+        op1_spot_signatures,
+        op2_ngram_join,
+        op3_secret_scan,
+        op4_piece_codec,
+        op5_decontaminate,
+        op6_mixing_lm,
+        op7_ordinal_quality,
+        op8_suffix_dedup,
+        op9_line_dedup,
+        op10_language_id,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,10 +5,12 @@ smaller doc_id.  The steps:
 
 1. Texts are dealt out to chunks.  Each chunk names the anchors of its texts: the least hash of the
    ``ANCHOR``-byte strings in each window of ``width`` bytes.  Equal windows have equal anchors.
-2. Buckets of anchors report those that more than one text has (nothing else can repeat).
-3. Each chunk sends the stretches of windows under such an anchor (equal stretches once, with the
-   places where they occur) to the anchor's bucket.
-4. A bucket sorts the suffixes of shards of stretches and keeps their Burrows-Wheeler transforms.
+2. Buckets of anchors report those that more than one text has (nothing else can repeat), and
+   whether all stretches of windows under it are equal.
+3. Each chunk sends the stretches under such an anchor (equal ones once, with the places where they
+   occur) to the anchor's bucket, with their bytes where stretches differ.
+4. Where all are equal, the least doc_id of the stretch decides.  Of the others a bucket sorts the
+   suffixes of shards of distinct stretches and keeps their Burrows-Wheeler transforms.
    The shards are merged by refining their interleave: from the order by the first 8 bytes, each
    round puts two preceding bytes in front (a stable counting sort of the transform), until the
    order holds for ``width`` bytes.  No suffix is compared again; where a round separates
@@ -37,7 +39,7 @@ from .common import text_buffer
 
 WIDTH = 50
 #: Length of the hashed strings whose least hash in a window is the window's anchor.
-ANCHOR = 14
+ANCHOR = 20
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 SHARD_BYTES = 512 << 10
@@ -206,22 +208,27 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def name_anchors(key: tuple, table: pa.Table) -> pa.Table:
         table = _ordered(table)
         data, offsets, _ = _texts(table)
-        row, _, _, anchor, _ = windows(data, offsets, width)
-        order = np.argsort(anchor, kind="stable")
-        anchor, row = anchor[order], row[order]
-        first = np.ones(len(anchor), bool)
-        first[1:] = anchor[1:] != anchor[:-1]
-        i = np.flatnonzero(first)
+        row, _, _, anchor, digest = windows(data, offsets, width)
+        order = np.lexsort((digest, anchor))
+        anchor, row, digest = anchor[order], row[order], digest[order]
+        new = np.ones(len(anchor), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        i = np.flatnonzero(new)
         many = np.maximum.reduceat(row, i) != np.minimum.reduceat(row, i) if len(i) else np.zeros(0, bool)
+        many = np.repeat(many, np.diff(np.append(i, len(row))))
+        new[1:] |= digest[1:] != digest[:-1]
+        i = np.flatnonzero(new)
         bucket, low = place(anchor[i])
         sort, names, edge = _split(bucket)
-        low, many = low[sort], many[sort]
+        low, many, digest = low[sort], many[i][sort], digest[i][sort]
+        pieces = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
         return pa.table(
             {
                 "bucket": pa.array(names, pa.int32()),
                 "chunk": pa.array(np.full(len(names), key[0].as_py()), pa.int32()),
-                "anchors": pa.array([low[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary()),
-                "many": pa.array([np.packbits(many[a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary()),
+                "anchors": pa.array([low[a:b].tobytes() for a, b in pieces], pa.binary()),
+                "many": pa.array([np.packbits(many[a:b]).tobytes() for a, b in pieces], pa.binary()),
+                "digests": pa.array([(digest[a:b] >> np.uint64(32)).astype(np.uint32).tobytes() + ((digest[a:b] >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for a, b in pieces], pa.binary()),
             }
         )
 
@@ -229,82 +236,105 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         anchors = [np.frombuffer(b, np.uint32) for b in pdf["anchors"]]
         every = np.concatenate(anchors)
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(a)) for m, a in zip(pdf["many"], anchors)]).astype(bool)
-        names, which, times = np.unique(every, return_inverse=True, return_counts=True)
-        repeated = times > 1
-        repeated[which[many]] = True
-        keep = np.split(repeated[which], np.cumsum([len(a) for a in anchors])[:-1])
-        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "anchors": [a[k].tobytes() for a, k in zip(anchors, keep)]})
+        digest = np.concatenate([(np.frombuffer(d, np.uint32, len(a)).astype(np.uint64) << np.uint64(16)) | np.frombuffer(d, np.uint16, len(a), 4 * len(a)) for d, a in zip(pdf["digests"], anchors)])
+        order = np.argsort(every, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = every[order][1:] != every[order][:-1]
+        i = np.flatnonzero(new)
+        times = np.diff(np.append(i, len(order)))
+        repeated = np.empty(len(order), bool)
+        repeated[order] = np.repeat((times > 1) | np.maximum.reduceat(many[order], i), times)
+        differ = np.empty(len(order), bool)
+        differ[order] = np.repeat(np.maximum.reduceat(digest[order], i) != np.minimum.reduceat(digest[order], i), times)
+        cuts = np.cumsum([len(a) for a in anchors])[:-1]
+        kept = list(zip(anchors, np.split(repeated, cuts), np.split(differ, cuts)))
+        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "anchors": [a[k].tobytes() for a, k, _ in kept], "differ": [d[k].tobytes() for _, k, d in kept]})
 
     def send_stretches(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         table = _ordered(table)
         data, offsets, ids = _texts(table)
         row, start, count, anchor, digest = windows(data, offsets, width)
         bucket, low = place(anchor)
-        wanted = [np.frombuffer(b, np.uint32).astype(np.uint64) + (np.uint64(k) << np.uint64(32)) for k, b in zip(replies.column("bucket").to_pylist(), replies.column("anchors").to_pylist())]
+        blobs = replies.column("anchors").to_pylist()
+        wanted = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, np.uint32).astype(np.uint64) + (np.uint64(k) << np.uint64(32)) for k, b in zip(replies.column("bucket").to_pylist(), blobs))])
+        differ = np.concatenate([np.zeros(0, bool), *(np.frombuffer(b, bool) for b in replies.column("differ").to_pylist())])
+        order = np.argsort(wanted, kind="stable")
+        wanted, differ = wanted[order], differ[order]
         full = (bucket.astype(np.uint64) << np.uint64(32)) + low
-        keep = np.flatnonzero(np.isin(full, np.concatenate(wanted)) if wanted else np.zeros(len(full), bool))
-        keep = keep[np.lexsort((digest[keep], bucket[keep]))]
+        at = np.minimum(np.searchsorted(wanted, full), max(0, len(wanted) - 1))
+        keep = np.flatnonzero(wanted[at] == full) if len(wanted) else np.zeros(0, np.int64)
+        differ = differ[at[keep]] if len(wanted) else differ
+        sort = np.lexsort((digest[keep], bucket[keep]))
+        keep, differ = keep[sort], differ[sort]
         row, start, count, bucket, digest = row[keep], start[keep], count[keep], bucket[keep], digest[keep]
         first = np.ones(len(keep), bool)
         first[1:] = (digest[1:] != digest[:-1]) | (bucket[1:] != bucket[:-1])
         head = np.flatnonzero(first)
         times = np.diff(np.append(head, len(keep)))
-        out: dict[str, list] = {k: [] for k in ("bucket", "text", "count", "times", "doc", "row", "start")}
+        out: dict[str, list] = {k: [] for k in ("bucket", "digest", "differ", "text", "count", "times", "doc", "row", "start")}
         names, at = np.unique(bucket[head], return_index=True)
         edge = np.append(at, len(head))
         for name, a, b in zip(names.tolist(), edge[:-1].tolist(), edge[1:].tolist()):
             h = head[a:b]
-            sizes = count[h] + width  # with END
-            text = data[np.minimum(_range_index(offsets[row[h]] + start[h], sizes), len(data) - 1)]
+            d = h[differ[h]]
+            sizes = count[d] + width  # with END
+            text = data[np.minimum(_range_index(offsets[row[d]] + start[d], sizes), len(data) - 1)]
             text[np.cumsum(sizes) - 1] = END
             o = slice(h[0], len(keep) if b == len(head) else head[b])
-            for k, v in (("bucket", name), ("text", text.tobytes()), ("count", count[h].astype(np.int32).tobytes()), ("times", times[a:b].astype(np.int32).tobytes()), ("doc", ids[row[o]].tobytes()), ("row", row[o].astype(np.int32).tobytes()), ("start", start[o].astype(np.int32).tobytes())):
-                out[k].append(v)
+            values = (name, digest[h], differ[h], text, count[h].astype(np.int32), times[a:b].astype(np.int32), ids[row[o]], row[o].astype(np.int32), start[o].astype(np.int32))
+            for k, v in zip(out, values):
+                out[k].append(v if k == "bucket" else v.tobytes())
         n = len(out["bucket"])
         types = {"bucket": pa.int32()} | {k: pa.binary() for k in list(out)[1:]}
         return pa.table({k: pa.array(v, types[k]) for k, v in out.items()} | {"chunk": pa.array([key[0].as_py()] * n, pa.int32())})
 
     def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk", kind="stable")
-        texts = [np.frombuffer(b, np.uint8) for b in pdf["text"]]
-        shards, size, held = [], 0, []
-        for t in texts:
-            held.append(t)
-            size += len(t)
-            if size >= SHARD_BYTES:
-                shards.append(np.concatenate(held))
-                size, held = 0, []
-        if held:
-            shards.append(np.concatenate(held))
-        order, group = merged_intervals(shards, width)
-        del shards
         column = lambda k, t: np.concatenate([np.frombuffer(b, t) for b in pdf[k]])
-        count, times, doc, row, start = column("count", np.int32), column("times", np.int32), column("doc", np.int64), column("row", np.int32), column("start", np.int32)
+        digest, differ, count, times = column("digest", np.uint64), column("differ", bool), column("count", np.int32).astype(np.int64), column("times", np.int32)
+        doc, row, start = column("doc", np.int64), column("row", np.int32), column("start", np.int32)
         chunk = np.repeat(pdf["chunk"].to_numpy(), [len(b) // 8 for b in pdf["doc"]])
-        # The least document of each stretch, of each suffix that is a window, of each interval.
-        least = np.minimum.reduceat(doc, np.cumsum(times) - times)
-        sizes = count.astype(np.int64) + width
+        text = column("text", np.uint8)
+        # Equal stretches of several chunks are one; the least document of each.
+        _, head, same = np.unique(digest, return_index=True, return_inverse=True)
+        least = np.full(len(head), NO_DOC)
+        np.minimum.at(least, same, np.minimum.reduceat(doc, np.cumsum(times) - times))
+        odd = np.flatnonzero(differ[head])  # the distinct stretches whose windows must be compared
+        sizes = np.where(differ, count + width, 0)
         begin = np.cumsum(sizes) - sizes
-        owner = np.full(int(sizes.sum()), NO_DOC)
-        at = _range_index(begin, count)
-        owner[at] = np.repeat(least, count)
-        ranked = owner[order]
-        head = np.flatnonzero(np.diff(group, prepend=-1))
-        lowest = np.minimum.reduceat(ranked, head)
-        owner[order] = lowest[group]
-        stretch = np.repeat(np.arange(len(count)), times)
-        runs = count[stretch].astype(np.int64)
-        gone = owner[_range_index(begin[stretch], runs)] < np.repeat(np.where(doc == NO_DOC, -NO_DOC, doc), runs)
-        where = np.repeat(np.arange(len(doc)), runs)
+        odd = odd[np.argsort(head[odd], kind="stable")]  # in the order of chunks
+        n = count[head[odd]]
+        spelt = text[_range_index(begin[head[odd]], n + width)]
+        base = np.cumsum(n + width) - (n + width)
+        owner = np.full(len(spelt), NO_DOC)
+        owner[_range_index(base, n)] = np.repeat(least[odd], n)
+        if len(spelt):
+            ends = np.append(base[1:], len(spelt))
+            cuts = np.unique(np.searchsorted(ends, np.arange(SHARD_BYTES, len(spelt), SHARD_BYTES)))
+            shards = np.split(spelt, ends[cuts[ends[cuts] < len(spelt)]])
+            order, group = merged_intervals(shards, width)
+            lowest = np.minimum.reduceat(owner[order], np.flatnonzero(np.diff(group, prepend=-1)))
+            owner[order] = lowest[group]
+        # The windows of every occurrence that a smaller document has, as runs.
+        where_odd = np.full(len(head), -1)
+        where_odd[odd] = base
+        stretch = np.repeat(same, times)
+        runs = np.repeat(count, times)
+        mine = np.where(doc == NO_DOC, -NO_DOC, doc)
+        whole = np.flatnonzero((where_odd[stretch] < 0) & (least[stretch] < mine))
+        part = np.flatnonzero(where_odd[stretch] >= 0)
+        gone = owner[_range_index(where_odd[stretch[part]], runs[part])] < np.repeat(mine[part], runs[part])
+        where = np.repeat(np.arange(len(part)), runs[part])
         edges = np.diff(gone.astype(np.int8), prepend=0, append=0)
         new = np.zeros(len(gone), bool)
         new[1:] = where[1:] != where[:-1]
         opens = np.flatnonzero((edges[:-1] == 1) | (new & gone))
-        closes = np.flatnonzero((edges[1:] == -1) | (np.append(new[1:], True) & gone)) + 1
-        o = where[opens]
-        offset = np.cumsum(runs) - runs
-        a = start[o] + opens - offset[o]
-        b = start[o] + closes - offset[o] + width - 1
+        closes = np.flatnonzero((edges[1:] == -1) | (np.append(new[1:], True)[: len(gone)] & gone)) + 1
+        o = part[where[opens]]
+        offset = (np.cumsum(runs[part]) - runs[part])[where[opens]]
+        a = np.concatenate((start[whole], start[o] + opens - offset))
+        b = np.concatenate((start[whole] + runs[whole] + width - 1, start[o] + closes - offset + width - 1))
+        o = np.concatenate((whole, o))
         sort, names, edge = _split(chunk[o])
         r, a, b = row[o][sort].astype(np.int32), a[sort].astype(np.int32), b[sort].astype(np.int32)
         pieces = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
@@ -327,8 +357,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             n_spans.append(int(np.count_nonzero(g[1:] & ~g[:-1])) + int(len(g) > 0 and g[0]))
         return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    named = dealt.groupBy("chunk").applyInArrow(name_anchors, "bucket int, chunk int, anchors binary, many binary")
-    replies = named.groupBy("bucket").applyInPandas(report_repeated, "chunk int, bucket int, anchors binary")
-    sent = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send_stretches, "bucket int, text binary, count binary, times binary, doc binary, row binary, start binary, chunk int")
+    named = dealt.groupBy("chunk").applyInArrow(name_anchors, "bucket int, chunk int, anchors binary, many binary, digests binary")
+    replies = named.groupBy("bucket").applyInPandas(report_repeated, "chunk int, bucket int, anchors binary, differ binary")
+    sent = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send_stretches, "bucket int, digest binary, differ binary, text binary, count binary, times binary, doc binary, row binary, start binary, chunk int")
     spans = sent.groupBy("bucket").applyInPandas(judge, "chunk int, row binary, a binary, b binary")
     return dealt.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
