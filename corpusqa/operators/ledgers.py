@@ -42,7 +42,7 @@ def custody_handover(steps: DataFrame, sections: DataFrame) -> DataFrame:
 def custody_terminal(terminals: DataFrame, sections: DataFrame) -> DataFrame:
     """Sections after a chain's end with a forbidden phrase (the first of the list that is there)."""
     rows = sections.join(F.broadcast(terminals), (sections["corpus"] == terminals["corpus"]) & (F.col("seq") > F.col("ch")))
-    return rows.select(sections["corpus"], "chain", "seq", F.expr("filter(forbid, f -> contains(text, f))[0]").alias("phrase")).where("phrase IS NOT NULL")
+    return rows.select(sections["corpus"], "chain", "seq", F.expr("get(filter(forbid, f -> contains(text, f)), 0)").alias("phrase")).where("phrase IS NOT NULL")
 
 
 def onset_violations(onsets: DataFrame, found: DataFrame, speech: DataFrame | None = None) -> DataFrame:

@@ -54,7 +54,7 @@ def lint_colon(lines: DataFrame) -> DataFrame:
 
 def lint_field_alias(lines: DataFrame, core: tuple[str, ...]) -> DataFrame:
     """Core keys that a document spells in two ways or more."""
-    found = F.expr("filter(array(" + ", ".join(f"'{c}'" for c in core) + "), c -> contains(key, c))[0]")
+    found = F.expr("get(filter(array(" + ", ".join(f"'{c}'" for c in core) + "), c -> contains(key, c)), 0)")
     rows = lines.where("key IS NOT NULL AND length(key) <= 8 AND NOT key RLIKE '[（(]'").withColumn("core", found).where("core IS NOT NULL")
     out = rows.groupBy("doc", "core").agg(F.array_join(F.array_sort(F.collect_set("key")), "/").alias("spelt"), F.countDistinct("key").alias("n"), F.min("pos").alias("pos")).where("n > 1")
     return _finding(out, "field_alias", F.col("spelt"))

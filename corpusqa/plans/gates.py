@@ -1 +1,74 @@
-"""Queries."""
+"""Queries I1-I8."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusqa.operators import gates
+from corpusqa.plans.registry import query
+from corpusqa.plans.tables import CHANGED, SEC, changed, sections, table, values
+
+FOUND = f"{SEC}, fi AS (SELECT corpus, CASE WHEN length(text) < 300 THEN 'under' WHEN length(text) > 6000 THEN 'over' ELSE 'marks' END AS rule, CASE WHEN length(text) BETWEEN 300 AND 6000 THEN 'info' ELSE 'fail' END AS severity, seq FROM sec WHERE length(text) < 300 OR length(text) > 6000 OR contains(text, '%%%'))"
+
+
+def findings(spark: SparkSession, d: str) -> DataFrame:
+    n = F.length("text")
+    rule = F.when(n < 300, "under").when(n > 6000, "over").otherwise("marks")
+    return sections(spark, d).where((n < 300) | (n > 6000) | F.col("text").contains("%%%")).select("corpus", rule.alias("rule"), F.when(n.between(300, 6000), "info").otherwise("fail").alias("severity"), "seq")
+
+
+@query("i1_classify", f"WITH {FOUND} SELECT corpus, rule, severity, seq, CASE WHEN severity = 'info' THEN 'info' WHEN seq < CASE rule WHEN 'under' THEN 20 ELSE 0 END THEN 'legacy' ELSE 'fail' END AS class FROM fi")
+def i1(spark: SparkSession, d: str) -> DataFrame:
+    return gates.classify(findings(spark, d), values(spark, "rule STRING, enforced BIGINT", ("under", 20), ("marks", 5))).select("corpus", "rule", "severity", "seq", "class")
+
+
+@query("i2_by_rule", f"WITH {FOUND} SELECT rule, count(*) AS n, count(DISTINCT (corpus, seq)) AS sections FROM fi GROUP BY rule")
+def i2(spark: SparkSession, d: str) -> DataFrame:
+    return gates.by_rule(findings(spark, d))
+
+
+SIGNAL = "[A-Z][a-z]{4,8}"
+SIG = "sa AS (SELECT conv_id, turn + 1 AS turn, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,8}')) AS signal FROM conversations), ca AS (SELECT conv_id, turn, signal, count(*) AS was FROM sa GROUP BY ALL), sb AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,8}')) AS signal FROM conversations), cb AS (SELECT conv_id, turn, signal, count(*) AS n FROM sb GROUP BY ALL), dd AS (SELECT conv_id, turn, signal, n - coalesce(was, 0) AS added FROM cb LEFT JOIN ca USING (conv_id, turn, signal))"
+
+
+@query("i3_signal_delta", f"WITH {SIG} SELECT * FROM dd WHERE added > 0")
+def i3(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return gates.signal_delta(turns.withColumn("turn", F.col("turn") + 1), turns, ["conv_id", "turn"], SIGNAL)
+
+
+@query("i4_changed_sections", f"WITH {CHANGED}, j AS (SELECT c.corpus, c.doc_id, CASE WHEN s.doc_id IS NULL THEN 'added' WHEN s.text <> c.text THEN 'modified' END AS status FROM chg c LEFT JOIN (SELECT * FROM sec WHERE doc_id % 89 <> 0) s ON s.corpus = c.corpus AND s.doc_id = c.doc_id) SELECT * FROM j WHERE status IS NOT NULL")
+def i4(spark: SparkSession, d: str) -> DataFrame:
+    s = sections(spark, d)
+    return gates.changed_sections(s.where("doc_id % 89 <> 0"), changed(s), ["corpus", "doc_id"])
+
+
+@query(
+    "i5_compact_ranges",
+    f"WITH {SEC}, k AS (SELECT DISTINCT corpus, seq FROM sec JOIN labels USING (doc_id)), g AS (SELECT corpus, seq, seq - row_number() OVER (PARTITION BY corpus ORDER BY seq) AS grp FROM k), r AS (SELECT corpus, min(seq) AS a, max(seq) AS b, row_number() OVER (PARTITION BY corpus ORDER BY min(seq)) AS run FROM g GROUP BY corpus, grp) SELECT corpus, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY run) FILTER (run <= 10) AS ranges, greatest(count(*) - 10, 0) AS more FROM r GROUP BY corpus",
+)
+def i5(spark: SparkSession, d: str) -> DataFrame:
+    return gates.compact_ranges(sections(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id"), "corpus", "seq")
+
+
+@query(
+    "i6_revision_walk",
+    "WITH p AS (SELECT conv_id, turn, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM conversations) SELECT conv_id, turn, greatest(len(regexp_extract_all(text, '[A-Z][a-z]{4,8}')) - len(regexp_extract_all(before, '[A-Z][a-z]{4,8}')), 0) AS more FROM p",
+)
+def i6(spark: SparkSession, d: str) -> DataFrame:
+    pairs = gates.revision_pairs(table(spark, d, "conversations"), "conv_id", "turn")
+    n = lambda c: F.regexp_count(c, F.lit(SIGNAL))
+    return pairs.select("conv_id", "turn", F.greatest(n(F.col("text")) - n(F.col("before")), F.lit(0)).cast("bigint").alias("more"))
+
+
+@query("i7_gate_summary", f"WITH {FOUND}, s(step, kind, rule) AS (VALUES ('length', 'fail', 'under'), ('length', 'fail', 'over'), ('style', 'report', 'marks'), ('none', 'fail', 'absent')), c AS (SELECT rule, count(*) AS n FROM fi GROUP BY rule), g AS (SELECT step, kind, coalesce(sum(n), 0)::BIGINT AS n FROM s LEFT JOIN c USING (rule) GROUP BY ALL) SELECT *, kind = 'fail' AND n > 0 AS failed FROM g")
+def i7(spark: SparkSession, d: str) -> DataFrame:
+    steps = values(spark, "step STRING, kind STRING, rule STRING", ("length", "fail", "under"), ("length", "fail", "over"), ("style", "report", "marks"), ("none", "fail", "absent"))
+    return gates.gate_summary(findings(spark, d), steps)
+
+
+@query("i8_enforced", f"WITH {SEC}, v(vol, lo, hi) AS (VALUES (1, 1, 10), (2, 11, 30), (3, 31, 45)), p AS (SELECT corpus, vol, seq FROM sec JOIN v ON seq BETWEEN lo AND hi) SELECT corpus, vol::BIGINT AS vol, bool_or(seq BETWEEN 12 AND 14 OR seq BETWEEN 48 AND 99) AS strict FROM p GROUP BY ALL")
+def i8(spark: SparkSession, d: str) -> DataFrame:
+    vols = values(spark, "vol BIGINT, lo BIGINT, hi BIGINT", (1, 1, 10), (2, 11, 30), (3, 31, 45))
+    return gates.enforced(vols, sections(spark, d), values(spark, "lo BIGINT, hi BIGINT", (12, 14), (48, 99)))

@@ -44,7 +44,7 @@ def b5(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "b6_short_paragraphs",
-    r"""WITH p AS (SELECT page_id, unnest(list_slice(string_split(html, '<p>'), 2, NULL)) AS para FROM pages)
+    r"""WITH p AS (SELECT page_id, unnest(string_split(html, '<p>')[2:]) AS para FROM pages)
     SELECT page_id, count(*) AS paras, count(*) FILTER (length(trim(regexp_replace(regexp_replace(para, '<[^>]*>', '', 'g'), '&[a-z#0-9]+;', ' ', 'g'))) < 60) AS short FROM p GROUP BY page_id""",
 )
 def b6(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,7 @@ def b9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("b10_span_blocks")
 def b10(spark: SparkSession, d: str) -> DataFrame:
-    return rewrite.span_blocks(metrics.paragraphs(sections(spark, d)), "(", ")")
+    return rewrite.span_blocks(metrics.paragraphs(sections(spark, d)), "S", "T")
 
 
 STATS = ", ".join(f"count(*) FILTER ({c}) AS n_{k}, coalesce(sum(length(para)) FILTER ({c}), 0)::BIGINT AS chars_{k}, count(*) FILTER ({c} AND length(para) < 20) AS short_{k}" for k, c in (("all", "true"), ("narrative", "NOT starts_with(para, '\"')"), ("quote", "starts_with(para, '\"')")))

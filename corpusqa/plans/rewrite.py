@@ -1 +1,49 @@
-"""Queries."""
+"""Queries J1-J3."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusqa.operators import rewrite
+from corpusqa.plans.registry import query
+from corpusqa.plans.tables import SEC, sections, table
+from corpusqa.schemas import LATIN
+
+RULES = [("the", "THE"), ("THE ", "DIE "), ("que", "qu"), (". ", ".  ")]
+
+
+@query(
+    "j1_apply_rules",
+    f"""WITH {SEC}, a AS (SELECT corpus, seq, text, replace(text, 'the', 'THE') AS t1 FROM sec WHERE doc_id % 10 <> 0), b AS (SELECT *, replace(t1, 'THE ', 'DIE ') AS t2 FROM a), c AS (SELECT *, replace(t2, 'que', 'qu') AS t3 FROM b)
+    SELECT corpus, seq, md5(replace(t3, '. ', '.  ')) AS text, (length(text) - length(replace(text, 'the', ''))) // 3 + (length(t1) - length(replace(t1, 'THE ', ''))) // 4 + (length(t2) - length(replace(t2, 'que', ''))) // 3 + (length(t3) - length(replace(t3, '. ', ''))) // 2 AS replaced FROM c""",
+)
+def j1(spark: SparkSession, d: str) -> DataFrame:
+    s = sections(spark, d)
+    return rewrite.apply_rules(s, RULES, s.where("doc_id % 10 = 0").select("corpus", "seq")).withColumn("text", F.md5("text"))
+
+
+@query(
+    "j2_coalesce_invariant",
+    f"WITH {SEC}, t AS (SELECT corpus, seq, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13))), lambda l: l <> '') AS ls FROM sec) SELECT corpus, seq, md5(array_to_string(ls, '')) AS joined FROM t",
+)
+def j2(spark: SparkSession, d: str) -> DataFrame:
+    out = rewrite.coalesce_paragraphs(sections(spark, d), 110, LATIN)
+    return out.select("corpus", "seq", F.md5(F.replace("text", F.lit("\n"), F.lit(""))).alias("joined"))
+
+
+@query("j2_coalesce_paragraphs")
+def j2b(spark: SparkSession, d: str) -> DataFrame:
+    return rewrite.coalesce_paragraphs(sections(spark, d), 110, LATIN)
+
+
+@query(
+    "j3_upsert_segment",
+    "WITH d AS (SELECT doc_id AS doc, CASE WHEN doc_id % 3 = 0 THEN '# T' || chr(10) || text WHEN doc_id % 3 = 1 THEN text || chr(10) || '<!-- b -->' || chr(10) || 'old' || chr(10) || '<!-- e -->' || 'tail' ELSE text END AS text FROM documents), s AS (SELECT doc_id, 'q' || quality AS seg FROM labels), j AS (SELECT doc, text, seg, '<!-- b -->' || chr(10) || seg || chr(10) || '<!-- e -->' AS block FROM d LEFT JOIN s ON s.doc_id = d.doc) SELECT doc, md5(CASE WHEN seg IS NULL THEN text WHEN doc % 3 = 0 THEN '# T' || chr(10) || block || substr(text, 4) WHEN doc % 3 = 1 THEN replace(text, '<!-- b -->' || chr(10) || 'old' || chr(10) || '<!-- e -->', block) ELSE block || chr(10) || text END) AS text FROM j",
+)
+def j3(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("doc_id") % 3
+    text = F.when(c == 0, F.concat(F.lit("# T\n"), "text")).when(c == 1, F.concat("text", F.lit("\n<!-- b -->\nold\n<!-- e -->tail"))).otherwise(F.col("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), text.alias("text"))
+    segments = table(spark, d, "labels").select(F.col("doc_id").alias("doc"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("segment"))
+    return rewrite.upsert_segment(docs, segments, "<!-- b -->", "<!-- e -->").withColumn("text", F.md5("text"))

@@ -152,3 +152,12 @@ def upsert(base: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFr
 def default_id(title: Column, given: Column) -> Column:
     """The given id, else the title with white space as hyphens."""
     return F.coalesce(F.nullif(given, F.lit("")), F.regexp_replace(F.trim(title), r"\s+", "-"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
