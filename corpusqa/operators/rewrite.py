@@ -67,7 +67,7 @@ def _merge(paras: list[dict], target: int, spans: set[int]) -> list[str]:
 
 
 def coalesce_paragraphs(sections: DataFrame, target: int = 110, pack: LangPack = CJK) -> DataFrame:
-    """(corpus, seq, text): short paragraphs merged in order; without newlines the text is unchanged.
+    """(corpus, seq, text): short paragraphs merged in order; without newlines the text is unchanged (null stays null).
 
     Sections are folded independently, a row at a time within Arrow batches, so that none is grouped.
     """
@@ -89,6 +89,9 @@ def coalesce_paragraphs(sections: DataFrame, target: int = 110, pack: LangPack =
         for pdf in batches:
             texts = []
             for ps in pdf["ps"]:
+                if ps is None:
+                    texts.append(None)
+                    continue
                 ps = list(ps)
                 spans: set[int] = set()
                 begun = None
