@@ -65,22 +65,27 @@ class LooseHasher(WordHasher):
         return super().__call__(data, offsets)
 
 
-def walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, seed: int, keep: np.ndarray) -> np.ndarray:
-    """Emitted symbols of one walk at the steps ``keep`` (ascending), a row for each window."""
+def walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, seed: int) -> np.ndarray:
+    """Symbols that one walk emits in its first ``steps`` steps: a row for each step, a column for each window."""
     at = starts.copy()
-    out = np.zeros((len(starts), len(keep)), np.uint64)
-    k = 0
-    for step in range(int(keep[-1]) + 1 if len(keep) else 0):
+    out = np.zeros((steps, len(starts)), np.uint64)
+    for step in range(steps):
         inside = at < ends
         symbol = np.where(inside, words[np.minimum(at, len(words) - 1)], np.uint64(0))
-        while k < len(keep) and keep[k] == step:
-            out[:, k] = symbol
-            k += 1
+        out[step] = symbol
         bit = mix(symbol ^ np.uint64((seed * 0x9E3779B97F4A7C15 + step * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)
         at = at + (inside & (bit == 1))
     return out
 
 
+def places(n: int, seed: int) -> np.ndarray:
+    """The sampled steps of one walk for items of n words: tables x places.
+
+    Only the first half of the 3n steps is sampled, where pointers have not yet run out of words.
+    """
+    return np.random.default_rng([seed, n]).integers(0, -(-3 * n // 2), (TABLES, PLACES))
+
+
 def edit_distance(item: list[int], text: list[int]) -> tuple[int, int]:
     """Least edits between the item and any run of the text, and where such a run ends."""
     row = [0] * (len(text) + 1)
@@ -92,6 +97,13 @@ def edit_distance(item: list[int], text: list[int]) -> tuple[int, int]:
     return best, row.index(best)
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Runs of equal values: the value and its places."""
+    cuts = np.flatnonzero(np.diff(values)) + 1
+    for place in np.split(np.arange(len(values)), cuts):
+        yield int(values[place[0]]), place
+
+
 class Items:
     """A block of items: words, seeds and sampled embeddings."""
 
@@ -112,7 +124,7 @@ class Items:
             self.ids.append(i)
             self.words.append(w)
             self.bound.append(k)
-            self.samples.append([self._sampled(w, np.zeros(1, np.int64), np.array([n]), n, s)[0] for s in range(WALKS)])
+            self.samples.append([walk(w, np.zeros(1, np.int64), np.array([n]), -(-3 * n // 2), s)[:, 0][places(n, s)] for s in range(WALKS)])
             for o in range(n - q + 1):
                 seeds.setdefault(self._seed(w[o : o + q]), []).append((number, o))
         self.short = sorted({min(SEED, len(w)) for w in self.words})
@@ -133,15 +145,6 @@ class Items:
             h = mix(h * np.uint64(3) + words[i : len(words) - q + 1 + i])
         return h
 
-    @staticmethod
-    def _sampled(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, seed: int) -> np.ndarray:
-        """Symbols at the sampled places of one walk: windows x tables x places."""
-        rng = np.random.default_rng([seed, n])
-        places = rng.integers(0, 3 * n, TABLES * PLACES)
-        keep = np.unique(places)
-        out = walk(words, starts, ends, n, seed + 1, keep)
-        return out[:, np.searchsorted(keep, places)].reshape(len(starts), TABLES, PLACES)
-
     def find(self, words: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, first word, edits): the closest run of each item that a row leaks."""
         hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -164,21 +167,27 @@ class Items:
         row, item, start = (np.concatenate(x) for x in zip(*hits))
         row, item, start = np.unique(np.stack([row, item, start]), axis=1)
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        sizes = np.array([len(w) for w in self.words])[item]
+        lo, hi = np.maximum(start, edge[row]), np.minimum(start + sizes, edge[row + 1])
         order = np.argsort(item, kind="stable")
         names, first = np.unique(item[order], return_index=True)
-        for number, group in zip(names.tolist(), np.split(order, first[1:])):
-            w, k = self.words[number], self.bound[number]
-            n = len(w)
-            lo = np.maximum(start[group], edge[row[group]])
-            hi = np.minimum(start[group] + n, edge[row[group] + 1])
-            near = np.zeros(len(group), bool)
+        groups = list(zip(names.tolist(), np.split(order, first[1:])))
+        near = np.zeros(len(item), bool)
+        for at in range(0, len(order), 4096):  # windows are walked together, whatever their item
+            some = order[at : at + 4096]
             for s in range(WALKS):
-                mine = self._sampled(words, lo, hi, n, s)
-                near |= (mine == self.samples[number][s][None]).all(2).any(1)
-            target = w.tolist()
-            for g, a, b in zip(group[near].tolist(), lo[near].tolist(), hi[near].tolist()):
+                emitted = walk(words, lo[some], hi[some], -(-3 * int(sizes[some].max()) // 2), s)
+                for number, group in _runs(item[some]):
+                    mine = emitted[places(len(self.words[number]), s)][:, :, group]
+                    near[some[group]] |= (mine == self.samples[number][s][:, :, None]).all(1).any(0)
+        for number, group in groups:
+            w, k = self.words[number], self.bound[number]
+            n, target = len(w), w.tolist()
+            for g in group[near[group]].tolist():
                 r = int(row[g])
-                a, b = max(int(edge[r]), a - k), min(int(edge[r + 1]), b + k)
+                a, b = max(int(edge[r]), int(lo[g]) - k), min(int(edge[r + 1]), int(hi[g]) + k)
+                if np.count_nonzero(np.isin(w, words[a:b])) < n - k:
+                    continue  # every word that is missing is an edit
                 edits, end = edit_distance(target, words[a:b].tolist())
                 if edits <= k:
                     key, value = (r, number), (edits, max(0, a + end - n - int(edge[r])))
