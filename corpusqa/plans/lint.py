@@ -16,8 +16,8 @@ def marked(spark: SparkSession, d: str) -> DataFrame:
     """Each document as a marked-up one: its lines become headings, fields, rows or stay, by their length."""
     lines = F.transform(
         F.split("text", "\n"),
-        lambda l, i: F.when(F.length(l) % 11 == 0, F.concat(F.repeat(F.lit("#"), F.length(l) % 4 + 1), F.lit(" "), F.substring(l, 1, 1), F.when(F.length(l) % 33 == 0, " ## x").otherwise("")))
-        .when(F.length(l) % 11 == 1, F.concat(F.lit("- **"), F.when(F.length(l) % 2 == 0, "name").otherwise("role"), F.when(F.length(l) % 3 == 0, "s").otherwise(""), F.when(F.length(l) % 5 == 0, ":").otherwise("："), F.lit("** x")))
+        lambda l, i: F.when(F.length(l) % 11 == 0, F.concat(F.repeat(F.lit("#"), F.length(l) % 4 + 1), F.lit(" c"), (F.length(l) % 2).cast("string"), F.when(F.length(l) % 33 == 0, " ## x").otherwise("")))
+        .when(F.length(l) % 11 <= 3, F.concat(F.lit("- **"), F.when(F.length(l) % 2 == 0, "name").otherwise("role"), F.when(F.length(l) % 3 == 0, "s").otherwise(""), F.when(F.length(l) % 5 == 0, ":").otherwise("："), F.lit("** x")))
         .when(F.length(l) % 11 < 6, F.concat(F.lit("|"), F.repeat(F.lit("a|"), F.length(l) % 3 + 1)))
         .otherwise(l),
     )
@@ -25,8 +25,8 @@ def marked(spark: SparkSession, d: str) -> DataFrame:
 
 
 MARKED = """raw AS (SELECT doc_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS l FROM documents),
-    ml AS (SELECT doc, pos, CASE WHEN length(l) % 11 = 0 THEN repeat('#', (length(l) % 4 + 1)::INT) || ' ' || substr(l, 1, 1) || CASE WHEN length(l) % 33 = 0 THEN ' ## x' ELSE '' END
-      WHEN length(l) % 11 = 1 THEN '- **' || CASE WHEN length(l) % 2 = 0 THEN 'name' ELSE 'role' END || CASE WHEN length(l) % 3 = 0 THEN 's' ELSE '' END || CASE WHEN length(l) % 5 = 0 THEN ':' ELSE '：' END || '** x'
+    ml AS (SELECT doc, pos, CASE WHEN length(l) % 11 = 0 THEN repeat('#', (length(l) % 4 + 1)::INT) || ' c' || (length(l) % 2) || CASE WHEN length(l) % 33 = 0 THEN ' ## x' ELSE '' END
+      WHEN length(l) % 11 <= 3 THEN '- **' || CASE WHEN length(l) % 2 = 0 THEN 'name' ELSE 'role' END || CASE WHEN length(l) % 3 = 0 THEN 's' ELSE '' END || CASE WHEN length(l) % 5 = 0 THEN ':' ELSE '：' END || '** x'
       WHEN length(l) % 11 < 6 THEN '|' || repeat('a|', (length(l) % 3 + 1)::INT) ELSE l END AS line FROM raw),
     lv AS (SELECT doc, pos, line, nullif(length(regexp_extract(line, '^(#{1,6}) +\\S', 1)), 0) AS level, nullif(trim(regexp_extract(line, '^- \\*\\*([^*：:]{1,20})[：:]', 1)), '') AS key FROM ml),
     dl AS (SELECT *, CASE WHEN level IS NOT NULL THEN trim(regexp_replace(line, '^#{1,6} +', '')) END AS heading, last_value(CASE WHEN level IS NOT NULL THEN pos END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS "at" FROM lv)"""
