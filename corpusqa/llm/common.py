@@ -36,10 +36,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back (cuts the lineage)."""
-    path = scratch_dir(df.sparkSession)
+    """Write ``df`` as Parquet in the shared scratch folder and read it back (cuts the lineage).
+
+    A collection of the driver's garbage then lets Spark's cleaner remove the shuffle files of the
+    steps that led here, which nothing refers to any more.
+    """
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession, least: int = 12) -> int:

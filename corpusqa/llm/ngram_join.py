@@ -4,8 +4,8 @@ A document's set holds the 64-bit hashes of its distinct ``k``-word shingles.  T
 when ``den * |intersection| >= num * |union|``; ``link_components`` gives each document the smallest
 doc_id that it reaches by links.  The steps:
 
-1. Equal sets are one class.  Shingles are ordered: rare ones by hash, then those that a
-   thousandth of the documents has (a list of bounded size), the most frequent last.  Linked sets
+1. Equal sets are one class.  Shingles are ordered: rare ones by hash, then those that
+   one document in 5000 has (a list of bounded size), the most frequent last.  Linked sets
    share a shingle among the first ``n - ceil(n * num / den) + 1`` of each, its prefix.
 2. Classes with the same prefix and size are one group.  Groups meet in buckets of prefix
    shingles; pairs that sizes and places rule out are dropped.
@@ -35,13 +35,14 @@ from .common import WordHasher, cut, grams, partitions, slices, text_buffer
 from .components import components
 
 #: A shingle is frequent when this share of the documents has it.
-FREQUENT = 1e-3
+FREQUENT = 2e-4
 #: From so many groups in one shingle's list on, they form a cluster.
-CROWD = 48
+CROWD = 64
 #: Members of a group up to which its pairs are expanded.
 FEW = 12
 PIVOTS = 6
 TILE = 400
+#: Least bits of a parity sketch; a larger set has a bit for each shingle at least.
 SKETCH_BITS = 512
 
 
@@ -63,7 +64,7 @@ def frequent_shingles(docs: DataFrame, k: int, share: float) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 32 << 20):
                 sets = list(_sets(part, 0, k, hasher))
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
                 heavy = n >= max(3, share * len(sets))
@@ -96,7 +97,9 @@ def _packed(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -
                     n.append(len(s))
                     digest.append(blake2b(s.tobytes(), digest_size=16).digest())
                     prefix.append(ordered[:m].tobytes())
-                    sketch.append(np.packbits(np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes())
+                    bits = max(SKETCH_BITS, 1 << max(0, len(s) - 1).bit_length())
+                    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                    sketch.append(np.packbits(odd.astype(np.uint8)).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "digest", "prefix", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, prefix binary, sketch binary")
@@ -200,26 +203,39 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, set binary")
 
 
-def _verify(pairs: DataFrame, packed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: first by sketches, then by sets."""
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which two parity sketches differ; the longer one is folded to the shorter."""
+    p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def _may_link(pairs: DataFrame, packed: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sketches don't rule out: sets differ in no fewer shingles than their sketches in bits."""
 
-    def sketchy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            apart = np.array([_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
             ok = apart * (den + num) <= (n.astype(np.int64) + m) * (den - num)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
+    of = lambda c: packed.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [_linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den) for x, y in zip(batch.column(2), batch.column(3))]
             keep = np.flatnonzero(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
 
-    of = lambda c: packed.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(sketchy, "a long, b long")
-    return near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
+    left, right = (sets.select(F.col("id").alias(c), F.col("set").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 
 
 def _cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -246,7 +262,8 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int) ->
     largest = placed.groupBy("component", "part").count().groupBy("component").agg(F.max_by("part", F.struct("count", "part")).alias("giant"))
     placed = placed.join(largest, "component").withColumn("apart", F.col("part") != F.col("giant")).select("component", "id", "apart")
     tiles = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"), F.ceil(F.sum(F.col("apart").cast("int")) / TILE).alias("odd")).where("odd > 0")
-    rows = members.join(placed, ["component", "id"]).join(tiles, "component")
+    # Clusters that are one component need no tiles, so most sets are not moved again.
+    rows = members.join(placed.join(tiles, "component"), ["component", "id"])
     mine = F.pmod(F.xxhash64("id"), F.col("tiles"))
     theirs = rows.select("component", "id", "set", F.lit(False).alias("left"), mine.alias("v"), F.explode(F.expr("sequence(0, odd - 1)")).alias("u"))
     ours = rows.where("apart").select("component", "id", "set", F.lit(True).alias("left"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("v"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("odd")).alias("u"))
@@ -287,15 +304,15 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     rest = pairs.join(many.select(F.col("gid").alias("a")), "a", "left_anti").join(many.select(F.col("gid").alias("b")), "b", "left_anti")
     small = member.where(F.col("members") <= FEW).select("gid", "id")
     rest = rest.join(small.select(F.col("gid").alias("a"), F.col("id").alias("x")), "a", "left").join(small.select(F.col("gid").alias("b"), F.col("id").alias("y")), "b", "left")
-    rest = cut(rest.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    rest = cut(_may_link(rest.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), heads, num, den))
     ties = met.where("crowd").select("a", "b").unionByName(large).unionByName(member.select(F.col("gid").alias("a"), F.col("id").alias("b")).where("a <> b"))
     crowded = components(ties)
     # Groups in a crowd bring all their members: ties of members to their group are among the links above.
     crowded = cut(crowded)
     wanted = rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))).unionByName(crowded.select("id")).distinct()
     sets = cut(_sets_of(docs, wanted, k))
-    links = _verify(rest, heads, sets, num, den).unionByName(_cluster_links(crowded, sets, num, den))
-    found = components(links)
+    verified = cut(_verify(rest, sets, num, den))
+    found = components(verified.unionByName(cut(_cluster_links(crowded, sets, num, den))))
     named = placed.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
 
