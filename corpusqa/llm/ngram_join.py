@@ -41,7 +41,7 @@ CROWD = 64
 #: Members of a group up to which its pairs are expanded.
 FEW = 12
 PIVOTS = 6
-TILE = 400
+TILE = 1000
 #: Least bits of a parity sketch; a larger set has a bit for each shingle at least.
 SKETCH_BITS = 512
 
@@ -179,7 +179,7 @@ def tile_links(xs: list[np.ndarray], ys: list[np.ndarray], num: int, den: int) -
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     inter = np.zeros((len(xs), len(ys)), np.float32)
-    wide = 8192
+    wide = 2048
     n_columns = int(column[-1]) + 1 if len(column) else 0
     edges = np.searchsorted(column, np.arange(0, n_columns + wide, wide))
     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
