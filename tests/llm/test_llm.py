@@ -340,6 +340,13 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_widespread_lines(spark):
+    rare, wide = "a line that only two documents have", "a notice that many of the documents have"
+    texts = [rare, *(f"own line {i}\n{wide}" for i in range(6)), f"{rare}\nown line 9\n{wide}"]
+    got = {r.doc_id: list(r.removed) for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {0: [], 1: [], 2: [1], 3: [1], 4: [1], 5: [1], 6: [1], 7: [0, 2]}
+
+
 def test_language_id(spark, sf_dir):
     docs = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
