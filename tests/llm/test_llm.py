@@ -347,6 +347,29 @@ def test_line_dedup_widespread_lines(spark):
     assert got == {0: [], 1: [], 2: [1], 3: [1], 4: [1], 5: [1], 6: [1], 7: [0, 2]}
 
 
+def test_line_dedup_runs(spark):
+    def removed(texts):
+        return {r.doc_id: list(r.removed) for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+
+    a, b = "this is line A, long enough to matter", "this is line B, long enough to matter"
+    got = removed([f"{b}\n{a}", f"{a}\n{b}", f"{a}\n{b}"])
+    assert got[2] == [0, 1]
+    p, q, r = "short line P", "short line Q", "short R"
+    assert removed([p, q, f"{p}\n{q}", f"{p}\n{q}"]) == {0: [], 1: [], 2: [], 3: [0, 1]}
+    p = "short P"  # the pairs P,Q and Q,R have earlier holders, and too few characters
+    assert removed([f"{p}\n\n{q}", f"{q}\n{r}", f"{p}\n\n{q}\n{r}", f"own words\n{p}\n\n{q}\n{r}\nend"])[3] == [1, 2, 3, 4]
+
+
+def test_shared_runs():
+    rng = random.Random(4)
+    for _ in range(60):
+        docs = [[rng.randrange(1, 6) for _ in range(rng.randint(1, 14))] for _ in range(2)]
+        every = set(docs[0]) & set(docs[1])
+        a, b = (set(line_dedup.shared_runs(d, [7 * x for x in d], every, 24).tolist()) for d in docs)
+        common = {tuple(docs[0][i : i + n]) for n in (2, 4, 8) for i in range(len(docs[0]) - n + 1)} & {tuple(docs[1][i : i + n]) for n in (2, 4, 8) for i in range(len(docs[1]) - n + 1)}
+        assert len(a & b) >= len(common) and (common or not a & b)
+
+
 def test_language_id(spark, sf_dir):
     docs = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
