@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,6 +315,28 @@ def test_suffix_dedup_of_nothing(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in suffix_dedup.remove_repeats(rows).collect()) == [("1", 0), ("1", 0), ("2", 80), ("None", 0)]
 
 
+def test_decontaminate_long_and_early_edits():
+    rng = random.Random(21)
+    for n, early in [(20, False), (40, False), (40, True), (80, True), (150, False), (150, True)]:
+        k, texts, items = n // 5, [], []
+        for i in range(12):
+            item = words_of(rng, n, 4000)
+            leak = list(item)
+            for at in sorted(rng.sample(range(2 * k if early else n), k), reverse=True):  # exactly k edits
+                leak[at : at + 1] = rng.choice([[], [f"new{at}"], [leak[at], f"new{at}"]])
+            items.append(" ".join(item))
+            texts.append(" ".join(words_of(rng, 30, 4000) + leak + words_of(rng, 30, 4000)))
+        block = decontaminate.Items(list(range(12)), items, decontaminate.MOST_EDITS)
+        words, _, edge = decontaminate.LooseHasher()(*decontaminate.text_buffer(pa.array(texts)))
+        found = {(r, i) for r, i, *_ in block.find(words, edge)}
+        brute = set()
+        for r in range(12):
+            for i, w in enumerate(block.words):
+                if decontaminate.edit_distance(w.tolist(), words[edge[r] : edge[r + 1]].tolist())[0] <= block.bound[i]:
+                    brute.add((r, i))
+        assert {(i, i) for i in range(12)} <= brute and found == brute, (n, early, len(found))
+
+
 def test_patience_blocks():
     rng = random.Random(9)
     for _ in range(300):
