@@ -351,6 +351,22 @@ def test_patience_blocks():
     assert line_dedup.patience_blocks([1, 2, 3], [1, 2, 3]) == [(0, 0, 3)]
 
 
+def test_patience_blocks_repeated():
+    p = [1, 2, 3]
+    assert line_dedup.patience_blocks([7, *p, 8, *p, 9], [5, *p, 6]) == [(1, 1, 3)]
+    assert line_dedup.patience_blocks([7, 1, 8, 1, 2, 9, 2], [5, 1, 4, 2, 6, 2]) != []
+    rng = random.Random(5)
+    for _ in range(400):
+        a = [rng.randrange(5) for _ in range(rng.randint(0, 25))]
+        b = [rng.randrange(5) for _ in range(rng.randint(0, 25))]
+        blocks = line_dedup.patience_blocks(a, b)
+        i = j = 0
+        for x, y, n in [*blocks, (len(a), len(b), 0)]:
+            assert x >= i and y >= j and a[x : x + n] == b[y : y + n]
+            assert not set(a[i:x]) & set(b[j:y]) - {line_dedup.BLANK}  # nothing between blocks is left
+            i, j = x + n, y + n
+
+
 def test_line_dedup(spark):
     block = "a line that is long enough to matter\n\nand another one after it"
     texts = [f"first\n{block}\nend", f"other words\n{block}\nmore words", "nothing in common", None, "", f"first\n{block}\nend", "short\nends", "short\nhere"]
