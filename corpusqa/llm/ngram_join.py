@@ -4,16 +4,22 @@ A document's set holds the 64-bit hashes of its distinct ``k``-word shingles.  T
 when ``den * |intersection| >= num * |union|``; ``link_components`` gives each document the smallest
 doc_id that it reaches by links.  The steps:
 
-1. Equal sets are one class.  Shingles are ordered: rare ones by hash, then those that
-   one document in 5000 has (a list of bounded size), the most frequent last.  Linked sets
-   share a shingle among the first ``n - ceil(n * num / den) + 1`` of each, its prefix.
+1. Equal sets are one class.  Shingles are ordered by how far their count stands out (counts in a
+   table of fixed size, so that a chance meeting only changes the order), then by how frequent their
+   words are, the rarest first.  Linked sets share a shingle among the first
+   ``n - ceil(n * num / den) + 1`` of each, its prefix.
 2. Classes with the same prefix and size are one group.  Groups meet in buckets of prefix
-   shingles; pairs that sizes and places rule out are dropped.
+   shingles; pairs that sizes and places rule out are dropped.  A pair need be found at the first
+   shingle that both have only, so that places before it are misses on both sides.
 3. Group pairs are expanded to class pairs; a parity sketch bounds the symmetric difference, the
    sets themselves decide.
-4. Shingles that very many groups have in their prefix make no pairs.  All their classes form one
-   cluster; every member is compared with a few pivots, and only members outside the cluster's
-   largest component are compared with all others, in tiles, by matrix products.
+4. Where a shingle would give very many pairs, its groups of like size (bands of sizes, two at a time)
+   form a cluster, as large groups do.  A cluster takes the prefix join once more, to its centre: the
+   shingles that most of a few members have.  With the differences ``dx``, ``dy`` to the centre a pair
+   links when the slacks, ``(den - num) * n - (num + den) * |d|`` of each, and
+   ``2 * (num + den) * |dx & dy|`` sum up to 0 at least.  So all whose slack suffices link with the
+   member of the largest slack, unseen; the others need differences in common, and meet by prefixes of
+   these.  What crowds there forms smaller clusters: no difference is one that most members have.
 
 No pair is dropped but by an exact bound.  Defined results: null or empty text has no shingles and
 no links, its component is its doc_id; rows with the same doc_id are apart but share the id; rows
@@ -22,6 +28,7 @@ without doc_id get a null component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -31,17 +38,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, cut, grams, partitions, slices, text_buffer
+from .common import WordHasher, cut, grams, mix, partitions, slices, text_buffer
 from .components import components
 
-#: A shingle is frequent when this share of the documents has it.
-FREQUENT = 2e-4
-#: From so many groups in one shingle's list on, they form a cluster.
-CROWD = 64
+#: Bits of the tables of shingle and word counts that order shingles.
+CELL_BITS, WORD_BITS = 22, 18
+_SEGMENTS = 32
+#: From so many groups in one shingle's list and so many pairs for each of them, they form a cluster.
+CROWD, DENSE = 64, 32
 #: Members of a group up to which its pairs are expanded.
 FEW = 12
-PIVOTS = 6
-TILE = 1000
+#: Members that name a cluster's centre, members compared with it in one task.
+SAMPLE, SHARE = 32, 128
+#: Clusters within clusters; beyond, all pairs that the filters leave are compared.
+LEVELS = 8
 #: Least bits of a parity sketch; a larger set has a bit for each shingle at least.
 SKETCH_BITS = 512
 
@@ -54,49 +64,61 @@ def _sets(batch: pa.RecordBatch, at: int, k: int, hasher: WordHasher) -> Iterato
         yield np.unique(grams(h[a:b], k))
 
 
-def frequent_shingles(docs: DataFrame, k: int, share: float) -> np.ndarray:
-    """Ascending (by count, hash) hashes of shingles in ``share`` of the documents or more.
+def shingle_order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables that order shingles: steps by which a cell's count stands out, costs of a word's cell.
 
-    Each slice of a task names what is frequent there; sums of these counts decide.  At most
-    (mean set size) / ``share`` shingles can be frequent, however many documents there are.
+    Both have a fixed size.  Counts of one task stop at 65535, which only changes the order.
     """
+    wide = 1 << CELL_BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
+        cells, words = np.zeros(wide, np.int64), np.zeros(1 << WORD_BITS, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", 32 << 20):
-                sets = list(_sets(part, 0, k, hasher))
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                heavy = n >= max(3, share * len(sets))
-                yield pa.RecordBatch.from_arrays([pa.array(h[heavy].view(np.int64)), pa.array(n[heavy].astype(np.int64))], names=["h", "n"])
-
-    total = docs.count()
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3.0, share * total)).toPandas()
-    found = found.sort_values(["n", "h"])
-    return found["h"].to_numpy(np.int64).view(np.uint64)
-
-
-def _packed(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+            for part in slices(batch, "text", 8 << 20):
+                h, _, _ = hasher(*text_buffer(part.column(0)))
+                np.add.at(words, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), 1)
+                np.add.at(cells, (grams(h, k) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+        for base, table in ((0, cells), (_SEGMENTS, words)):
+            for g, piece in enumerate(np.split(np.minimum(table, 65535).astype(np.uint16), _SEGMENTS)):
+                yield pa.RecordBatch.from_arrays([pa.array([base + g], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["g", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(b.as_buffer(), np.uint16).astype(np.int64) for batch in batches for b in batch.column(1))
+        level = np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], names=["g", "level", "total"])
+
+    rows = docs.select("text").mapInArrow(count, "g int, counts binary").groupBy("g").applyInArrow(add, "g int, level binary, total long").collect()
+    rows.sort()
+    if not rows:
+        return np.zeros(wide, np.int16), np.zeros(1 << WORD_BITS, np.int16)
+    mean = sum(r[2] for r in rows[:_SEGMENTS]) / wide
+    cells, words = (np.frombuffer(b"".join(r[1] for r in part), np.uint8) / 8.0 for part in (rows[:_SEGMENTS], rows[_SEGMENTS:]))
+    # A count of twice the mean is no news: so much comes of shingles that share a cell.
+    steps = np.maximum(0, np.ceil(cells - math.log2(2 * max(mean, 0.5) + 1.5))).astype(np.int16)
+    return steps, np.round(2 * words).astype(np.int16)
+
+
+def _packed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n, digest of the set, prefix and parity sketch of every document."""
-    place = docs.sparkSession.sparkContext.broadcast((np.sort(frequent), np.argsort(frequent, kind="stable")))
+    tables = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        names, ranks = place.value
+        steps, costs = tables.value
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 n, digest, prefix, sketch = [], [], [], []
-                for s in _sets(part, 1, k, hasher):
+                h, _, words = hasher(*text_buffer(part.column(1)))
+                cost = np.concatenate(([0], np.cumsum(costs[(h >> np.uint64(64 - WORD_BITS)).astype(np.int64)], dtype=np.int64)))
+                for a, b in zip(words[:-1].tolist(), words[1:].tolist()):
+                    s, first = np.unique(grams(h[a:b], k), return_index=True)
                     m = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
-                    if len(names) and len(s):
-                        at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                        common = names[at] == s
-                        ordered = np.concatenate((s[~common], s[common][np.argsort(ranks[at[common]])]))
-                    else:
-                        ordered = s
+                    first += a
+                    rank = steps[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)] * 1024 + np.minimum(1023, cost[np.minimum(first + k, b)] - cost[first])
                     n.append(len(s))
                     digest.append(blake2b(s.tobytes(), digest_size=16).digest())
-                    prefix.append(ordered[:m].tobytes())
+                    prefix.append(s[np.argsort(rank.astype(np.uint16), kind="stable")[:m]].tobytes())
                     bits = max(SKETCH_BITS, 1 << max(0, len(s) - 1).bit_length())
                     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                     sketch.append(np.packbits(odd.astype(np.uint8)).tobytes())
@@ -105,8 +127,52 @@ def _packed(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, prefix binary, sketch binary")
 
 
+def _posted(token: np.ndarray, n_buckets: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each bucket of tokens: the rest of each token and the columns beside it, packed."""
+    bucket = (token % np.uint64(n_buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    names, first = np.unique(bucket[order], return_index=True)
+    cuts = np.split(order, first[1:]) if len(order) else []
+    packed = {"low": (token // np.uint64(n_buckets)).astype(np.uint32)} | columns
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array([v[c].tobytes() for c in cuts], pa.binary()) for v in packed.values())], names=["bucket", *packed])
+
+
+def _lists(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of equal tokens."""
+    head = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.zeros(0, np.int64)
+    return head, np.diff(np.append(head, len(low)))
+
+
+def _steps_of(small: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of all pairs in the small lists, by their distance."""
+    for step in range(1, CROWD):
+        j = np.flatnonzero(small & (place >= step))
+        if not len(j):
+            return
+        yield j - step, j
+
+
+def _windows(n: np.ndarray, num: int, den: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j < the last of like size, of a list ascending by size; i below ``most``."""
+    times = (np.searchsorted(n, n * den // num, "right") - np.arange(len(n)) - 1)[:most]
+    edge = np.concatenate(([0], np.cumsum(times)))
+    at = 0
+    while at < most:
+        end = max(at + 1, int(np.searchsorted(edge, edge[at] + (1 << 20), "right")) - 1)
+        i = np.repeat(np.arange(at, end), times[at:end])
+        yield i, i + 1 + np.arange(len(i)) - (edge[i] - edge[at])
+        at = end
+
+
+def _pairs(left: list[np.ndarray], right: list[np.ndarray], keys: list[np.ndarray], members: list[np.ndarray]) -> pd.DataFrame:
+    """Rows (crowd, a, b): pairs, the smaller first, and members b of the cluster a."""
+    a, b, key, member = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, keys, members))
+    crowd = np.repeat([False, True], [len(a), len(key)])
+    return pd.DataFrame({"crowd": crowd, "a": np.concatenate((np.minimum(a, b), key)), "b": np.concatenate((np.maximum(a, b), member))}).drop_duplicates()
+
+
 def _meet(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """(crowd, a, b): pairs of groups that may link, or ties of a crowd to its smallest group."""
+    """(crowd, a, b): pairs of groups that may link, and groups b of a cluster a."""
     n_buckets = 4 * partitions(groups.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,48 +181,42 @@ def _meet(groups: DataFrame, num: int, den: int) -> DataFrame:
             if not prefix:
                 continue
             sizes = np.array([len(p) for p in prefix])
-            token = np.concatenate(prefix)
             which = np.repeat(np.arange(len(prefix)), sizes)
-            rank = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            bucket = (token % np.uint64(n_buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            names, first = np.unique(bucket[order], return_index=True)
-            edge = [*first.tolist(), len(order)]
-            low = (token // np.uint64(n_buckets)).astype(np.uint32)
-            gid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [order[a:b] for a, b in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int32()), *(pa.array([v[c].tobytes() for c in cuts], pa.binary()) for v in (low, gid[which], n[which].astype(np.int32), rank.astype(np.int32)))],
-                names=["bucket", "low", "gid", "n", "rank"],
-            )
+            rank = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield _posted(np.concatenate(prefix), n_buckets, {"gid": batch.column(0).to_numpy()[which], "n": batch.column(1).to_numpy()[which].astype(np.int32), "rank": rank.astype(np.int32)})
 
     def pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         column = lambda k, t: np.concatenate([np.frombuffer(b, t) for b in pdf[k]])
         low, gid, n, rank = column("low", np.uint32), column("gid", np.int64), column("n", np.int32).astype(np.int64), column("rank", np.int32).astype(np.int64)
         order = np.lexsort((gid, n, low))
         low, gid, n, rank = low[order], gid[order], n[order], rank[order]
-        head = np.flatnonzero(np.diff(low, prepend=low[:1] ^ np.uint32(1)) != 0) if len(low) else np.zeros(0, int)
-        length = np.diff(np.append(head, len(low)))
-        crowd = length >= CROWD
-        start = np.repeat(head, length)
-        hub = np.repeat(np.minimum.reduceat(gid, head), length)
-        in_crowd = np.repeat(crowd, length)
-        ties = pd.DataFrame({"crowd": True, "a": hub[in_crowd], "b": gid[in_crowd]}).drop_duplicates()
-        place = np.arange(len(low)) - start
-        left, right = [], []
-        for step in range(1, CROWD):  # the neighbours of each entry in its list, ascending by size
-            j = np.flatnonzero((place >= step) & ~in_crowd)
-            if not len(j):
-                break
-            i = j - step
+        head, length = _lists(low)
+        left, right, keys, members = [], [], [], []
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            # All before the first common shingle is missing on the other side.
             need = -(-num * (n[i] + n[j]) // (num + den))
-            rest = np.minimum(n[i] - rank[i], n[j] - rank[j]) + np.minimum(rank[i], rank[j])
-            ok = (den * n[i] >= num * n[j]) & (rest >= need) & (gid[i] != gid[j])
+            ok = (den * n[i] >= num * n[j]) & (np.minimum(n[i] - rank[i], n[j] - rank[j]) >= need) & (gid[i] != gid[j])
             left.append(gid[i[ok]])
             right.append(gid[j[ok]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        pairs = pd.DataFrame({"crowd": False, "a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-        return pd.concat([pairs, ties[ties.a != ties.b]])
+
+        for i, j in _steps_of(np.repeat(length < CROWD, length), np.arange(len(low)) - np.repeat(head, length)):
+            take(i, j)
+        for a, size in zip(head[length >= CROWD].tolist(), length[length >= CROWD].tolist()):
+            sizes = n[a : a + size]
+            band = np.floor(np.log(sizes) / (math.log(den / num) * (1 + 1e-9))).astype(np.int64)
+            first = np.flatnonzero(np.diff(band, prepend=-1))
+            for at in first.tolist():  # linked sets are of one band or of two that follow each other
+                own, end = (int(np.searchsorted(band, band[at] + x, "right")) for x in (0, 1))
+                some = sizes[at:end]
+                if np.sum(np.searchsorted(some, some * den // num, "right") - np.arange(len(some))) > DENSE * len(some) and len(some) >= CROWD:
+                    names = gid[a + at : a + end]
+                    keys.append(np.full(len(names), names.min()))
+                    members.append(names)
+                else:
+                    for i, j in _windows(some, num, den, own - at):
+                        take(i + a + at, j + a + at)
+        return _pairs(left, right, keys, members)
 
     posted = groups.select("gid", "n", "prefix").where("n > 0").mapInArrow(post, "bucket int, low binary, gid binary, n binary, rank binary")
     return posted.groupBy("bucket").applyInPandas(pair, "crowd boolean, a long, b long").distinct()
@@ -167,30 +227,6 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * inter >= num * (len(x) + len(y) - inter)
 
 
-def tile_links(xs: list[np.ndarray], ys: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of all linked pairs of two lists of sets, by products of incidence matrices."""
-    every = np.concatenate([*xs, *ys])
-    name, column, times = np.unique(every, return_inverse=True, return_counts=True)
-    sizes = np.array([len(s) for s in (*xs, *ys)])
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    keep = times[column] > 1
-    renumber = np.cumsum(times > 1) - 1
-    row, column = row[keep], renumber[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    inter = np.zeros((len(xs), len(ys)), np.float32)
-    wide = 2048
-    n_columns = int(column[-1]) + 1 if len(column) else 0
-    edges = np.searchsorted(column, np.arange(0, n_columns + wide, wide))
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-        m = np.zeros((len(sizes), wide), np.float32)
-        m[row[a:b], column[a:b] - k * wide] = 1
-        inter += m[: len(xs)] @ m[len(xs) :].T
-    both = sizes[: len(xs), None] + sizes[None, len(xs) :]
-    hit = inter.astype(np.int64) * (den + num) >= num * both
-    return np.nonzero(hit & (inter > 0))
-
-
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, set) of the documents named in ``ids`` (one row for an id)."""
 
@@ -238,92 +274,160 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 
 
-def _cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that connect what is connected in each cluster (id, component)."""
-    members = cut(clusters.join(sets, "id"))
-    counted = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max_by("id", F.xxhash64("id")).alias("p0"), *(F.max_by("id", F.xxhash64("id", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS)))
-    chosen = counted.select("component", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("pivot")).join(sets, F.col("pivot") == F.col("id")).select("component", "pivot", F.col("set").alias("pivot_set"))
-    pivots = chosen.groupBy("component").agg(F.collect_list(F.struct("pivot", "pivot_set")).alias("pivots"))  # PIVOTS at most
+def _compared(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Members (key, id) of clusters against their centres: (key, share, id, slack, difference) and (key, share, top, most)."""
+    sized = cut(clusters.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
+    dealt = clusters.join(sized, "key").withColumn("hash", F.xxhash64("id"))
+    sample = dealt.where(F.pmod("hash", F.ceil(F.col("size") / SAMPLE)) == 0).select("key", "id").join(sets, "id")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def majority(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        name, times = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["set"]]), return_counts=True)
+        return pd.DataFrame({"key": [key[0]], "centre": [name[2 * times > len(pdf)].tobytes()]})
+
+    centres = sample.groupBy("key").applyInPandas(majority, "key long, centre binary")
+    shares = sized.select("key", F.explode(F.expr(f"sequence(0L, (size - 1) div {SHARE})")).alias("share"))
+    centres = shares.join(centres, "key", "left")
+    rows = dealt.select("key", F.pmod(F.xxhash64("hash"), F.expr(f"1 + (size - 1) div {SHARE}")).alias("share"), "id").join(sets, "id")
+
+    def compare(key: tuple, pdf: pd.DataFrame, centre: pd.DataFrame) -> pd.DataFrame:
+        held = centre["centre"].iloc[0] if len(centre) else None
+        c = np.frombuffer(held or b"", np.uint64)
+        slack, difference = [], []
+        for b in pdf["set"]:
+            s = np.frombuffer(b, np.uint64)
+            added, missing = np.setdiff1d(s, c, assume_unique=True), np.setdiff1d(c, s, assume_unique=True)
+            slack.append((den - num) * len(s) - (num + den) * (len(added) + len(missing)))
+            difference.append(added.tobytes() + missing.tobytes())  # one order for all: what is missing comes last
+        return pd.DataFrame({"key": key[0], "share": key[1], "id": pdf["id"], "slack": slack, "difference": difference})
+
+    found = cut(rows.groupBy("key", "share").cogroup(centres.groupBy("key", "share")).applyInPandas(compare, "key long, share long, id long, slack long, difference binary"))
+    top = found.groupBy("key").agg(F.max(F.struct("slack", "id")).alias("top"))
+    return found, cut(shares.join(top, "key").select("key", "share", F.col("top.id").alias("top"), F.col("top.slack").alias("most")))
+
+
+def _meet_apart(rows: DataFrame, num: int, den: int, last: bool) -> DataFrame:
+    """As ``_meet`` for members (key, id, slack, difference, most): pairs with one at least that its cluster's top does not link."""
+    n_buckets = 4 * partitions(rows.sparkSession)
+    unit = 2 * (num + den)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for i, s, ps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                x = np.frombuffer(s, np.uint64)
-                for p in ps:
-                    if p["pivot"] != i and _linked(x, np.frombuffer(p["pivot_set"], np.uint64), num, den):
-                        a.append(i)
-                        b.append(p["pivot"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    first = cut(members.join(pivots, "component").select("id", "set", "pivots").mapInArrow(compare, "a long, b long"))
-    part = components(first).withColumnRenamed("component", "part")
-    placed = cut(members.select("component", "id").join(part, "id", "left").withColumn("part", F.coalesce("part", "id")))
-    largest = placed.groupBy("component", "part").count().groupBy("component").agg(F.max_by("part", F.struct("count", "part")).alias("giant"))
-    placed = placed.join(largest, "component").withColumn("apart", F.col("part") != F.col("giant")).select("component", "id", "apart")
-    tiles = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"), F.ceil(F.sum(F.col("apart").cast("int")) / TILE).alias("odd")).where("odd > 0")
-    # Clusters that are one component need no tiles, so most sets are not moved again.
-    rows = members.join(placed.join(tiles, "component"), ["component", "id"])
-    mine = F.pmod(F.xxhash64("id"), F.col("tiles"))
-    theirs = rows.select("component", "id", "set", F.lit(False).alias("left"), mine.alias("v"), F.explode(F.expr("sequence(0, odd - 1)")).alias("u"))
-    ours = rows.where("apart").select("component", "id", "set", F.lit(True).alias("left"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("v"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("odd")).alias("u"))
-
-    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["left"]], pdf[~pdf["left"]]
-        if x.empty or y.empty:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        i, j = tile_links([np.frombuffer(s, np.uint64) for s in x["set"]], [np.frombuffer(s, np.uint64) for s in y["set"]], num, den)
-        out = pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["id"].to_numpy()[j]})
-        return out[out.a != out.b]
-
-    more = ours.unionByName(theirs).groupBy("component", "u", "v").applyInPandas(tile, "a long, b long")
-    return first.unionByName(more)
-
-
-def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, share: float = FREQUENT) -> DataFrame:
+            key, id_, slack, most = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            d = [np.frombuffer(b, np.uint64) for b in batch.column(3).to_pylist()]
+            size = np.array([len(x) for x in d], np.int64)
+            apart = slack + most < 0
+            # What a partner must have in common: one of any slack, or one that is apart.
+            least = np.where(apart, np.maximum(1, -((slack + most) // unit)), -((slack - most - 1) // unit))
+            times = np.maximum(0, size - least + 1)
+            if not times.sum():
+                continue
+            which = np.repeat(np.arange(len(d)), times)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            token = mix(np.concatenate([x[:t] for x, t in zip(d, times.tolist())]) ^ mix(key.astype(np.uint64))[which])
+            yield _posted(token, n_buckets, {"id": id_[which], "slack": slack[which], "size": size[which].astype(np.int32), "place": place.astype(np.int32), "apart": apart[which]})
+
+    def pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        column = lambda k, t: np.concatenate([np.frombuffer(b, t) for b in pdf[k]])
+        low, id_, slack, apart = column("low", np.uint32), column("id", np.int64), column("slack", np.int64), column("apart", bool)
+        rest = column("size", np.int32).astype(np.int64) - column("place", np.int32)
+        order = np.lexsort((id_, ~apart, low))
+        low, id_, slack, apart, rest = low[order], id_[order], slack[order], apart[order], rest[order]
+        head, length = _lists(low)
+        alone = np.add.reduceat(apart, head, dtype=np.int64) if len(head) else np.zeros(0, np.int64)
+        left, right, keys, members = [], [], [], []
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            both = slack[i] + slack[j]
+            ok = (both < 0) & (np.minimum(rest[i], rest[j]) >= -(both // unit)) & (apart[i] | apart[j]) & (id_[i] != id_[j])
+            left.append(id_[i[ok]])
+            right.append(id_[j[ok]])
+
+        small = (length < CROWD) & (alone > 0)
+        for i, j in _steps_of(np.repeat(small, length), np.arange(len(low)) - np.repeat(head, length)):
+            take(i, j)
+        for a, size, odd in zip(*(x[(length >= CROWD) & (alone > 0)].tolist() for x in (head, length, alone))):
+            if odd > DENSE and not last:
+                keys.append(np.full(size, id_[a : a + size].min()))
+                members.append(id_[a : a + size])
+            else:
+                for i in range(a, a + odd):
+                    j = np.arange(i + 1, a + size)
+                    take(np.full(len(j), i), j)
+        return _pairs(left, right, keys, members)
+
+    posted = rows.select("key", "id", "slack", "difference", "most").mapInArrow(post, "bucket int, low binary, id binary, slack binary, size binary, place binary, apart binary")
+    return posted.groupBy("bucket").applyInPandas(pair, "crowd boolean, a long, b long").distinct()
+
+
+def _cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links that connect members (key, id) of clusters, and pairs that may link besides."""
+    links, pairs = [], []
+    for level in range(LEVELS):
+        if clusters.isEmpty():
+            break
+        found, tops = _compared(clusters, sets, num, den)
+        rows = found.join(tops, ["key", "share"])
+        links.append(rows.where("slack + most >= 0 AND id <> top").select(F.col("id").alias("a"), F.col("top").alias("b")))
+        unsure = rows.where("slack + most < 0").select("key").distinct()
+        met = cut(_meet_apart(rows.join(unsure, "key", "left_semi"), num, den, level == LEVELS - 1))
+        pairs.append(met.where("NOT crowd").select("a", "b"))
+        clusters = met.where("crowd").select(F.col("a").alias("key"), F.col("b").alias("id"))
+    return links, pairs
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    packed = cut(_packed(docs, k, num, den, frequent_shingles(docs, k, share)))
+    packed = cut(_packed(docs, k, num, den))
     # A class is named by its smallest doc_id; an id that several rows have is no proof of equal sets.
     unique = packed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
     shared = packed.join(unique, "doc_id", "left_semi").where("n > 0")
     if not shared.isEmpty():
-        return _with_shared_ids(docs, k, num, den, share)
-    classes = packed.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    placed = packed.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"))
-    heads = packed.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    grouped = heads.groupBy("n", "prefix").agg(F.min("doc_id").alias("gid"), F.count(F.lit(1)).alias("members"))
-    grouped = cut(grouped)
+        return _with_shared_ids(docs, k, num, den)
+    known = packed.where("n > 0 AND doc_id IS NOT NULL")
+    # Written first: a digest that very many rows have is then met in a join that can be split.
+    classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest", "class_id"))
+    placed = cut(packed.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).alias("class_id")))
+    heads = known.join(placed.where("class_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
+    grouped = cut(heads.groupBy("n", "prefix").agg(F.min("doc_id").alias("gid"), F.count(F.lit(1)).alias("members")))
     met = cut(_meet(grouped, num, den))
     several = grouped.where("members > 1").select("n", "prefix", "gid", "members")
     member = cut(heads.select("doc_id", "n", "prefix").join(several, ["n", "prefix"]).select(F.col("doc_id").alias("id"), "gid", "members"))
-    pairs = met.where("NOT crowd").select("a", "b")
-    many = several.where(F.col("members") > FEW).select("gid")
-    # Pairs with a large group become ties of a cluster, those with a small one are expanded.
-    large = pairs.join(many.select(F.col("gid").alias("a")), "a", "left_semi").unionByName(pairs.join(many.select(F.col("gid").alias("b")), "b", "left_semi").select("a", "b"))
-    rest = pairs.join(many.select(F.col("gid").alias("a")), "a", "left_anti").join(many.select(F.col("gid").alias("b")), "b", "left_anti")
-    small = member.where(F.col("members") <= FEW).select("gid", "id")
-    rest = rest.join(small.select(F.col("gid").alias("a"), F.col("id").alias("x")), "a", "left").join(small.select(F.col("gid").alias("b"), F.col("id").alias("y")), "b", "left")
-    rest = cut(_may_link(rest.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), heads, num, den))
-    ties = met.where("crowd").select("a", "b").unionByName(large).unionByName(member.select(F.col("gid").alias("a"), F.col("id").alias("b")).where("a <> b"))
-    crowded = components(ties)
-    # Groups in a crowd bring all their members: ties of members to their group are among the links above.
-    crowded = cut(crowded)
-    wanted = rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))).unionByName(crowded.select("id")).distinct()
+    small, many = member.where(F.col("members") <= FEW).select("gid", "id"), several.where(F.col("members") > FEW).select("gid")
+    # Pairs with a large group go to its cluster, those of small ones are expanded.
+    flagged = met.where("NOT crowd").join(many.select(F.col("gid").alias("a"), F.lit(True).alias("big_a")), "a", "left").join(many.select(F.col("gid").alias("b"), F.lit(True).alias("big_b")), "b", "left")
+    flagged = cut(flagged.select("a", "b", F.when(F.col("big_a"), F.col("a")).when(F.col("big_b"), F.col("b")).alias("key")))
+    between = flagged.where("key IS NULL").join(small.select(F.col("gid").alias("a"), F.col("id").alias("x")), "a", "left").join(small.select(F.col("gid").alias("b"), F.col("id").alias("y")), "b", "left")
+    within = small.select("gid", F.col("id").alias("a")).join(small.select("gid", F.col("id").alias("b")), "gid").where("a < b").select("a", "b")
+    rest = cut(_may_link(between.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).unionByName(within), heads, num, den))
+    pair_of = flagged.where("key IS NOT NULL").select("key", F.explode(F.array("a", "b")).alias("gid"))
+    clusters = met.where("crowd").select(F.col("a").alias("key"), F.col("b").alias("gid")).unionByName(pair_of).unionByName(many.select(F.col("gid").alias("key"), "gid"))
+    clusters = cut(clusters.join(member.select("gid", "id"), "gid", "left").select("key", F.coalesce("id", "gid").alias("id")).distinct())
+    wanted = rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))).unionByName(clusters.select("id")).distinct()
     sets = cut(_sets_of(docs, wanted, k))
-    verified = cut(_verify(rest, sets, num, den))
-    found = components(verified.unionByName(cut(_cluster_links(crowded, sets, num, den))))
+    links, more = _cluster_links(clusters, sets, num, den)
+    if more:
+        rest = rest.unionByName(cut(_may_link(_all(more).distinct(), heads, num, den)))
+    links.append(_verify(rest, sets, num, den))
+    found = components(_all(links))
     named = placed.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
 
 
-def _with_shared_ids(docs: DataFrame, k: int, num: int, den: int, share: float) -> DataFrame:
+def _with_shared_ids(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """As above where several rows have one doc_id: rows are numbered, ids put back.
 
     A component is named by the smallest doc_id among its rows.
     """
     numbered = cut(docs.withColumn("row", F.monotonically_increasing_id()))
-    found = cut(link_components(numbered.select(F.col("row").alias("doc_id"), "text"), k, num, den, share))
+    found = cut(link_components(numbered.select(F.col("row").alias("doc_id"), "text"), k, num, den))
     named = numbered.select(F.col("row"), "doc_id").join(found.withColumnRenamed("doc_id", "row"), "row")
     least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component_id").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))

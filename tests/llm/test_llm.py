@@ -115,22 +115,41 @@ def test_ngram_join(spark, corpus, k, num, den):
     assert got == brute_components(corpus, k, num, den)
 
 
-def test_ngram_join_of_a_crowd(spark, monkeypatch):
-    """Many near copies, more than one list takes: pivots and tiles find the same components."""
-    rng = random.Random(5)
+
+
+@pytest.mark.parametrize("seed,centred,dense", [(5, True, 1), (8, False, 0)])
+def test_ngram_join_of_a_crowd(spark, monkeypatch, seed, centred, dense):
+    """Many near copies, more than one list takes, of two bases of which one is an edit of the other: the same components."""
+    rng = random.Random(seed)
     base = words_of(rng, 120, 9000)
-    texts = []
-    for _ in range(70):
-        copy = list(base)
-        for _ in range(rng.choice((1, 2, 9))):
-            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**9)}"
+    other = [w if i % 9 else f"o{i}" for i, w in enumerate(base)]
+    texts = [" ".join(base), " ".join(other)] if centred else []
+    for i in range(90):
+        copy = list(base if i % 3 else other)
+        for _ in range(rng.choice((1, 2, 3, 9))):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**9 if centred else 5)}"
         texts.append(" ".join(copy))
-    monkeypatch.setattr(ngram_join, "CROWD", 10)
-    monkeypatch.setattr(ngram_join, "TILE", 16)
+    monkeypatch.setattr(ngram_join, "CROWD", 6)
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    monkeypatch.setattr(ngram_join, "SAMPLE", 9)
+    monkeypatch.setattr(ngram_join, "SHARE", 16)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(frame(spark, texts), 4, 85, 100).collect()}
     assert got == brute_components(texts, 4, 85, 100)
 
 
+def test_ngram_join_of_a_large_group(spark, monkeypatch):
+    """Texts of one size with one prefix: rare words first, then shingles that many have."""
+    rng = random.Random(3)
+    lines = [" ".join(f"c{j}x{i}" for i in range(12)) for j in range(30)]
+    texts = [" ".join(["rare one here now", *rng.sample(lines, 12)]) for _ in range(60)] + [" ".join(rng.sample(lines, 13)) for _ in range(60)]
+    monkeypatch.setattr(ngram_join, "FEW", 3)
+    monkeypatch.setattr(ngram_join, "CROWD", 8)
+    monkeypatch.setattr(ngram_join, "DENSE", 2)
+    for num in (30, 60):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(frame(spark, texts), 4, num, 100).collect()}
+        assert got == brute_components(texts, 4, num, 100)
+
+
 def test_ngram_join_of_shared_ids_and_nothing(spark):
     rows = [(1, "a b c d e f"), (1, "other words in here now"), (2, "other words in here now"), (None, "a b c d e f"), (3, None)]
     got = sorted(((r.doc_id, r.component_id) for r in ngram_join.link_components(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()), key=str)
