@@ -100,7 +100,7 @@ def shingle_order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, digest of the set, prefix and parity sketch of every document."""
+    """doc_id, n, digest of the set, digest of its prefix, prefix and parity sketch of every document."""
     tables = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,7 @@ def _packed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         steps, costs = tables.value
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
-                n, digest, prefix, sketch = [], [], [], []
+                n, digest, group, prefix, sketch = [], [], [], [], []
                 h, _, words = hasher(*text_buffer(part.column(1)))
                 cost = np.concatenate(([0], np.cumsum(costs[(h >> np.uint64(64 - WORD_BITS)).astype(np.int64)], dtype=np.int64)))
                 for a, b in zip(words[:-1].tolist(), words[1:].tolist()):
@@ -119,12 +119,13 @@ def _packed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     n.append(len(s))
                     digest.append(blake2b(s.tobytes(), digest_size=16).digest())
                     prefix.append(s[np.argsort(rank.astype(np.uint16), kind="stable")[:m]].tobytes())
+                    group.append(blake2b(prefix[-1], digest_size=16).digest())
                     bits = max(SKETCH_BITS, 1 << max(0, len(s) - 1).bit_length())
                     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                     sketch.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "digest", "prefix", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(group, pa.binary()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "digest", "head", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, prefix binary, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, head binary, prefix binary, sketch binary")
 
 
 def _posted(token: np.ndarray, n_buckets: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -395,27 +396,30 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     # Written first: a digest that very many rows have is then met in a join that can be split.
     classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest", "class_id"))
     placed = cut(packed.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).alias("class_id")))
-    heads = known.join(placed.where("class_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
-    grouped = cut(heads.groupBy("n", "prefix").agg(F.min("doc_id").alias("gid"), F.count(F.lit(1)).alias("members")))
-    met = cut(_meet(grouped, num, den))
-    several = grouped.where("members > 1").select("n", "prefix", "gid", "members")
-    member = cut(heads.select("doc_id", "n", "prefix").join(several, ["n", "prefix"]).select(F.col("doc_id").alias("id"), "gid", "members"))
-    small, many = member.where(F.col("members") <= FEW).select("gid", "id"), several.where(F.col("members") > FEW).select("gid")
+    # Ids that stand for nothing more are few or written apart, so that prefixes and sketches needn't be moved to leave them out.
+    copies = cut(placed.where("class_id <> doc_id").select("doc_id"))
+    heads = known.select("doc_id", "n", "head").join(copies, "doc_id", "left_anti")
+    grouped = heads.groupBy("n", "head").agg(F.min("doc_id").alias("gid"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    member = cut(heads.join(cut(grouped), ["n", "head"]).select(F.col("doc_id").alias("id"), "gid", "members"))
+    apart = cut(copies.unionByName(member.where("id <> gid").select(F.col("id").alias("doc_id"))))
+    met = cut(_meet(known.join(apart, "doc_id", "left_anti").select(F.col("doc_id").alias("gid"), "n", "prefix"), num, den))
+    small, many = member.where(F.col("members") <= FEW).select("gid", "id"), member.where((F.col("members") > FEW) & (F.col("id") == F.col("gid"))).select("gid")
     # Pairs with a large group go to its cluster, those of small ones are expanded.
     flagged = met.where("NOT crowd").join(many.select(F.col("gid").alias("a"), F.lit(True).alias("big_a")), "a", "left").join(many.select(F.col("gid").alias("b"), F.lit(True).alias("big_b")), "b", "left")
     flagged = cut(flagged.select("a", "b", F.when(F.col("big_a"), F.col("a")).when(F.col("big_b"), F.col("b")).alias("key")))
     between = flagged.where("key IS NULL").join(small.select(F.col("gid").alias("a"), F.col("id").alias("x")), "a", "left").join(small.select(F.col("gid").alias("b"), F.col("id").alias("y")), "b", "left")
     within = small.select("gid", F.col("id").alias("a")).join(small.select("gid", F.col("id").alias("b")), "gid").where("a < b").select("a", "b")
-    rest = cut(_may_link(between.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).unionByName(within), heads, num, den))
+    pairs = [between.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), within]
     pair_of = flagged.where("key IS NOT NULL").select("key", F.explode(F.array("a", "b")).alias("gid"))
     clusters = met.where("crowd").select(F.col("a").alias("key"), F.col("b").alias("gid")).unionByName(pair_of).unionByName(many.select(F.col("gid").alias("key"), "gid"))
     clusters = cut(clusters.join(member.select("gid", "id"), "gid", "left").select("key", F.coalesce("id", "gid").alias("id")).distinct())
-    wanted = rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))).unionByName(clusters.select("id")).distinct()
-    sets = cut(_sets_of(docs, wanted, k))
-    links, more = _cluster_links(clusters, sets, num, den)
-    if more:
-        rest = rest.unionByName(cut(_may_link(_all(more).distinct(), heads, num, den)))
-    links.append(_verify(rest, sets, num, den))
+    links: list[DataFrame] = []
+    if not clusters.isEmpty():
+        links, more = _cluster_links(clusters, cut(_sets_of(docs, cut(clusters.select("id").distinct()), k)), num, den)
+        pairs += more
+    likely = cut(_may_link(_all(pairs).distinct(), known, num, den))
+    wanted = cut(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    links.append(_verify(likely, cut(_sets_of(docs, wanted, k)), num, den))
     found = components(_all(links))
     named = placed.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
