@@ -117,8 +117,11 @@ class WordHasher:
             setattr(self, name, np.multiply.accumulate(step))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash of each word, its first byte, for each row the number of its first word), n + 1 of the last."""
-        hashes, starts = [], []
+        """(hash of each word, its first byte, for each row the number of its first word), n + 1 of the last.
+
+        ``ends`` then holds the places behind the words.
+        """
+        hashes, starts, ends = [], [], []
         heads = offsets[:-1][np.diff(offsets) > 0]
         at, n = 0, len(data)
         while at < n:
@@ -147,9 +150,11 @@ class WordHasher:
             np.cumsum(self.values[piece] * self.power[: len(piece)], out=total[1:])
             hashes.append(mix((total[e] - total[s]) * self.unpower[s] + (e - s).astype(np.uint64)))
             starts.append(s + at)
+            ends.append(e + at)
             at = end
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.ends = np.concatenate(ends) if ends else np.zeros(0, np.int64)
         return h, s, np.searchsorted(s, offsets)
 
 

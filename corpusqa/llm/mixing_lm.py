@@ -1,23 +1,29 @@
 """Language-model scoring by logistic context mixing.
 
-A text is coded byte by byte, an end symbol last, each symbol along the path of a binary (Huffman)
-tree over the 257 symbols.  For every node of a path, predictors over hashed contexts (the last 1 to
-6 bytes) say how likely each branch is; their log-odds, weighted by a gate that the predictor's
-evidence opens, add up to the mixed log-odds, and a table of the node and the mixed value refines
-them.  Branch counts come from all training documents.  Gate weights and the refinement are learned
-online, in one pass over a bounded sample, each of its branches being left out of the counts that
-predict it, and then rest, so that a document's score doesn't depend on its neighbours.
-
-Beside it a word model with add-one counts gives a base score.  Its counts live in buckets of word
-hashes; chunks of documents ask for the counts of their words, so that no vocabulary is broadcast.
+A text is a row of words (A-Z lower-cased) and an end.  A word that training texts have is coded by
+bits of its hash, from the root of a binary tree down to one of 2**DEPTH leaves; the leaf's words share
+its rest by their counts.  At each node several predictors say how likely each branch is, each from
+the branches that training words took there in its context: none, the word before (exact, a table that
+grows with the corpus), and hashes of that word's ending and of its beginning and length.  Their
+log-odds, weighted by a gate that the predictor's evidence opens, add up to the mixed log-odds, and a
+table of the depth and the mixed value refines them.  A new word is spelled, bit by bit, by predictors
+over hashed contexts of its last bytes, mixed in the same way and learned from the words that training
+texts have once.
+
+All counts cover all training texts.  They live in buckets: one of the words' hashes, one of the hashes of the words
+before; chunks of documents ask for what they need, so that no vocabulary and no table that grows is
+broadcast.  Gates and refinement are learned online in each bucket, every branch being left out of the
+counts that predict it; the buckets' weights are averaged, their hits added up, and both then rest, so
+that a document's score doesn't depend on its neighbours.
+
+Beside it a word model with add-one counts gives a base score.
 
 Defined results: null text counts as empty, whose only token is the end; without training documents
-all branches are even; repeated rows give repeated rows.
+all branches are even; repeated rows give repeated rows; rows without doc_id are scored, too.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -27,222 +33,395 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, cut, mix, slices, text_buffer
-
-ORDERS = (1, 2, 3, 4, 6)
-#: Cells of each predictor's table (a power of two); a model has a fixed size.
-CELL_BITS = 19
-GATES = 8
-STEPS = 33
-#: Values of the mixed log-odds (from -8 to 8) that scoring tells apart.
-LEVELS = 1024
-END = 256
-#: Documents that the gates and the refinement are learned from, of at most so many bytes.
-SAMPLE_DOCUMENTS, SAMPLE_BYTES = 160, 1 << 15
-CHUNK_BYTES, BUCKET_BYTES = 24 << 20, 24 << 20
-_SEGMENTS = 32
-
-
-def code_paths(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Huffman paths of the symbols: (length, nodes, branches), the latter in rows padded with 0."""
-    heap = [(int(c) + 1, i, i) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
-    parent: dict[int, tuple[int, int]] = {}
-    inner = 0
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        name = -1 - inner
-        parent[a[2]], parent[b[2]] = (name, 0), (name, 1)
-        heapq.heappush(heap, (a[0] + b[0], 1000 + inner, name))
-        inner += 1
-    paths = []
-    for s in range(len(counts)):
-        path, at = [], s
-        while at in parent:
-            at, bit = parent[at]
-            path.append((-1 - at, bit))
-        paths.append(path[::-1])
-    length = np.array([len(p) for p in paths], np.int64)
-    nodes, bits = np.zeros((len(paths), length.max()), np.uint32), np.zeros((len(paths), length.max()), np.uint8)
-    for s, p in enumerate(paths):
-        nodes[s, : len(p)] = [n for n, _ in p]
-        bits[s, : len(p)] = [b for _, b in p]
-    return length, nodes, bits
-
-
-class Coder:
-    """Turns runs of texts into branches: for each the node, the bit, and a cell of each predictor."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        self.length, self.nodes, self.bits = code_paths(counts)
-        edge = np.cumsum(self.length)
-        self.first = edge - self.length
-        pad = np.arange(self.nodes.shape[1])[None] < self.length[:, None]
-        self.flat_nodes, self.flat_bits = self.nodes[pad], self.bits[pad]
-
-    def branches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray], np.ndarray]:
-        """(node, bit, cells of one predictor after another, first branch of each row and the last)."""
-        n = len(offsets) - 1
-        sizes = np.diff(offsets) + 1
-        ends = np.cumsum(sizes) - 1
-        symbol = np.empty(len(data) + n, np.int32)
-        inside = np.ones(len(symbol), bool)
-        inside[ends] = False
-        symbol[inside], symbol[ends] = data, END
-        place = np.arange(len(symbol), dtype=np.int32) - np.repeat((ends + 1 - sizes).astype(np.int32), sizes)
-        times = self.length.take(symbol)
-        total = np.cumsum(times)
-        of = np.repeat(np.arange(len(symbol), dtype=np.int32), times)  # the symbol of each branch
-        at = np.arange(len(of), dtype=np.int32)
-        at -= (total - times - self.first.take(symbol)).astype(np.int32).take(of)
-        node, bit = self.flat_nodes.take(at), self.flat_bits.take(at)
-        spread = (node + np.uint32(1)) * np.uint32(0x9E3779B1)
-
-        def cells() -> Iterator[np.ndarray]:
-            context = np.zeros(len(symbol), np.uint32)
-            for j in range(1, max(ORDERS) + 1):
-                back = np.full(len(symbol), END, np.uint32)
-                back[j:] = symbol[:-j] if j < len(symbol) else symbol[:0]
-                back[place < j] = END
-                context = (context + back + np.uint32(j)) * np.uint32(0x85EBCA6B)
-                context ^= context >> np.uint32(15)
-                if j in ORDERS:
-                    h = context.take(of)
-                    h += spread
-                    h *= np.uint32(0xC2B2AE35)
-                    h >>= np.uint32(32 - CELL_BITS)
-                    yield h.astype(np.int32)
-
-        return node, bit, cells(), np.concatenate(([0], total[ends])) if n else np.zeros(1, np.int64)
-
-
-def _training(docs: DataFrame) -> DataFrame:
-    return docs.where("training").select("text")
-
-
-def byte_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each byte, and of the end, in the training texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(257, np.int64)
+from .common import WordHasher, cut, lower_table, mix, text_buffer
+
+#: Depth of the tree of words; bits of a hashed class of the word before, and depth to which it predicts.
+DEPTH, CLASS_BITS, CLASS_DEPTH = 18, 9, 9
+#: Orders of the spelling predictors and bits of their cells.
+ORDERS, SPELL_BITS = (1, 2, 3), 18
+GATES, STEPS = 8, 33
+#: Added to either count of a branch.
+PRIOR = 0.02
+RATE, RUN = 0.02, 1 << 14
+CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
+#: Hashes of the end and of what stands before the first word.
+END, START = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+SPACE = 32
+
+
+def _gate(n: np.ndarray) -> np.ndarray:
+    return np.minimum(GATES - 1, np.log2(n + 1).astype(np.int8) // 2 + (n > 0)).astype(np.int8)
+
+
+def _evidence(same: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of the branch that was taken, and the gate."""
+    return (np.log(same + PRIOR) - np.log(other + PRIOR)).astype(np.float32), _gate(same + other)
+
+
+def _steps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of log-odds in the refinement table: left step and share of the right one."""
+    y = (np.clip(x, -8, 8) + 8) * ((STEPS - 1) / 16)
+    left = np.minimum(y.astype(np.int64), STEPS - 2)
+    return left, y - left
+
+
+def _mixed(weights: np.ndarray, x: list[np.ndarray], gates: list[np.ndarray]) -> np.ndarray:
+    return np.clip(sum(w[g] * v for w, v, g in zip(weights, x, gates)), -12, 12)
+
+
+def start_weights(predictors: int) -> np.ndarray:
+    out = np.full((predictors, GATES), 0.4)
+    out[:, 0] = 0
+    return out
+
+
+def learn_online(weights: np.ndarray, hits: np.ndarray, x: list[np.ndarray], gates: list[np.ndarray], place: np.ndarray, times: np.ndarray) -> None:
+    """Learn ``weights`` and count ``hits`` [place, step, (all, branch taken)] from branches, run by run.
+
+    Each run is predicted before it is learned.
+    """
+    for at in range(0, len(place), RUN):
+        s = slice(at, at + RUN)
+        mixed = _mixed(weights, [v[s] for v in x], [g[s] for g in gates])
+        error = times[s] / (1 + np.exp(mixed))
+        for k, (v, g) in enumerate(zip(x, gates)):
+            weights[k] += RATE * np.bincount(g[s], error * v[s], GATES) / np.maximum(1, np.bincount(g[s], times[s], GATES)) ** 0.75
+        weights[:, 0] = 0
+        for sign in (1, -1):  # the branch taken, and the other one
+            left, share = _steps(sign * mixed)
+            for side, part in ((left, (1 - share) * times[s]), (left + 1, share * times[s])):
+                n = np.bincount(place[s] * STEPS + side, part, hits.shape[0] * STEPS).reshape(-1, STEPS)
+                hits[:, :, 0] += n
+                if sign == 1:
+                    hits[:, :, 1] += n
+
+
+def refined(hits: np.ndarray) -> np.ndarray:
+    """The refinement table [place, step]: the share of hits, drawn to the mixed probability."""
+    even = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
+    return (hits[:, :, 1] + 40 * even) / (hits[:, :, 0] + 40)
+
+
+def gains(weights: np.ndarray, table: np.ndarray, x: list[np.ndarray], gates: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+    """log10 probability of each branch taken: half refined, half as mixed."""
+    mixed = _mixed(weights, x, gates)
+    left, share = _steps(mixed)
+    p = 0.5 * (table[place, left] * (1 - share) + table[place, left + 1] * share) + 0.5 / (1 + np.exp(-mixed))
+    return np.log10(np.clip(p, 1e-6, 1.0))
+
+
+def _blob(*arrays: np.ndarray) -> list[bytes]:
+    return [a.tobytes() for a in arrays]
+
+
+def _merge_learned(df: DataFrame, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The weights and the refinement table that buckets (weights, hits, times) have learned."""
+    weights, hits, total = np.zeros((shape[0], GATES)), np.zeros((shape[1], STEPS, 2)), 0.0
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(shape[0] * GATES), np.zeros(shape[1] * STEPS * 2), 0.0]
         for batch in batches:
-            data, _ = text_buffer(batch.column(0))
-            total[:256] += np.bincount(data, minlength=256)
-            total[END] += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(total)], names=["symbol", "n"])
-
-    out = np.zeros(257, np.int64)
-    for symbol, n in _training(docs).mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n")).collect():
-        out[symbol] = n
+            for w, h, t in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                sums = [sums[0] + t * np.frombuffer(w.as_buffer()), sums[1] + np.frombuffer(h.as_buffer()), sums[2] + t]
+        yield pa.RecordBatch.from_arrays([pa.array([sums[0].tobytes()]), pa.array([sums[1].tobytes()]), pa.array([sums[2]])], names=["weights", "hits", "times"])
+
+    for w, h, t in df.mapInArrow(add, "weights binary, hits binary, times double").collect():  # one small row a task
+        weights += np.frombuffer(w).reshape(weights.shape)
+        hits += np.frombuffer(h).reshape(hits.shape)
+        total += t
+    return (weights / total if total else start_weights(shape[0])), refined(hits)
+
+
+# Spelling of new words
+
+
+def spelled(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of some words, each with a space behind."""
+    sizes = ends - starts + 1
+    edge = np.cumsum(sizes)
+    out = np.full(int(edge[-1]) if len(edge) else 0, SPACE, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[edge - 1] = False
+    at = np.arange(len(out)) - np.repeat(edge - sizes, sizes) + np.repeat(starts, sizes)
+    out[inside] = text[at[inside]]
     return out
 
 
-def branch_counts(docs: DataFrame, symbols: np.ndarray) -> np.ndarray:
-    """Counts [predictor, bit, cell] over all training texts; partial tables are added in segments."""
-    wide = (1 << CELL_BITS) // _SEGMENTS
+def spelling_branches(data: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The bit (0 or 1) of each branch of spelled words, eight for each byte, and the cell of each predictor."""
+    n = len(data)
+    ends = np.flatnonzero(data == SPACE)
+    first = np.concatenate(([0], ends + 1))
+    place = np.arange(n) - np.repeat(first[: len(ends)], np.diff(first))
+    shift = np.arange(8)
+    bit = ((data[:, None] >> (7 - shift)[None].astype(np.uint8)) & 1).ravel()
+    node = ((np.int64(1) << shift)[None] | (data[:, None].astype(np.int64) >> (8 - shift)[None])).astype(np.uint32)
+    context, cells = np.zeros(n, np.uint32), []
+    for j in range(1, max(ORDERS) + 1):
+        back = np.full(n, SPACE, np.uint32)
+        back[j:] = data[:-j] if j < n else data[:0]
+        back[place < j] = SPACE
+        context = (context + back + np.uint32(j)) * np.uint32(0x85EBCA6B)
+        context ^= context >> np.uint32(15)
+        if j in ORDERS:
+            h = (context[:, None] + node * np.uint32(0x9E3779B1)) * np.uint32(0xC2B2AE35)
+            cells.append((h >> np.uint32(32 - SPELL_BITS)).astype(np.int64).ravel())
+    return bit, cells
+
+
+def _spelling_evidence(counts: np.ndarray, bit: np.ndarray, cells: list[np.ndarray], left_out: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    x, gates = [], []
+    for k, c in enumerate(cells):
+        v, g = _evidence(np.maximum(counts[k, bit, c] - left_out, 0), counts[k, 1 - bit, c])
+        x.append(v)
+        gates.append(g)
+    return x, gates
+
+
+def spelling_scores(model: dict, data: np.ndarray) -> np.ndarray:
+    """log10 probability of each spelled word."""
+    if not len(data):
+        return np.zeros(0)
+    bit, cells = spelling_branches(data)
+    total = np.cumsum(gains(model["weights"], model["refined"], *_spelling_evidence(model["counts"], bit, cells, 0), np.tile(np.arange(8), len(data))))
+    return np.diff(total[8 * np.flatnonzero(data == SPACE) + 7], prepend=0)
+
+
+def _word_pieces(data: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Spelled words in runs of about ``most`` bytes."""
+    ends = np.flatnonzero(data == SPACE) + 1
+    at = 0
+    while at < len(data):
+        end = int(ends[max(np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + most, "right") - 1)])
+        yield data[at:end]
+        at = end
+
+
+def learn_spelling(words: DataFrame) -> dict:
+    """The model of new words from the rows of ``words`` (spelled: binary)."""
+    size = (len(ORDERS), 2, 1 << SPELL_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(symbols)
-        table, one = np.zeros((len(ORDERS), 2 << CELL_BITS), np.uint32), np.uint32(1)
-        any_rows = False
+        table = np.zeros(size, np.uint32)
         for batch in batches:
-            for part in slices(batch, "text", 128 << 10):
-                any_rows = True
-                _, bit, cells, _ = coder.branches(*text_buffer(part.column(0)))
-                high = bit.astype(np.int32) << np.int32(CELL_BITS)
-                for k, c in enumerate(cells):
-                    np.add.at(table[k], c | high, one)  # no second table, as bincount would need
-        if any_rows:
-            for k in range(len(ORDERS)):
-                for g in range(2 * _SEGMENTS):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([g], pa.int32()), pa.array([table[k, g * wide : (g + 1) * wide].tobytes()], pa.binary())], names=["k", "g", "counts"])
+            for b in batch.column(0):
+                for piece in _word_pieces(np.frombuffer(b.as_buffer(), np.uint8)):
+                    bit, cells = spelling_branches(piece)
+                    for k, c in enumerate(cells):
+                        np.add.at(table[k].reshape(-1), bit.astype(np.int64) * size[2] + c, np.uint32(1))
+        for k in range(size[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([table[k].tobytes()], pa.binary())], names=["k", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(wide, np.int64)
+        total = np.zeros(2 << SPELL_BITS, np.int64)
         for batch in batches:
-            for b in batch.column(2):
+            for b in batch.column(1):
                 total += np.frombuffer(b.as_buffer(), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["k", "g", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["k", "counts"])
 
-    out = np.zeros((len(ORDERS), 2 << CELL_BITS), np.float32)
-    added = _training(docs).mapInArrow(count, "k int, g int, counts binary").groupBy("k", "g").applyInArrow(add, "k int, g int, counts binary")
-    for k, g, b in added.collect():  # the fixed-size table
-        out[k, g * wide : (g + 1) * wide] = np.frombuffer(b, np.float32)
-    return out.reshape(len(ORDERS), 2, 1 << CELL_BITS)
+    counts = np.zeros(size, np.float32)
+    for k, b in words.mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(add, "k int, counts binary").collect():  # the fixed-size table
+        counts[k] = np.frombuffer(b, np.float32).reshape(size[1:])
+    held = words.sparkSession.sparkContext.broadcast(counts)
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0):
+                weights, hits, total = start_weights(len(ORDERS)), np.zeros((8, STEPS, 2)), 0
+                for piece in _word_pieces(np.frombuffer(b.as_buffer(), np.uint8)):
+                    bit, cells = spelling_branches(piece)
+                    learn_online(weights, hits, *_spelling_evidence(held.value, bit, cells, 1), np.tile(np.arange(8), len(piece)), np.ones(len(bit)))
+                    total += len(bit)
+                yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([hits.tobytes()]), pa.array([float(total)])], names=["weights", "hits", "times"])
 
-def _logit(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log(n1 + 0.02) - np.log(n0 + 0.02)
+    weights, table = _merge_learned(words.mapInArrow(learn, "weights binary, hits binary, times double"), (len(ORDERS), 8))
+    return {"counts": counts, "weights": weights, "refined": table}
 
 
-def _gate(n: np.ndarray) -> np.ndarray:
-    return np.minimum(GATES - 1, np.log2(n + 1).astype(np.int64) // 2 + (n > 0))
+# Words in the tree
 
 
-def _steps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of log-odds in the refinement table: left step and share of the right one."""
-    y = (np.clip(x, -8, 8) + 8) * ((STEPS - 1) / 16)
-    left = np.minimum(y.astype(np.int64), STEPS - 2)
-    return left, y - left
+def tree_counts(leaves: np.ndarray) -> list[np.ndarray]:
+    """Counts of the nodes of each depth, from 0 to DEPTH."""
+    out = [leaves]
+    while len(out[-1]) > 1:
+        out.append(out[-1].reshape(-1, 2).sum(1))
+    return out[::-1]
 
 
-def learn(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> dict:
-    """The model: symbol counts, the weighted log-odds of every cell, the gain of every branch."""
-    symbols = byte_counts(docs)
-    counts = branch_counts(docs, symbols)
-    weights = np.full((len(ORDERS), GATES), 0.4)
-    weights[:, 0] = 0
-    refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, STEPS))), (256, 1))
-    sample = docs.where("training").where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_documents).collect()
-    if sample:
-        coder = Coder(symbols)
-        data, offsets = text_buffer(pa.array([r[1] for r in sample], pa.string()))
-        node, bit, cells, _ = coder.branches(data, offsets)
-        logits, gates = [], []
-        for k, c in enumerate(cells):
-            n0 = np.maximum(counts[k, 0, c] - (bit == 0), 0)
-            n1 = np.maximum(counts[k, 1, c] - (bit == 1), 0)
-            logits.append(np.clip(_logit(n0, n1), -12, 12).astype(np.float32))
-            gates.append(_gate(n0 + n1).astype(np.int8))
-        rate, run = 0.02, 2048
-        for at in range(0, len(bit), run):  # online: each run is predicted before it is learned
-            s = slice(at, at + run)
-            x = np.stack([g[s] for g in logits])
-            w = np.stack([weights[k][gates[k][s]] for k in range(len(ORDERS))])
-            mixed = np.clip((w * x).sum(0), -12, 12)
-            error = bit[s] - 1 / (1 + np.exp(-mixed))
-            for k in range(len(ORDERS)):
-                weights[k] += rate * np.bincount(gates[k][s], error * x[k], minlength=GATES) / np.maximum(1, np.bincount(gates[k][s], minlength=GATES)) ** 0.75
-            left, share = _steps(mixed)
-            for side, part in ((left, 1 - share), (left + 1, share)):
-                cell = node[s].astype(np.int64) * STEPS + side
-                n = np.bincount(cell, part, minlength=256 * STEPS)
-                hit = np.bincount(cell, part * bit[s], minlength=256 * STEPS)
-                step = (n / (n + 40)).reshape(256, STEPS)
-                refined += step * (np.divide(hit, n, out=np.zeros_like(hit), where=n > 0).reshape(256, STEPS) - refined)
-    odds = np.empty((len(ORDERS), 1 << CELL_BITS), np.float32)
-    for k in range(len(ORDERS)):
-        n0, n1 = counts[k]
-        odds[k] = weights[k][_gate(n0 + n1)] * np.clip(_logit(n0, n1), -12, 12)
-    # What each branch gains at each value of the mixed log-odds: half refined, half as mixed.
-    x = (np.arange(LEVELS) + 0.5) * (16 / LEVELS) - 8
-    left, share = _steps(x)
-    p = 0.5 * (refined[:, left] * (1 - share) + refined[:, left + 1] * share) + 0.5 / (1 + np.exp(-x))[None]
-    gains = np.log10(np.clip(np.stack((1 - p, p)), 1e-6, 1.0)).astype(np.float32).ravel()
-    return {"symbols": symbols, "odds": odds, "gains": gains, "weights": weights}
-
-
-def text_scores(model: dict, coder: Coder, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of each text with its end."""
-    node, bit, cells, edge = coder.branches(data, offsets)
-    mixed = np.full(len(bit), 8.0, np.float32)
-    for k, c in enumerate(cells):
-        mixed += model["odds"][k].take(c)
-    mixed *= np.float32(LEVELS / 16)
-    level = np.clip(mixed, 0, LEVELS - 1, out=mixed).astype(np.int32)
-    level += (node.astype(np.int32) + (bit.astype(np.int32) << np.int32(8))) * np.int32(LEVELS)
-    total = np.concatenate(([0.0], np.cumsum(model["gains"].take(level), dtype=np.float64)))
-    return total[edge[1:]] - total[edge[:-1]]
+def class_cell(classes: np.ndarray, depth: int, word: np.ndarray) -> np.ndarray:
+    """Cell of a class of the word before at the node of a given depth on a word's (32 bits) path."""
+    return (classes.astype(np.int64) << CLASS_DEPTH) | (1 << depth) | (word >> np.uint32(31 - depth) >> np.uint32(1)).astype(np.int64)
+
+
+def _branch(word: np.ndarray, depth: int) -> np.ndarray:
+    return ((word >> np.uint32(31 - depth)) & np.uint32(1)).astype(np.int64)
+
+
+def _same_before(pairs: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """[depth, pair]: training words on the pair's path at each depth, after the same word; pairs ascend."""
+    out = np.empty((DEPTH + 1, len(pairs)), np.float32)
+    for depth in range(DEPTH + 1):
+        node = pairs >> np.uint64(32 - depth)
+        head = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        out[depth] = np.repeat(np.add.reduceat(times, head), np.diff(np.append(head, len(pairs))))
+    return out
+
+
+def path_evidence(model: dict, pairs: np.ndarray, mine: np.ndarray, classes: np.ndarray, left_out: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Log-odds and gates of each predictor for the branches [pair, depth] (flat) of distinct pairs."""
+    word = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    wide = (len(pairs), DEPTH)
+    x, gates = [np.zeros(wide, np.float32) for _ in range(4)], [np.zeros(wide, np.int8) for _ in range(4)]
+    for depth in range(DEPTH):
+        last, here = (model["tree"][d][(word >> np.uint32(31 - d) >> np.uint32(1)).astype(np.int64)] for d in (depth + 1, depth))
+        counts = [(last, here - last), (mine[depth + 1], mine[depth] - mine[depth + 1])]
+        if depth < CLASS_DEPTH:
+            bit = _branch(word, depth)
+            for k in range(2):
+                c = class_cell((classes >> np.uint32(16 * k)) & np.uint32(0xFFFF), depth, word)
+                counts.append((model["classes"][k, bit, c], model["classes"][k, 1 - bit, c]))
+        for k, (same, other) in enumerate(counts):
+            x[k][:, depth], gates[k][:, depth] = _evidence(np.maximum(same - left_out, 0), other)
+    return [v.ravel() for v in x], [g.ravel() for g in gates]
+
+
+def _parts(pairs: np.ndarray, times: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[slice, np.ndarray]]:
+    """Runs of pairs with their counts ``_same_before``; counts are taken over whole lists of a word before."""
+    head = np.append(np.flatnonzero(np.concatenate(([True], (pairs[1:] >> np.uint64(32)) != (pairs[:-1] >> np.uint64(32))))), len(pairs)) if len(pairs) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(head) - 1:
+        end = max(at + 1, int(np.searchsorted(head, head[at] + most, "right")) - 1)
+        a, b = int(head[at]), int(head[end])
+        counts = _same_before(pairs[a:b], times[a:b])
+        for i in range(a, b, most):
+            yield slice(i, min(b, i + most)), counts[:, i - a : i - a + most]
+        at = end
+
+
+def path_scores(model: dict, pairs: np.ndarray, times: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """log10 probability of the path of each pair."""
+    out = np.zeros(len(pairs), np.float32)
+    for s, mine in _parts(pairs, times):
+        value = gains(model["weights"], model["refined"], *path_evidence(model, pairs[s], mine, classes[s], 0), np.tile(np.arange(DEPTH), s.stop - s.start))
+        out[s] = value.reshape(-1, DEPTH).sum(1)
+    return out
+
+
+def _unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row[0].as_buffer(), np.uint64), np.frombuffer(row[1].as_buffer(), np.int64).astype(np.float64), np.frombuffer(row[2].as_buffer(), np.uint32)
+
+
+def learn_paths(merged: DataFrame, leaves: np.ndarray) -> dict:
+    """The fixed-size part of the model of paths: node counts, class tables, weights and refinement."""
+    spark = merged.sparkSession
+    size = (2, 2, 1 << (CLASS_BITS + CLASS_DEPTH))
+    blobs = merged.select("pairs", "times", "classes")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size)
+        for batch in batches:
+            for row in zip(*batch.columns):
+                pairs, times, classes = _unpacked(row)
+                word = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                for k in range(2):
+                    mine = (classes >> np.uint32(16 * k)) & np.uint32(0xFFFF)
+                    for depth in range(CLASS_DEPTH):
+                        np.add.at(table[k].reshape(-1), _branch(word, depth) * size[2] + class_cell(mine, depth, word), times)
+        for k in range(2):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([table[k].astype(np.int64).tobytes()], pa.binary())], names=["k", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size[1] * size[2], np.int64)
+        for batch in batches:
+            for b in batch.column(1):
+                total += np.frombuffer(b.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["k", "counts"])
+
+    tables = np.zeros(size, np.float32)
+    for k, b in blobs.mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(add, "k int, counts binary").collect():  # the fixed-size tables
+        tables[k] = np.frombuffer(b, np.float32).reshape(size[1:])
+    model = {"tree": tree_counts(leaves.astype(np.float64)), "classes": tables}
+    held = spark.sparkContext.broadcast(model)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns):
+                pairs, times, classes = _unpacked(row)
+                weights, hits = start_weights(4), np.zeros((DEPTH, STEPS, 2))
+                for s, mine in _parts(pairs, times):
+                    x, gates = path_evidence(held.value, pairs[s], mine, classes[s], 1)
+                    # A word that only this place has is spelled, not coded by its path.
+                    word = (pairs[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    known = (times[s] > 0) & (held.value["tree"][DEPTH][(word >> np.uint32(32 - DEPTH)).astype(np.int64)] > 1)
+                    keep = np.repeat(known, DEPTH)
+                    learn_online(weights, hits, [v[keep] for v in x], [g[keep] for g in gates], np.tile(np.arange(DEPTH), int(known.sum())), np.repeat(times[s][known], DEPTH))
+                yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([hits.tobytes()]), pa.array([float(times.sum())])], names=["weights", "hits", "times"])
+
+    weights, table = _merge_learned(blobs.mapInArrow(learn, "weights binary, hits binary, times double"), (4, DEPTH))
+    return model | {"weights": weights, "refined": table}
+
+
+# Chunks of documents
+
+
+class Chunk:
+    """The tokens of some texts: distinct words and pairs, ordered by bucket, and where they stand."""
+
+    def __init__(self, table: pa.Table, n_words: int, n_pairs: int) -> None:
+        hasher = WordHasher()
+        hashes, starts, ends, texts, edges, base, size = [], [], [], [], [np.zeros(1, np.int64)], 0, 0
+        for batch in table.to_batches():
+            data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
+            h, s, edge = hasher(data, offsets)
+            hashes.append(h)
+            starts.append(s + size)
+            ends.append(hasher.ends + size)
+            texts.append(lower_table()[data])
+            edges.append(edge[1:] + base)
+            base, size = base + len(h), size + len(data)
+        join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
+        self.text, self.starts, self.ends, self.edge = join(texts, np.uint8), join(starts, np.int64), join(ends, np.int64), np.concatenate(edges)
+        h = join(hashes, np.uint64)
+        # Words, ascending, so that their buckets are ranges of hashes.
+        self.words, self.first, self.word_of = np.unique(h, return_index=True, return_inverse=True)
+        self.word_bucket = self.bucket_of(self.words, n_words)
+        # Tokens: the words of each row and its end.
+        rows = len(self.edge) - 1
+        self.token_edge = self.edge + np.arange(rows + 1)
+        is_end = np.zeros(len(h) + rows, bool)
+        is_end[self.token_edge[1:] - 1] = True
+        token = np.full(len(is_end), END, np.uint64)
+        token[~is_end] = h
+        before = np.concatenate((np.full(1, START, np.uint64), token[:-1]))
+        before[self.token_edge[:-1][self.token_edge[:-1] < len(token)]] = START
+        self.is_end, self.token = is_end, token
+        classes = np.zeros(len(token), np.uint32)
+        if len(h):
+            last, length = self.text[self.ends - 1].astype(np.uint32), self.ends - self.starts
+            ending = last * np.uint32(257) + self.text[np.maximum(self.ends - 2, self.starts)]
+            opening = self.text[self.starts].astype(np.uint32) * np.uint32(16) + np.minimum(length, 15).astype(np.uint32)
+            squeeze = lambda v: (v * np.uint32(0x9E3779B1)) >> np.uint32(32 - CLASS_BITS)
+            own = np.zeros(len(token), np.uint32)
+            own[~is_end] = squeeze(ending) | (squeeze(opening) << np.uint32(16))
+            classes[1:] = own[:-1]
+            classes[before == np.uint64(START)] = 0
+        _, first, self.pair_of = np.unique(mix(before) + token, return_index=True, return_inverse=True)
+        bucket = (before[first] % np.uint64(n_pairs)).astype(np.int64)
+        key = ((before[first] // np.uint64(n_pairs)) << np.uint64(32)) | (token[first] >> np.uint64(32))
+        order = np.lexsort((key, bucket))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.pair_of, self.pairs, self.pair_bucket, self.classes = back[self.pair_of], key[order], bucket[order], classes[first][order]
+
+    @staticmethod
+    def bucket_of(words: np.ndarray, n: int) -> np.ndarray:
+        return (((words >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+    @staticmethod
+    def cuts(bucket: np.ndarray) -> list[tuple[int, slice]]:
+        found, first = np.unique(bucket, return_index=True)
+        return [(int(b), slice(int(i), int(j))) for b, i, j in zip(found, first, [*first[1:], len(bucket)])]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -252,92 +431,126 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce("training", F.lit(False)).alias("training"))
-    held = spark.sparkContext.broadcast(learn(docs))
     size, n_training = docs.select(F.sum(F.octet_length("text")), F.count_if("training")).first()
-    n_chunks, n_buckets = max(1, -(-(size or 0) // CHUNK_BYTES)), max(1, -(-(size or 0) // BUCKET_BYTES))
+    n_chunks, n_buckets = (max(1, -(-(size or 0) // b)) for b in (CHUNK_BYTES, BUCKET_BYTES))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
 
-    def vocabulary(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct word hashes by bucket, their buckets; the place of each word in them; words of rows."""
-        hasher = WordHasher()
-        hashes, edges, base = [], [np.zeros(1, np.int64)], 0
-        for batch in table.to_batches():
-            h, _, edge = hasher(*text_buffer(batch.column(batch.schema.get_field_index("text"))))
-            hashes.append(h)
-            edges.append(edge[1:] + base)
-            base += len(h)
-        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        names, place = np.unique(every, return_inverse=True)
-        bucket = (names % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        back = np.empty(len(names), np.int64)
-        back[order] = np.arange(len(names))
-        return names[order], bucket[order], back[place], np.concatenate(edges)
-
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        names, bucket, place, edge = vocabulary(table)
+        c = Chunk(table, n_buckets, n_buckets)
         training = np.array(table.column("training").to_pylist(), bool)
-        known = np.repeat(training, np.diff(edge))
-        times = np.bincount(place[known], minlength=len(names)).astype(np.int32)
-        found, first = np.unique(bucket, return_index=True)
-        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(names)]))
-        return pa.table(
-            {
-                "bucket": pa.array(found, pa.int32()),
-                "chunk": pa.array(np.full(len(found), key[0].as_py()), pa.int32()),
-                "words": pa.array([names[a:b].tobytes() for a, b in cuts], pa.binary()),
-                "times": pa.array([times[a:b].tobytes() for a, b in cuts], pa.binary()),
-            }
-        )
+        words = np.bincount(c.word_of[np.repeat(training, np.diff(c.edge))], minlength=len(c.words))
+        pairs = np.bincount(c.pair_of[np.repeat(training, np.diff(c.token_edge))], minlength=len(c.pairs))
+        rows = []
+        for b, s in c.cuts(c.word_bucket):
+            once = np.flatnonzero(words[s] == 1) + s.start
+            rows.append((0, b, *_blob(c.words[s], words[s].astype(np.int32), c.words[once]), spelled(c.text, c.starts[c.first[once]], c.ends[c.first[once]]).tobytes()))
+        for b, s in c.cuts(c.pair_bucket):
+            head = np.flatnonzero(np.concatenate(([True], (c.pairs[s][1:] >> np.uint64(32)) != (c.pairs[s][:-1] >> np.uint64(32)))))
+            before = np.concatenate(((c.pairs[s][head] >> np.uint64(32)).astype(np.uint32), c.classes[s][head], np.diff(np.append(head, s.stop - s.start)).astype(np.uint32)))
+            rows.append((1, b, *_blob((c.pairs[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32), pairs[s].astype(np.int32), before), b""))
+        columns = list(zip(*rows)) or [()] * 6
+        types = {"kind": pa.int32(), "bucket": pa.int32(), "names": pa.binary(), "times": pa.binary(), "more": pa.binary(), "spelled": pa.binary()}
+        return pa.table({k: pa.array(v, t) for (k, t), v in zip(types.items(), columns)} | {"chunk": pa.array([key[0].as_py()] * len(rows), pa.int32())})
+
+    asked = cut(dealt.groupBy("chunk").applyInArrow(ask, "kind int, bucket int, names binary, times binary, more binary, spelled binary, chunk int"))
 
     def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        words = [np.frombuffer(b, np.uint64) for b in pdf["words"]]
+        pdf = pdf.sort_values("chunk", kind="stable")
+        words = [np.frombuffer(b, np.uint64) for b in pdf["names"]]
         names, place = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(place, np.concatenate([np.frombuffer(b, np.int32) for b in pdf["times"]]), minlength=len(names)).astype(np.int64)
         found = np.split(total[place], np.cumsum([len(w) for w in words])[:-1])
-        out = pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "counts": [c.astype(np.int64).tobytes() for c in found], "distinct": np.int64(0), "tokens": np.int64(0)})
-        out.loc[out.index[0], ["distinct", "tokens"]] = [np.count_nonzero(total), total.sum()]
+        out = pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "counts": [c.astype(np.int64).tobytes() for c in found], "distinct": np.int64(0), "tokens": np.int64(0), "once": np.int64(0), "leaf": np.int64(0), "leaves": b"", "spelled": b""})
+        leaf = (names >> np.uint64(64 - DEPTH)).astype(np.int64)
+        rare = []
+        for h, b in zip(pdf["more"], pdf["spelled"]):  # the words that training texts have once
+            keep = total[np.searchsorted(names, np.frombuffer(h, np.uint64))] == 1
+            data = np.frombuffer(b, np.uint8)
+            edge = np.flatnonzero(data == SPACE) + 1
+            rare.append(data[np.repeat(keep, np.diff(edge, prepend=0))])
+        first = out.index[0]
+        out.loc[first, ["distinct", "tokens", "once", "leaf"]] = [np.count_nonzero(total), total.sum(), np.count_nonzero(total == 1), leaf[0] if len(leaf) else 0]
+        out.at[first, "leaves"] = np.bincount(leaf - leaf[0], total).astype(np.int64).tobytes() if len(leaf) else b""
+        out.at[first, "spelled"] = np.concatenate(rare).tobytes()
         return out
 
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, words binary, times binary")
-    answers = cut(asked.groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, counts binary, distinct long, tokens long"))
-    distinct, tokens = answers.agg(F.sum("distinct"), F.sum("tokens")).first()
-    n_all = (tokens or 0) + n_training
-    n_distinct = (distinct or 0) + (1 if n_training else 0)
+    answers = cut(asked.where("kind = 0").groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, counts binary, distinct long, tokens long, once long, leaf long, leaves binary, spelled binary"))
+    distinct, tokens, once = answers.agg(F.sum("distinct"), F.sum("tokens"), F.sum("once")).first()
+    n_all, n_distinct = (tokens or 0) + n_training, (distinct or 0) + (1 if n_training else 0)
+    leaves = np.zeros(1 << DEPTH, np.int64)
+    for at, b in answers.where("octet_length(leaves) > 0").select("leaf", "leaves").toLocalIterator():  # 2**DEPTH counts, and one more a bucket
+        part = np.frombuffer(b, np.int64)
+        leaves[at : at + len(part)] += part
+    leaves[END >> (64 - DEPTH)] += n_training
+    fresh = ((once or 0) + 0.5) / (n_all + 1)
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk", kind="stable")
+        pairs, classes = [], []
+        for names, more in zip(pdf["names"], pdf["more"]):
+            before, kind, times = np.frombuffer(more, np.uint32).reshape(3, -1)
+            pairs.append((np.repeat(before, times).astype(np.uint64) << np.uint64(32)) | np.frombuffer(names, np.uint32))
+            classes.append(np.repeat(kind, times))
+        every, first, place = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+        total = np.bincount(place, np.concatenate([np.frombuffer(b, np.int32) for b in pdf["times"]]), minlength=len(every)).astype(np.int64)
+        return pd.DataFrame({"bucket": [key[0]], "pairs": [every.tobytes()], "times": [total.tobytes()], "classes": [np.concatenate(classes)[first].tobytes()]})
+
+    merged = cut(asked.where("kind = 1").groupBy("bucket").applyInPandas(merge, "bucket int, pairs binary, times binary, classes binary"))
+    paths = learn_paths(merged, leaves)
+    spelling = learn_spelling(answers.where("octet_length(spelled) > 0").select("spelled"))
+    held_paths, held = spark.sparkContext.broadcast(paths), spark.sparkContext.broadcast((spelling, leaves))
+
+    def reply(key: tuple, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        pairs, times, classes = (np.frombuffer(known[c].iloc[0], t) for c, t in (("pairs", np.uint64), ("times", np.int64), ("classes", np.uint32)))
+        value = path_scores(held_paths.value, pairs, times.astype(np.float64), classes)
+        out = []
+        for names, more in zip(pdf["names"], pdf["more"]):
+            before, _, n = np.frombuffer(more, np.uint32).reshape(3, -1)
+            mine = (np.repeat(before, n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(names, np.uint32)
+            out.append(value[np.searchsorted(pairs, mine)].tobytes())
+        return pd.DataFrame({"chunk": pdf["chunk"], "kind": 1, "bucket": pdf["bucket"], "values": out})
+
+    gained = asked.where("kind = 1").select("bucket", "chunk", "names", "more").groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInPandas(reply, "chunk int, kind int, bucket int, values binary")
+    replies = gained.unionByName(answers.select("chunk", F.lit(0).alias("kind"), "bucket", F.col("counts").alias("values")))
 
     def finish(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        model = held.value
-        coder = Coder(model["symbols"])
-        _, _, place, edge = vocabulary(table)
-        order = np.argsort(np.array(replies.column("bucket").to_pylist(), np.int64))
-        blobs = replies.column("counts").to_pylist()
-        counts = np.concatenate([np.frombuffer(blobs[i], np.int64) for i in order] or [np.zeros(0, np.int64)])
-        c = counts[place]
-        floor = math.log10(n_all + n_distinct + 1)
-        gain = np.concatenate(([0.0], np.cumsum(np.log10(c + 1.0))))
-        known = np.concatenate(([0], np.cumsum(c > 0)))
-        n_tokens = np.diff(edge) + 1
-        base = gain[edge[1:]] - gain[edge[:-1]] + math.log10(n_training + 1) - n_tokens * floor
-        scores, sizes = [], []
-        for batch in table.to_batches():
-            for part in slices(batch, "text", 128 << 10):
-                data, offsets = text_buffer(part.column(part.schema.get_field_index("text")))
-                scores.append(text_scores(model, coder, data, offsets))
-                sizes.append(np.diff(offsets))
-        value, size_of = np.concatenate(scores), np.concatenate(sizes)
+        spelling, leaves = held.value
+        c = Chunk(table, n_buckets, n_buckets)
+        parts = sorted(zip(*(replies.column(k).to_pylist() for k in ("kind", "bucket", "values"))))
+        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(v, np.int64) for kind, _, v in parts if kind == 0)])
+        paths = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(v, np.float32) for kind, _, v in parts if kind == 1)])
+        n = counts[c.word_of]
+        total = lambda v, edge: np.diff(np.concatenate(([0.0], np.cumsum(v)))[edge])
+        n_tokens = np.diff(c.token_edge)
+        base = total(np.log10(n + 1.0), c.edge) + math.log10(n_training + 1) - n_tokens * math.log10(n_all + n_distinct + 1)
+        of_token = np.full(len(c.token), n_training, np.int64)
+        of_token[~c.is_end] = n
+        known = of_token > 0
+        new = np.flatnonzero(counts == 0)
+        cost = np.zeros(len(counts))
+        cost[new] = np.concatenate([np.zeros(0), *(spelling_scores(spelling, p) for p in _word_pieces(spelled(c.text, c.starts[c.first[new]], c.ends[c.first[new]])))])
+        value = np.zeros(len(c.token))
+        value[~c.is_end] = cost[c.word_of]
+        if not n_training:
+            value[c.is_end] = spelling_scores(spelling, np.full(1, SPACE, np.uint8))[0]
+        at = np.flatnonzero(known)
+        value[at] = paths[c.pair_of[at]] + np.log10(of_token[at] / leaves[(c.token[at] >> np.uint64(64 - DEPTH)).astype(np.int64)])
+        value += np.where(known, math.log10(1 - fresh), math.log10(fresh))
+        mixed = total(value, c.token_edge)
+        size_of = np.array([len((t or "").encode()) for t in table.column("text").to_pylist()], np.int64)
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
                 "training": table.column("training"),
                 "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(known[edge[1:]] - known[edge[:-1]] + (1 if n_training else 0), pa.int64()),
-                "train_tokens": pa.array(np.full(len(value), n_all), pa.int64()),
-                "vocabulary": pa.array(np.full(len(value), n_distinct), pa.int64()),
+                "n_known": pa.array(total(known, c.token_edge).astype(np.int64), pa.int64()),
+                "train_tokens": pa.array(np.full(len(mixed), n_all), pa.int64()),
+                "vocabulary": pa.array(np.full(len(mixed), n_distinct), pa.int64()),
                 "base_score": pa.array(base),
-                "score": pa.array(value),
-                "bits_per_byte": pa.array(-value / math.log10(2) / np.maximum(1, size_of)),
+                "score": pa.array(mixed),
+                "bits_per_byte": pa.array(-mixed / math.log10(2) / np.maximum(1, size_of)),
             }
         )
 
     schema = "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, vocabulary long, base_score double, score double, bits_per_byte double"
-    return dealt.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "counts").groupBy("chunk")).applyInArrow(finish, schema)
+    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
