@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusqa.llm.common import WordHasher
 from corpusqa.llm import components, decontaminate, language_id, line_dedup, mixing_lm, ngram_join, ordinal_quality, piece_codec, queries, secret_scan, spot_signatures, suffix_dedup
 
 MODEL = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
@@ -141,13 +143,12 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
     """Texts of one size with one prefix: rare words first, then shingles that many have."""
     rng = random.Random(3)
     lines = [" ".join(f"c{j}x{i}" for i in range(12)) for j in range(30)]
-    texts = [" ".join(["rare one here now", *rng.sample(lines, 12)]) for _ in range(60)] + [" ".join(rng.sample(lines, 13)) for _ in range(60)]
+    texts = [" ".join(["rare one here now", *rng.sample(lines, 12)]) for _ in range(30)] + [" ".join(rng.sample(lines, 13)) for _ in range(30)]
     monkeypatch.setattr(ngram_join, "FEW", 3)
     monkeypatch.setattr(ngram_join, "CROWD", 8)
     monkeypatch.setattr(ngram_join, "DENSE", 2)
-    for num in (30, 60):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(frame(spark, texts), 4, num, 100).collect()}
-        assert got == brute_components(texts, 4, num, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(frame(spark, texts), 4, 50, 100).collect()}
+    assert got == brute_components(texts, 4, 50, 100)
 
 
 def test_ngram_join_of_shared_ids_and_nothing(spark):
@@ -171,17 +172,49 @@ def base_spans(t):
     return sorted(out)
 
 
+def markov_spans(t, base, ratios):
+    """Spans of long tokens apart from base spans whose bigrams look random, character by character."""
+    out = []
+    for m in re.finditer(secret_scan.TOKEN + "{%d,}" % secret_scan.LEAST_TOKEN, t):
+        if all(m.end() <= b[0] or b[2] <= m.start() for b in base):
+            total, last = 0.0, 0
+            for c in m[0]:
+                now = secret_scan.LETTERS.index(c) + 1
+                total, last = total + round(ratios[last * (len(secret_scan.LETTERS) + 1) + now], 6), now
+            if total >= secret_scan.LEAST_RATIO:
+                out.append((m.start(), 3, m.end()))
+    return out
+
+
 def test_secret_scan(spark, corpus):
-    texts = SECRETS + corpus
-    docs = frame(spark, texts)
-    found = secret_scan.scan(docs, secret_scan.train(docs)).collect()
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice(secret_scan.LETTERS) for _ in range(n))
+    texts = SECRETS + corpus + [f"{noise(24)} token={noise(30)}!{noise(40)} {noise(19)} the_ordinary_identifier_of_it {noise(22)}" for _ in range(8)] + ["x" + "secret=abcdefghi ".replace(" ", "") + noise(30)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, whole INT, tokens INT, ratio INT, base INT")
+    ratios = secret_scan.train(docs)
+    found = secret_scan.scan(docs, ratios).collect()
     assert len(found) == len(texts)
     for r in found:
         expected = base_spans(texts[r.doc_id] or "")
         assert [(s.start, s.kind, s.end) for s in r.base] == expected
-        assert set(expected) <= {(s.start, s.kind, s.end) for s in r.spans}
+        assert [(s.start, s.kind, s.end) for s in r.spans] == sorted(expected + markov_spans(texts[r.doc_id] or "", expected, ratios))
+        assert (r.whole, r.tokens, r.ratio) == (1, 2, 3)
     added = [s.value for r in found for s in r.spans if s.kind == 3]
-    assert not any("keitlich" in v for v in added)
+    assert added and not any("keitlich" in v for v in added)
+    assert secret_scan.scan(docs.where("false"), secret_scan.train(docs.where("false"))).count() == 0
+
+
+def test_secret_scan_of_very_long_texts(spark):
+    """One token of megabytes, and very many tokens and spans, take seconds."""
+    rng = random.Random(9)
+    token = "".join(rng.choice(secret_scan.LETTERS) for _ in range(2_000_000))
+    many = " ".join(f"tok_{i:016d}x" if i % 3 else f"key secret={i:012d}" for i in range(100_000))
+    docs = spark.createDataFrame([(0, token), (1, many)], "doc_id BIGINT, text STRING")
+    began = time.time()
+    found = {r.doc_id: r for r in secret_scan.scan(docs, [0.1] * 69 * 69).selectExpr("doc_id", "size(spans) AS n", f"{'spans[0].end'} AS end", "base").collect()}
+    assert time.time() - began < 60
+    assert (found[0].n, found[0].end) == (1, 2_000_000)
+    assert [(s.start, s.kind, s.end) for s in found[1].base] == base_spans(many)
 
 
 def test_piece_codec(spark, corpus):
@@ -238,40 +271,147 @@ def test_leaks_with_edits_are_found(spark):
     assert decontaminate.decontaminate(frame(spark, docs), benchmark).count() == len(docs) - len({d for d, _ in got})
 
 
-def test_mixing_lm(spark, corpus):
-    docs = frame(spark, corpus).withColumn("training", F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
-    got = {r.doc_id: r for r in mixing_lm.score(docs).collect()}
-    training = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(corpus))}
+def scalar_score(texts, training, paths, spelling):
+    """The scores of all texts, token by token and bit by bit, with counts in dictionaries."""
+    hasher, lm = WordHasher(), mixing_lm
+    squeeze = lambda v: ((v * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - lm.CLASS_BITS)
+
+    def tokens(text):
+        words = (text or "").encode().lower().split()
+        hashes = [int(hasher(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) for w in words]
+        before = [lm.START, *hashes]
+        kinds = [(0, 0)] + [(squeeze(w[-1] * 257 + w[max(0, len(w) - 2)]), squeeze(w[0] * 16 + min(len(w), 15))) for w in words]
+        return list(zip([*hashes, lm.END], before, kinds, [*words, b""]))
+
+    rows = [tokens(t) for t in texts]
+    seen = [x for r, t in zip(rows, training) if t for x in r]
+    count, node = collections.Counter(h for h, *_ in seen), collections.Counter()
+    bits = lambda h: [(h >> (63 - d)) & 1 for d in range(lm.DEPTH)]
+    contexts = lambda before, kind, d: [(0,), (1, before)] + ([(2, kind[0]), (3, kind[1])] if d < lm.CLASS_DEPTH else [])
+    for h, before, kind, _ in seen:
+        path = tuple(bits(h))
+        for d in range(lm.DEPTH):
+            for c in contexts(before, kind, d):
+                node[(c, path[: d + 1])] += 1
+    leaf = collections.Counter()
+    for h, n in count.items():
+        leaf[h >> (64 - lm.DEPTH)] += n
+    once, n_all = sum(1 for h, n in count.items() if n == 1 and h != lm.END), sum(count.values())
+    fresh = (once + 0.5) / (n_all + 1)
+
+    def gain(model, evidence, place):
+        mixed = 0.0
+        for k, (same, other) in enumerate(evidence):
+            n = same + other
+            gate = min(lm.GATES - 1, int(math.log2(n + 1)) // 2 + (n > 0))
+            mixed += model["weights"][k][gate] * (math.log(same + lm.PRIOR) - math.log(other + lm.PRIOR))
+        mixed = max(-12.0, min(12.0, mixed))
+        y = (max(-8.0, min(8.0, mixed)) + 8) * (lm.STEPS - 1) / 16
+        left = min(int(y), lm.STEPS - 2)
+        r = model["refined"][place]
+        return math.log10(min(1.0, max(1e-6, 0.5 * (r[left] * (1 - y + left) + r[left + 1] * (y - left)) + 0.5 / (1 + math.exp(-mixed)))))
+
+    def spell(word):
+        total, m = 0.0, 0xFFFFFFFF
+        for i, byte in enumerate([*word, 32]):
+            cells, context = [], 0
+            for j in range(1, max(lm.ORDERS) + 1):
+                context = ((context + (word[i - j] if i >= j else 32) + j) * 0x85EBCA6B) & m
+                context ^= context >> 15
+                cells.append(context)
+            for d in range(8):
+                at = (1 << d) | (byte >> (8 - d))
+                bit = (byte >> (7 - d)) & 1
+                places = [(((c + at * 0x9E3779B1) & m) * 0xC2B2AE35 & m) >> (32 - lm.SPELL_BITS) for c in cells]
+                total += gain(spelling, [(float(spelling["counts"][k, bit, p]), float(spelling["counts"][k, 1 - bit, p])) for k, p in enumerate(places)], d)
+        return total
+
+    out = []
+    for r in rows:
+        total = 0.0
+        for h, before, kind, word in r:
+            if not count[h]:
+                total += math.log10(fresh) + spell(word)
+                continue
+            path = tuple(bits(h))
+            total += math.log10(1 - fresh) + math.log10(count[h] / leaf[h >> (64 - lm.DEPTH)])
+            for d in range(lm.DEPTH):
+                other = (*path[:d], 1 - path[d])
+                total += gain(paths, [(node[(c, path[: d + 1])], node[(c, other)]) for c in contexts(before, kind, d)], d)
+        out.append(total)
+    return out
+
+
+def scored(monkeypatch, docs):
+    """Scores by doc_id, and the two models behind them."""
+    models = {}
+    for name in ("learn_paths", "learn_spelling"):
+        real = getattr(mixing_lm, name)
+        monkeypatch.setattr(mixing_lm, name, lambda *a, real=real, name=name: models.setdefault(name, real(*a)))
+    return {r.doc_id: r for r in mixing_lm.score(docs).collect()}, models["learn_paths"], models["learn_spelling"]
+
+
+def test_mixing_lm(spark, corpus, monkeypatch):
+    texts = [*corpus, *corpus[:3], corpus[0].upper() + " password=Ab9Zz x" + "q7" * 30000]
+    monkeypatch.setattr(mixing_lm, "CHUNK_BYTES", 20000)
+    monkeypatch.setattr(mixing_lm, "BUCKET_BYTES", 9000)
+    docs = frame(spark, texts).withColumn("training", F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+    got, paths, spelling = scored(monkeypatch, docs)
+    training = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
     c = collections.Counter()
-    for i, t in enumerate(corpus):
+    for i, t in enumerate(texts):
         if training[i]:
             c.update([*(t or "").encode().lower().split(), None])
     n, v = sum(c.values()), len(c)
-    for i, t in enumerate(corpus):
+    score = scalar_score(texts, training, paths, spelling)
+    for i, t in enumerate(texts):
         w = [*(t or "").encode().lower().split(), None]
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
         assert math.isclose(got[i].base_score, base, rel_tol=1e-9, abs_tol=1e-9)
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert got[i].score < 0
+        assert math.isclose(got[i].score, score[i], rel_tol=1e-4, abs_tol=1e-4)
 
 
 def test_lm_is_a_probability():
-    """The gains of the two branches of a node sum to one; codes are prefix-free."""
-    length, _, _ = mixing_lm.code_paths(np.arange(257))
-    assert math.isclose(sum(0.5 ** int(n) for n in length), 1.0)
+    """The two branches of a node share one; the bits of spelled words are those of their bytes."""
+    rng = np.random.default_rng(1)
+    weights, hits = mixing_lm.start_weights(2), np.zeros((3, mixing_lm.STEPS, 2))
+    same, other = rng.integers(0, 50, (2, 2, 5000))
+    place = rng.integers(0, 3, 5000)
+    for turn in (False, True):
+        evidence = [mixing_lm._evidence(*((b, a) if turn else (a, b))) for a, b in zip(same, other)]
+        if not turn:
+            mixing_lm.learn_online(weights, hits, [x for x, _ in evidence], [g for _, g in evidence], place, np.ones(5000))
+            first = evidence
+    p, q = (10 ** mixing_lm.gains(weights, mixing_lm.refined(hits), [x for x, _ in e], [g for _, g in e], place) for e in (first, evidence))
+    assert np.allclose(p + q, 1)
+    bit, _ = mixing_lm.spelling_branches(np.frombuffer(b"ab z ", np.uint8))
+    assert bytes(np.packbits(bit)) == b"ab z "
 
 
 def test_lm_without_training(spark):
     docs = frame(spark, ["some text", None]).withColumn("training", F.lit(False))
     got = mixing_lm.score(docs).collect()
-    assert len(got) == 2 and all(r.train_tokens == 0 and r.n_known == 0 for r in got)
-
-
-def test_lm_beats_uniform_on_held_out(spark, documents):
-    docs = documents.withColumn("training", F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
-    held = mixing_lm.score(docs).where("NOT training").agg(F.sum("score").alias("s")).first().s
-    size = docs.where("NOT training").agg(F.sum(F.octet_length("text"))).first()[0]
-    assert -held / math.log10(2) / size < 4.5
+    assert len(got) == 2 and all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in got)
+    assert mixing_lm.score(docs.where("false")).count() == 0
+
+
+def test_lm_mixes_better_than_it_predicts(spark, sf_dir, monkeypatch):
+    """On held-out texts the mixture is ahead of each predictor alone and of their plain average."""
+    docs = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet").withColumn("training", F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+    got, _, _ = scored(monkeypatch, docs)
+    held = lambda rows: sum(r.score for r in rows.values() if not r.training)
+    mixed = held(got)
+    learn = mixing_lm._merge_learned
+    for weights in ([1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1], [0.25] * 4):
+
+        def plain(df, shape, weights=weights):
+            found = learn(df, shape)
+            even = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, mixing_lm.STEPS))), (shape[1], 1))
+            return (np.repeat(np.array(weights, float)[:, None], mixing_lm.GATES, 1), even) if shape[0] == 4 else found
+
+        monkeypatch.setattr(mixing_lm, "_merge_learned", plain)
+        assert held({r.doc_id: r for r in mixing_lm.score(docs).collect()}) < mixed
 
 
 def test_ordinal_quality(spark, documents, sf_dir):
