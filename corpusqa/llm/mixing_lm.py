@@ -4,7 +4,8 @@ A text is a row of words (A-Z lower-cased) and an end.  A word that training tex
 bits of its hash, from the root of a binary tree down to one of 2**DEPTH leaves; the leaf's words share
 its rest by their counts.  At each node several predictors say how likely each branch is, each from
 the branches that training words took there in its context: none, the word before (exact, a table that
-grows with the corpus), and hashes of that word's ending and of its beginning and length.  Their
+grows with the corpus), and hashes of that word's ending and of its beginning and length.  A path's
+log10 probability is told to within 0.002.  Their
 log-odds, weighted by a gate that the predictor's evidence opens, add up to the mixed log-odds, and a
 table of the depth and the mixed value refines them.  A new word is spelled, bit by bit, by predictors
 over hashed contexts of its last bytes, mixed in the same way and learned from the words that training
@@ -36,10 +37,12 @@ from pyspark.sql import functions as F
 from .common import WordHasher, cut, lower_table, mix, text_buffer
 
 #: Depth of the tree of words; bits of a hashed class of the word before, and depth to which it predicts.
-DEPTH, CLASS_BITS, CLASS_DEPTH = 18, 9, 9
+DEPTH, CLASS_BITS, CLASS_DEPTH = 16, 8, 9
 #: Orders of the spelling predictors and bits of their cells.
 ORDERS, SPELL_BITS = (1, 2, 3), 18
 GATES, STEPS = 8, 33
+#: Steps in which a path's log10 probability is sent.
+FINE = 256
 #: Added to either count of a branch.
 PRIOR = 0.02
 RATE, RUN = 0.02, 1 << 14
@@ -49,13 +52,18 @@ END, START = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 SPACE = 32
 
 
-def _gate(n: np.ndarray) -> np.ndarray:
-    return np.minimum(GATES - 1, np.log2(n + 1).astype(np.int8) // 2 + (n > 0)).astype(np.int8)
+_SMALL = np.arange(1 << 16)
+_LOGS = np.log(_SMALL + PRIOR).astype(np.float32)
+_LEVELS = np.minimum(GATES - 1, np.log2(_SMALL + 1).astype(np.int8) // 2 + (_SMALL > 0)).astype(np.int8)
 
 
 def _evidence(same: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of the branch that was taken, and the gate."""
-    return (np.log(same + PRIOR) - np.log(other + PRIOR)).astype(np.float32), _gate(same + other)
+    """Log-odds of the branch that was taken, and the gate; counts are whole numbers."""
+    total = same + other
+    if len(total) and total.max() >= len(_SMALL):
+        return (np.log(same + PRIOR) - np.log(other + PRIOR)).astype(np.float32), _LEVELS[np.minimum(total, len(_SMALL) - 1).astype(np.int64)]
+    same, other, total = same.astype(np.int64), other.astype(np.int64), total.astype(np.int64)
+    return _LOGS[same] - _LOGS[other], _LEVELS[total]
 
 
 def _steps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +84,7 @@ def start_weights(predictors: int) -> np.ndarray:
 
 
 def learn_online(weights: np.ndarray, hits: np.ndarray, x: list[np.ndarray], gates: list[np.ndarray], place: np.ndarray, times: np.ndarray) -> None:
-    """Learn ``weights`` and count ``hits`` [place, step, (all, branch taken)] from branches, run by run.
+    """Learn ``weights`` and count ``hits`` [place, step] from branches, run by run.
 
     Each run is predicted before it is learned.
     """
@@ -87,19 +95,17 @@ def learn_online(weights: np.ndarray, hits: np.ndarray, x: list[np.ndarray], gat
         for k, (v, g) in enumerate(zip(x, gates)):
             weights[k] += RATE * np.bincount(g[s], error * v[s], GATES) / np.maximum(1, np.bincount(g[s], times[s], GATES)) ** 0.75
         weights[:, 0] = 0
-        for sign in (1, -1):  # the branch taken, and the other one
-            left, share = _steps(sign * mixed)
-            for side, part in ((left, (1 - share) * times[s]), (left + 1, share * times[s])):
-                n = np.bincount(place[s] * STEPS + side, part, hits.shape[0] * STEPS).reshape(-1, STEPS)
-                hits[:, :, 0] += n
-                if sign == 1:
-                    hits[:, :, 1] += n
+        step = np.rint((np.clip(mixed, -8, 8) + 8) * ((STEPS - 1) / 16)).astype(np.int64)
+        hits += np.bincount(place[s] * STEPS + step, times[s], hits.size).reshape(hits.shape)
 
 
 def refined(hits: np.ndarray) -> np.ndarray:
-    """The refinement table [place, step]: the share of hits, drawn to the mixed probability."""
+    """The refinement table [place, step]: the share of hits, drawn to the mixed probability.
+
+    A branch taken at some log-odds is one not taken at their negative.
+    """
     even = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
-    return (hits[:, :, 1] + 40 * even) / (hits[:, :, 0] + 40)
+    return (hits + 40 * even) / (hits + hits[:, ::-1] + 40)
 
 
 def gains(weights: np.ndarray, table: np.ndarray, x: list[np.ndarray], gates: list[np.ndarray], place: np.ndarray) -> np.ndarray:
@@ -116,10 +122,10 @@ def _blob(*arrays: np.ndarray) -> list[bytes]:
 
 def _merge_learned(df: DataFrame, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """The weights and the refinement table that buckets (weights, hits, times) have learned."""
-    weights, hits, total = np.zeros((shape[0], GATES)), np.zeros((shape[1], STEPS, 2)), 0.0
+    weights, hits, total = np.zeros((shape[0], GATES)), np.zeros((shape[1], STEPS)), 0.0
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(shape[0] * GATES), np.zeros(shape[1] * STEPS * 2), 0.0]
+        sums = [np.zeros(shape[0] * GATES), np.zeros(shape[1] * STEPS), 0.0]
         for batch in batches:
             for w, h, t in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
                 sums = [sums[0] + t * np.frombuffer(w.as_buffer()), sums[1] + np.frombuffer(h.as_buffer()), sums[2] + t]
@@ -227,7 +233,7 @@ def learn_spelling(words: DataFrame) -> dict:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.column(0):
-                weights, hits, total = start_weights(len(ORDERS)), np.zeros((8, STEPS, 2)), 0
+                weights, hits, total = start_weights(len(ORDERS)), np.zeros((8, STEPS)), 0
                 for piece in _word_pieces(np.frombuffer(b.as_buffer(), np.uint8)):
                     bit, cells = spelling_branches(piece)
                     learn_online(weights, hits, *_spelling_evidence(held.value, bit, cells, 1), np.tile(np.arange(8), len(piece)), np.ones(len(bit)))
@@ -250,19 +256,23 @@ def tree_counts(leaves: np.ndarray) -> list[np.ndarray]:
 
 
 def class_cell(classes: np.ndarray, depth: int, word: np.ndarray) -> np.ndarray:
-    """Cell of a class of the word before at the node of a given depth on a word's (32 bits) path."""
-    return (classes.astype(np.int64) << CLASS_DEPTH) | (1 << depth) | (word >> np.uint32(31 - depth) >> np.uint32(1)).astype(np.int64)
+    """Cell of a class of the word before at the node of a given depth on the path to a leaf."""
+    return (classes.astype(np.int64) << CLASS_DEPTH) | (1 << depth) | (word >> (DEPTH - depth))
 
 
 def _branch(word: np.ndarray, depth: int) -> np.ndarray:
-    return ((word >> np.uint32(31 - depth)) & np.uint32(1)).astype(np.int64)
+    return (word >> (DEPTH - 1 - depth)) & 1
+
+
+def _leaf(pairs: np.ndarray) -> np.ndarray:
+    return (pairs & np.uint64((1 << DEPTH) - 1)).astype(np.int64)
 
 
 def _same_before(pairs: np.ndarray, times: np.ndarray) -> np.ndarray:
     """[depth, pair]: training words on the pair's path at each depth, after the same word; pairs ascend."""
     out = np.empty((DEPTH + 1, len(pairs)), np.float32)
     for depth in range(DEPTH + 1):
-        node = pairs >> np.uint64(32 - depth)
+        node = pairs >> np.uint64(DEPTH - depth)
         head = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         out[depth] = np.repeat(np.add.reduceat(times, head), np.diff(np.append(head, len(pairs))))
     return out
@@ -270,25 +280,26 @@ def _same_before(pairs: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 def path_evidence(model: dict, pairs: np.ndarray, mine: np.ndarray, classes: np.ndarray, left_out: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Log-odds and gates of each predictor for the branches [pair, depth] (flat) of distinct pairs."""
-    word = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    word = _leaf(pairs)
     wide = (len(pairs), DEPTH)
     x, gates = [np.zeros(wide, np.float32) for _ in range(4)], [np.zeros(wide, np.int8) for _ in range(4)]
     for depth in range(DEPTH):
-        last, here = (model["tree"][d][(word >> np.uint32(31 - d) >> np.uint32(1)).astype(np.int64)] for d in (depth + 1, depth))
-        counts = [(last, here - last), (mine[depth + 1], mine[depth] - mine[depth + 1])]
+        bit = _branch(word, depth)
+        node = (1 << depth) | (word >> (DEPTH - depth))
+        tables = model["taken" if left_out else "odds"]
+        counts = [None, _evidence(np.maximum(mine[depth + 1] - left_out, 0), mine[depth] - mine[depth + 1])]
+        counts[0] = tuple(t[bit, node] for t in tables[0])
         if depth < CLASS_DEPTH:
-            bit = _branch(word, depth)
-            for k in range(2):
-                c = class_cell((classes >> np.uint32(16 * k)) & np.uint32(0xFFFF), depth, word)
-                counts.append((model["classes"][k, bit, c], model["classes"][k, 1 - bit, c]))
-        for k, (same, other) in enumerate(counts):
-            x[k][:, depth], gates[k][:, depth] = _evidence(np.maximum(same - left_out, 0), other)
+            counts += [tuple(t[k, bit, class_cell((classes >> np.uint32(16 * k)) & np.uint32(0xFFFF), depth, word)] for t in tables[1]) for k in range(2)]
+        for k, (v, g) in enumerate(counts):
+            x[k][:, depth], gates[k][:, depth] = v, g
     return [v.ravel() for v in x], [g.ravel() for g in gates]
 
 
 def _parts(pairs: np.ndarray, times: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[slice, np.ndarray]]:
     """Runs of pairs with their counts ``_same_before``; counts are taken over whole lists of a word before."""
-    head = np.append(np.flatnonzero(np.concatenate(([True], (pairs[1:] >> np.uint64(32)) != (pairs[:-1] >> np.uint64(32))))), len(pairs)) if len(pairs) else np.zeros(1, np.int64)
+    before = pairs >> np.uint64(DEPTH)
+    head = np.append(np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))), len(pairs)) if len(pairs) else np.zeros(1, np.int64)
     at = 0
     while at < len(head) - 1:
         end = max(at + 1, int(np.searchsorted(head, head[at] + most, "right")) - 1)
@@ -308,22 +319,56 @@ def path_scores(model: dict, pairs: np.ndarray, times: np.ndarray, classes: np.n
     return out
 
 
-def _unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row[0].as_buffer(), np.uint64), np.frombuffer(row[1].as_buffer(), np.int64).astype(np.float64), np.frombuffer(row[2].as_buffer(), np.uint32)
+def pack(pairs: np.ndarray, times: np.ndarray, classes: np.ndarray) -> list[bytes]:
+    """Ascending pairs (the word before and a leaf), their times and classes: before, kinds and sizes of lists, leaves, times.
+
+    Times from 255 on stand apart, with their places.
+    """
+    before = pairs >> np.uint64(DEPTH)
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(pairs)), bool), before[1:] != before[:-1])))
+    size, many = np.diff(np.append(head, len(pairs))), np.flatnonzero(times >= 255)
+    lists = before[head].astype(np.uint32).tobytes() + classes[head].astype(np.uint32).tobytes() + size.astype(np.uint32).tobytes()
+    return [lists, _leaf(pairs).astype(np.uint16).tobytes(), np.minimum(times, 255).astype(np.uint8).tobytes(), many.astype(np.int64).tobytes() + times[many].astype(np.int64).tobytes()]
+
+
+def unpack(lists: bytes, leaves: bytes, times: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, times, classes) of ``pack``."""
+    before, kinds, size = np.frombuffer(lists, np.uint32).reshape(3, -1)
+    pairs = (np.repeat(before, size).astype(np.uint64) << np.uint64(DEPTH)) | np.frombuffer(leaves, np.uint16)
+    place, value = np.frombuffer(many, np.int64).reshape(2, -1)
+    count = np.frombuffer(times, np.uint8).astype(np.int64)
+    count[place] = value
+    return pairs, count, np.repeat(kinds, size)
+
+
+def _odds(tree: list[np.ndarray], classes: np.ndarray, left_out: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Log-odds and gates [bit, node] of the tree and [k, bit, cell] of the classes, ``left_out`` less of the branch taken."""
+    nodes = np.zeros((2, 1 << DEPTH))
+    for depth in range(DEPTH):
+        nodes[:, 1 << depth : 2 << depth] = tree[depth + 1].reshape(-1, 2).T
+    both = []
+    for counts in (nodes, classes):
+        same, other = counts.reshape(-1, 2, counts.shape[-1]), counts.reshape(-1, 2, counts.shape[-1])[:, ::-1]
+        v, g = _evidence(np.maximum(same - left_out, 0).ravel(), np.ascontiguousarray(other).ravel())
+        both.append((v.reshape(counts.shape), g.reshape(counts.shape)))
+    return tuple(both)
+
+
+PACKED = ("lists", "leaves", "times", "many")
 
 
 def learn_paths(merged: DataFrame, leaves: np.ndarray) -> dict:
     """The fixed-size part of the model of paths: node counts, class tables, weights and refinement."""
     spark = merged.sparkSession
     size = (2, 2, 1 << (CLASS_BITS + CLASS_DEPTH))
-    blobs = merged.select("pairs", "times", "classes")
+    blobs = merged.select(*PACKED)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size)
         for batch in batches:
             for row in zip(*batch.columns):
-                pairs, times, classes = _unpacked(row)
-                word = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                pairs, times, classes = unpack(*(c.as_buffer() for c in row))
+                word = _leaf(pairs)
                 for k in range(2):
                     mine = (classes >> np.uint32(16 * k)) & np.uint32(0xFFFF)
                     for depth in range(CLASS_DEPTH):
@@ -341,19 +386,19 @@ def learn_paths(merged: DataFrame, leaves: np.ndarray) -> dict:
     tables = np.zeros(size, np.float32)
     for k, b in blobs.mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(add, "k int, counts binary").collect():  # the fixed-size tables
         tables[k] = np.frombuffer(b, np.float32).reshape(size[1:])
-    model = {"tree": tree_counts(leaves.astype(np.float64)), "classes": tables}
-    held = spark.sparkContext.broadcast(model)
+    tree = tree_counts(leaves.astype(np.float64))
+    model = {"leaves": leaves, "odds": _odds(tree, tables, 0)}
+    held = spark.sparkContext.broadcast(model | {"taken": _odds(tree, tables, 1)})
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in zip(*batch.columns):
-                pairs, times, classes = _unpacked(row)
-                weights, hits = start_weights(4), np.zeros((DEPTH, STEPS, 2))
+                pairs, times, classes = unpack(*(c.as_buffer() for c in row))
+                weights, hits = start_weights(4), np.zeros((DEPTH, STEPS))
                 for s, mine in _parts(pairs, times):
                     x, gates = path_evidence(held.value, pairs[s], mine, classes[s], 1)
                     # A word that only this place has is spelled, not coded by its path.
-                    word = (pairs[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    known = (times[s] > 0) & (held.value["tree"][DEPTH][(word >> np.uint32(32 - DEPTH)).astype(np.int64)] > 1)
+                    known = (times[s] > 0) & (held.value["leaves"][_leaf(pairs[s])] > 1)
                     keep = np.repeat(known, DEPTH)
                     learn_online(weights, hits, [v[keep] for v in x], [g[keep] for g in gates], np.tile(np.arange(DEPTH), int(known.sum())), np.repeat(times[s][known], DEPTH))
                 yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([hits.tobytes()]), pa.array([float(times.sum())])], names=["weights", "hits", "times"])
@@ -384,35 +429,40 @@ class Chunk:
         self.text, self.starts, self.ends, self.edge = join(texts, np.uint8), join(starts, np.int64), join(ends, np.int64), np.concatenate(edges)
         h = join(hashes, np.uint64)
         # Words, ascending, so that their buckets are ranges of hashes.
-        self.words, self.first, self.word_of = np.unique(h, return_index=True, return_inverse=True)
+        self.words, self.word_of = np.unique(h, return_inverse=True)
+        self.first = np.zeros(len(self.words), np.int64)
+        self.first[self.word_of[::-1]] = np.arange(len(h))[::-1]
         self.word_bucket = self.bucket_of(self.words, n_words)
         # Tokens: the words of each row and its end.
         rows = len(self.edge) - 1
         self.token_edge = self.edge + np.arange(rows + 1)
-        is_end = np.zeros(len(h) + rows, bool)
-        is_end[self.token_edge[1:] - 1] = True
-        token = np.full(len(is_end), END, np.uint64)
-        token[~is_end] = h
-        before = np.concatenate((np.full(1, START, np.uint64), token[:-1]))
-        before[self.token_edge[:-1][self.token_edge[:-1] < len(token)]] = START
-        self.is_end, self.token = is_end, token
-        classes = np.zeros(len(token), np.uint32)
+        self.is_end = np.zeros(len(h) + rows, bool)
+        self.is_end[self.token_edge[1:] - 1] = True
+        self.leaf = np.full(len(self.is_end), END >> (64 - DEPTH), np.int64)
+        self.leaf[~self.is_end] = (h >> np.uint64(64 - DEPTH)).astype(np.int64)
+        # What stands before a token: a distinct word, or the start; ordered by bucket.
+        names = np.append(self.words, np.uint64(START))
+        bucket, low = names % np.uint64(n_pairs), (names // np.uint64(n_pairs)) & np.uint64(0xFFFFFFFF)
+        order = np.lexsort((low, bucket))
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        before = np.full(len(self.is_end), rank[-1], np.int64)
+        inside = np.flatnonzero(~self.is_end)
+        after = inside + 1
+        before[after[after < len(before)]] = rank[self.word_of[after < len(before)]]
+        before[self.token_edge[:-1]] = rank[-1]
+        kinds = np.zeros(len(names), np.uint32)
         if len(h):
-            last, length = self.text[self.ends - 1].astype(np.uint32), self.ends - self.starts
-            ending = last * np.uint32(257) + self.text[np.maximum(self.ends - 2, self.starts)]
-            opening = self.text[self.starts].astype(np.uint32) * np.uint32(16) + np.minimum(length, 15).astype(np.uint32)
+            start, end = self.starts[self.first], self.ends[self.first]
+            last, length = self.text[end - 1].astype(np.uint32), end - start
+            ending = last * np.uint32(257) + self.text[np.maximum(end - 2, start)]
+            opening = self.text[start].astype(np.uint32) * np.uint32(16) + np.minimum(length, 15).astype(np.uint32)
             squeeze = lambda v: (v * np.uint32(0x9E3779B1)) >> np.uint32(32 - CLASS_BITS)
-            own = np.zeros(len(token), np.uint32)
-            own[~is_end] = squeeze(ending) | (squeeze(opening) << np.uint32(16))
-            classes[1:] = own[:-1]
-            classes[before == np.uint64(START)] = 0
-        _, first, self.pair_of = np.unique(mix(before) + token, return_index=True, return_inverse=True)
-        bucket = (before[first] % np.uint64(n_pairs)).astype(np.int64)
-        key = ((before[first] // np.uint64(n_pairs)) << np.uint64(32)) | (token[first] >> np.uint64(32))
-        order = np.lexsort((key, bucket))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.pair_of, self.pairs, self.pair_bucket, self.classes = back[self.pair_of], key[order], bucket[order], classes[first][order]
+            kinds[:-1] = squeeze(ending) | (squeeze(opening) << np.uint32(16))
+        found, self.pair_of = np.unique((before << DEPTH) | self.leaf, return_inverse=True)
+        of = order[found >> DEPTH]
+        self.pairs = (low[of] << np.uint64(DEPTH)) | (found & ((1 << DEPTH) - 1)).astype(np.uint64)
+        self.pair_bucket, self.classes = bucket[of].astype(np.int64), kinds[of]
 
     @staticmethod
     def bucket_of(words: np.ndarray, n: int) -> np.ndarray:
@@ -443,16 +493,17 @@ def score(docs: DataFrame) -> DataFrame:
         rows = []
         for b, s in c.cuts(c.word_bucket):
             once = np.flatnonzero(words[s] == 1) + s.start
-            rows.append((0, b, *_blob(c.words[s], words[s].astype(np.int32), c.words[once]), spelled(c.text, c.starts[c.first[once]], c.ends[c.first[once]]).tobytes()))
+            rare = spelled(c.text, c.starts[c.first[once]], c.ends[c.first[once]])
+            rows.append((0, b, *_blob(c.words[s], rare, words[s].astype(np.int32)), b""))
         for b, s in c.cuts(c.pair_bucket):
-            head = np.flatnonzero(np.concatenate(([True], (c.pairs[s][1:] >> np.uint64(32)) != (c.pairs[s][:-1] >> np.uint64(32)))))
-            before = np.concatenate(((c.pairs[s][head] >> np.uint64(32)).astype(np.uint32), c.classes[s][head], np.diff(np.append(head, s.stop - s.start)).astype(np.uint32)))
-            rows.append((1, b, *_blob((c.pairs[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32), pairs[s].astype(np.int32), before), b""))
+            rows.append((1, b, *pack(c.pairs[s], pairs[s], c.classes[s])))
         columns = list(zip(*rows)) or [()] * 6
-        types = {"kind": pa.int32(), "bucket": pa.int32(), "names": pa.binary(), "times": pa.binary(), "more": pa.binary(), "spelled": pa.binary()}
+        types = {"kind": pa.int32(), "bucket": pa.int32()} | {k: pa.binary() for k in PACKED}
         return pa.table({k: pa.array(v, t) for (k, t), v in zip(types.items(), columns)} | {"chunk": pa.array([key[0].as_py()] * len(rows), pa.int32())})
 
-    asked = cut(dealt.groupBy("chunk").applyInArrow(ask, "kind int, bucket int, names binary, times binary, more binary, spelled binary, chunk int"))
+    asked = cut(dealt.groupBy("chunk").applyInArrow(ask, "kind int, bucket int, lists binary, leaves binary, times binary, many binary, chunk int"))
+    words_asked = asked.where("kind = 0").select("bucket", "chunk", F.col("lists").alias("names"), F.col("leaves").alias("spelled"), "times")
+    pairs_asked = asked.where("kind = 1").select("bucket", "chunk", *PACKED)
 
     def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk", kind="stable")
@@ -463,8 +514,8 @@ def score(docs: DataFrame) -> DataFrame:
         out = pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "counts": [c.astype(np.int64).tobytes() for c in found], "distinct": np.int64(0), "tokens": np.int64(0), "once": np.int64(0), "leaf": np.int64(0), "leaves": b"", "spelled": b""})
         leaf = (names >> np.uint64(64 - DEPTH)).astype(np.int64)
         rare = []
-        for h, b in zip(pdf["more"], pdf["spelled"]):  # the words that training texts have once
-            keep = total[np.searchsorted(names, np.frombuffer(h, np.uint64))] == 1
+        for c, n, b in zip(found, pdf["times"], pdf["spelled"]):  # the words that training texts have once
+            keep = c[np.frombuffer(n, np.int32) == 1] == 1
             data = np.frombuffer(b, np.uint8)
             edge = np.flatnonzero(data == SPACE) + 1
             rare.append(data[np.repeat(keep, np.diff(edge, prepend=0))])
@@ -474,7 +525,7 @@ def score(docs: DataFrame) -> DataFrame:
         out.at[first, "spelled"] = np.concatenate(rare).tobytes()
         return out
 
-    answers = cut(asked.where("kind = 0").groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, counts binary, distinct long, tokens long, once long, leaf long, leaves binary, spelled binary"))
+    answers = cut(words_asked.groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, counts binary, distinct long, tokens long, once long, leaf long, leaves binary, spelled binary"))
     distinct, tokens, once = answers.agg(F.sum("distinct"), F.sum("tokens"), F.sum("once")).first()
     n_all, n_distinct = (tokens or 0) + n_training, (distinct or 0) + (1 if n_training else 0)
     leaves = np.zeros(1 << DEPTH, np.int64)
@@ -486,31 +537,24 @@ def score(docs: DataFrame) -> DataFrame:
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk", kind="stable")
-        pairs, classes = [], []
-        for names, more in zip(pdf["names"], pdf["more"]):
-            before, kind, times = np.frombuffer(more, np.uint32).reshape(3, -1)
-            pairs.append((np.repeat(before, times).astype(np.uint64) << np.uint64(32)) | np.frombuffer(names, np.uint32))
-            classes.append(np.repeat(kind, times))
-        every, first, place = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
-        total = np.bincount(place, np.concatenate([np.frombuffer(b, np.int32) for b in pdf["times"]]), minlength=len(every)).astype(np.int64)
-        return pd.DataFrame({"bucket": [key[0]], "pairs": [every.tobytes()], "times": [total.tobytes()], "classes": [np.concatenate(classes)[first].tobytes()]})
-
-    merged = cut(asked.where("kind = 1").groupBy("bucket").applyInPandas(merge, "bucket int, pairs binary, times binary, classes binary"))
+        parts = [unpack(*row) for row in zip(*(pdf[k] for k in PACKED))]
+        every, first, place = np.unique(np.concatenate([p for p, _, _ in parts]), return_index=True, return_inverse=True)
+        total = np.bincount(place, np.concatenate([t for _, t, _ in parts]), minlength=len(every)).astype(np.int64)
+        packed = pack(every, total, np.concatenate([c for _, _, c in parts])[first])
+        return pd.DataFrame({"bucket": [key[0]]} | {k: [v] for k, v in zip(PACKED, packed)})
+
+    merged = cut(pairs_asked.groupBy("bucket").applyInPandas(merge, "bucket int, lists binary, leaves binary, times binary, many binary"))
     paths = learn_paths(merged, leaves)
     spelling = learn_spelling(answers.where("octet_length(spelled) > 0").select("spelled"))
     held_paths, held = spark.sparkContext.broadcast(paths), spark.sparkContext.broadcast((spelling, leaves))
 
     def reply(key: tuple, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        pairs, times, classes = (np.frombuffer(known[c].iloc[0], t) for c, t in (("pairs", np.uint64), ("times", np.int64), ("classes", np.uint32)))
-        value = path_scores(held_paths.value, pairs, times.astype(np.float64), classes)
-        out = []
-        for names, more in zip(pdf["names"], pdf["more"]):
-            before, _, n = np.frombuffer(more, np.uint32).reshape(3, -1)
-            mine = (np.repeat(before, n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(names, np.uint32)
-            out.append(value[np.searchsorted(pairs, mine)].tobytes())
+        pairs, times, classes = unpack(*(known[k].iloc[0] for k in PACKED))
+        value = np.rint(FINE * path_scores(held_paths.value, pairs, times, classes)).astype(np.int16)
+        out = [value[np.searchsorted(pairs, unpack(lists, leaf, bytes(len(leaf) // 2), b"")[0])].tobytes() for lists, leaf in zip(pdf["lists"], pdf["leaves"])]
         return pd.DataFrame({"chunk": pdf["chunk"], "kind": 1, "bucket": pdf["bucket"], "values": out})
 
-    gained = asked.where("kind = 1").select("bucket", "chunk", "names", "more").groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInPandas(reply, "chunk int, kind int, bucket int, values binary")
+    gained = pairs_asked.select("bucket", "chunk", "lists", "leaves").groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInPandas(reply, "chunk int, kind int, bucket int, values binary")
     replies = gained.unionByName(answers.select("chunk", F.lit(0).alias("kind"), "bucket", F.col("counts").alias("values")))
 
     def finish(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -518,23 +562,23 @@ def score(docs: DataFrame) -> DataFrame:
         c = Chunk(table, n_buckets, n_buckets)
         parts = sorted(zip(*(replies.column(k).to_pylist() for k in ("kind", "bucket", "values"))))
         counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(v, np.int64) for kind, _, v in parts if kind == 0)])
-        paths = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(v, np.float32) for kind, _, v in parts if kind == 1)])
+        paths = np.concatenate([np.zeros(0, np.int16), *(np.frombuffer(v, np.int16) for kind, _, v in parts if kind == 1)]) / FINE
         n = counts[c.word_of]
         total = lambda v, edge: np.diff(np.concatenate(([0.0], np.cumsum(v)))[edge])
         n_tokens = np.diff(c.token_edge)
         base = total(np.log10(n + 1.0), c.edge) + math.log10(n_training + 1) - n_tokens * math.log10(n_all + n_distinct + 1)
-        of_token = np.full(len(c.token), n_training, np.int64)
+        of_token = np.full(len(c.leaf), n_training, np.int64)
         of_token[~c.is_end] = n
         known = of_token > 0
         new = np.flatnonzero(counts == 0)
         cost = np.zeros(len(counts))
         cost[new] = np.concatenate([np.zeros(0), *(spelling_scores(spelling, p) for p in _word_pieces(spelled(c.text, c.starts[c.first[new]], c.ends[c.first[new]])))])
-        value = np.zeros(len(c.token))
+        value = np.zeros(len(c.leaf))
         value[~c.is_end] = cost[c.word_of]
         if not n_training:
             value[c.is_end] = spelling_scores(spelling, np.full(1, SPACE, np.uint8))[0]
         at = np.flatnonzero(known)
-        value[at] = paths[c.pair_of[at]] + np.log10(of_token[at] / leaves[(c.token[at] >> np.uint64(64 - DEPTH)).astype(np.int64)])
+        value[at] = paths[c.pair_of[at]] + np.log10(of_token[at] / leaves[c.leaf[at]])
         value += np.where(known, math.log10(1 - fresh), math.log10(fresh))
         mixed = total(value, c.token_edge)
         size_of = np.array([len((t or "").encode()) for t in table.column("text").to_pylist()], np.int64)
