@@ -51,7 +51,7 @@ def has_own_attribution(para: Column, closer: str = "”") -> Column:
 
 def is_scene_shift(para: Column, pattern: str, most: int = 16) -> Column:
     """A short paragraph that begins with a time marker."""
-    return (F.length(para) <= most) & para.rlike(f"^(?:{pattern})")
+    return (F.length(F.regexp_replace(para, SPACE, "")) <= most) & para.rlike(f"^(?:{pattern})")
 
 
 def occurrences(text: Column, term: Column) -> Column:

@@ -22,10 +22,12 @@ def mentions(sections: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def mentions_by_prefix(sections: DataFrame, roster: DataFrame, k: int = 4) -> DataFrame:
-    """As ``mentions`` for a roster too large to broadcast: sections and names meet in k-character prefixes."""
-    names = roster.select("name", "aliases", "neg", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases"))).alias("form")).where(F.length("form") >= k)
-    names = names.withColumn("g", F.substring("form", 1, k))
-    grams = sections.where(F.length("text") >= k).select(*KEY, F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(text) - {k} + 1), i -> substring(text, i, {k}))"))).alias("g"))
+    """As ``mentions`` for a roster too large to broadcast: sections and names meet in prefixes of k characters, shorter forms whole."""
+    forms = roster.select("name", "aliases", "neg", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases"))).alias("form")).where("form <> ''")
+    names = forms.withColumn("g", F.substring("form", 1, k))
+    sizes = [r[0] for r in names.select(F.length("g")).distinct().collect()] or [k]  # numbers from 1 to k
+    each = F.expr("array_distinct(flatten(array(" + ", ".join(f"if(size(cs) < {n}, cast(array() AS array<string>), transform(sequence(1, greatest(1, size(cs) - {n} + 1)), i -> array_join(slice(cs, i, {n}), '')))" for n in sorted(sizes)) + ")))")
+    grams = sections.where(F.length("text") > 0).select(*KEY, F.split("text", "").alias("cs")).select(*KEY, F.explode(each).alias("g"))
     pairs = grams.join(names, "g").select(*KEY, "name", "aliases", "neg").distinct()
     hit = "(contains(l, name) OR exists(aliases, a -> contains(l, a))) AND NOT exists(neg, x -> contains(l, x))"
     n = F.expr(f"cast(size(filter(split(text, '\\n'), l -> {hit})) AS bigint)")

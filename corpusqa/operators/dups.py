@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusqa.schemas import CJK, LangPack
+
 KEY = ["corpus", "seq"]
 
 
@@ -19,19 +21,19 @@ def windows(sections: DataFrame, width: int, skip: str | None = None) -> DataFra
     return rows.where(~F.col("gram").rlike(skip)) if skip else rows
 
 
-def section_repeats(sections: DataFrame, width: int = 12, skip: str | None = r"\p{Punct}", strip: str | None = None, apart: bool = False) -> DataFrame:
+def section_repeats(sections: DataFrame, width: int = 12, skip: str | None = None, strip: str | None = None, apart: bool = False) -> DataFrame:
     """(corpus, seq, gram, n) of windows that a section has twice or more.
 
-    Windows are counted by hash first; only those of repeated hashes are counted by text.
-    ``strip`` deletes characters beforehand; ``apart`` asks for two places that don't overlap.
+    Hashes of windows are sorted within the section; only windows next to one of equal hash are taken
+    out and counted by text.  ``strip`` deletes characters beforehand; ``skip`` leaves windows out that match;
+    ``apart`` asks for two places that don't overlap.
     """
     s = sections.withColumn("text", F.regexp_replace("text", strip, "")) if strip else sections
-    hashed = s.where(F.length("text") >= width).select(*KEY, F.split("text", "").alias("cs"))
-    hashes = F.expr(f"transform(sequence(1, size(cs) - {width} + 1), i -> xxhash64(array_join(slice(cs, i, {width}), '')))")
-    twice = hashed.select(*KEY, F.explode(hashes).alias("h")).groupBy(*KEY, "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").groupBy(*KEY).agg(F.collect_set("h").alias("hs"))
-    few = s.join(twice, KEY).where(F.length("text") >= width).select(*KEY, F.split("text", "").alias("cs"), "hs")
-    again = F.expr(f"filter(transform(sequence(1, size(cs) - {width} + 1), i -> struct(i AS pos, array_join(slice(cs, i, {width}), '') AS gram)), g -> array_contains(hs, xxhash64(g.gram)))")
-    rows = few.select(*KEY, F.explode(again).alias("g")).select(*KEY, "g.pos", "g.gram")
+    chars = s.where(F.length("text") > width).select(*KEY, F.split("text", "").alias("cs"))
+    gram = f"array_join(slice(cs, i, {width}), '')"
+    hashed = chars.withColumn("hs", F.expr(f"sort_array(transform(sequence(1, size(cs) - {width} + 1), i -> struct(xxhash64({gram}) AS h, i AS pos)))"))
+    again = hashed.withColumn("ps", F.expr("transform(filter(hs, (x, i) -> x.h <=> get(hs, i - 1).h OR x.h <=> get(hs, i + 1).h), x -> x.pos)")).where("size(ps) > 0")
+    rows = again.select(*KEY, F.explode(F.expr(f"transform(ps, i -> struct(i AS pos, {gram} AS gram))")).alias("g")).select(*KEY, "g.pos", "g.gram")
     if skip:
         rows = rows.where(~F.col("gram").rlike(skip))
     out = rows.groupBy(*KEY, "gram").agg(F.count(F.lit(1)).alias("n"), (F.max("pos") - F.min("pos")).alias("reach")).where("n > 1")
@@ -51,10 +53,12 @@ def pattern_hits(sections: DataFrame, patterns: DataFrame) -> DataFrame:
     return joined.select(*KEY, "name", F.expr("cast(regexp_count(text, pattern) AS bigint)").alias("n"))
 
 
-def speech_hits(sections: DataFrame, roster: DataFrame, say: str, address: str, openers: str = "“「", closers: str = "”」", near: int = 12) -> DataFrame:
-    """(corpus, seq, name, n): a name with a verb of saying before a quote, or soon after one.
+def speech_hits(sections: DataFrame, roster: DataFrame, pack: LangPack = CJK, near: int = 12, lead: int = 4) -> DataFrame:
+    """(corpus, seq, name, n): a name and a verb of saying close before an opening quote, or close behind a closing one.
 
-    A name that follows an address word is addressed and doesn't speak.
+    A name right behind a word of address is spoken to and doesn't speak.
     """
-    spoken = F.concat(F.lit(f"(?<!{address})"), F.lit("(?:"), F.col("name"), F.lit(f")[^。！？\\n{closers}]{{0,8}}(?:{say})[^。！？\\n]{{0,4}}[：:，,]?\\s*[{openers}]|[{closers}][^。！？\\n{openers}]{{0,{near}}}(?<!{address})(?:"), F.col("name"), F.lit(f")[^。！？\\n]{{0,6}}(?:{say})"))
+    opener, closer = pack.openers[0], pack.closers[0]
+    who = F.concat(F.lit(f"(?<![{pack.address}])\\Q"), F.col("name"), F.lit(f"\\E(?:{pack.say})"))
+    spoken = F.concat(who, F.lit(f"(?=[^{pack.stops}\\n]{{0,{lead}}}[{opener}])|[{closer}][^{pack.stops}\\n]{{0,{near}}}"), who)
     return pattern_hits(sections, roster.select("name", spoken.alias("pattern")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusqa.functions.text import has_own_attribution, is_scene_shift, occurrences, para_kind
+from corpusqa.functions.text import occurrences
 from corpusqa.schemas import CJK, LangPack
 
 KEY = ["corpus", "seq"]
@@ -25,45 +26,65 @@ def apply_rules(sections: DataFrame, rules: list[tuple[str, str]], skip: DataFra
 
 
 def span_blocks(paras: DataFrame, opener: str, closer: str) -> DataFrame:
-    """(corpus, seq, first, last): runs of paragraphs from one with an opener and no closer to the first with a closer.
+    """(corpus, seq, first, last): runs from a paragraph that begins with an opener and has no closer to the next with a closer.
 
-    A scan that never overlaps, over one section's paragraphs at a time.
+    After a paragraph with a closer no run is open, so that runs lie between two of these.
     """
-    marked = paras.select(*KEY, "pos", F.col("para").contains(opener).alias("o"), F.col("para").contains(closer).alias("c")).where("o OR c")
-    lists = marked.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "o", "c"))).alias("ps"))
-    start = "cast(named_struct('open', NULL, 'out', array()) AS struct<open: bigint, out: array<struct<first: bigint, last: bigint>>>)"
-    fold = f"""aggregate(ps, {start}, (a, p) -> CASE
-        WHEN a.open IS NULL AND p.o AND NOT p.c THEN named_struct('open', p.pos, 'out', a.out)
-        WHEN a.open IS NOT NULL AND p.c THEN named_struct('open', cast(NULL AS bigint), 'out', concat(a.out, array(named_struct('first', a.open, 'last', p.pos))))
-        ELSE a END, a -> a.out)"""
-    return lists.select(*KEY, F.explode(F.expr(fold)).alias("b")).select(*KEY, "b.first", "b.last")
-
-
-def _merge(paras: list[dict], target: int, spans: set[int]) -> list[str]:
-    """The sequential fold of one section: which paragraphs flow into the one before."""
-    out: list[str] = []
-    kinds: list[str] = []
-    owns: list[bool] = []
-    for i, p in enumerate(paras):
-        text, kind = p["para"], p["kind"]
-        join = False
-        if out and i < len(paras) - 1 and not p["shift"] and i not in spans and i - 1 not in spans and not (p["inner"] and kind == "narrative"):
-            last, room = out[-1], len(out[-1]) < target
-            if kinds[-1] == "narrative" and kind == "narrative":
-                join = room
-            elif kinds[-1] == "narrative" and kind == "quote":
-                join = last.endswith(("：", ":"))
-            elif kinds[-1] == "quote" and kind == "narrative":
-                join = room and owns[-1] and not p["verb"]
-        if join:
-            out[-1] += text
-            kinds[-1] = "quote" if "quote" in (kinds[-1], kind) else "narrative"
-            owns[-1] = p["own"] if kind == "quote" else owns[-1]
-        else:
-            out.append(text)
-            kinds.append(kind)
-            owns.append(p["own"])
-    return out
+    marked = paras.select(*KEY, "pos", (F.col("para").startswith(opener) & ~F.col("para").contains(closer)).alias("o"), F.col("para").contains(closer).alias("c")).where("o OR c")
+    before = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    parts = marked.withColumn("part", F.count_if("c").over(before))
+    out = parts.groupBy(*KEY, "part").agg(F.min(F.when(F.col("o"), F.col("pos"))).alias("first"), F.max(F.when(F.col("c"), F.col("pos"))).alias("last"))
+    return out.where("first < last").select(*KEY, "first", "last")
+
+
+class Coalescer:
+    """The fold of one section's paragraphs: which of them flow into the one before."""
+
+    def __init__(self, target: int, pack: LangPack) -> None:
+        self.target, self.opener, self.closer = target, pack.openers[0], pack.closers[0]
+        self.verb, self.scene, self.colon = re.compile(pack.attribution), re.compile(pack.scene), "："
+
+    def shift(self, p: str) -> bool:
+        return length(p) <= 16 and self.scene.match(p) is not None
+
+    def blocks(self, paras: list[str]) -> set[int]:
+        """Paragraphs within a quote that runs over several."""
+        inside: set[int] = set()
+        begun = None
+        for i, p in enumerate(paras):
+            if self.closer in p:
+                inside.update(range(begun, i + 1) if begun is not None else ())
+                begun = None
+            elif begun is None and p.startswith(self.opener):
+                begun = i
+        return inside
+
+    def flows(self, before: str, p: str) -> bool:
+        """Whether ``p`` joins the (merged) paragraph before."""
+        quoted, quote = before.startswith(self.opener), p.startswith(self.opener)
+        if quote:
+            return not quoted and before.endswith(self.colon)
+        if length(before) >= self.target:
+            return False
+        attributed = self.verb.search(p) is not None
+        if quoted:
+            return not attributed and self.closer in before and before.rsplit(self.closer, 1)[1].strip() != ""
+        return attributed or self.opener not in p  # a quote of no known speaker could be given to the wrong one
+
+    def __call__(self, paras: list[str]) -> list[str]:
+        out: list[str] = []
+        blocks = self.blocks(paras)
+        for i, p in enumerate(paras):
+            if out and i < len(paras) - 1 and not self.shift(p) and not {i, i - 1} & blocks and self.flows(out[-1], p):
+                out[-1] += p
+            else:
+                out.append(p)
+        return out
+
+
+def length(text: str) -> int:
+    """Characters that are not white space."""
+    return sum(map(len, text.split()))
 
 
 def coalesce_paragraphs(sections: DataFrame, target: int = 110, pack: LangPack = CJK) -> DataFrame:
@@ -72,39 +93,13 @@ def coalesce_paragraphs(sections: DataFrame, target: int = 110, pack: LangPack =
     Sections are folded independently, a row at a time within Arrow batches, so that none is grouped.
     """
     para = F.expr(r"filter(transform(split(text, '\n'), l -> trim(BOTH ' \t\r' FROM l)), l -> l <> '')")
-    flags = F.transform(
-        para,
-        lambda p: F.struct(
-            p.alias("para"),
-            para_kind(p, pack.openers).alias("kind"),
-            has_own_attribution(p, pack.closers[0]).alias("own"),
-            (is_scene_shift(p, pack.scene) | p.startswith("#")).alias("shift"),
-            p.rlike(f"^.{{0,12}}(?:{pack.say})").alias("verb"),
-            (p.contains(pack.openers[0]) & ~p.startswith(pack.openers[0]) & ~has_own_attribution(p, pack.closers[0])).alias("inner"),
-        ),
-    )
-    opener, closer = pack.openers[0], pack.closers[0]
+    merge = Coalescer(target, pack)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = []
-            for ps in pdf["ps"]:
-                if ps is None:
-                    texts.append(None)
-                    continue
-                ps = list(ps)
-                spans: set[int] = set()
-                begun = None
-                for i, p in enumerate(ps):
-                    if begun is None and opener in p["para"] and closer not in p["para"]:
-                        begun = i
-                    elif begun is not None and closer in p["para"]:
-                        spans.update(range(begun, i + 1))
-                        begun = None
-                texts.append("\n".join(_merge(ps, target, spans)))
-            yield pd.DataFrame({"corpus": pdf["corpus"], "seq": pdf["seq"], "text": texts})
-
-    return sections.select(*KEY, flags.alias("ps")).mapInPandas(fold, "corpus string, seq bigint, text string")
+            yield pd.DataFrame({"corpus": pdf["corpus"], "seq": pdf["seq"], "text": [None if ps is None else "\n".join(merge(list(ps))) for ps in pdf["ps"]]})
+
+    return sections.select(*KEY, para.alias("ps")).mapInPandas(fold, "corpus string, seq bigint, text string")
 
 
 def upsert_segment(docs: DataFrame, segments: DataFrame, begin: str, end: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusqa.operators import cadence, dups, ledgers, metrics
+from corpusqa.plans.metrics import SPEAKER_VALUES, SPEAKERS, SPEECH, SPOKEN
 from corpusqa.plans.registry import query
 from corpusqa.plans.tables import SEC, SENTS, sections, table, values
 
@@ -118,12 +119,14 @@ def f5(spark: SparkSession, d: str) -> DataFrame:
     return ledgers.onset_violations(onsets(spark, d), found(spark, d))
 
 
-@query("f5_speech_onsets")
+@query("f5_speech_onsets", f"WITH {SEC}, said AS ({SPOKEN.format(sec='sec', names=SPEAKER_VALUES)}) SELECT corpus, name, 'speech' AS kind, count(*) AS early, min(seq) AS first_seq FROM said WHERE seq < 30 GROUP BY corpus, name")
 def f5b(spark: SparkSession, d: str) -> DataFrame:
-    """Speech before its onset: a name and a verb of saying by a quote (a lookbehind, so no SQL)."""
-    names = values(spark, "name STRING", *((n,) for n in NAMES))
-    said = dups.speech_hits(sections(spark, d), names, "the|und|que|de", "to|zu", openers=",", closers=",")
-    return ledgers.onset_violations(onsets(spark, d).withColumn("first_speech", F.lit(30).cast("bigint")), found(spark, d), said.select("corpus", "name", "seq")).where("kind = 'speech'")
+    """Speech before its onset."""
+    names = values(spark, "name STRING, first_appearance BIGINT, first_speech BIGINT", *((n, 1, 30) for n in SPEAKERS))
+    s = sections(spark, d)
+    said = dups.speech_hits(s, names.select("name"), SPEECH)
+    ledger = s.select("corpus").distinct().crossJoin(F.broadcast(names))  # corpora by the short list
+    return ledgers.onset_violations(ledger, said.select("corpus", "name", "seq"), said.select("corpus", "name", "seq")).where("kind = 'speech'")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from corpusqa.plans.tables import CHANGED, CHARS, PARAS, SEC, SENTS, changed, se
 from corpusqa.schemas import LATIN
 
 TERMS = LATIN.lexicon
+SPEAKERS = ("en", "er", "es", "on")
+SPEAKER_VALUES = ", ".join(f"('{n}')" for n in SPEAKERS)
 TOLERANCES = [("chars", "down", 50), ("mean_chars", "up", 20), ("hits_10k", "up", 2), ("mean_para", "down", 3), ("short_pct", "up", 1), ("quotes", "down", 0)]
 VOLUMES = [(1, 1, 10), (2, 11, 30)]
 
@@ -52,17 +56,14 @@ def b6(spark: SparkSession, d: str) -> DataFrame:
     return paras.groupBy("page_id").agg(F.count(F.lit(1)).alias("paras"), F.count_if(fn.is_short_para(F.col("para"), 60)).alias("short"))
 
 
-@query(
-    "b7_speech_hits",
-    r"""WITH r(name) AS (VALUES ('the'), ('que'), ('und'), ('de')),
-    h AS (SELECT conv_id, name, len(regexp_extract_all(text, name || '[,]? [^ \n]{1,12}[.]')) AS n FROM conversations, r)
-    SELECT conv_id, name, CAST(sum(n) AS BIGINT) AS hits FROM h GROUP BY ALL HAVING sum(n) > 0""",
-)
+#: Sentences end in quotes' place: words of the prose stand for names, verbs and quotes.
+SPEECH = replace(LATIN, openers=(",",), closers=(",",))
+SPOKEN = "SELECT corpus, seq, name FROM {sec}, (VALUES {names}) r(name) WHERE regexp_matches(text, '(?:^|[^xz])' || name || '(?: the| und| que| de)[^.!?\n]{{0,4}},|,(?:[^.!?\n]{{0,11}}[^xz.!?\n])?' || name || '(?: the| und| que| de)')"
+
+
+@query("b7_speech_hits", f"WITH {SEC} {SPOKEN.format(sec='sec', names=SPEAKER_VALUES)}")
 def b7(spark: SparkSession, d: str) -> DataFrame:
-    said = [(n, f"{n}[,]? [^ \\n]{{1,12}}[.]") for n in ("the", "que", "und", "de")]
-    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("corpus"), F.col("turn").alias("seq"), "text")
-    hits = dups.pattern_hits(turns, values(spark, "name STRING, pattern STRING", *said))
-    return hits.groupBy(F.col("corpus").alias("conv_id"), "name").agg(F.sum("n").alias("hits"))
+    return dups.speech_hits(sections(spark, d), values(spark, "name STRING", *((n,) for n in SPEAKERS)), SPEECH).select("corpus", "seq", "name")
 
 
 @query("b8_own_attribution", f"WITH {PARAS} SELECT corpus, seq, CAST(pos AS BIGINT) AS pos, length(regexp_replace(split_part(para, ')', -1), '\\s', '', 'g')) > 0 AS own FROM par WHERE contains(para, ')')")
@@ -77,7 +78,10 @@ def b9(spark: SparkSession, d: str) -> DataFrame:
     return metrics.paragraphs(sections(spark, d)).groupBy("corpus").agg(F.count(F.lit(1)).alias("paras"), F.count_if(shift).alias("shifts"))
 
 
-@query("b10_span_blocks")
+@query(
+    "b10_span_blocks",
+    f"WITH {PARAS}, m AS (SELECT corpus, seq, pos, starts_with(para, 'S') AND NOT contains(para, 'T') AS o, contains(para, 'T') AS c FROM par), p AS (SELECT *, count(*) FILTER (c) OVER (PARTITION BY corpus, seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM m WHERE o OR c) SELECT corpus, seq, min(pos) FILTER (o)::BIGINT AS first, max(pos) FILTER (c)::BIGINT AS last FROM p GROUP BY corpus, seq, part HAVING min(pos) FILTER (o) < max(pos) FILTER (c)",
+)
 def b10(spark: SparkSession, d: str) -> DataFrame:
     return rewrite.span_blocks(metrics.paragraphs(sections(spark, d)), "S", "T")
 
@@ -199,7 +203,7 @@ GRAMS = "g AS (SELECT corpus, seq, substr(text, i, 40) AS gram, i FROM sec, unne
 
 @query("d1_section_repeats", f"WITH {SEC}, {GRAMS} SELECT corpus, seq, md5(gram) AS gram, count(*) AS n FROM g GROUP BY corpus, seq, gram HAVING count(*) >= 2")
 def d1(spark: SparkSession, d: str) -> DataFrame:
-    return dups.section_repeats(sections(spark, d), 40, skip=None).select("corpus", "seq", F.md5("gram").alias("gram"), "n")
+    return dups.section_repeats(sections(spark, d), 40).select("corpus", "seq", F.md5("gram").alias("gram"), "n")
 
 
 @query(

@@ -19,10 +19,13 @@ def g1(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.mirror_diff(s.where("doc_id % 103 <> 0"), changed(s), ["corpus", "doc_id"], "text")
 
 
-@query("g2_index_coverage", "SELECT source AS corpus, count(*) AS items, count(l.doc_id) AS listed, count(*) FILTER (l.doc_id IS NULL) AS unlisted, 0 AS extra FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source")
+@query("g2_index_coverage", "SELECT source AS corpus, count(*) AS items, (count(l.doc_id) + coalesce(any_value(x.extra), 0))::BIGINT AS listed, count(*) FILTER (l.doc_id IS NULL) AS unlisted, coalesce(any_value(x.extra), 0)::BIGINT AS extra FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) LEFT JOIN (SELECT 'src' || (doc_id % 20) AS corpus, count(*) AS extra FROM labels WHERE doc_id % 7 = 0 GROUP BY ALL) x ON x.corpus = d.source GROUP BY source")
 def g2(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "documents").select(F.col("source").alias("corpus"), "doc_id")
-    index = table(spark, d, "labels").join(items, "doc_id").select("corpus", "doc_id")
+    labels = table(spark, d, "labels")
+    # Entries of items that exist, and some that point to none.
+    foreign = labels.where("doc_id % 7 = 0").select(F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("corpus"), (-1 - F.col("doc_id")).alias("doc_id"))
+    index = labels.join(items, "doc_id").select("corpus", "doc_id").unionByName(foreign)
     return reconcile.index_coverage(items, index, "doc_id", "corpus")
 
 

@@ -63,11 +63,11 @@ def a6(spark: SparkSession, d: str) -> DataFrame:
     return src.table_cells(marked(spark, d), "doc").select("doc", "pos", "run", F.size("cells").cast("bigint").alias("cells"))
 
 
-@query("a6_seat_holders", "WITH c AS (SELECT doc_id, trim(unnest(string_split(text, '|'))) AS name, generate_subscripts(string_split(text, '|'), 1) AS i FROM documents WHERE contains(text, '|')) SELECT doc_id, i::VARCHAR AS seat, name FROM c WHERE i <= 20 AND name <> '' AND NOT regexp_matches(name, '^(?:空|虚位|—|-|-+|:?-+:?)$')")
+@query("a6_seat_holders", "WITH c AS (SELECT doc_id, trim(unnest(string_split(text, '|'))) AS name, generate_subscripts(string_split(text, '|'), 1) AS i FROM documents WHERE contains(text, '|')) SELECT doc_id, i::VARCHAR AS seat, name FROM c WHERE name <> '' AND NOT regexp_matches(name, '^(?:空|虚位|—|-|-+|:?-+:?)$')")
 def a6b(spark: SparkSession, d: str) -> DataFrame:
     # Cells of documents with bars as rows of a ranked table.
     cells = table(spark, d, "documents").where(F.col("text").contains("|")).select("doc_id", F.posexplode(F.transform(F.split("text", r"\|"), lambda x: F.regexp_replace(x, "^ +| +$", ""))).alias("i", "name"))
-    rows = cells.where("i < 20").select("doc_id", F.array((F.col("i") + 1).cast("string"), "name").alias("cells"))
+    rows = cells.select("doc_id", F.array((F.col("i") + 1).cast("string"), "name").alias("cells"))
     return src.seat_holders(rows, "doc_id")
 
 

@@ -28,15 +28,21 @@ class LangPack:
     openers: tuple[str, ...]
     closers: tuple[str, ...]
     punctuation: str
-    say: str = "说|道|问|答|喊|叫"
-    address: str = "对|向|跟|和|与|朝"
-    scene: str = "次日|翌日|第二天|当晚|夜里|清晨|傍晚|三日后|数日后|半月后|一年后"
-    negation: str = "不是[^。！？\n]{0,20}(?:而是|是)"
+    stops: str = "。！？"
+    # Verbs of saying, characters of address, verbs of attribution, time markers, denials.
+    say: str = "说|问|答|喊|道"
+    address: str = "对向跟和与替给叫让催问求告带扶看喊教拉推拍"
+    attribution: str = "[说道问答喊叫喝应念]"
+    scene: str = "同一夜|次日|第二天|当夜|夜裏|夜里|入夜|天亮|天明|后半夜|半月|数日后|三日后|晌午|午后|清晨|傍晚|[一二三四五六七八九十]{1,3}月|[0-9]{3,4}年"
+    negation: str = "不是[^，。！？\n]{1,22}[，]?(?:而是|是)"
     lexicon: tuple[str, ...] = field(default_factory=tuple)
 
 
 #: Numerals of volume numbers.
 NUMERALS = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10, "十一": 11, "十二": 12, "十三": 13, "十四": 14, "十五": 15, "十六": 16, "十七": 17, "十八": 18, "十九": 19, "二十": 20}
 
-CJK = LangPack(terminators="[。！？；!?;\n]", openers=("“", "「"), closers=("”", "」"), punctuation="，。！？；：、…—“”‘’「」（）《》,.!?;:\"'()", lexicon=("仿佛", "似乎", "忽然", "突然", "缓缓", "淡淡", "微微", "一丝"))
-LATIN = LangPack(terminators="[.!?;\n]", openers=('"',), closers=('"',), punctuation=",.!?;:\"'()", negation="[A-Z][a-z]{4,8}", lexicon=("the", "und", "que", "ion", "ment"))
+#: The default lexicon of stock phrases.
+TICS = ("至少", "其实", "反而", "也就是说", "换句话说", "更重要的是", "值得注意的是", "归根到底", "事实上", "这意味着", "不难看出", "某种意义上", "恰恰", "无非", "终究", "本来", "并不")
+
+CJK = LangPack(terminators="[。！？；!?;\n]", openers=("“", "「"), closers=("”", "」"), punctuation="，。！？；：、…—“”‘’「」（）《》,.!?;:\"'()", lexicon=TICS)
+LATIN = LangPack(terminators="[.!?;\n]", openers=('"',), closers=('"',), punctuation=",.!?;:\"'()", stops=".!?", say=" the| und| que| de", address="xz", attribution="(?:the|und|que)", negation="[A-Z][a-z]{4,8}", lexicon=("the", "und", "que", "ion", "ment"))

@@ -79,14 +79,16 @@ def test_custody_mutation_gives_one_finding(spark):
 
 def test_speech_needs_verb_and_is_not_address(spark):
     s = spark.createDataFrame([("b", 1, "王五说：“走。”"), ("b", 2, "他对王五说：“走。”"), ("b", 3, "“走。”王五道")], SEC)
-    got = dups.speech_hits(s, spark.createDataFrame([("王五",)], "name STRING"), CJK.say, CJK.address)
+    got = dups.speech_hits(s, spark.createDataFrame([("王五",)], "name STRING"), CJK)
     assert rows(got.select("seq")) == [(1,), (3,)]
+    far = spark.createDataFrame([("b", 1, "王五说了一句很长的话：“走。”"), ("b", 2, "“走。”他想了想，王五喊。"), ("b", 3, "“走。”他走了。王五喊。")], SEC)
+    assert rows(dups.speech_hits(far, spark.createDataFrame([("王五",)], "name STRING"), CJK).select("seq")) == [(2,)]
 
 
 def test_section_repeats_strict_needs_apart(spark):
     s = spark.createDataFrame([("b", 1, "abababab"), ("b", 2, "abcdxxabcd"), ("b", 3, None), ("b", 4, "")], SEC)
-    assert {r[1] for r in rows(dups.section_repeats(s, 4, skip=None))} == {1, 2}
-    assert {(r[1], r[2]) for r in rows(dups.section_repeats(s, 4, skip=None, apart=True))} == {(1, "abab"), (2, "abcd")}
+    assert {r[1] for r in rows(dups.section_repeats(s, 4))} == {1, 2}
+    assert {(r[1], r[2]) for r in rows(dups.section_repeats(s, 4, apart=True))} == {(1, "abab"), (2, "abcd")}
 
 
 def test_lint_on_a_small_document(spark):
@@ -125,6 +127,37 @@ def test_coalesce_keeps_text(spark):
     assert got[1].split("\n") == ["短句。又一句。他道：“走。”", "次日", "“开口", "未完”", "末段。"]
 
 
+@pytest.mark.parametrize(
+    "paras,expected",
+    [
+        (["他道：", "“走。”", "他走了很远。", "末。"], ["他道：“走。”他走了很远。", "末。"]),
+        (["甲。", "“去。”乙道", "丙走了。", "末。"], ["甲。", "“去。”乙道丙走了。", "末。"]),
+        (["甲。", "“去。”", "丙走了。", "末。"], ["甲。", "“去。”", "丙走了。", "末。"]),
+        (["甲。", "他停了。“不知。”", "末。"], ["甲。", "他停了。“不知。”", "末。"]),
+        (["甲。", "他道“不知。”", "末。"], ["甲。他道“不知。”", "末。"]),
+        (["甲。", "三月初一", "乙。", "末。"], ["甲。", "三月初一乙。", "末。"]),
+        (["甲:", "“去。”", "末。"], ["甲:", "“去。”", "末。"]),
+        (["甲。", "“一", "二", "三”", "乙。", "丙。", "末。"], ["甲。", "“一", "二", "三”", "乙。丙。", "末。"]),
+    ],
+)
+def test_coalescing_rules(paras, expected):
+    got = rewrite.Coalescer(110, CJK)(paras)
+    assert "".join(got) == "".join(paras)
+    assert got == expected
+
+
+def test_long_paragraphs_take_no_more():
+    long = "字 " * 110
+    assert rewrite.Coalescer(110, CJK)([long, "乙。", "末。"]) == [long, "乙。", "末。"]
+    assert rewrite.Coalescer(111, CJK)([long, "乙。", "末。"]) == [long + "乙。", "末。"]
+
+
+def test_short_names_are_met_by_prefix(spark):
+    s = spark.createDataFrame([("b", 1, "王五来了\n李"), ("b", 2, "欧阳修远")], SEC)
+    r = spark.createDataFrame([("王五", [], []), ("欧阳修远之", ["李"], []), ("欧阳修远", [], [])], "name STRING, aliases ARRAY<STRING>, neg ARRAY<STRING>")
+    assert rows(cadence.mentions_by_prefix(s, r)) == rows(cadence.mentions(s, r)) != []
+
+
 def test_compact_ranges_expand_again(spark):
     values = [1, 2, 3, 7, 9, 10, 10, 15]
     df = spark.createDataFrame([("p", v) for v in values], "p STRING, n BIGINT")

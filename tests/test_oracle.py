@@ -8,14 +8,25 @@ from corpusqa.plans import registry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def duck(sf_dir):
+def connected(sf_dir):
     c = duckdb.connect()
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return c
 
 
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    return connected(sf_dir)
+
+
+@pytest.mark.parametrize("name", ["d1_section_repeats", "d2_section_repeats_strict"])
+def test_repeats_at_ten_times_the_size(spark, sf_dir, name):
+    """Rare windows, e.g. with marks outside the stripped ones, occur there only."""
+    larger = sf_dir.replace("0.001", "0.01")
+    test_query(spark, larger, connected(larger), name)
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, sf_dir, duck, name):
     df = registry.queries()[name](spark, sf_dir)
