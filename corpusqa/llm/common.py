@@ -6,6 +6,7 @@ hashes are 64 bits; sets are compared through them.
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -26,27 +27,38 @@ _M = 0xFFFFFFFFFFFFFFFF
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base) if not found.isDefined() else None
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back (cuts the lineage).
-
-    A collection of the driver's garbage then lets Spark's cleaner remove the shuffle files of the
-    steps that led here, which nothing refers to any more.
-    """
+    """Write ``df`` as Parquet in the shared scratch folder and read it back (cuts the lineage)."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    forget(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of steps that nothing refers to any more: it waits for a collection of the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession, least: int = 12) -> int:
     """Shuffle partitions to ask for: the session's number, at least ``least``."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

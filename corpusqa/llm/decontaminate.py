@@ -16,7 +16,7 @@ an edit breaks ``SEED`` of them at most.  So the walks' recall, which falls with
 doesn't limit what is found: the target recall is 1 at any length and bound.
 
 The benchmark is worked through in blocks of bounded size.  Defined results: null or empty texts and
-items leak nothing; items with equal words are found each; repeated rows give repeated rows.
+items leak nothing; items with equal words are found each, those without an id under a null id; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -213,7 +213,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_E
     out = None
     for block in range(n_blocks):  # a stated set of queries, in blocks of bounded size
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).select("item_id", "text").collect()
-        held = spark.sparkContext.broadcast((sorted((r[0] if r[0] is not None else -1, r[1]) for r in part), most_edits))
+        held = spark.sparkContext.broadcast((sorted(((r[0], r[1]) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1])), most_edits))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             pairs, edits_bound = held.value

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,11 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMA
     the driver as bit tables of fixed size (10 kB each), not as texts.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("order"))
+    # Counts by the hash's beginning tell how far each language must be read, so that no language is one task's group.
+    ranged = known.withColumn("beginning", F.shiftright("order", 48))
+    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("beginning"))
+    last = ranged.groupBy("lang", "beginning").count().withColumn("upto", upto).groupBy("lang").agg(F.min(F.when(F.col("upto") >= sample_rows, F.col("beginning"))).alias("last"))
+    known = ranged.join(last, "lang").where("last IS NULL OR beginning <= last")
     chosen = known.selectExpr("doc_id", "lang", "order", "row_number() OVER (PARTITION BY lang ORDER BY order, doc_id) AS turn")
     # The last turn that any language may need bounds the rows before the final choice.
     chosen = chosen.where(F.col("turn") <= sample_rows).orderBy("turn", "lang").limit(sample_rows)

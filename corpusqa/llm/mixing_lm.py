@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, cut, lower_table, mix, text_buffer
+from .common import WordHasher, cut, forget, lower_table, mix, text_buffer
 
 #: Depth of the tree of words; bits of a hashed class of the word before, and depth to which it predicts.
 DEPTH, CLASS_BITS, CLASS_DEPTH = 16, 8, 9
@@ -46,7 +46,7 @@ FINE = 256
 #: Added to either count of a branch.
 PRIOR = 0.02
 RATE, RUN = 0.02, 1 << 14
-CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
+CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20
 #: Hashes of the end and of what stands before the first word.
 END, START = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 SPACE = 32
@@ -415,7 +415,7 @@ class Chunk:
 
     def __init__(self, table: pa.Table, n_words: int, n_pairs: int) -> None:
         hasher = WordHasher()
-        hashes, starts, ends, texts, edges, base, size = [], [], [], [], [np.zeros(1, np.int64)], 0, 0
+        hashes, starts, ends, texts, sizes, edges, base, size = [], [], [], [], [], [np.zeros(1, np.int64)], 0, 0
         for batch in table.to_batches():
             data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
             h, s, edge = hasher(data, offsets)
@@ -424,12 +424,14 @@ class Chunk:
             ends.append(hasher.ends + size)
             texts.append(lower_table()[data])
             edges.append(edge[1:] + base)
+            sizes.append(np.diff(offsets))
             base, size = base + len(h), size + len(data)
         join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
         self.text, self.starts, self.ends, self.edge = join(texts, np.uint8), join(starts, np.int64), join(ends, np.int64), np.concatenate(edges)
-        h = join(hashes, np.uint64)
+        self.sizes, h = join(sizes, np.int64), join(hashes, np.uint64)
         # Words, ascending, so that their buckets are ranges of hashes.
-        self.words, self.word_of = np.unique(h, return_inverse=True)
+        self.words, of = np.unique(h, return_inverse=True)
+        self.word_of = of.astype(np.int32)
         self.first = np.zeros(len(self.words), np.int64)
         self.first[self.word_of[::-1]] = np.arange(len(h))[::-1]
         self.word_bucket = self.bucket_of(self.words, n_words)
@@ -459,7 +461,8 @@ class Chunk:
             opening = self.text[start].astype(np.uint32) * np.uint32(16) + np.minimum(length, 15).astype(np.uint32)
             squeeze = lambda v: (v * np.uint32(0x9E3779B1)) >> np.uint32(32 - CLASS_BITS)
             kinds[:-1] = squeeze(ending) | (squeeze(opening) << np.uint32(16))
-        found, self.pair_of = np.unique((before << DEPTH) | self.leaf, return_inverse=True)
+        found, of = np.unique((before << DEPTH) | self.leaf, return_inverse=True)
+        self.pair_of = of.astype(np.int32)
         of = order[found >> DEPTH]
         self.pairs = (low[of] << np.uint64(DEPTH)) | (found & ((1 << DEPTH) - 1)).astype(np.uint64)
         self.pair_bucket, self.classes = bucket[of].astype(np.int64), kinds[of]
@@ -554,7 +557,10 @@ def score(docs: DataFrame) -> DataFrame:
         out = [value[np.searchsorted(pairs, unpack(lists, leaf, bytes(len(leaf) // 2), b"")[0])].tobytes() for lists, leaf in zip(pdf["lists"], pdf["leaves"])]
         return pd.DataFrame({"chunk": pdf["chunk"], "kind": 1, "bucket": pdf["bucket"], "values": out})
 
-    gained = pairs_asked.select("bucket", "chunk", "lists", "leaves").groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInPandas(reply, "chunk int, kind int, bucket int, values binary")
+    forget(spark)
+    # Written, so that the requests' shuffle is gone before texts are dealt out again.
+    gained = cut(pairs_asked.select("bucket", "chunk", "lists", "leaves").groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInPandas(reply, "chunk int, kind int, bucket int, values binary"))
+    forget(spark)
     replies = gained.unionByName(answers.select("chunk", F.lit(0).alias("kind"), "bucket", F.col("counts").alias("values")))
 
     def finish(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -581,7 +587,7 @@ def score(docs: DataFrame) -> DataFrame:
         value[at] = paths[c.pair_of[at]] + np.log10(of_token[at] / leaves[c.leaf[at]])
         value += np.where(known, math.log10(1 - fresh), math.log10(fresh))
         mixed = total(value, c.token_edge)
-        size_of = np.array([len((t or "").encode()) for t in table.column("text").to_pylist()], np.int64)
+        size_of = c.sizes
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),

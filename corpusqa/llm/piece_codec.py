@@ -259,7 +259,8 @@ class PieceCodec:
 def encode_decode(docs: DataFrame, model_path: str, check: bool = True) -> DataFrame:
     """Add ``ids`` (binary: little-endian unsigned 32-bit ids with begin and end) and ``decoded``.
 
-    ``docs`` has doc_id and text.  The model file is read on the executors from ``model_path``.
+    Of ``docs`` doc_id and text are taken, other columns are left out.  The model file is read on the executors
+    from ``model_path``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, line_dedup, mixing_lm, ngram_join, ordinal_quality, piece_codec, secret_scan, spot_signatures, suffix_dedup
 
-TOKENIZERS = "/opt/tokenizers"
+#: The vocabulary that op4 and the pipeline encode with.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +37,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op4_piece_codec(spark: SparkSession, sf_dir: str, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+def op4_piece_codec(spark: SparkSession, sf_dir: str, model_path: str = PIECES) -> DataFrame:
     return piece_codec.digests(piece_codec.encode_decode(table(spark, sf_dir, "documents"), model_path))
 
 

@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Kinds in their order at one place.
 KINDS = ("assign", "access", "hex", "markov")
 #: For each base kind: the pattern with its value as group, the least length of the value.
@@ -92,13 +94,6 @@ def _letters(token: str) -> str:
     return f"transform(split({token}, ''), c -> instr('{LETTERS}', c))"
 
 
-def _unused(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` doesn't have."""
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def base_spans(docs: DataFrame) -> DataFrame:
     """Add ``base``: structs (start, kind, end, value) by start, then kind."""
     return docs.withColumn("base", F.expr(_base("coalesce(text, '')")))
@@ -127,7 +122,7 @@ def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list[flo
 def scan(docs: DataFrame, ratios: list[float], least_token: int = LEAST_TOKEN, least_ratio: float = LEAST_RATIO) -> DataFrame:
     """Add ``base`` and ``spans``, arrays of structs (start, kind, end, value); kind counts in ``KINDS``."""
     table = f"cast(split('{','.join(f'{r:.6f}' for r in ratios)}', ',') AS array<double>)"
-    held = _unused(docs, "ratio_of_bigrams")
+    held = unused(docs, "ratio_of_bigrams")
     ratio = f"""aggregate({_letters('t.value')}, named_struct('last', 0, 'sum', 0D),
         (a, c) -> named_struct('last', c, 'sum', a.sum + element_at({held}, a.last * {len(LETTERS) + 1} + c + 1)), a -> a.sum)"""
     judged = f"filter({_free_tokens("coalesce(text, '')", 'base', least_token)}, t -> {ratio} >= {least_ratio!r}D)"

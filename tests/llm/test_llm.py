@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusqa.llm.common import WordHasher
 from corpusqa.llm import components, decontaminate, language_id, line_dedup, mixing_lm, ngram_join, ordinal_quality, piece_codec, queries, secret_scan, spot_signatures, suffix_dedup
 
-MODEL = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+MODEL = queries.PIECES
 ODD = [None, "", " ", "a", "the of", "\n\n", "é" * 70, "x" * 300, "日本語 テキスト😀 " * 9, "the cat sat on the mat " * 40]
 
 
@@ -582,6 +582,62 @@ def test_language_id(spark, sf_dir):
     assert {r.lang_pred for r in language_id.predict(frame(spark, ODD), none).collect()} == {"und"}
 
 
+def per_row(spark):
+    """Operators that return one row for each document, as functions of the documents."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return {
+        "op1": spot_signatures.edited_likeness,
+        "op2": ngram_join.link_components,
+        "op3": lambda d: secret_scan.scan(d, secret_scan.train(d)),
+        "op4": lambda d: piece_codec.encode_decode(d, MODEL),
+        "op6": lambda d: mixing_lm.score(d.withColumn("training", F.col("doc_id") % 3 != 0)),
+        "op8": suffix_dedup.remove_repeats,
+        "op9": line_dedup.dedup_lines,
+        "op10": lambda d: language_id.predict(d, language_id.fit(d.where(~held))),
+    }
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op8", "op9", "op10"])
+def test_awkward_rows(spark, name):
+    """Null ids and texts, repeated rows, repeated ids, clashing columns, no rows."""
+    rows = [(1, "a first line of some length\nthe end"), (1, "a first line of some length\nthe end"), (1, "other"), (None, "a first line of some length"), (None, None), (2, None), (3, ""), (4, "a first line of some length\nthe end")]
+    clash = ["gone_id", "gone_hash", "component_id", "n_shingles", "score", "lang_pred", "ids", "spans", "removed", "chunk", "class_id", "h", "key", "part", "base", "kept"]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumn("lang", F.lit("en")).select("*", *(F.lit(7).alias(c) for c in clash))
+    run = per_row(spark)[name]
+    assert sorted(str(r.doc_id) for r in run(docs).select("doc_id").collect()) == sorted(str(i) for i, _ in rows)
+    assert run(docs.where("false")).count() == 0
+
+
+def test_leaks_of_items_without_id(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, text), (5, text), (5, text), (6, None)], "doc_id BIGINT, text STRING").withColumn("item_id", F.lit(1))
+    items = spark.createDataFrame([(None, text), (-1, text), (2, None), (3, "")], "item_id BIGINT, text STRING")
+    got = sorted(((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()), key=str)
+    assert got == sorted([(d, i) for d in (None, 5, 5) for i in (None, -1)], key=str)
+    for d, b in ((docs.where("false"), items), (docs, items.where("false"))):
+        assert decontaminate.find_leaks(d, b).count() == 0
+
+
+def test_line_dedup_of_copies_of_mixtures(spark):
+    """A copy of a document whose every line an earlier one has, each another."""
+    texts = ["alpha one\nxx", "beta two\nyy", "gamma three\nzz", "alpha one\nbeta two\ngamma three", "alpha one\nbeta two\ngamma three"]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, texts, extra=False)).collect()}
+    assert [got[i] for i in range(5)] == [*texts[:4], ""]
+
+
+def test_pipeline_of_awkward_rows(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.unionByName(odd).unionByName(docs.where("doc_id < 5")).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string"))).write.parquet(f"{tmp_path}/documents.parquet")
+    out = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert out.count(None) == 3
+    docs.where("false").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
