@@ -31,9 +31,10 @@ def section_repeats(sections: DataFrame, width: int = 12, skip: str | None = Non
     s = sections.withColumn("text", F.regexp_replace("text", strip, "")) if strip else sections
     chars = s.where(F.length("text") > width).select(*KEY, F.split("text", "").alias("cs"))
     gram = f"array_join(slice(cs, i, {width}), '')"
-    hashed = chars.withColumn("hs", F.expr(f"sort_array(transform(sequence(1, size(cs) - {width} + 1), i -> struct(xxhash64({gram}) AS h, i AS pos)))"))
-    again = hashed.withColumn("ps", F.expr("transform(filter(hs, (x, i) -> x.h <=> get(hs, i - 1).h OR x.h <=> get(hs, i + 1).h), x -> x.pos)")).where("size(ps) > 0")
-    rows = again.select(*KEY, F.explode(F.expr(f"transform(ps, i -> struct(i AS pos, {gram} AS gram))")).alias("g")).select(*KEY, "g.pos", "g.gram")
+    hashes = f"sort_array(transform(sequence(1, size(cs) - {width} + 1), i -> struct(xxhash64({gram}) AS h, i AS pos)))"
+    again = "filter(hs, (x, i) -> x.h <=> get(hs, i - 1).h OR x.h <=> get(hs, i + 1).h)"
+    found = F.expr(f"element_at(transform(array({hashes}), hs -> transform({again}, x -> x.pos)), 1)")  # one name for what a lambda reads often
+    rows = chars.select(*KEY, "cs", found.alias("ps")).select(*KEY, F.explode(F.expr(f"transform(ps, i -> struct(i AS pos, {gram} AS gram))")).alias("g")).select(*KEY, "g.pos", "g.gram")
     if skip:
         rows = rows.where(~F.col("gram").rlike(skip))
     out = rows.groupBy(*KEY, "gram").agg(F.count(F.lit(1)).alias("n"), (F.max("pos") - F.min("pos")).alias("reach")).where("n > 1")
