@@ -72,7 +72,7 @@ def b8(spark: SparkSession, d: str) -> DataFrame:
     return p.select("corpus", "seq", "pos", fn.has_own_attribution(F.col("para"), ")").alias("own"))
 
 
-@query("b9_scene_shift", f"WITH {PARAS} SELECT corpus, count(*) AS paras, count(*) FILTER (length(para) <= 16 AND regexp_matches(para, '^(?:The|Und|Que|Les|In)')) AS shifts FROM par GROUP BY corpus")
+@query("b9_scene_shift", f"WITH {PARAS} SELECT corpus, count(*) AS paras, count(*) FILTER (length(regexp_replace(para, '\\s', '', 'g')) <= 16 AND regexp_matches(para, '^(?:The|Und|Que|Les|In)')) AS shifts FROM par GROUP BY corpus")
 def b9(spark: SparkSession, d: str) -> DataFrame:
     shift = fn.is_scene_shift(F.col("para"), "The|Und|Que|Les|In")
     return metrics.paragraphs(sections(spark, d)).groupBy("corpus").agg(F.count(F.lit(1)).alias("paras"), F.count_if(shift).alias("shifts"))
