@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusqa.operators.sizes import few
+
 KEY = ["corpus", "seq"]
 
 
@@ -15,7 +17,7 @@ def mentions(sections: DataFrame, roster: DataFrame) -> DataFrame:
     lines are split.
     """
     met = F.expr("contains(text, name) OR exists(aliases, a -> contains(text, a))")
-    held = sections.join(F.broadcast(roster.select("name", "aliases", "neg")), met)
+    held = sections.join(few(roster.select("name", "aliases", "neg")), met)
     hit = "(contains(l, name) OR exists(aliases, a -> contains(l, a))) AND NOT exists(neg, x -> contains(l, x))"
     n = F.expr(f"cast(size(filter(split(text, '\\n'), l -> {hit})) AS bigint)")
     return held.select("corpus", "name", "seq", n.alias("lines")).where(F.col("lines") > 0)
@@ -39,7 +41,7 @@ def cadence(found: DataFrame, roster: DataFrame, sections: DataFrame) -> DataFra
     gap = F.col("seq") - F.lag("seq").over(Window.partitionBy("corpus", "name").orderBy("seq"))
     by_name = found.withColumn("gap", gap).groupBy("corpus", "name").agg(F.count(F.lit(1)).alias("sections"), F.sum("lines").alias("lines"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.coalesce(F.max("gap"), F.lit(0)).cast("bigint").alias("max_gap"))
     ends = sections.groupBy("corpus").agg(F.max("seq").alias("end"))
-    every = ends.join(F.broadcast(roster.select("name")))  # corpora by the small roster
+    every = ends.join(few(roster.select("name")))  # corpora by the small roster
     out = every.join(by_name, ["corpus", "name"], "left")
     return out.select("corpus", "name", F.coalesce("sections", F.lit(0)).cast("bigint").alias("sections"), F.coalesce("lines", F.lit(0)).cast("bigint").alias("lines"), "first", "last", "max_gap", (F.col("end") - F.col("last")).alias("tail_gap"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusqa.operators.sizes import few
+
 from corpusqa.schemas import CJK, LangPack
 
 KEY = ["corpus", "seq"]
@@ -50,7 +52,7 @@ def neighbour_repeats(sections: DataFrame, width: int = 12, distance: int = 1) -
 
 def pattern_hits(sections: DataFrame, patterns: DataFrame) -> DataFrame:
     """(corpus, seq, name, n) of patterns (name, pattern); the list of patterns is small."""
-    joined = sections.join(F.broadcast(patterns), F.expr("rlike(text, pattern)"))
+    joined = sections.join(few(patterns), F.expr("rlike(text, pattern)"))
     return joined.select(*KEY, "name", F.expr("cast(regexp_count(text, pattern) AS bigint)").alias("n"))
 
 

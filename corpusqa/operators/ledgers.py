@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusqa.operators.sizes import few
+from corpusqa.sources import numeral
+
+#: Kinds of carriers that may appear after a person's end, words of a planting that stands.
+CARRIERS = ("document", "reported")
+PLANTED = "已在案|已落地|已排|已就位"
+
 
 def custody_status(steps: DataFrame, sections: DataFrame, declared: DataFrame, lo: int, hi: int) -> DataFrame:
     """Steps (corpus, chain, ch, holder, anchors, handover) with their status."""
@@ -40,9 +47,12 @@ def custody_handover(steps: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def custody_terminal(terminals: DataFrame, sections: DataFrame) -> DataFrame:
-    """Sections after a chain's end with a forbidden phrase (the first of the list that is there)."""
-    rows = sections.join(F.broadcast(terminals), (sections["corpus"] == terminals["corpus"]) & (F.col("seq") > F.col("ch")))
-    return rows.select(sections["corpus"], "chain", "seq", F.expr("get(filter(forbid, f -> contains(text, f)), 0)").alias("phrase")).where("phrase IS NOT NULL")
+    """(corpus, chain, kind, seq, phrase): sections after a chain's end with a forbidden phrase (the first of the list that is there); ends without phrases warn."""
+    listed = F.size(F.coalesce("forbid", F.expr("cast(array() AS array<string>)"))) > 0
+    rows = sections.select("corpus", "seq", "text").join(few(terminals.where(listed)), "corpus").where("seq > ch")
+    hits = rows.select("corpus", "chain", F.lit("after_end").alias("kind"), "seq", F.expr("get(filter(forbid, f -> contains(text, f)), 0)").alias("phrase")).where("phrase IS NOT NULL")
+    bare = terminals.where(~listed & F.col("ch").isNotNull()).select("corpus", "chain", F.lit("no_phrases").alias("kind"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("phrase"))
+    return hits.unionByName(bare)
 
 
 def onset_violations(onsets: DataFrame, found: DataFrame, speech: DataFrame | None = None) -> DataFrame:
@@ -63,21 +73,53 @@ def onset_closure(onsets: DataFrame, found: DataFrame, sections: DataFrame, late
     return joined.select("corpus", "name", "first_appearance", status.alias("status"))
 
 
-def life_windows(landings: DataFrame, people: DataFrame, keys: list[str]) -> DataFrame:
+def onset_lateness(closure: DataFrame, late_max: int = 10) -> DataFrame:
+    """Per corpus: entries, those that are late, met and missing, and a warning above ``late_max`` late ones."""
+    n = lambda status: F.count_if(F.col("status") == status)
+    out = closure.groupBy("corpus").agg(F.count(F.lit(1)).alias("entries"), n("late").alias("late"), n("met").alias("met"), n("missing").alias("missing"))
+    return out.withColumn("warn", F.col("late") > late_max)
+
+
+def life_windows(landings: DataFrame, people: DataFrame, keys: list[str], end: Column | None = None) -> DataFrame:
     """Landings (keys, at_lo, at_hi, exempt) against windows (born, ends): floor and ceiling violations.
 
     A start before birth fails for all; a start after the end fails and an end after it warns,
-    exempt carriers apart.
+    exempt carriers apart.  With ``end``, the last year of the work, it closes every window, open ones too.
     """
     joined = landings.join(people, keys)
-    kind = F.when(F.col("at_lo") < F.col("born"), "before_birth").when(F.col("exempt"), None).when(F.col("at_lo") > F.col("ends"), "after_end").when(F.col("at_hi") > F.col("ends"), "reaches_past")
+    ends = F.col("ends") if end is None else F.least("ends", end)  # of one null and one value, the value
+    kind = F.when(F.col("at_lo") < F.col("born"), "before_birth").when(F.col("exempt"), None).when(F.col("at_lo") > ends, "after_end").when(F.col("at_hi") > ends, "reaches_past")
     return joined.withColumn("kind", kind).where("kind IS NOT NULL")
 
 
+def life_steps(people: DataFrame) -> DataFrame:
+    """(name, phase, seq, year, carrier) of people (name, landed, planned, first, last), landed and planned being arrays of (seq, year, carrier)."""
+    step = lambda c: F.expr(f"named_struct('seq', cast({c} AS bigint), 'year', cast(null AS bigint), 'carrier', cast(null AS string))")
+    listed = [people.select("name", F.lit(phase).alias("phase"), F.explode(phase).alias("x")) for phase in ("landed", "planned")]
+    ranged = people.select("name", F.lit("range").alias("phase"), F.explode(F.array(step("first"), step("last"))).alias("x")).where("x.seq IS NOT NULL")
+    columns = ["name", "phase", F.col("x.seq").cast("bigint").alias("seq"), F.col("x.year").cast("bigint").alias("year"), F.coalesce("x.carrier", F.lit("in_person")).alias("carrier")]
+    return listed[0].select(*columns).unionByName(listed[1].select(*columns)).unionByName(ranged.select(*columns))
+
+
+def life_verdicts(steps: DataFrame, people: DataFrame, sections: DataFrame, spans: DataFrame, end: int) -> DataFrame:
+    """Steps (corpus, name, seq, year, carrier) whose year is outside the window of people (name, born, ends), with its kind.
+
+    Years are the declared one, else those of the step's volume in ``spans`` (lo, hi, year_lo, year_hi).
+    Steps without a section number are ``undated``, those of sections in no volume ``no_span``; steps
+    whose section does not exist are left out.
+    """
+    undated = steps.where("seq IS NULL").withColumn("kind", F.lit("undated"))
+    there = steps.join(sections.select("corpus", "seq").distinct(), ["corpus", "seq"], "left_semi")
+    placed = there.join(few(spans), F.col("seq").between(F.col("lo"), F.col("hi")), "left")
+    dated = placed.where("lo IS NOT NULL").withColumns({"at_lo": F.coalesce("year", "year_lo"), "at_hi": F.coalesce("year", "year_hi"), "exempt": F.col("carrier").isin(*CARRIERS)})
+    out = undated.unionByName(placed.where("lo IS NULL").select(*steps.columns, F.lit("no_span").alias("kind")))
+    return out.unionByName(life_windows(dated, people, ["name"], F.lit(end)).select(*steps.columns, "kind"))
+
+
 def landing_years(landings: DataFrame, overrides: DataFrame, spans: DataFrame) -> DataFrame:
     """Add at_lo and at_hi: the declared year, else the section's override, else its volume's years (else null)."""
-    a = landings.join(F.broadcast(overrides.select("seq", F.col("year").alias("over"))), "seq", "left")
-    b = a.join(F.broadcast(spans), F.col("seq").between(F.col("lo"), F.col("hi")), "left")
+    a = landings.join(few(overrides.select("seq", F.col("year").alias("over"))), "seq", "left")
+    b = a.join(few(spans), F.col("seq").between(F.col("lo"), F.col("hi")), "left")
     return b.withColumn("at_lo", F.coalesce("year", "over", "year_lo")).withColumn("at_hi", F.coalesce("year", "over", "year_hi"))
 
 
@@ -96,32 +138,74 @@ def uncovered_cards(cards: DataFrame, plan: DataFrame) -> DataFrame:
     return cards.select("card").distinct().join(covered, "card", "left_anti")
 
 
-def seat_closure(seats: DataFrame, found: DataFrame, planted: DataFrame, cutoff: int) -> DataFrame:
-    """Seats (corpus, name): sections up to the cutoff, planting that qualifies, and the verdict."""
+def planting_stands(anchor: str, cutoff: int, volume_limit: int) -> Column:
+    """Whether a planting's anchor text says that it stands: by its words, a section up to the cutoff, or a volume up to the limit."""
+    sections = F.exists(F.regexp_extract_all(anchor, F.lit(r"ch\s*(\d+)"), 1), lambda n: n.try_cast("bigint") <= cutoff)
+    volumes = F.exists(F.regexp_extract_all(anchor, F.lit("卷([一二三四五六七八九十]+)"), 1), lambda n: F.coalesce(numeral(n) <= volume_limit, F.lit(False)))
+    return F.col(anchor).rlike(PLANTED) | F.coalesce(sections, F.lit(False)) | volumes
+
+
+def seat_closure(seats: DataFrame, found: DataFrame, planted: DataFrame, cutoff: int, volume_limit: int = 12) -> DataFrame:
+    """Seats (corpus, name): sections up to the cutoff, planting (status, anchor, volume) that qualifies, and the verdict."""
     counted = found.where(F.col("seq") <= cutoff).groupBy("corpus", "name").agg(F.count(F.lit(1)).alias("sections"))
-    good = planted.where((F.col("status").isin("planted", "done")) | (F.col("anchor") <= cutoff)).select("corpus", "name", F.lit(True).alias("planted")).distinct()
+    good = planted.where((F.col("status").isin("planted", "done")) | (F.col("anchor") <= cutoff) | (F.col("volume") <= volume_limit)).select("corpus", "name", F.lit(True).alias("planted")).distinct()
     out = seats.join(counted, ["corpus", "name"], "left").join(good, ["corpus", "name"], "left")
     n, p = F.coalesce("sections", F.lit(0)).cast("bigint"), F.coalesce("planted", F.lit(False))
     verdict = F.when((n == 0) & ~p, "open").when(n <= 1, "thin").otherwise("closed")
     return out.select("corpus", "name", n.alias("sections"), p.alias("planted"), verdict.alias("verdict"))
 
 
-def life_board(people: DataFrame, volumes: DataFrame, slack: int = 1) -> DataFrame:
-    """Per volume (vol, y0, y1): people (ends) whose last chance it is, whose end is near, who are planned here."""
-    joined = people.join(F.broadcast(volumes), (F.col("ends") >= F.col("y0")) & (F.col("ends") <= F.col("y1") + slack))
+def seat_summary(closure: DataFrame, thin_max: int = 6) -> DataFrame:
+    """Per corpus: seats, open ones, those with one section at most, and a warning above ``thin_max`` of these."""
+    out = closure.groupBy("corpus").agg(F.count(F.lit(1)).alias("seats"), F.count_if(F.col("verdict") == "open").alias("open"), F.count_if(F.col("sections") <= 1).alias("thin"))
+    return out.withColumn("warn", F.col("thin") > thin_max)
+
+
+def life_board(people: DataFrame, volumes: DataFrame, slack: int | Column = 1) -> DataFrame:
+    """For every volume (vol, lo, hi, y0, y1): people (name, ends, landed, planned) by what it means to them.
+
+    ``last_chance``: they end in it; ``near_end``: they end within ``slack`` after it; ``planned``:
+    a section of it is among their planned ones (array); ``pending``: how many of all have nothing
+    landed but something planned.
+    """
+    spans = few(volumes)
+    ending = people.select("ends").join(spans, (F.col("ends") >= F.col("y0")) & (F.col("ends") <= F.col("y1") + slack))
     last = F.col("ends") <= F.col("y1")
-    return joined.groupBy("vol").agg(F.count_if(last).alias("last_chance"), F.count_if(~last).alias("near_end"), F.count_if(last & F.col("pending")).alias("pending"))
+    ended = ending.groupBy("vol").agg(F.count_if(last).alias("last_chance"), F.count_if(~last).alias("near_end"))
+    here = people.select("name", F.explode("planned").alias("seq")).join(spans, F.col("seq").between(F.col("lo"), F.col("hi"))).groupBy("vol").agg(F.count_distinct("name").alias("planned"))
+    pending = people.agg(F.count_if((F.col("landed") == 0) & (F.size("planned") > 0)).alias("pending"))  # one row
+    board = volumes.join(ended, "vol", "left").join(here, "vol", "left").na.fill(0, ["last_chance", "near_end", "planned"])
+    return board.crossJoin(F.broadcast(pending)).select("vol", "last_chance", "near_end", "planned", "pending")
+
+
+def missing_numbers(volumes: DataFrame, sections: DataFrame) -> DataFrame:
+    """(corpus, vol, seq): the numbers of a volume (vol, lo, hi) that have no section."""
+    wanted = sections.select("corpus").distinct().join(few(volumes)).select("corpus", "vol", F.explode(F.sequence("lo", "hi")).alias("seq"))
+    return wanted.join(sections.select("corpus", "seq"), ["corpus", "seq"], "left_anti").select("corpus", "vol", "seq")
 
 
 def missing_sections(volumes: DataFrame, sections: DataFrame) -> DataFrame:
-    """(corpus, vol, missing): how many numbers of a volume have no section."""
-    wanted = sections.select("corpus").distinct().join(F.broadcast(volumes)).select("corpus", "vol", F.explode(F.sequence("lo", "hi")).alias("seq"))
-    return wanted.join(sections.select("corpus", "seq"), ["corpus", "seq"], "left_anti").groupBy("corpus", "vol").agg(F.count(F.lit(1)).alias("missing"))
+    """(corpus, vol, missing, first, last, state) of volumes with missing sections: ``partial``, or ``unwritten`` if all are."""
+    gaps = missing_numbers(volumes, sections).groupBy("corpus", "vol").agg(F.count(F.lit(1)).alias("missing"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    state = F.when(F.col("missing") == F.col("hi") - F.col("lo") + 1, "unwritten").otherwise("partial")
+    return gaps.join(few(volumes), "vol").select("corpus", "vol", "missing", "first", "last", state.alias("state"))
+
+
+def next_volume(missing: DataFrame) -> DataFrame:
+    """(corpus, vol, missing): each corpus's first volume with missing sections."""
+    return missing.groupBy("corpus").agg(F.min_by(F.struct("vol", "missing"), "vol").alias("x")).select("corpus", "x.*")
 
 
-def life_board_lists(people: DataFrame) -> DataFrame:
-    """(name, list): people without a landing, with one only planned, past their ceiling without one."""
-    kinds = F.array(F.when(F.col("landed") == 0, F.lit("no_landing")), F.when((F.col("landed") == 0) & (F.col("planned") > 0), F.lit("pending")), F.when((F.col("landed") == 0) & F.col("past"), F.lit("past_ceiling")))
+def life_board_lists(people: DataFrame, next_from: Column | None = None) -> DataFrame:
+    """(name, list) of people (name, landed, planned, ranged, waiting, ends, dies).
+
+    ``no_landing``: nothing landed, but something planned or a range; ``pending``: their status is
+    waiting; ``past_ceiling``: known to die and ending at the next volume's start (``next_from``) or
+    before, with nothing landed.
+    """
+    none = F.col("landed") == 0
+    past = F.lit(False) if next_from is None else none & F.col("dies") & (F.col("ends") <= next_from)
+    kinds = F.array(F.when(none & ((F.col("planned") > 0) | F.col("ranged")), F.lit("no_landing")), F.when(F.col("waiting"), F.lit("pending")), F.when(past, F.lit("past_ceiling")))
     return people.select("name", F.explode(F.array_compact(kinds)).alias("list"))
 
 
@@ -135,12 +219,12 @@ def attribute_gate(current: DataFrame, baseline: DataFrame, expected: DataFrame)
 def apply_adjudications(candidates: DataFrame, ruled: DataFrame) -> DataFrame:
     """Candidates (corpus, sent) no ruling (corpus, anchor) covers; rulings are few."""
     r = ruled.select(F.col("corpus").alias("rc"), "anchor")
-    return candidates.join(F.broadcast(r), (F.col("corpus") == F.col("rc")) & F.expr("contains(sent, anchor)"), "left_anti")
+    return candidates.join(few(r), (F.col("corpus") == F.col("rc")) & F.expr("contains(sent, anchor)"), "left_anti")
 
 
 def resolved_adjudications(ruled: DataFrame, sections: DataFrame) -> DataFrame:
     """Rulings whose anchor no section of their corpus has any more."""
-    met = sections.join(F.broadcast(ruled.select(F.col("corpus").alias("rc"), "anchor")), (F.col("corpus") == F.col("rc")) & F.expr("contains(text, anchor)")).select("corpus", "anchor").distinct()
+    met = sections.join(few(ruled.select(F.col("corpus").alias("rc"), "anchor")), (F.col("corpus") == F.col("rc")) & F.expr("contains(text, anchor)")).select("corpus", "anchor").distinct()
     return ruled.join(met, ["corpus", "anchor"], "left_anti").select("corpus", "anchor")
 
 

@@ -5,11 +5,13 @@ All take ``doc_lines`` (doc, pos, line, level, heading, at, key) or documents (d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Severity tiers of the checks.
 TIERS = {"glued_heading": 1, "level_jump": 2, "dup_card": 1, "dup_field": 2, "colon": 3, "field_alias": 3, "table_columns": 1, "quote_imbalance": 2}
+#: Fixed value: names of persons.
+PERSON = r"^[\u4e00-\u9fa5]{2,}$"
 
 
 def doc_lines(docs: DataFrame) -> DataFrame:
@@ -35,12 +37,18 @@ def lint_level_jump(lines: DataFrame) -> DataFrame:
     return _finding(heads.where("level > before + 1"), "level_jump", F.concat_ws(">", "before", "level"))
 
 
-def lint_dup_card(lines: DataFrame, least_level: int = 3) -> DataFrame:
-    """Headings of a level with fields whose name occurs before among such headings."""
+def card_name(heading: str) -> Column:
+    """A heading without its number and without what follows a bracket, bar, dot, dash, slash or white space."""
+    bare = F.trim(F.regexp_replace(heading, r"^[0-9]+[a-z]?[.、]\s*", ""))
+    return F.regexp_extract(bare, r"^([^（(｜|·\s—/]*)", 1)
+
+
+def lint_dup_card(lines: DataFrame, least_level: int = 3, person: str = PERSON) -> DataFrame:
+    """Headings of a level with fields whose name, a person's, occurs before among such headings."""
     with_fields = lines.where("key IS NOT NULL AND at IS NOT NULL").select("doc", F.col("at").alias("pos")).distinct()
-    cards = lines.where(F.col("level") >= least_level).join(with_fields, ["doc", "pos"], "left_semi").withColumn("name", F.regexp_replace("heading", r"[（(].*$|^\d+[.、]?\s*|\s", ""))
+    cards = lines.where(F.col("level") >= least_level).join(with_fields, ["doc", "pos"], "left_semi").withColumn("name", card_name("heading"))
     first = F.min("pos").over(Window.partitionBy("doc", "level", "name"))
-    return _finding(cards.where("name <> ''").withColumn("first", first).where("pos > first"), "dup_card", F.concat_ws("@", "name", "first"))
+    return _finding(cards.where(F.col("name").rlike(person)).withColumn("first", first).where("pos > first"), "dup_card", F.concat_ws("@", "name", "first"))
 
 
 def lint_dup_field(lines: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusqa.functions.text import char_count, occurrences, para_kind
+from corpusqa.operators.sizes import few
 from corpusqa.schemas import LATIN, LangPack
 
 KEY = ["corpus", "seq"]
@@ -70,7 +71,7 @@ def quote_hygiene(sections: DataFrame, opener: str = "(", closer: str = ")", hal
 
 def in_ranges(rows: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
     """The rows whose seq lies in any (lo, hi), once each; ranges are few."""
-    return rows.join(F.broadcast(ranges), F.col("seq").between(F.col("lo"), F.col("hi")), "left_semi").select(*key)
+    return rows.join(few(ranges), F.col("seq").between(F.col("lo"), F.col("hi")), "left_semi").select(*key)
 
 
 def budget_status(sections: DataFrame, ranges: DataFrame, floor: int, ceiling: int, exempt_ceiling: int, new_from: int) -> DataFrame:
@@ -82,34 +83,52 @@ def budget_status(sections: DataFrame, ranges: DataFrame, floor: int, ceiling: i
     return joined.select(*KEY, "chars", "exempt", status.alias("status"))
 
 
-def section_metrics(sections: DataFrame, pack: LangPack = LATIN) -> DataFrame:
-    """chars, hits of the pack's pattern, and paragraph counts of each section."""
-    base = pattern_density(sections, pack.negation).select(*KEY, "chars", "hits")
-    stats = paragraph_stats(sections, pack).select(*KEY, "n_all", "chars_all", "short_all", "n_quote")
-    return base.join(stats, KEY, "left").na.fill(0, ["n_all", "chars_all", "short_all", "n_quote"])
+def section_metrics(sections: DataFrame, pack: LangPack = LATIN, budget: DataFrame | None = None, marks: tuple[str, str, str] | None = None) -> DataFrame:
+    """What a rollup needs of each section: characters, pattern hits, paragraphs by kind, repeats, marks and its budget class.
+
+    ``budget`` is the result of ``budget_status``; ``marks`` are the opener, the closer and the
+    half-width quote, by default the pack's.
+    """
+    opener, closer, half = marks or (pack.openers[0], pack.closers[0], '"')
+    n = lambda c: occurrences(F.col("text"), F.lit(c))
+    base = sections.select(*KEY, char_count(F.col("text")).alias("chars"), F.regexp_count("text", F.lit(pack.negation)).cast("bigint").alias("hits"), n(opener).alias("opens"), n(closer).alias("closes"), n(half).alias("half"))
+    stats = paragraph_stats(sections, pack)
+    repeats = repeat_hits(sections, pack=pack).select(*KEY, F.col("hits").alias("dups"))
+    out = base.join(stats, KEY, "left").join(repeats, KEY, "left")
+    if budget is None:
+        out = out.withColumns({"status": F.lit("ok"), "exempt": F.lit(False)})
+    else:
+        out = out.join(budget.select(*KEY, "status", "exempt"), KEY, "left")
+    return out.na.fill(0).na.fill({"status": "ok", "exempt": False})
+
+
+#: Metrics of a rollup with the direction in which they get worse and their tolerance.
+TOLERANCES = [
+    ("short_pct", "up", 2), ("nar_mean", "down", 3), ("nar_short_pct", "up", 3), ("quote_mean", "down", 2), ("hits_10k", "up", 2), ("dups_10k", "up", 2),
+    ("half", "up", 0), ("unpaired", "up", 0), ("under_floor", "up", 0), ("over_ceil", "up", 0), ("over_exempt", "up", 0),
+]
 
 
 def rollup_metrics(metrics: DataFrame, volumes: DataFrame) -> DataFrame:
-    """One row for each (corpus, volume) and one for the whole corpus (vol null, label ``total``)."""
-    sums = [
-        F.count(F.lit(1)).alias("sections"),
-        F.sum("chars").alias("chars"),
-        F.min("chars").alias("min_chars"),
-        F.max("chars").alias("max_chars"),
-        F.sum("hits").alias("hits"),
-        F.sum("n_all").alias("paras"),
-        F.sum("chars_all").alias("para_chars"),
-        F.sum("short_all").alias("short_paras"),
-        F.sum("n_quote").alias("quotes"),
-    ]
-    placed = metrics.join(F.broadcast(volumes), F.col("seq").between(F.col("lo"), F.col("hi")))
-    by_volume = placed.groupBy("corpus", "vol").agg(*sums)
-    total = metrics.groupBy("corpus").agg(*sums).withColumn("vol", F.lit(None).cast("bigint"))
-    out = by_volume.unionByName(total)
+    """One row for each (corpus, volume) and one for the whole corpus (vol null, label ``total``), in one aggregation.
+
+    Volumes may overlap or leave sections out; the total has each section once.
+    """
+    total = lambda c: F.sum(c).alias(c)
+    sums = [F.count(F.lit(1)).alias("sections"), F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars")]
+    sums += [total(c) for c in ("chars", "hits", "dups", "half", "opens", "closes")]
+    sums += [total(f"{what}_{kind}") for kind in ("all", "narrative", "quote") for what in ("n", "chars", "short")]
+    sums += [F.count_if(F.col("status") == status).alias(name) for status, name in (("under", "under_floor"), ("over", "over_ceil"), ("exempt_over", "over_exempt"))] + [F.count_if("exempt").alias("exempt")]
+    whole = volumes.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("vol"), F.lit(-(1 << 62)).alias("lo"), F.lit(1 << 62).alias("hi"))
+    spans = volumes.select("vol", "lo", "hi").unionByName(whole)
+    out = metrics.join(few(spans), F.col("seq").between(F.col("lo"), F.col("hi"))).groupBy("corpus", "vol").agg(*sums)
     div = lambda a, b, k=1: F.expr(f"if({b} = 0, 0, {a} * {k} div {b})").cast("bigint")
     return out.select(
-        "corpus", "vol", F.when(F.col("vol").isNull(), "total").otherwise(F.concat(F.lit("v"), F.col("vol").cast("string"))).alias("label"), "sections", "chars", "min_chars", "max_chars", "hits", "paras", "short_paras", "quotes",
-        div("chars", "sections").alias("mean_chars"), div("hits", "chars", 10000).alias("hits_10k"), div("para_chars", "paras").alias("mean_para"), div("short_paras", "paras", 100).alias("short_pct"),
+        "corpus", "vol", F.when(F.col("vol").isNull(), "total").otherwise(F.concat(F.lit("v"), F.col("vol").cast("string"))).alias("label"), "sections", "chars", "min_chars", "max_chars", "hits", "dups", "half",
+        F.abs(F.col("opens") - F.col("closes")).alias("unpaired"), "under_floor", "over_ceil", "over_exempt", "exempt", F.col("n_all").alias("paras"), F.col("n_quote").alias("quotes"),
+        div("chars", "sections").alias("mean_chars"), div("hits", "chars", 10000).alias("hits_10k"), div("dups", "chars", 10000).alias("dups_10k"),
+        div("chars_all", "n_all").alias("mean_para"), div("short_all", "n_all", 100).alias("short_pct"), div("chars_narrative", "n_narrative").alias("nar_mean"), div("short_narrative", "n_narrative", 100).alias("nar_short_pct"),
+        div("chars_quote", "n_quote").alias("quote_mean"), div("short_quote", "n_quote", 100).alias("quote_short_pct"), div("n_quote", "n_all", 100).alias("quote_pct"),
     )
 
 

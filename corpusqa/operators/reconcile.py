@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusqa.operators.sizes import few
+
 
 def mirror_diff(src: DataFrame, mirror: DataFrame, key: list[str], content: str) -> DataFrame:
     """(key, status): missing in the mirror, different, or extra there."""
@@ -21,12 +23,25 @@ def index_coverage(items: DataFrame, index: DataFrame, key: str, by: str) -> Dat
     return a.join(b, [by, key], "full").groupBy(by).agg(F.count("a").alias("items"), F.count("b").alias("listed"), F.count_if(F.col("b").isNull()).alias("unlisted"), F.count_if(F.col("a").isNull()).alias("extra"))
 
 
-def title_reconcile(declared: DataFrame, actual: DataFrame, missing_severity: str = "fail") -> DataFrame:
-    """(id, status, severity) of titles (id, title) declared and found."""
-    joined = declared.select("id", F.col("title").alias("d")).join(actual.select("id", F.col("title").alias("t"), F.lit(True).alias("there")), "id", "full")
-    status = F.when(F.col("there").isNull(), "section_missing").when(F.col("d").isNull(), "undeclared").when(F.coalesce("t", F.lit("")) == "", "heading_absent").when(F.col("d") != F.col("t"), "mismatch")
-    severity = F.when(F.col("status") == "section_missing", missing_severity).when(F.col("status") == "undeclared", "warn").otherwise("fail")
-    return joined.select("id", status.alias("status")).where("status IS NOT NULL").withColumn("severity", severity)
+def title_reconcile(declared: DataFrame, actual: DataFrame, predeclared: bool = False) -> DataFrame:
+    """(id, vol, status, severity) of titles declared (vol, id, title) and found (id, title).
+
+    A volume ranges from its first to its last declared id.  A declared one without a section
+    (``section_missing``) fails up to the number of sections and warns past it, or if outlines may
+    run ahead (``predeclared``), and is listed as ``beyond_source``, too.  A section inside a volume's
+    range that the volume does not declare is ``undeclared``; a section in no range is no matter of titles.
+    """
+    have = actual.select("id", F.col("title").alias("t"), F.lit(True).alias("there"))
+    joined = declared.select("vol", "id", F.col("title").alias("d")).join(have, "id", "left")
+    status = F.when(F.col("there").isNull(), "section_missing").when(F.coalesce("t", F.lit("")) == "", "heading_absent").when(F.col("d") != F.col("t"), "mismatch")
+    judged = joined.select("id", "vol", status.alias("status")).where("status IS NOT NULL")
+    n = F.broadcast(actual.agg(F.count_distinct("id").alias("n")))  # one row
+    severity = F.when((F.col("status") == "section_missing") & (F.lit(predeclared) | (F.col("id") > F.col("n"))), "warn").otherwise("fail")
+    judged = judged.crossJoin(n).select("id", "vol", "status", severity.alias("severity"))
+    beyond = judged.where("status = 'section_missing'").select("id", "vol", F.lit("beyond_source").alias("status"), F.lit("warn").alias("severity"))
+    ranges = declared.groupBy("vol").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    inside = actual.select("id").join(few(ranges), F.col("id").between(F.col("lo"), F.col("hi"))).join(declared.select("vol", "id"), ["vol", "id"], "left_anti")
+    return judged.unionByName(beyond).unionByName(inside.select("id", "vol", F.lit("undeclared").alias("status"), F.lit("warn").alias("severity")))
 
 
 def progress_check(progress: DataFrame, sections: DataFrame, mirror: DataFrame) -> DataFrame:
@@ -52,12 +67,12 @@ def bucket_of(df: DataFrame, starts: DataFrame) -> DataFrame:
     """Add the bucket (name) of the largest start that is not above seq; starts are few."""
     ends = starts.withColumn("next", F.lead("start").over(Window.partitionBy("kind").orderBy("start"))).drop("kind")
     inside = (F.col("seq") >= F.col("start")) & (F.col("next").isNull() | (F.col("seq") < F.col("next")))
-    return df.join(F.broadcast(ends), inside, "left").drop("start", "next")
+    return df.join(few(ends), inside, "left").drop("start", "next")
 
 
 def stage_status(progress: DataFrame, stages: DataFrame, artifacts: DataFrame) -> DataFrame:
     """(corpus, stage, status, has_artifact) for every corpus and stage; stages are few."""
-    every = progress.select("corpus", F.col("stage").alias("current")).join(F.broadcast(stages))
+    every = progress.select("corpus", F.col("stage").alias("current")).join(few(stages))
     status = F.when(F.col("stage") < F.col("current"), "done").when(F.col("stage") == F.col("current"), "active").otherwise("todo")
     has = artifacts.where("size > 0").select("corpus", "stage", F.lit(True).alias("has")).distinct()
     return every.join(has, ["corpus", "stage"], "left").select("corpus", "stage", status.alias("status"), F.coalesce("has", F.lit(False)).alias("has_artifact"))

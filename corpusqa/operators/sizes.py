@@ -1,0 +1,14 @@
+"""Checked sizes of parameter tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a parameter table is broadcast.
+FEW = 20_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df`` marked for broadcast if it has ``most`` rows or fewer (a job that stops counting there), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

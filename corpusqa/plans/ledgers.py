@@ -98,10 +98,10 @@ def f3(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "f4_custody_terminal",
-    f"WITH {SEC}, t(corpus, ch, f1, f2) AS (VALUES ('src0', 10, 'Thble', 'ment'), ('src1', 20, 'zzz', 'und'), ('src2', 5, 'que', 'the')) SELECT corpus, 'c' AS chain, seq, CASE WHEN contains(text, f1) THEN f1 ELSE f2 END AS phrase FROM sec JOIN t USING (corpus) WHERE seq > ch AND (contains(text, f1) OR contains(text, f2))",
+    f"WITH {SEC}, t(corpus, ch, f1, f2) AS (VALUES ('src0', 10, 'Thble', 'ment'), ('src1', 20, 'zzz', 'und'), ('src2', 5, 'que', 'the')) SELECT corpus, 'c' AS chain, 'after_end' AS kind, seq, CASE WHEN contains(text, f1) THEN f1 ELSE f2 END AS phrase FROM sec JOIN t USING (corpus) WHERE seq > ch AND (contains(text, f1) OR contains(text, f2)) UNION ALL SELECT 'src3', 'c', 'no_phrases', NULL, NULL",
 )
 def f4(spark: SparkSession, d: str) -> DataFrame:
-    ends = values(spark, "corpus STRING, chain STRING, ch BIGINT, forbid ARRAY<STRING>", ("src0", "c", 10, ["Thble", "ment"]), ("src1", "c", 20, ["zzz", "und"]), ("src2", "c", 5, ["que", "the"]))
+    ends = values(spark, "corpus STRING, chain STRING, ch BIGINT, forbid ARRAY<STRING>", ("src0", "c", 10, ["Thble", "ment"]), ("src1", "c", 20, ["zzz", "und"]), ("src2", "c", 5, ["que", "the"]), ("src3", "c", 7, []))
     return ledgers.custody_terminal(ends, sections(spark, d))
 
 
@@ -137,6 +137,15 @@ def f6(spark: SparkSession, d: str) -> DataFrame:
     return ledgers.onset_closure(onsets(spark, d), found(spark, d), sections(spark, d), 15)
 
 
+CLOSURE = f"{MENTIONS}, {ONSET_SQL}, c AS (SELECT DISTINCT corpus FROM sec), cl AS (SELECT c.corpus, o.name, o.fa::BIGINT AS first_appearance, CASE WHEN fa IS NULL OR fa >= 15 THEN 'late' WHEN sec.seq IS NULL THEN 'pending' WHEN men.seq IS NOT NULL THEN 'met' ELSE 'missing' END AS status FROM c CROSS JOIN o LEFT JOIN sec ON sec.corpus = c.corpus AND sec.seq = o.fa LEFT JOIN men ON men.corpus = c.corpus AND men.name = o.name AND men.seq = o.fa WHERE NOT (o.name = 'Nicht' AND c.corpus LIKE '%3'))"
+
+
+@query("f6_onset_lateness", f"WITH {CLOSURE} SELECT corpus, count(*) AS entries, count(*) FILTER (status = 'late') AS late, count(*) FILTER (status = 'met') AS met, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'late') > 1 AS warn FROM cl GROUP BY corpus")
+def f6b(spark: SparkSession, d: str) -> DataFrame:
+    ledger = onsets(spark, d).where("NOT (name = 'Nicht' AND corpus LIKE '%3')")
+    return ledgers.onset_lateness(ledgers.onset_closure(ledger, found(spark, d), sections(spark, d), 15), 1)
+
+
 def lives(spark: SparkSession, d: str) -> DataFrame:
     landings = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("person"), F.col("l_shipdate").alias("at_lo"), F.expr("l_shipdate + interval 10 days").alias("at_hi"), (F.col("l_returnflag") == "R").alias("exempt"))
     people = table(spark, d, "orders").select(F.col("o_orderkey").alias("person"), F.col("o_orderdate").alias("born"), F.expr("o_orderdate + interval 90 days").alias("ends"))
@@ -162,6 +171,24 @@ def f7b(spark: SparkSession, d: str) -> DataFrame:
     return ledgers.landing_years(landings, over, spans).select("corpus", "seq", "at_lo", "at_hi")
 
 
+LIFE_SPANS = ((1, 10, 1992, 1993), (11, 20, 1993, 1996), (21, 35, 1996, 1998))
+
+
+@query(
+    "f7_life_verdicts",
+    f"WITH {SEC}, v(lo, hi, y0, y1) AS (VALUES (1, 10, 1992, 1993), (11, 20, 1993, 1996), (21, 35, 1996, 1998)), p AS (SELECT o_orderkey AS name, year(o_orderdate) AS born, CASE WHEN o_orderstatus = 'F' THEN year(o_orderdate) + 1 END AS ends, 'src' || (o_custkey % 20) AS corpus FROM orders), "
+    "st AS (SELECT l_orderkey AS name, CASE WHEN l_linenumber < 7 THEN l_partkey % 60 + 1 END AS seq, CASE WHEN l_returnflag = 'A' THEN year(l_shipdate) END AS y, l_suppkey % 7 = 0 AS l0 FROM lineitem), "
+    "j AS (SELECT st.name, CASE WHEN st.seq IS NULL THEN 'undated' WHEN v.lo IS NULL THEN 'no_span' WHEN coalesce(y, y0) < born THEN 'before_birth' WHEN l0 THEN NULL WHEN coalesce(y, y0) > least(ends, 1997) THEN 'after_end' WHEN coalesce(y, y1) > least(ends, 1997) THEN 'reaches_past' END AS kind FROM st JOIN p USING (name) LEFT JOIN sec ON sec.corpus = p.corpus AND sec.seq = st.seq LEFT JOIN v ON st.seq BETWEEN v.lo AND v.hi WHERE st.seq IS NULL OR sec.seq IS NOT NULL) SELECT name, kind, count(*) AS n FROM j WHERE kind IS NOT NULL GROUP BY ALL",
+)
+def f7c(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "orders").select(F.col("o_orderkey").alias("name"), F.year("o_orderdate").alias("born"), F.expr("if(o_orderstatus = 'F', year(o_orderdate) + 1, null)").alias("ends"), F.concat(F.lit("src"), (F.col("o_custkey") % 20).cast("string")).alias("corpus"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("name"), F.expr("if(l_linenumber < 7, l_partkey % 60 + 1, null)").alias("seq"), F.expr("if(l_returnflag = 'A', year(l_shipdate), null)").alias("year"), F.expr("if(l_suppkey % 7 = 0, 'document', 'in_person')").alias("carrier"))
+    steps = lines.join(people.select("name", "corpus"), "name")
+    spans = values(spark, "lo BIGINT, hi BIGINT, year_lo BIGINT, year_hi BIGINT", *LIFE_SPANS)
+    verdicts = ledgers.life_verdicts(steps, people.drop("corpus"), sections(spark, d), spans, 1997)
+    return verdicts.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 RANGES = "SELECT c_nationkey AS vol, min(c_custkey) AS lo, max(c_custkey) AS hi, count(*) AS y0, count(*) FILTER (c_acctbal > 0) AS y1 FROM customer"
 
 
@@ -185,43 +212,73 @@ def f9(spark: SparkSession, d: str) -> DataFrame:
     return ledgers.uncovered_cards(cards, table(spark, d, "conversations").select(F.explode(words(F.col("text"))).alias("word")))
 
 
-@query(
-    "f10_seat_closure",
-    f"WITH {MENTIONS}, c AS (SELECT DISTINCT corpus FROM sec), p(name, status, anchor) AS (VALUES ('Zzzz', 'planted', 99), ('Thble', 'draft', 12), ('Thedre', 'draft', 99)), m AS (SELECT corpus, name, count(*) AS n FROM men WHERE seq <= 25 GROUP BY ALL), j AS (SELECT c.corpus, r.name, coalesce(n, 0) AS sections, coalesce(p.status IN ('planted', 'done') OR p.anchor <= 25, false) AS planted FROM c CROSS JOIN r LEFT JOIN m ON m.corpus = c.corpus AND m.name = r.name LEFT JOIN p ON p.name = r.name) SELECT *, CASE WHEN sections = 0 AND NOT planted THEN 'open' WHEN sections <= 1 THEN 'thin' ELSE 'closed' END AS verdict FROM j",
-)
-def f10(spark: SparkSession, d: str) -> DataFrame:
+PLANTINGS = (("Zzzz", "planted", 99, None), ("Thble", "draft", 12, None), ("Thedre", "draft", 99, 13), ("Eriner", "draft", 99, 12))
+SEATS = f"{MENTIONS}, c AS (SELECT DISTINCT corpus FROM sec), p(name, status, anchor, volume) AS (VALUES ('Zzzz', 'planted', 99, NULL), ('Thble', 'draft', 12, NULL), ('Thedre', 'draft', 99, 13), ('Eriner', 'draft', 99, 12)), m AS (SELECT corpus, name, count(*) AS n FROM men WHERE seq <= 5 GROUP BY ALL), j AS (SELECT c.corpus, r.name, coalesce(n, 0) AS sections, coalesce(p.status IN ('planted', 'done') OR p.anchor <= 5 OR p.volume <= 12, false) AS planted FROM c CROSS JOIN r LEFT JOIN m ON m.corpus = c.corpus AND m.name = r.name LEFT JOIN p ON p.name = r.name), cl AS (SELECT *, CASE WHEN sections = 0 AND NOT planted THEN 'open' WHEN sections <= 1 THEN 'thin' ELSE 'closed' END AS verdict FROM j)"
+
+
+def seats(spark: SparkSession, d: str) -> DataFrame:
     corpora = sections(spark, d).select("corpus").distinct()
-    planted = corpora.join(F.broadcast(values(spark, "name STRING, status STRING, anchor BIGINT", ("Zzzz", "planted", 99), ("Thble", "draft", 12), ("Thedre", "draft", 99))))
-    return ledgers.seat_closure(corpora.join(F.broadcast(roster(spark).select("name"))), found(spark, d), planted, 25)
+    planted = corpora.join(F.broadcast(values(spark, "name STRING, status STRING, anchor BIGINT, volume BIGINT", *PLANTINGS)))
+    return ledgers.seat_closure(corpora.join(F.broadcast(roster(spark).select("name"))), found(spark, d), planted, 5)
+
+
+@query("f10_seat_closure", f"WITH {SEATS} SELECT * FROM cl")
+def f10(spark: SparkSession, d: str) -> DataFrame:
+    return seats(spark, d)
+
+
+@query("f10_seat_summary", f"WITH {SEATS} SELECT corpus, count(*) AS seats, count(*) FILTER (verdict = 'open') AS open, count(*) FILTER (sections <= 1) AS thin, count(*) FILTER (sections <= 1) > 2 AS warn FROM cl GROUP BY corpus")
+def f10b(spark: SparkSession, d: str) -> DataFrame:
+    return ledgers.seat_summary(seats(spark, d), 2)
+
+
+LIVES = "l AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag = 'A') AS landed, count(*) FILTER (l_returnflag = 'N') AS planned FROM lineitem GROUP BY 1), p AS (SELECT o_orderkey AS name, CAST(o_orderdate AS DATE) + 90 AS ends, coalesce(landed, 0) AS landed, coalesce(planned, 0) AS planned, o_orderpriority = '1-URGENT' AS ranged, o_orderstatus = 'P' AS waiting, o_orderstatus = 'F' AS dies FROM orders LEFT JOIN l ON l.k = o_orderkey)"
+
+
+def mortals(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "A").alias("landed"), F.collect_list(F.expr("if(l_returnflag = 'N', l_partkey, null)")).alias("planned"))
+    people = table(spark, d, "orders").join(lines, "o_orderkey", "left")
+    return people.select(F.col("o_orderkey").alias("name"), F.date_add(F.to_date("o_orderdate"), 90).alias("ends"), F.coalesce("landed", F.lit(0)).alias("landed"), F.coalesce("planned", F.expr("cast(array() AS array<bigint>)")).alias("planned"), (F.col("o_orderpriority") == "1-URGENT").alias("ranged"), (F.col("o_orderstatus") == "P").alias("waiting"), (F.col("o_orderstatus") == "F").alias("dies"))
 
 
 @query(
     "f11_life_board",
-    "WITH v(vol, y0, y1) AS (SELECT i, DATE '1992-01-01' + (i * 200)::INT, DATE '1992-01-01' + (i * 200 + 199)::INT FROM range(0, 14) t(i)), p AS (SELECT CAST(o_orderdate AS DATE) + 90 AS ends, o_orderstatus = 'O' AS pending FROM orders) SELECT vol, count(*) FILTER (ends <= y1) AS last_chance, count(*) FILTER (ends > y1) AS near_end, count(*) FILTER (ends <= y1 AND pending) AS pending FROM p JOIN v ON ends >= y0 AND ends <= y1 + 20 GROUP BY vol",
+    f"WITH v(vol, lo, hi, y0, y1) AS (SELECT i, i * 100, i * 100 + 99, DATE '1992-01-01' + (i * 200)::INT, DATE '1992-01-01' + (i * 200 + 199)::INT FROM range(0, 14) t(i)), {LIVES}, e AS (SELECT vol, count(*) FILTER (ends <= y1) AS last_chance, count(*) FILTER (ends > y1) AS near_end FROM p JOIN v ON ends >= y0 AND ends <= y1 + 20 GROUP BY vol), h AS (SELECT vol, count(DISTINCT l_orderkey) AS planned FROM lineitem JOIN v ON l_partkey BETWEEN lo AND hi WHERE l_returnflag = 'N' AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY vol) SELECT vol, coalesce(last_chance, 0) AS last_chance, coalesce(near_end, 0) AS near_end, coalesce(h.planned, 0) AS planned, (SELECT count(*) FROM p WHERE landed = 0 AND planned > 0) AS pending FROM v LEFT JOIN e USING (vol) LEFT JOIN h USING (vol)",
 )
 def f11(spark: SparkSession, d: str) -> DataFrame:
-    vols = spark.range(14).select(F.col("id").alias("vol"), F.expr("date_add(DATE'1992-01-01', cast(id * 200 AS int))").alias("y0"), F.expr("date_add(DATE'1992-01-01', cast(id * 200 + 199 AS int))").alias("y1"))
-    people = table(spark, d, "orders").select(F.date_add(F.to_date("o_orderdate"), 90).alias("ends"), (F.col("o_orderstatus") == "O").alias("pending"))
-    return ledgers.life_board(people, vols, F.lit(20))
+    vols = spark.range(14).select(F.col("id").alias("vol"), (F.col("id") * 100).alias("lo"), (F.col("id") * 100 + 99).alias("hi"), F.expr("date_add(DATE'1992-01-01', cast(id * 200 AS int))").alias("y0"), F.expr("date_add(DATE'1992-01-01', cast(id * 200 + 199 AS int))").alias("y1"))
+    return ledgers.life_board(mortals(spark, d), vols, F.lit(20))
 
 
-@query(
-    "f11_missing_sections",
-    f"WITH {SEC}, v(vol, lo, hi) AS (VALUES (1, 1, 10), (2, 11, 30), (3, 31, 60)), k AS (SELECT corpus, seq FROM sec WHERE doc_id % 3 <> 0), c AS (SELECT DISTINCT corpus FROM k), w AS (SELECT corpus, vol, unnest(range(lo, hi + 1)) AS seq FROM c CROSS JOIN v) SELECT corpus, vol::BIGINT AS vol, count(*) AS missing FROM w ANTI JOIN k USING (corpus, seq) GROUP BY ALL",
-)
+GAPS = f"{SEC}, v(vol, lo, hi) AS (VALUES (1, 1, 10), (2, 11, 30), (3, 31, 60)), k AS (SELECT corpus, seq FROM sec WHERE doc_id % 3 <> 0), c AS (SELECT DISTINCT corpus FROM k), w AS (SELECT corpus, vol, unnest(range(lo, hi + 1)) AS seq FROM c CROSS JOIN v), gaps AS (SELECT corpus, vol::BIGINT AS vol, seq FROM w ANTI JOIN k USING (corpus, seq))"
+
+
+def written(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return values(spark, "vol BIGINT, lo BIGINT, hi BIGINT", (1, 1, 10), (2, 11, 30), (3, 31, 60)), sections(spark, d).where("doc_id % 3 <> 0")
+
+
+@query("f11_missing_sections", f"WITH {GAPS} SELECT g.corpus, g.vol, count(*) AS missing, min(seq) AS first, max(seq) AS last, CASE WHEN count(*) = any_value(hi - lo + 1) THEN 'unwritten' ELSE 'partial' END AS state FROM gaps g JOIN v ON v.vol = g.vol GROUP BY g.corpus, g.vol")
 def f11b(spark: SparkSession, d: str) -> DataFrame:
-    vols = values(spark, "vol BIGINT, lo BIGINT, hi BIGINT", (1, 1, 10), (2, 11, 30), (3, 31, 60))
-    return ledgers.missing_sections(vols, sections(spark, d).where("doc_id % 3 <> 0"))
+    return ledgers.missing_sections(*written(spark, d))
+
+
+@query("f11_missing_numbers", f"WITH {GAPS} SELECT * FROM gaps")
+def f11c(spark: SparkSession, d: str) -> DataFrame:
+    return ledgers.missing_numbers(*written(spark, d))
 
 
 @query(
     "f12_life_board_lists",
-    "WITH p AS (SELECT o_orderkey::VARCHAR AS name, count(l_orderkey) FILTER (l_returnflag = 'A') AS landed, count(l_orderkey) FILTER (l_returnflag = 'N') AS planned, any_value(o_orderstatus) = 'F' AS past FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) SELECT name, 'no_landing' AS list FROM p WHERE landed = 0 UNION ALL SELECT name, 'pending' FROM p WHERE landed = 0 AND planned > 0 UNION ALL SELECT name, 'past_ceiling' FROM p WHERE landed = 0 AND past",
+    f"WITH {LIVES} SELECT name, 'no_landing' AS list FROM p WHERE landed = 0 AND (planned > 0 OR ranged) UNION ALL SELECT name, 'pending' FROM p WHERE waiting UNION ALL SELECT name, 'past_ceiling' FROM p WHERE landed = 0 AND dies AND ends <= DATE '1994-06-01'",
 )
 def f12(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "A").alias("landed"), F.count_if(F.col("l_returnflag") == "N").alias("planned"))
-    people = table(spark, d, "orders").join(lines, "o_orderkey", "left").select(F.col("o_orderkey").cast("string").alias("name"), F.coalesce("landed", F.lit(0)).alias("landed"), F.coalesce("planned", F.lit(0)).alias("planned"), (F.col("o_orderstatus") == "F").alias("past"))
-    return ledgers.life_board_lists(people)
+    people = mortals(spark, d).withColumn("planned", F.size("planned"))
+    return ledgers.life_board_lists(people, F.lit("1994-06-01").cast("date"))
+
+
+@query("f12_next_volume", f"WITH {GAPS}, m AS (SELECT corpus, vol, count(*) AS missing FROM gaps GROUP BY ALL) SELECT corpus, min(vol) AS vol, arg_min(missing, vol) AS missing FROM m GROUP BY corpus")
+def f12b(spark: SparkSession, d: str) -> DataFrame:
+    return ledgers.next_volume(ledgers.missing_sections(*written(spark, d)))
 
 
 @query(

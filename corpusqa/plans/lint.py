@@ -10,6 +10,7 @@ from corpusqa.plans.registry import query
 from corpusqa.plans.tables import table
 
 CORE = ("name", "role")
+CARD = "^c[0-9]$"
 
 
 def marked(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +34,7 @@ MARKED = """raw AS (SELECT doc_id AS doc, generate_subscripts(string_split(text,
 FIND = {
     "glued_heading": "SELECT doc, 'glued_heading' AS \"check\", pos::BIGINT AS line, heading AS detail FROM dl WHERE level IS NOT NULL AND contains(heading, '##')",
     "level_jump": "SELECT doc, 'level_jump', pos::BIGINT, b || '>' || level FROM (SELECT *, lag(level) OVER (PARTITION BY doc ORDER BY pos) AS b FROM dl WHERE level IS NOT NULL) WHERE level > b + 1",
-    "dup_card": "SELECT doc, 'dup_card', pos::BIGINT, name || '@' || first FROM (SELECT *, min(pos) OVER (PARTITION BY doc, level, name) AS first FROM (SELECT *, regexp_replace(heading, '[（(].*$|^\\d+[.、]?\\s*|\\s', '', 'g') AS name FROM dl WHERE level >= 3 AND EXISTS (SELECT 1 FROM dl x WHERE x.doc = dl.doc AND x.\"at\" = dl.pos AND x.key IS NOT NULL)) WHERE name <> '') WHERE pos > first",
+    "dup_card": "SELECT doc, 'dup_card', pos::BIGINT, name || '@' || first FROM (SELECT *, min(pos) OVER (PARTITION BY doc, level, name) AS first FROM (SELECT *, regexp_extract(trim(regexp_replace(heading, '^[0-9]+[a-z]?[.、]\\s*', '')), '^([^（(｜|·\\s—/]*)', 1) AS name FROM dl WHERE level >= 3 AND EXISTS (SELECT 1 FROM dl x WHERE x.doc = dl.doc AND x.\"at\" = dl.pos AND x.key IS NOT NULL)) WHERE regexp_matches(name, '^c[0-9]$')) WHERE pos > first",
     "dup_field": "SELECT doc, 'dup_field', pos::BIGINT, key || '@' || first FROM (SELECT *, min(pos) OVER (PARTITION BY doc, coalesce(\"at\", -1), key) AS first FROM dl WHERE key IS NOT NULL) WHERE pos > first",
     "colon": "SELECT doc, 'colon', pos::BIGINT, key FROM dl WHERE regexp_matches(line, '^- \\*\\*[^*：:]{1,20}:')",
     "field_alias": "SELECT doc, 'field_alias', min(pos)::BIGINT, string_agg(DISTINCT key, '/' ORDER BY key) FROM (SELECT *, CASE WHEN contains(key, 'name') THEN 'name' WHEN contains(key, 'role') THEN 'role' END AS core FROM dl WHERE length(key) <= 8) WHERE core IS NOT NULL GROUP BY doc, core HAVING count(DISTINCT key) > 1",
@@ -48,7 +49,7 @@ def found(spark: SparkSession, d: str, check: str) -> DataFrame:
         return lint.lint_field_alias(lines, CORE)
     if check == "table_columns":
         return lint.lint_table_columns(docs)
-    return {"glued_heading": lint.lint_glued, "level_jump": lint.lint_level_jump, "dup_card": lint.lint_dup_card, "dup_field": lint.lint_dup_field, "colon": lint.lint_colon}[check](lines)
+    return {"glued_heading": lint.lint_glued, "level_jump": lint.lint_level_jump, "dup_card": lambda lines: lint.lint_dup_card(lines, person=CARD), "dup_field": lint.lint_dup_field, "colon": lint.lint_colon}[check](lines)
 
 
 @query("h1_doc_lines", f"WITH {MARKED} SELECT doc, count(*) AS lines, count(level) AS headings, count(key) AS fields, count(\"at\") AS below, sum(coalesce(\"at\", 0))::BIGINT AS at_sum FROM dl GROUP BY doc")

@@ -12,11 +12,11 @@ from corpusqa.operators import dups, metrics, rewrite
 from corpusqa.plans.registry import query
 from corpusqa.plans.tables import CHANGED, CHARS, PARAS, SEC, SENTS, changed, sections, table, values
 from corpusqa.schemas import LATIN
+from corpusqa.sources import publish, scratch
 
 TERMS = LATIN.lexicon
 SPEAKERS = ("en", "er", "es", "on")
 SPEAKER_VALUES = ", ".join(f"('{n}')" for n in SPEAKERS)
-TOLERANCES = [("chars", "down", 50), ("mean_chars", "up", 20), ("hits_10k", "up", 2), ("mean_para", "down", 3), ("short_pct", "up", 1), ("quotes", "down", 0)]
 VOLUMES = [(1, 1, 10), (2, 11, 30)]
 
 
@@ -138,17 +138,28 @@ def c7(spark: SparkSession, d: str) -> DataFrame:
     return metrics.budget_status(sections(spark, d), values(spark, "lo BIGINT, hi BIGINT", (5, 9), (20, 25)), 300, 3000, 6000, 45)
 
 
-MET = f"""met AS (SELECT corpus, seq, {CHARS} AS chars, {HITS} AS hits FROM sec), st AS (SELECT corpus, seq, count(*) AS n_all, sum(length(para))::BIGINT AS chars_all, count(*) FILTER (length(para) < 20) AS short_all, count(*) FILTER (starts_with(para, '"')) AS n_quote FROM par GROUP BY ALL),
-    full_met AS (SELECT corpus, seq, chars, hits, coalesce(n_all, 0) AS n_all, coalesce(chars_all, 0) AS chars_all, coalesce(short_all, 0) AS short_all, coalesce(n_quote, 0) AS n_quote FROM met LEFT JOIN st USING (corpus, seq))"""
-SUMS = "count(*) AS sections, sum(chars)::BIGINT AS chars, min(chars) AS min_chars, max(chars) AS max_chars, sum(hits)::BIGINT AS hits, sum(n_all)::BIGINT AS paras, sum(chars_all)::BIGINT AS para_chars, sum(short_all)::BIGINT AS short_paras, sum(n_quote)::BIGINT AS quotes"
-DIVS = "coalesce(chars // nullif(sections, 0), 0) AS mean_chars, coalesce(hits * 10000 // nullif(chars, 0), 0) AS hits_10k, coalesce(para_chars // nullif(paras, 0), 0) AS mean_para, coalesce(short_paras * 100 // nullif(paras, 0), 0) AS short_pct"
+MARKS = ("(", ")", '"')
+COUNTED = ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::BIGINT AS {n}" for c, n in zip(MARKS, ("opens", "closes", "half")))
+STAT_COLUMNS = [f"{what}_{kind}" for kind in ("all", "narrative", "quote") for what in ("n", "chars", "short")]
+MET = f"""{SENTS[len(SEC) + 2:]}, rep AS (SELECT corpus, sent FROM sen GROUP BY ALL HAVING count(*) >= 3), rh AS (SELECT corpus, seq, count(*) AS dups FROM sen JOIN rep USING (corpus, sent) GROUP BY ALL),
+    met AS (SELECT corpus, seq, {CHARS} AS chars, {HITS} AS hits, {COUNTED} FROM sec), st AS (SELECT corpus, seq, {STATS} FROM par GROUP BY ALL),
+    full_met AS (SELECT corpus, seq, chars, hits, opens, closes, half, coalesce(dups, 0) AS dups, seq BETWEEN 5 AND 9 OR seq BETWEEN 20 AND 25 OR seq >= 45 AS exempt, {", ".join(f"coalesce({c}, 0) AS {c}" for c in STAT_COLUMNS)} FROM met LEFT JOIN st USING (corpus, seq) LEFT JOIN rh USING (corpus, seq))"""
+SUMS = "count(*) AS sections, min(chars) AS min_chars, max(chars) AS max_chars, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in ["chars", "hits", "dups", "half", *STAT_COLUMNS]) + ", abs(sum(opens) - sum(closes))::BIGINT AS unpaired, count(*) FILTER (chars < 300) AS under_floor, count(*) FILTER (chars >= 300 AND NOT exempt AND chars > 3000) AS over_ceil, count(*) FILTER (exempt AND chars > 6000) AS over_exempt, count(*) FILTER (exempt) AS exempt"
+RATIOS = (("mean_chars", "chars", 1, "sections"), ("hits_10k", "hits", 10000, "chars"), ("dups_10k", "dups", 10000, "chars"), ("mean_para", "chars_all", 1, "n_all"), ("short_pct", "short_all", 100, "n_all"), ("nar_mean", "chars_narrative", 1, "n_narrative"), ("nar_short_pct", "short_narrative", 100, "n_narrative"), ("quote_mean", "chars_quote", 1, "n_quote"), ("quote_short_pct", "short_quote", 100, "n_quote"), ("quote_pct", "n_quote", 100, "n_all"))
+DIVS = ", ".join(f"coalesce({a} * {k} // nullif({b}, 0), 0) AS {name}" for name, a, k, b in RATIOS)
 ROLL = f"""roll AS (SELECT corpus, vol, 'v' || vol AS label, {SUMS} FROM full_met JOIN (VALUES (1, 1, 10), (2, 11, 30)) v(vol, lo, hi) ON seq BETWEEN lo AND hi GROUP BY corpus, vol UNION ALL SELECT corpus, NULL, 'total', {SUMS} FROM full_met GROUP BY corpus),
-    rolled AS (SELECT corpus, vol::BIGINT AS vol, label, sections, chars, min_chars, max_chars, hits, paras, short_paras, quotes, {DIVS} FROM roll)"""
+    rolled AS (SELECT corpus, vol::BIGINT AS vol, label, sections, chars, min_chars, max_chars, hits, dups, half, unpaired, under_floor, over_ceil, over_exempt, exempt, n_all AS paras, n_quote AS quotes, {DIVS} FROM roll)"""
+
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    s = sections(spark, d)
+    budget = metrics.budget_status(s, values(spark, "lo BIGINT, hi BIGINT", (5, 9), (20, 25)), 300, 3000, 6000, 45)
+    return metrics.section_metrics(s, budget=budget, marks=MARKS)
 
 
 @query("c8_rollup", f"WITH {PARAS}, {MET}, {ROLL} SELECT * FROM rolled")
 def c8(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.rollup_metrics(metrics.section_metrics(sections(spark, d)), values(spark, "vol BIGINT, lo BIGINT, hi BIGINT", *VOLUMES))
+    return metrics.rollup_metrics(measured(spark, d), values(spark, "vol BIGINT, lo BIGINT, hi BIGINT", *VOLUMES))
 
 
 @query("c9_top_repeated_sentences", f"WITH {SENTS}, r AS (SELECT corpus, sent, count(*) AS n, count(DISTINCT seq) AS n_sections FROM sen GROUP BY corpus, sent HAVING count(*) >= 3), k AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, sent) AS rank FROM r) SELECT * FROM k WHERE rank <= 5")
@@ -156,22 +167,23 @@ def c9(spark: SparkSession, d: str) -> DataFrame:
     return metrics.top_k(metrics.repeated_sentences(sections(spark, d)), "n", 5, ["corpus"], "sent")
 
 
-DRIFT = ", ".join(f"('{m}', '{w}', {t})" for m, w, t in TOLERANCES)
+DRIFT = ", ".join(f"('{m}', '{w}', {t})" for m, w, t in metrics.TOLERANCES)
+DRIFTING = ", ".join(m for m, _, _ in metrics.TOLERANCES)
+DRIFT_ROWS = f"SELECT corpus, half, unpaired, under_floor, over_ceil, over_exempt, {DIVS}"
 
 
 @query(
     "c10_metric_drift",
     f"""WITH {PARAS}, {MET}, n AS (SELECT corpus, {SUMS} FROM full_met GROUP BY corpus), p AS (SELECT corpus, {SUMS} FROM full_met WHERE seq % 2 = 0 GROUP BY corpus),
-    nn AS (UNPIVOT (SELECT corpus, chars, quotes, {DIVS} FROM n) ON chars, mean_chars, hits_10k, mean_para, short_pct, quotes INTO NAME metric VALUE now),
-    pp AS (UNPIVOT (SELECT corpus, chars, quotes, {DIVS} FROM p) ON chars, mean_chars, hits_10k, mean_para, short_pct, quotes INTO NAME metric VALUE prior),
+    nn AS (UNPIVOT ({DRIFT_ROWS} FROM n) ON {DRIFTING} INTO NAME metric VALUE now), pp AS (UNPIVOT ({DRIFT_ROWS} FROM p) ON {DRIFTING} INTO NAME metric VALUE prior),
     t(metric, worse, tolerance) AS (VALUES {DRIFT})
     SELECT corpus, metric, now, prior, now - prior AS delta, CASE WHEN worse = 'up' THEN now - prior > tolerance ELSE now - prior < -tolerance END AS bad FROM nn JOIN pp USING (corpus, metric) JOIN t USING (metric)""",
 )
 def c10(spark: SparkSession, d: str) -> DataFrame:
     none = values(spark, "vol BIGINT, lo BIGINT, hi BIGINT")
-    m = metrics.section_metrics(sections(spark, d))
+    m = measured(spark, d)
     total = lambda x: metrics.rollup_metrics(x, none)
-    return metrics.metric_drift(total(m), total(m.where("seq % 2 = 0")), TOLERANCES, ["corpus"])
+    return metrics.metric_drift(total(m), total(m.where("seq % 2 = 0")), metrics.TOLERANCES, ["corpus"])
 
 
 @query(
@@ -198,6 +210,15 @@ def c12(spark: SparkSession, d: str) -> DataFrame:
     return metrics.compare_states(s, changed(s))
 
 
+@query("c13_snapshot_merge", f"WITH {SEC}, m AS (SELECT corpus, seq, {CHARS} AS chars FROM sec) SELECT corpus, count(*) AS sections, sum(chars)::BIGINT AS chars FROM m WHERE corpus NOT LIKE '%3' OR seq % 2 = 0 GROUP BY corpus")
+def c13(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark)
+    rows = sections(spark, d).select("corpus", "seq", fn.char_count(F.col("text")).alias("chars"))
+    publish(rows, path)
+    publish(rows.where("corpus LIKE '%3' AND seq % 2 = 0"), path)  # these corpora anew, the others stay
+    return spark.read.parquet(path).groupBy(F.col("corpus").cast("string").alias("corpus")).agg(F.count(F.lit(1)).alias("sections"), F.sum("chars").alias("chars"))
+
+
 GRAMS = "g AS (SELECT corpus, seq, substr(text, i, 40) AS gram, i FROM sec, unnest(range(1, length(text) - 38)) r(i) WHERE length(text) >= 40)"
 
 

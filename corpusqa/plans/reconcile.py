@@ -34,13 +34,13 @@ TITLES = "t AS (SELECT page_id AS id, regexp_extract(html, '<title>([^<]*)</titl
 
 @query(
     "g3_title_reconcile",
-    f"WITH {TITLES}, a AS (SELECT id, d FROM t WHERE id % 17 <> 0), b AS (SELECT id, h FROM t WHERE id % 19 <> 0), j AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'section_missing' WHEN a.id IS NULL THEN 'undeclared' WHEN h = '' THEN 'heading_absent' WHEN d <> h THEN 'mismatch' END AS status FROM a FULL JOIN b ON a.id = b.id) SELECT *, CASE status WHEN 'section_missing' THEN 'warn' WHEN 'undeclared' THEN 'warn' ELSE 'fail' END AS severity FROM j WHERE status IS NOT NULL",
+    f"WITH {TITLES}, a AS (SELECT id // 50 AS vol, id, d FROM t WHERE id % 17 <> 0), b AS (SELECT id, h FROM t WHERE id % 19 <> 0), j AS (SELECT a.id, vol, CASE WHEN b.id IS NULL THEN 'section_missing' WHEN h = '' THEN 'heading_absent' WHEN d <> h THEN 'mismatch' END AS status FROM a LEFT JOIN b ON a.id = b.id), r AS (SELECT vol, min(id) AS lo, max(id) AS hi FROM a GROUP BY vol) SELECT *, CASE WHEN status = 'section_missing' AND id > (SELECT count(*) FROM b) THEN 'warn' ELSE 'fail' END AS severity FROM j WHERE status IS NOT NULL UNION ALL SELECT id, vol, 'beyond_source', 'warn' FROM j WHERE status = 'section_missing' UNION ALL SELECT id, vol, 'undeclared', 'warn' FROM b JOIN r ON id BETWEEN lo AND hi WHERE id NOT IN (SELECT id FROM a)",
 )
 def g3(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
-    declared = p.where("page_id % 17 <> 0").select(F.col("page_id").alias("id"), F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.when(F.col("page_id") % 11 == 0, "?").otherwise("")).alias("title"))
+    declared = p.where("page_id % 17 <> 0").select(F.expr("page_id div 50").alias("vol"), F.col("page_id").alias("id"), F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.when(F.col("page_id") % 11 == 0, "?").otherwise("")).alias("title"))
     actual = p.where("page_id % 19 <> 0").select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 13 == 0, "").otherwise(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("title"))
-    return reconcile.title_reconcile(declared, actual, "warn")
+    return reconcile.title_reconcile(declared, actual)
 
 
 @query(

@@ -22,6 +22,17 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("with_k"), F.sum("k").alias("total"))
 
 
+@query("a2_ledger_findings", "SELECT n_nationkey AS corpus, CASE WHEN n_nationkey % 5 IN (0, 3) THEN 0 ELSE 1 END AS rows, CASE WHEN n_nationkey % 5 = 3 THEN 'not_applicable' WHEN n_nationkey % 5 = 0 THEN 'invalid' ELSE 'read' END AS finding FROM nation")
+def a2b(spark: SparkSession, d: str) -> DataFrame:
+    """A ledger file for each nation but some; others don't parse."""
+    path = src.scratch(spark)
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("corpus"), "n_name")
+    text = F.when(F.col("corpus") % 5 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("n_name").alias("name"))))
+    nations.where("corpus % 5 <> 3").select("corpus", text.alias("value")).write.partitionBy("corpus").text(path)
+    ledger = src.read_ledger(spark, path, "name STRING").withColumn("corpus", F.col("corpus").cast("bigint"))
+    return src.ledger_findings(ledger, nations)
+
+
 OUTLINE = "'第' || (page_id % 40 + 1) || '章《' || trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) || '》'"
 
 

@@ -46,6 +46,15 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt_record STRING").option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
 
 
+def ledger_findings(ledger: DataFrame, expected: DataFrame, key: str = "corpus") -> DataFrame:
+    """(key, rows, finding) of every key of ``expected``: ``invalid`` where its ledger doesn't parse, ``not_applicable`` where it has none."""
+    field = next(c for c in ledger.columns if c not in (key, "_corrupt_record"))
+    read = ledger.groupBy(key).agg(F.count(field).alias("rows"), F.count("_corrupt_record").alias("bad"))
+    out = expected.select(key).distinct().join(read, key, "left")
+    finding = F.when(F.col("bad").isNull(), "not_applicable").when(F.col("bad") > 0, "invalid").otherwise("read")
+    return out.select(key, F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), finding.alias("finding"))
+
+
 def declared_titles(df: DataFrame, text: str = "text", by: str = "corpus") -> DataFrame:
     """(corpus, seq, title) of every ``第N章《T》`` in outline texts; the first of a number holds."""
     rx = "第\\\\s*(\\\\d+)\\\\s*章[^《\\n]{0,6}《([^》\\n]+)》"

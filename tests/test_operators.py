@@ -96,7 +96,9 @@ def test_lint_on_a_small_document(spark):
     docs = spark.createDataFrame([("d", text), ("e", ""), ("n", None)], "doc STRING, text STRING")
     lines = lint.doc_lines(docs)
     assert [r.line for r in lint.lint_level_jump(lines).collect()] == [1]
-    assert [r.detail for r in lint.lint_dup_card(lines).collect()] == ["A@1"]
+    assert [r.detail for r in lint.lint_dup_card(lines, person="^A$").collect()] == ["A@1"]
+    named = lint.doc_lines(spark.createDataFrame([("d", "### 1. 张三（一）\n- **名：** x\n### 张三·二\n- **名：** y\n### 张\n- **名：** y\n### 张\n- **名：** y\n### A\n- **名：** y\n### A\n- **名：** y")], "doc STRING, text STRING"))
+    assert [(r.line, r.detail) for r in lint.lint_dup_card(named).collect()] == [(2, "张三@0")]
     assert [r.line for r in lint.lint_dup_field(lines).collect()] == [3]
     assert [r.line for r in lint.lint_colon(lines).collect()] == [4]
     assert [r.line for r in lint.lint_glued(lines).collect()] == [7]
@@ -199,3 +201,32 @@ def test_same_result_for_other_shuffle_partitions(spark, sf_dir):
         assert found[0] == found[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_life_steps_and_verdicts(spark):
+    people = spark.createDataFrame(
+        [("a", 700, 750, [(1, 690, None), (2, None, None), (2, None, "reported"), (None, 1, None)], [(9, 720, None)], 3, None), ("b", None, None, [(3, 800, None), (3, 779, None)], [], None, None)],
+        "name STRING, born BIGINT, ends BIGINT, landed ARRAY<STRUCT<seq BIGINT, year BIGINT, carrier STRING>>, planned ARRAY<STRUCT<seq BIGINT, year BIGINT, carrier STRING>>, first BIGINT, last BIGINT",
+    )
+    sections = spark.createDataFrame([("x", i, "") for i in (1, 2, 3, 4)], "corpus STRING, seq BIGINT, text STRING")
+    spans = spark.createDataFrame([(1, 1, 700, 710), (2, 2, 745, 755), (4, 8, 800, 810)], "lo BIGINT, hi BIGINT, year_lo BIGINT, year_hi BIGINT")
+    steps = ledgers.life_steps(people).withColumn("corpus", F.lit("x"))
+    got = ledgers.life_verdicts(steps, people.select("name", "born", "ends"), sections, spans, 779)
+    assert sorted((r["name"], r.seq, r.kind) for r in got.collect() if r.seq) == [("a", 1, "before_birth"), ("a", 2, "reaches_past"), ("a", 3, "no_span"), ("b", 3, "no_span"), ("b", 3, "no_span")]
+    assert [r["name"] for r in got.where("kind = 'undated'").collect()] == ["a"]
+    wide = spans.union(spark.createDataFrame([(3, 3, 700, 710)], spans.schema))
+    late = ledgers.life_verdicts(steps, people.select("name", "born", "ends"), sections, wide, 779).where("name = 'b'")
+    assert [(r.year, r.kind) for r in late.collect()] == [(800, "after_end")]  # no year of death: the work's last year
+
+
+def test_plantings_that_stand(spark):
+    rows = spark.createDataFrame([("已在案",), ("ch 285",), ("ch286、卷十三",), ("卷十二",), ("待定",), ("",), ("ch9999999999999999999999",)], "anchor STRING")
+    assert [r[0] for r in rows.select(ledgers.planting_stands("anchor", 285, 12)).collect()] == [True, True, False, True, False, False, False]
+
+
+def test_titles_by_volume(spark):
+    declared = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 4, "d"), (1, 9, "z")], "vol BIGINT, id BIGINT, title STRING")
+    actual = spark.createDataFrame([(1, "a"), (2, "x"), (3, "c"), (5, ""), (20, "q")], "id BIGINT, title STRING")
+    got = {(r.id, r.status, r.severity) for r in reconcile.title_reconcile(declared, actual).collect()}
+    assert got == {(2, "mismatch", "fail"), (4, "section_missing", "fail"), (9, "section_missing", "warn"), (4, "beyond_source", "warn"), (9, "beyond_source", "warn"), (3, "undeclared", "warn"), (5, "undeclared", "warn")}
+    assert {r.severity for r in reconcile.title_reconcile(declared, actual, True).where("status = 'section_missing'").collect()} == {"warn"}
