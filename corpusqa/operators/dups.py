@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.operators.sizes import few
-
 from corpusqa.schemas import CJK, LangPack
 
 KEY = ["corpus", "seq"]
