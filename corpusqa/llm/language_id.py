@@ -84,7 +84,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMA
     ranged = known.withColumn("beginning", F.shiftright("order", 48))
     upto = F.sum("count").over(Window.partitionBy("lang").orderBy("beginning"))
     last = ranged.groupBy("lang", "beginning").count().withColumn("upto", upto).groupBy("lang").agg(F.min(F.when(F.col("upto") >= sample_rows, F.col("beginning"))).alias("last"))
-    known = ranged.join(last, "lang").where("last IS NULL OR beginning <= last")
+    known = ranged.join(F.broadcast(last), "lang").where("last IS NULL OR beginning <= last")  # a row for each language, as the model has
     chosen = known.selectExpr("doc_id", "lang", "order", "row_number() OVER (PARTITION BY lang ORDER BY order, doc_id) AS turn")
     # The last turn that any language may need bounds the rows before the final choice.
     chosen = chosen.where(F.col("turn") <= sample_rows).orderBy("turn", "lang").limit(sample_rows)
