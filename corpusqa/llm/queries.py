@@ -1,4 +1,4 @@
-"""The registered queries of the ten training-data operators and, where SQL can say it, their SQL."""
+"""The registered queries of the training-data operators and, where SQL can say it, their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing_lm, ngram_join, ordinal_quality, piece_codec, secret_scan, spot_signatures, suffix_dedup
+from . import conversation_repair, decontaminate, language_id, line_dedup, mixing_lm, ngram_join, ordinal_quality, piece_codec, secret_scan, spelling_variants, spot_signatures, suffix_dedup, topk_search
 
 #: The vocabulary that op4 and the pipeline encode with.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -82,6 +82,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk_search.search(vectors, F.col("id") % 20 == 0).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(spelling_variants.count_words(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_spot_signatures,
@@ -94,9 +107,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_suffix_dedup,
         op9_line_dedup,
         op10_language_id,
+        op11_topk_search,
+        op12_conversation_repair,
+        op13_spelling_variants,
     )
     return {f.__name__: f for f in named}
 
 
+#: Dimensions meet by position; scores and ranks as the operator defines them.
+TOPK_SQL = """
+WITH x AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+w AS (SELECT vec_id, pos, CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) AS w FROM x WHERE vec_id NOT IN (SELECT vec_id FROM x WHERE x IS NULL OR NOT isfinite(x))),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(sum(a.w * b.w) AS BIGINT) AS score FROM w a JOIN w b ON a.pos = b.pos AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id, b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_topk_search": TOPK_SQL}
