@@ -5,13 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusqa.schemas import SPACE
+from corpusqa.schemas import MARKS_ONLY, SPACE, SPACES
 
 
 def char_count(text: Column) -> Column:
     """Characters without heading lines and white space (null: 0)."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^#.*$", "")
-    return F.length(F.regexp_replace(body, SPACE, "")).cast("bigint")
+    return visible_length(body(text)).cast("bigint")
+
+
+def body(text: Column) -> Column:
+    """The text without its heading lines (null: empty)."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(whole.contains("#"), F.regexp_replace(whole, r"(?md)^#.*$", "")).otherwise(whole)
+
+
+def solid(text: Column, keep: str = "") -> Column:
+    """The text without its white space, but for the characters of ``keep``."""
+    return F.translate(text, "".join(c for c in SPACES if c not in keep), "")
+
+
+def visible_length(text: Column) -> Column:
+    """Characters that are no white space."""
+    return F.length(solid(text))
+
+
+def paragraph_list(text: Column) -> Column:
+    """The trimmed lines, headings and blank ones left out, in order (null: null)."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda l: F.btrim(l, F.lit(SPACES))), lambda p: (p != "") & ~p.startswith("#"))
+
+
+def sentence_list(text: Column, terminators: str, min_len: int) -> Column:
+    """The sentences (``terminators`` has the line feed, or no other white space) of at least ``min_len`` characters, white space deleted; headings and those of marks only are left out (null: null)."""
+    return F.filter(F.split(solid(text, "\n"), terminators), lambda s: (F.length(s) >= min_len) & ~s.startswith("#") & ~s.rlike(MARKS_ONLY))
 
 
 def section_title(text: Column, fallback: Column) -> Column:

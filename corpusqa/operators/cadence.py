@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusqa.operators.sizes import few
+from corpusqa.operators.intervals import product
+from corpusqa.operators.phrases import phrase_hits
 
 KEY = ["corpus", "seq"]
 
@@ -13,19 +14,29 @@ KEY = ["corpus", "seq"]
 def mentions(sections: DataFrame, roster: DataFrame) -> DataFrame:
     """(corpus, name, seq, lines): lines with the name or an alias and no negative context.
 
-    ``roster`` (name, aliases, neg) is small: every section is tested once for each name before its
-    lines are split.
+    ``roster`` (name, aliases, neg) may be of any size: all forms are looked up in one pass over the
+    texts.  Null aliases and contexts count as none; empty forms are in no line.
     """
-    met = F.expr("contains(text, name) OR exists(aliases, a -> contains(text, a))")
-    held = sections.join(few(roster.select("name", "aliases", "neg")), met)
-    hit = "(contains(l, name) OR exists(aliases, a -> contains(l, a))) AND NOT exists(neg, x -> contains(l, x))"
-    n = F.expr(f"cast(size(filter(split(text, '\\n'), l -> {hit})) AS bigint)")
-    return held.select("corpus", "name", "seq", n.alias("lines")).where(F.col("lines") > 0)
+    forms = name_forms(roster, "neg")
+    hits = phrase_hits(sections, KEY, forms.select("form"), by_line=True)
+    lines = hits.join(forms, "form").groupBy(*KEY, "name", "line").agg(F.bool_or("rules_out").alias("out"), F.bool_or(~F.col("rules_out")).alias("met"))
+    return lines.where("met AND NOT out").groupBy("corpus", "name", "seq").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def name_forms(roster: DataFrame, neg: str | None = None) -> DataFrame:
+    """(name, form, rules_out): each name and alias, and, with ``neg``, each negative context, which rules a line out."""
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    said = F.concat(F.array("name"), listed("aliases")) if "aliases" in roster.columns else F.array("name")
+    pairs = F.transform(said, lambda f: F.struct(f.alias("form"), F.lit(False).alias("rules_out")))
+    if neg:
+        pairs = F.concat(pairs, F.transform(listed(neg), lambda f: F.struct(f.alias("form"), F.lit(True).alias("rules_out"))))
+    return roster.select("name", F.explode(pairs).alias("x")).select("name", "x.form", "x.rules_out").where("form IS NOT NULL AND form <> ''").distinct()
 
 
 def mentions_by_prefix(sections: DataFrame, roster: DataFrame, k: int = 4) -> DataFrame:
     """As ``mentions`` for a roster too large to broadcast: sections and names meet in prefixes of k characters, shorter forms whole."""
-    forms = roster.select("name", "aliases", "neg", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases"))).alias("form")).where("form <> ''")
+    listed = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")).alias(c)
+    forms = roster.select("name", listed("aliases"), listed("neg")).select("name", "aliases", "neg", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases"))).alias("form")).where("form <> ''")
     names = forms.withColumn("g", F.substring("form", 1, k))
     sizes = [r[0] for r in names.select(F.length("g")).distinct().collect()] or [k]  # numbers from 1 to k
     each = F.expr("array_distinct(flatten(array(" + ", ".join(f"if(size(cs) < {n}, cast(array() AS array<string>), transform(sequence(1, greatest(1, size(cs) - {n} + 1)), i -> array_join(slice(cs, i, {n}), '')))" for n in sorted(sizes)) + ")))")
@@ -41,7 +52,7 @@ def cadence(found: DataFrame, roster: DataFrame, sections: DataFrame) -> DataFra
     gap = F.col("seq") - F.lag("seq").over(Window.partitionBy("corpus", "name").orderBy("seq"))
     by_name = found.withColumn("gap", gap).groupBy("corpus", "name").agg(F.count(F.lit(1)).alias("sections"), F.sum("lines").alias("lines"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.coalesce(F.max("gap"), F.lit(0)).cast("bigint").alias("max_gap"))
     ends = sections.groupBy("corpus").agg(F.max("seq").alias("end"))
-    every = ends.join(few(roster.select("name")))  # corpora by the small roster
+    every = product(ends, roster.select("name").distinct())  # each name is reported for each corpus
     out = every.join(by_name, ["corpus", "name"], "left")
     return out.select("corpus", "name", F.coalesce("sections", F.lit(0)).cast("bigint").alias("sections"), F.coalesce("lines", F.lit(0)).cast("bigint").alias("lines"), "first", "last", "max_gap", (F.col("end") - F.col("last")).alias("tail_gap"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusqa.operators.sizes import few
+from corpusqa.operators.cadence import name_forms
+from corpusqa.operators.phrases import contained
 from corpusqa.schemas import CJK, LangPack
 
 KEY = ["corpus", "seq"]
@@ -49,18 +50,16 @@ def neighbour_repeats(sections: DataFrame, width: int = 12, distance: int = 1) -
     return g.join(later, ["corpus", "seq", "h", "h2"]).groupBy(*KEY).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def pattern_hits(sections: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(corpus, seq, name, n) of patterns (name, pattern); the list of patterns is small."""
-    joined = sections.join(few(patterns), F.expr("rlike(text, pattern)"))
-    return joined.select(*KEY, "name", F.expr("cast(regexp_count(text, pattern) AS bigint)").alias("n"))
-
-
 def speech_hits(sections: DataFrame, roster: DataFrame, pack: LangPack = CJK, near: int = 12, lead: int = 4) -> DataFrame:
-    """(corpus, seq, name, n): a name and a verb of saying close before an opening quote, or close behind a closing one.
+    """(corpus, seq, name, n): a name, or an alias of it, and a verb of saying close before an opening quote, or close behind a closing one.
 
-    A name right behind a word of address is spoken to and doesn't speak.
+    A name right behind a word of address is spoken to and doesn't speak.  Only sections that have a form
+    are searched with its pattern; ``roster`` is (name) or (name, aliases).
     """
     opener, closer = pack.openers[0], pack.closers[0]
-    who = F.concat(F.lit(f"(?<![{pack.address}])\\Q"), F.col("name"), F.lit(f"\\E(?:{pack.say})"))
+    forms = name_forms(roster).select("name", "form")
+    who = F.concat(F.lit(f"(?<![{pack.address}])\\Q"), F.replace("form", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?:{pack.say})"))
     spoken = F.concat(who, F.lit(f"(?=[^{pack.stops}\\n]{{0,{lead}}}[{opener}])|[{closer}][^{pack.stops}\\n]{{0,{near}}}"), who)
-    return pattern_hits(sections, roster.select("name", spoken.alias("pattern")))
+    there = contained(sections, KEY, forms).join(sections.select(*KEY, "text"), KEY)
+    hits = there.select(*KEY, "form", F.regexp_count("text", spoken).cast("bigint").alias("n"))
+    return hits.where("n > 0").join(forms, "form").groupBy(*KEY, "name").agg(F.sum("n").alias("n"))

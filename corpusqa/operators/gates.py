@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusqa.operators.sizes import few
+from corpusqa.operators.intervals import covering
 
 
 def classify(findings: DataFrame, enforce_from: DataFrame) -> DataFrame:
     """Add class: ``info`` for notes, ``legacy`` before a rule is enforced, else ``fail``."""
-    joined = findings.join(few(enforce_from), "rule", "left")
+    joined = findings.join(enforce_from, "rule", "left")
     kind = F.when(F.col("severity") == "info", "info").when(F.col("seq") < F.coalesce("enforced", F.lit(0)), "legacy").otherwise("fail")
     return joined.withColumn("class", kind).drop("enforced")
 
@@ -67,7 +67,7 @@ def gate_summary(findings: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def enforced(volumes: DataFrame, sections: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(corpus, vol, strict): whether a section of the volume lies in an enrolled range; both are few."""
-    placed = sections.select("corpus", "seq").join(few(volumes), F.col("seq").between(F.col("lo"), F.col("hi")))
-    r = few(ranges.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-    return placed.join(r, F.col("seq").between(F.col("a"), F.col("b")), "left").groupBy("corpus", "vol").agg(F.bool_or(F.col("a").isNotNull()).alias("strict"))
+    """(corpus, vol, strict): whether a section of the volume lies in an enrolled range."""
+    placed = sections.select("corpus", "seq").join(covering(sections, volumes).select("seq", "vol"), "seq")
+    enrolled = covering(sections, ranges.select("lo", "hi")).select("seq", F.lit(True).alias("enrolled")).distinct()
+    return placed.join(enrolled, "seq", "left").groupBy("corpus", "vol").agg(F.bool_or(F.coalesce("enrolled", F.lit(False))).alias("strict"))

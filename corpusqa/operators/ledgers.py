@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusqa.operators.sizes import few
+from corpusqa.operators.intervals import covering, product
+from corpusqa.operators.phrases import contained
+from corpusqa.schemas import SPACE
 from corpusqa.sources import numeral
 
 #: Kinds of carriers that may appear after a person's end, words of a planting that stands.
 CARRIERS = ("document", "reported")
 PLANTED = "已在案|已落地|已排|已就位"
+#: What a heading of a group of persons has, and words of headings that are no names.
+GROUPS = "人物|纪律|关系网|补档|谱系|姓名考|矩阵|圈层|首领|传人|四卫|藩镇|附：|第[一二三]代|丐帮|青城派|崆峒派|海沙帮|河东军|剑南军|夜行司|观天台|烛微阁|八凶|宗师录|朝堂|市井|名单|军中|本节|传说"
+NO_NAMES = ("已故", "新増", "随卷更新", "校订条", "岁出场", "双主角")
 
 
 def custody_status(steps: DataFrame, sections: DataFrame, declared: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -49,8 +54,9 @@ def custody_handover(steps: DataFrame, sections: DataFrame) -> DataFrame:
 def custody_terminal(terminals: DataFrame, sections: DataFrame) -> DataFrame:
     """(corpus, chain, kind, seq, phrase): sections after a chain's end with a forbidden phrase (the first of the list that is there); ends without phrases warn."""
     listed = F.size(F.coalesce("forbid", F.expr("cast(array() AS array<string>)"))) > 0
-    rows = sections.select("corpus", "seq", "text").join(few(terminals.where(listed)), "corpus").where("seq > ch")
-    hits = rows.select("corpus", "chain", F.lit("after_end").alias("kind"), "seq", F.expr("get(filter(forbid, f -> contains(text, f)), 0)").alias("phrase")).where("phrase IS NOT NULL")
+    phrases = terminals.where(listed).select("corpus", "chain", "ch", F.posexplode("forbid").alias("pos", "form"))
+    there = contained(sections, ["corpus", "seq"], phrases).join(phrases, ["corpus", "form"]).where("seq > ch")
+    hits = there.groupBy("corpus", "chain", "seq").agg(F.min_by("form", "pos").alias("phrase")).select("corpus", "chain", F.lit("after_end").alias("kind"), "seq", "phrase")
     bare = terminals.where(~listed & F.col("ch").isNotNull()).select("corpus", "chain", F.lit("no_phrases").alias("kind"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("phrase"))
     return hits.unionByName(bare)
 
@@ -110,7 +116,7 @@ def life_verdicts(steps: DataFrame, people: DataFrame, sections: DataFrame, span
     """
     undated = steps.where("seq IS NULL").withColumn("kind", F.lit("undated"))
     there = steps.join(sections.select("corpus", "seq").distinct(), ["corpus", "seq"], "left_semi")
-    placed = there.join(few(spans), F.col("seq").between(F.col("lo"), F.col("hi")), "left")
+    placed = there.join(covering(there, spans), "seq", "left").select(*steps.columns, *(c for c in spans.columns if c not in steps.columns))
     dated = placed.where("lo IS NOT NULL").withColumns({"at_lo": F.coalesce("year", "year_lo"), "at_hi": F.coalesce("year", "year_hi"), "exempt": F.col("carrier").isin(*CARRIERS)})
     out = undated.unionByName(placed.where("lo IS NULL").select(*steps.columns, F.lit("no_span").alias("kind")))
     return out.unionByName(life_windows(dated, people, ["name"], F.lit(end)).select(*steps.columns, "kind"))
@@ -118,8 +124,8 @@ def life_verdicts(steps: DataFrame, people: DataFrame, sections: DataFrame, span
 
 def landing_years(landings: DataFrame, overrides: DataFrame, spans: DataFrame) -> DataFrame:
     """Add at_lo and at_hi: the declared year, else the section's override, else its volume's years (else null)."""
-    a = landings.join(few(overrides.select("seq", F.col("year").alias("over"))), "seq", "left")
-    b = a.join(few(spans), F.col("seq").between(F.col("lo"), F.col("hi")), "left")
+    a = landings.join(overrides.select("seq", F.col("year").alias("over")), "seq", "left")
+    b = a.join(covering(landings, spans), "seq", "left")
     return b.withColumn("at_lo", F.coalesce("year", "over", "year_lo")).withColumn("at_hi", F.coalesce("year", "over", "year_hi"))
 
 
@@ -131,11 +137,25 @@ def reconcile_ranges(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.select("vol", status.alias("status"))
 
 
-def uncovered_cards(cards: DataFrame, plan: DataFrame) -> DataFrame:
-    """Cards (card, tokens) none of whose tokens is among the words of the plan (word)."""
-    each = cards.select("card", F.explode("tokens").alias("word")).distinct()
-    covered = each.join(plan.select("word").distinct(), "word", "left_semi").select("card").distinct()
-    return cards.select("card").distinct().join(covered, "card", "left_anti")
+def character_cards(docs: DataFrame) -> DataFrame:
+    """(doc, card, tokens): the headings of level 3 or 4 that are a person's, numbers left out, with their names (2 to 6 CJK characters), once each.
+
+    Headings with a colon, of groups (``GROUPS``) or without a name are no cards; words of ``NO_NAMES`` are no names.
+    """
+    line = F.explode(F.split("text", "\n"))
+    heads = docs.select("doc", line.alias("line")).select("doc", F.regexp_extract(F.rtrim("line", F.lit("\r")), r"^#{3,4}[\s\x{3000}]+(.*)$", 1).alias("head")).where("head <> ''")
+    bare = F.regexp_replace(F.trim(F.regexp_replace("head", f"^{SPACE}+|{SPACE}+$", "")), r"^[0-9]+[a-z]?[.、]\s*", "")
+    names = F.filter(F.regexp_extract_all("card", F.lit("[\u4e00-\u9fff]{2,6}"), 0), lambda t: ~t.isin(*NO_NAMES))
+    cards = heads.select("doc", bare.alias("card")).where(~F.col("card").contains("：") & ~F.col("card").rlike(GROUPS)).withColumn("tokens", names)
+    return cards.where("size(tokens) > 0").distinct()
+
+
+def uncovered_cards(cards: DataFrame, plan: DataFrame, key: str = "card") -> DataFrame:
+    """Cards (card, tokens) none of whose tokens any text of the plan (text) contains."""
+    each = cards.select(key, F.explode("tokens").alias("form")).distinct()
+    met = contained(plan.select("text"), [], each).select("form").distinct()
+    covered = each.join(met, "form", "left_semi").select(key).distinct()
+    return cards.select(key).distinct().join(covered, key, "left_anti")
 
 
 def planting_stands(anchor: str, cutoff: int, volume_limit: int) -> Column:
@@ -168,11 +188,12 @@ def life_board(people: DataFrame, volumes: DataFrame, slack: int | Column = 1) -
     a section of it is among their planned ones (array); ``pending``: how many of all have nothing
     landed but something planned.
     """
-    spans = few(volumes)
-    ending = people.select("ends").join(spans, (F.col("ends") >= F.col("y0")) & (F.col("ends") <= F.col("y1") + slack))
+    near = volumes.select("vol", "y0", "y1", (F.col("y1") + slack).alias("far"))
+    ending = people.select("ends").join(covering(people, near, "ends", "y0", "far"), "ends")
     last = F.col("ends") <= F.col("y1")
     ended = ending.groupBy("vol").agg(F.count_if(last).alias("last_chance"), F.count_if(~last).alias("near_end"))
-    here = people.select("name", F.explode("planned").alias("seq")).join(spans, F.col("seq").between(F.col("lo"), F.col("hi"))).groupBy("vol").agg(F.count_distinct("name").alias("planned"))
+    planned = people.select("name", F.explode("planned").alias("seq"))
+    here = planned.join(covering(planned, volumes.select("vol", "lo", "hi")), "seq").groupBy("vol").agg(F.count_distinct("name").alias("planned"))
     pending = people.agg(F.count_if((F.col("landed") == 0) & (F.size("planned") > 0)).alias("pending"))  # one row
     board = volumes.join(ended, "vol", "left").join(here, "vol", "left").na.fill(0, ["last_chance", "near_end", "planned"])
     return board.crossJoin(F.broadcast(pending)).select("vol", "last_chance", "near_end", "planned", "pending")
@@ -180,7 +201,7 @@ def life_board(people: DataFrame, volumes: DataFrame, slack: int | Column = 1) -
 
 def missing_numbers(volumes: DataFrame, sections: DataFrame) -> DataFrame:
     """(corpus, vol, seq): the numbers of a volume (vol, lo, hi) that have no section."""
-    wanted = sections.select("corpus").distinct().join(few(volumes)).select("corpus", "vol", F.explode(F.sequence("lo", "hi")).alias("seq"))
+    wanted = product(sections.select("corpus").distinct(), volumes.select("vol", "lo", "hi")).select("corpus", "vol", F.explode(F.sequence("lo", "hi")).alias("seq"))
     return wanted.join(sections.select("corpus", "seq"), ["corpus", "seq"], "left_anti").select("corpus", "vol", "seq")
 
 
@@ -188,7 +209,7 @@ def missing_sections(volumes: DataFrame, sections: DataFrame) -> DataFrame:
     """(corpus, vol, missing, first, last, state) of volumes with missing sections: ``partial``, or ``unwritten`` if all are."""
     gaps = missing_numbers(volumes, sections).groupBy("corpus", "vol").agg(F.count(F.lit(1)).alias("missing"), F.min("seq").alias("first"), F.max("seq").alias("last"))
     state = F.when(F.col("missing") == F.col("hi") - F.col("lo") + 1, "unwritten").otherwise("partial")
-    return gaps.join(few(volumes), "vol").select("corpus", "vol", "missing", "first", "last", state.alias("state"))
+    return gaps.join(volumes, "vol").select("corpus", "vol", "missing", "first", "last", state.alias("state"))
 
 
 def next_volume(missing: DataFrame) -> DataFrame:
@@ -217,14 +238,15 @@ def attribute_gate(current: DataFrame, baseline: DataFrame, expected: DataFrame)
 
 
 def apply_adjudications(candidates: DataFrame, ruled: DataFrame) -> DataFrame:
-    """Candidates (corpus, sent) no ruling (corpus, anchor) covers; rulings are few."""
-    r = ruled.select(F.col("corpus").alias("rc"), "anchor")
-    return candidates.join(few(r), (F.col("corpus") == F.col("rc")) & F.expr("contains(sent, anchor)"), "left_anti")
+    """Candidates (corpus, sent) no ruling (corpus, anchor) covers."""
+    met = contained(candidates.select("sent").distinct(), ["sent"], ruled, "sent", "anchor").withColumnRenamed("form", "anchor")
+    covered = met.join(ruled.select("corpus", "anchor").distinct(), "anchor").select("corpus", "sent").distinct()
+    return candidates.join(covered, ["corpus", "sent"], "left_anti")
 
 
 def resolved_adjudications(ruled: DataFrame, sections: DataFrame) -> DataFrame:
     """Rulings whose anchor no section of their corpus has any more."""
-    met = sections.join(few(ruled.select(F.col("corpus").alias("rc"), "anchor")), (F.col("corpus") == F.col("rc")) & F.expr("contains(text, anchor)")).select("corpus", "anchor").distinct()
+    met = contained(sections, ["corpus"], ruled, form="anchor").withColumnRenamed("form", "anchor").distinct()
     return ruled.join(met, ["corpus", "anchor"], "left_anti").select("corpus", "anchor")
 
 

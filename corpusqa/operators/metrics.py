@@ -2,44 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusqa.functions.text import char_count, occurrences, para_kind
-from corpusqa.operators.sizes import few
-from corpusqa.schemas import LATIN, LangPack
+from corpusqa.functions.text import body, char_count, occurrences, para_kind, sentence_list, solid, visible_length
+from corpusqa.operators.intervals import covering
+from corpusqa.schemas import LATIN, MARKS_ONLY, SPACES, LangPack
+from corpusqa.sources import cut
 
 KEY = ["corpus", "seq"]
-TRIM = " \t\r"
+KINDS = ("all", "narrative", "quote")
 
 
 def paragraphs(sections: DataFrame, pack: LangPack = LATIN) -> DataFrame:
-    """(corpus, seq, pos, para, kind, n_chars): trimmed lines that are neither blank nor headings."""
-    lines = sections.select(*KEY, F.posexplode(F.split("text", "\n")).alias("pos", "para"))
-    lines = lines.withColumn("para", F.expr(r"trim(BOTH ' \t\r' FROM para)")).where((F.col("para") != "") & ~F.col("para").startswith("#"))
-    return lines.select(*KEY, F.col("pos").cast("bigint").alias("pos"), "para", para_kind(F.col("para"), pack.openers).alias("kind"), F.length("para").cast("bigint").alias("n_chars"))
+    """(corpus, seq, pos, para, kind, n_chars): trimmed lines that are neither blank nor headings; white space does not count as characters."""
+    lines = sections.select(*KEY, F.posexplode(F.transform(F.split("text", "\n"), lambda l: F.btrim(l, F.lit(SPACES)))).alias("pos", "para")).where((F.col("para") != "") & ~F.col("para").startswith("#"))
+    return lines.select(*KEY, F.col("pos").cast("bigint").alias("pos"), "para", para_kind(F.col("para"), pack.openers).alias("kind"), visible_length(F.col("para")).cast("bigint").alias("n_chars"))
 
 
 def sentences(sections: DataFrame, min_len: int = 8, pack: LangPack = LATIN) -> DataFrame:
-    """(corpus, seq, sent) of at least ``min_len`` characters without white space; headings are left out."""
-    rows = sections.select(*KEY, F.explode(F.split("text", pack.terminators)).alias("sent")).withColumn("sent", F.translate("sent", " \t\r\n", ""))
-    return rows.where((F.length("sent") >= min_len) & ~F.col("sent").startswith("#"))
+    """(corpus, seq, sent) of at least ``min_len`` characters without white space; headings and sentences of marks only are left out."""
+    return sections.select(*KEY, F.explode(sentence_list(F.col("text"), pack.terminators, min_len)).alias("sent"))
+
+
+def measure(rows: DataFrame, keys: list[str], pack: LangPack = LATIN, marks: tuple[str, str, str] | None = None, short: int = 20, min_len: int = 8) -> DataFrame:
+    """All that the metrics need of a text, as expressions over its row: one pass, nothing is exploded or shuffled.
+
+    keys, chars, hits of the pack's pattern, opens, closes and half-width quotes (``marks``, by default the
+    pack's), paragraphs, their characters and short ones by kind, and the hashes of the sentences.  A null
+    text has none of anything.
+    """
+    opener, closer, half = marks or (pack.openers[0], pack.closers[0], '"')
+    n = lambda c: occurrences(F.col("text"), F.lit(c))
+    parts = rows.select(*keys, F.coalesce("text", F.lit("")).alias("text"), solid(F.coalesce("text", F.lit("")), "\n").alias("solid"))
+    ps = F.filter(F.split("solid", "\n"), lambda l: (l != "") & ~l.startswith("#"))
+    sents = F.filter(F.split("solid", pack.terminators), lambda s: (F.length(s) >= min_len) & ~s.startswith("#") & ~s.rlike(MARKS_ONLY))
+    parts = parts.select(
+        *keys, F.when(F.col("text").contains("#"), char_count(F.col("text"))).alias("chars"), F.regexp_count(body(F.col("text")), F.lit(pack.negation)).cast("bigint").alias("hits"), n(opener).alias("opens"), n(closer).alias("closes"), n(half).alias("half"),
+        F.transform(ps, lambda p: F.struct((para_kind(p, pack.openers) == "quote").alias("q"), F.length(p).cast("bigint").alias("n"))).alias("ps"),
+        F.transform(sents, lambda s: F.struct(F.xxhash64(s).alias("h"), F.hash(s).alias("g"))).alias("sents"),
+    )
+    stats = []
+    for kind in KINDS:
+        mine = {"all": F.col("ps"), "narrative": F.filter("ps", lambda p: ~p["q"]), "quote": F.filter("ps", lambda p: p["q"])}[kind]
+        total = F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, p: a + p["n"])
+        stats += [F.size(mine).cast("bigint").alias(f"n_{kind}"), total.alias(f"chars_{kind}"), F.size(F.filter(mine, lambda p: p["n"] < short)).cast("bigint").alias(f"short_{kind}")]
+    counted = F.coalesce("chars", "chars_all").alias("chars")  # without headings, all characters are in paragraphs
+    return parts.select(*keys, *(c for c in parts.columns if c not in keys), *stats).select(*keys, counted, "hits", "opens", "closes", "half", *(f"{what}_{kind}" for kind in KINDS for what in ("n", "chars", "short")), "sents")
 
 
 def paragraph_stats(sections: DataFrame, pack: LangPack = LATIN, short: int = 20) -> DataFrame:
-    """Per section: paragraphs, characters and short paragraphs, in all and by kind."""
-    p = paragraphs(sections, pack)
-    out = []
-    for kind in ("all", "narrative", "quote"):
-        mine = F.lit(True) if kind == "all" else F.col("kind") == kind
-        out += [F.count_if(mine).alias(f"n_{kind}"), F.coalesce(F.sum(F.when(mine, F.col("n_chars"))), F.lit(0)).alias(f"chars_{kind}"), F.count_if(mine & (F.col("n_chars") < short)).alias(f"short_{kind}")]
-    return p.groupBy(*KEY).agg(*out)
+    """Per section with paragraphs: paragraphs, characters and short paragraphs, in all and by kind."""
+    return measure(sections, KEY, pack, short=short).select(*KEY, *(f"{what}_{kind}" for kind in KINDS for what in ("n", "chars", "short"))).where("n_all > 0")
+
+
+def per_10k(counted: DataFrame) -> DataFrame:
+    return counted.withColumn("per_10k", F.expr("if(chars = 0, 0, hits * 10000 div chars)").cast("bigint"))
 
 
 def pattern_density(sections: DataFrame, pattern: str) -> DataFrame:
-    """Per section: hits of a pattern and hits in 10,000 characters."""
-    n, chars = F.regexp_count("text", F.lit(pattern)).cast("bigint"), char_count(F.col("text"))
-    return sections.select(*KEY, n.alias("hits"), chars.alias("chars")).withColumn("per_10k", F.expr("if(chars = 0, 0, hits * 10000 div chars)").cast("bigint"))
+    """Per section: hits of a pattern outside headings and hits in 10,000 characters."""
+    n, chars = F.regexp_count(body(F.col("text")), F.lit(pattern)).cast("bigint"), char_count(F.col("text"))
+    return per_10k(sections.select(*KEY, n.alias("hits"), chars.alias("chars")))
 
 
 def repeated_sentences(sections: DataFrame, min_count: int = 3, min_len: int = 8, pack: LangPack = LATIN) -> DataFrame:
@@ -47,13 +71,18 @@ def repeated_sentences(sections: DataFrame, min_count: int = 3, min_len: int = 8
     return sentences(sections, min_len, pack).groupBy("corpus", "sent").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("n_sections")).where(F.col("n") >= min_count)
 
 
+def repeats_of(measured: DataFrame, min_count: int = 3) -> DataFrame:
+    """(corpus, seq, dups): occurrences of sentences that the corpus has ``min_count`` times or more, by the hashes that ``measure`` took."""
+    each = measured.select(*KEY, F.explode("sents").alias("s")).groupBy(*KEY, "s").agg(F.count(F.lit(1)).alias("k"))
+    total = each.groupBy("corpus", "s").agg(F.sum("k").alias("n")).where(F.col("n") >= min_count)
+    return each.join(total, ["corpus", "s"]).groupBy(*KEY).agg(F.sum("k").alias("dups"))
+
+
 def repeat_hits(sections: DataFrame, min_count: int = 3, pack: LangPack = LATIN) -> DataFrame:
     """Per section: occurrences of repeated sentences, and their density."""
-    by_section = sentences(sections, pack=pack).groupBy(*KEY, "sent").agg(F.count(F.lit(1)).alias("k"))
-    total = by_section.groupBy("corpus", "sent").agg(F.sum("k").alias("n")).where(F.col("n") >= min_count)
-    hits = by_section.join(total, ["corpus", "sent"]).groupBy(*KEY).agg(F.sum("k").alias("hits"))
-    chars = sections.select(*KEY, char_count(F.col("text")).alias("chars"))
-    return chars.join(hits, KEY, "left").select(*KEY, F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"), "chars").withColumn("per_10k", F.expr("if(chars = 0, 0, hits * 10000 div chars)").cast("bigint"))
+    measured = cut(measure(sections, KEY, pack).select(*KEY, "chars", "sents"))
+    out = measured.join(repeats_of(measured, min_count), KEY, "left")
+    return per_10k(out.select(*KEY, F.coalesce("dups", F.lit(0)).cast("bigint").alias("hits"), "chars"))
 
 
 def lexicon_counts(sections: DataFrame, terms: tuple[str, ...]) -> DataFrame:
@@ -70,31 +99,25 @@ def quote_hygiene(sections: DataFrame, opener: str = "(", closer: str = ")", hal
 
 
 def in_ranges(rows: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose seq lies in any (lo, hi), once each; ranges are few."""
-    return rows.join(few(ranges), F.col("seq").between(F.col("lo"), F.col("hi")), "left_semi").select(*key)
+    """The rows whose seq lies in any (lo, hi), once each."""
+    return rows.join(covering(rows, ranges.select("lo", "hi")).select("seq").distinct(), "seq", "left_semi").select(*key)
 
 
 def budget_status(sections: DataFrame, ranges: DataFrame, floor: int, ceiling: int, exempt_ceiling: int, new_from: int) -> DataFrame:
-    """(corpus, seq, chars, exempt, status): under the floor, over the ceiling that holds, or ok."""
-    measured = sections.select(*KEY, char_count(F.col("text")).alias("chars"))
-    exempt = in_ranges(measured, ranges, KEY).withColumn("listed", F.lit(True))
-    joined = measured.join(exempt, KEY, "left").withColumn("exempt", F.coalesce("listed", F.lit(False)) | (F.col("seq") >= new_from))
+    """(corpus, seq, chars, exempt, status): under the floor, over the ceiling that holds, or ok.  ``sections`` have a text, or chars already."""
+    measured = sections.select(*KEY, F.col("chars") if "chars" in sections.columns else char_count(F.col("text")).alias("chars"))
+    listed = covering(measured, ranges.select("lo", "hi")).select("seq", F.lit(True).alias("listed")).distinct()
+    joined = measured.join(listed, "seq", "left").withColumn("exempt", F.coalesce("listed", F.lit(False)) | (F.col("seq") >= new_from))
     status = F.when(F.col("chars") < floor, "under").when(~F.col("exempt") & (F.col("chars") > ceiling), "over").when(F.col("exempt") & (F.col("chars") > exempt_ceiling), "exempt_over").otherwise("ok")
     return joined.select(*KEY, "chars", "exempt", status.alias("status"))
 
 
-def section_metrics(sections: DataFrame, pack: LangPack = LATIN, budget: DataFrame | None = None, marks: tuple[str, str, str] | None = None) -> DataFrame:
-    """What a rollup needs of each section: characters, pattern hits, paragraphs by kind, repeats, marks and its budget class.
+def section_metrics(measured: DataFrame, budget: DataFrame | None = None) -> DataFrame:
+    """What a rollup needs of each section, from its measures (``measure``, with corpus and seq): these, its repeats and its budget class.
 
-    ``budget`` is the result of ``budget_status``; ``marks`` are the opener, the closer and the
-    half-width quote, by default the pack's.
+    The measures are read more than once: they should be written ones (``cut``).
     """
-    opener, closer, half = marks or (pack.openers[0], pack.closers[0], '"')
-    n = lambda c: occurrences(F.col("text"), F.lit(c))
-    base = sections.select(*KEY, char_count(F.col("text")).alias("chars"), F.regexp_count("text", F.lit(pack.negation)).cast("bigint").alias("hits"), n(opener).alias("opens"), n(closer).alias("closes"), n(half).alias("half"))
-    stats = paragraph_stats(sections, pack)
-    repeats = repeat_hits(sections, pack=pack).select(*KEY, F.col("hits").alias("dups"))
-    out = base.join(stats, KEY, "left").join(repeats, KEY, "left")
+    out = measured.drop("sents").join(repeats_of(measured), KEY, "left")
     if budget is None:
         out = out.withColumns({"status": F.lit("ok"), "exempt": F.lit(False)})
     else:
@@ -119,9 +142,9 @@ def rollup_metrics(metrics: DataFrame, volumes: DataFrame) -> DataFrame:
     sums += [total(c) for c in ("chars", "hits", "dups", "half", "opens", "closes")]
     sums += [total(f"{what}_{kind}") for kind in ("all", "narrative", "quote") for what in ("n", "chars", "short")]
     sums += [F.count_if(F.col("status") == status).alias(name) for status, name in (("under", "under_floor"), ("over", "over_ceil"), ("exempt_over", "over_exempt"))] + [F.count_if("exempt").alias("exempt")]
-    whole = volumes.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("vol"), F.lit(-(1 << 62)).alias("lo"), F.lit(1 << 62).alias("hi"))
-    spans = volumes.select("vol", "lo", "hi").unionByName(whole)
-    out = metrics.join(few(spans), F.col("seq").between(F.col("lo"), F.col("hi"))).groupBy("corpus", "vol").agg(*sums)
+    held = covering(metrics, volumes.select("vol", "lo", "hi")).groupBy("seq").agg(F.collect_list(F.col("vol").cast("bigint")).alias("vols"))
+    every = F.concat(F.array(F.lit(None).cast("bigint")), F.coalesce("vols", F.array().cast("array<bigint>")))  # the total, and each volume
+    out = metrics.join(held, "seq", "left").withColumn("vol", F.explode(every)).groupBy("corpus", "vol").agg(*sums)
     div = lambda a, b, k=1: F.expr(f"if({b} = 0, 0, {a} * {k} div {b})").cast("bigint")
     return out.select(
         "corpus", "vol", F.when(F.col("vol").isNull(), "total").otherwise(F.concat(F.lit("v"), F.col("vol").cast("string"))).alias("label"), "sections", "chars", "min_chars", "max_chars", "hits", "dups", "half",
@@ -169,7 +192,3 @@ def compare_states(before: DataFrame, after: DataFrame, pack: LangPack = LATIN)
     changed = after.select(*KEY, F.md5("text").alias("md5")).join(old, KEY).where("md5 <> old_md5").select(*KEY)
     sums = lambda df, tag: paragraph_stats(df.join(changed, KEY, "left_semi"), pack).groupBy("corpus").agg(F.count(F.lit(1)).alias(f"sections_{tag}"), F.sum("n_all").alias(f"paras_{tag}"), F.sum("chars_all").alias(f"chars_{tag}"), F.sum("short_all").alias(f"short_{tag}"))
     return sums(before, "before").join(sums(after, "after"), "corpus")
-
-
-def own(col: str | Column) -> Column:
-    return F.col(col) if isinstance(col, str) else col

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusqa.operators.sizes import few
+from corpusqa.operators.intervals import covering, product, until_next
 
 
 def mirror_diff(src: DataFrame, mirror: DataFrame, key: list[str], content: str) -> DataFrame:
@@ -40,7 +40,7 @@ def title_reconcile(declared: DataFrame, actual: DataFrame, predeclared: bool =
     judged = judged.crossJoin(n).select("id", "vol", "status", severity.alias("severity"))
     beyond = judged.where("status = 'section_missing'").select("id", "vol", F.lit("beyond_source").alias("status"), F.lit("warn").alias("severity"))
     ranges = declared.groupBy("vol").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    inside = actual.select("id").join(few(ranges), F.col("id").between(F.col("lo"), F.col("hi"))).join(declared.select("vol", "id"), ["vol", "id"], "left_anti")
+    inside = covering(actual, ranges, "id").select("id", "vol").join(declared.select("vol", "id"), ["vol", "id"], "left_anti")
     return judged.unionByName(beyond).unionByName(inside.select("id", "vol", F.lit("undeclared").alias("status"), F.lit("warn").alias("severity")))
 
 
@@ -64,15 +64,14 @@ def sequence_gaps(sections: DataFrame) -> DataFrame:
 
 
 def bucket_of(df: DataFrame, starts: DataFrame) -> DataFrame:
-    """Add the bucket (name) of the largest start that is not above seq; starts are few."""
-    ends = starts.withColumn("next", F.lead("start").over(Window.partitionBy("kind").orderBy("start"))).drop("kind")
-    inside = (F.col("seq") >= F.col("start")) & (F.col("next").isNull() | (F.col("seq") < F.col("next")))
-    return df.join(few(ends), inside, "left").drop("start", "next")
+    """Add the other columns of ``starts`` (kind, start, ...) of the largest start of a kind that is not above seq (else null)."""
+    ranges = until_next(starts, keys=("kind",)).drop("kind")
+    return df.join(covering(df, ranges, lo="start").drop("start", "hi"), "seq", "left").select(*df.columns, *(c for c in ranges.columns if c not in ("start", "hi")))
 
 
 def stage_status(progress: DataFrame, stages: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """(corpus, stage, status, has_artifact) for every corpus and stage; stages are few."""
-    every = progress.select("corpus", F.col("stage").alias("current")).join(few(stages))
+    """(corpus, stage, status, has_artifact) for every corpus and stage."""
+    every = product(progress.select("corpus", F.col("stage").alias("current")), stages)
     status = F.when(F.col("stage") < F.col("current"), "done").when(F.col("stage") == F.col("current"), "active").otherwise("todo")
     has = artifacts.where("size > 0").select("corpus", "stage", F.lit(True).alias("has")).distinct()
     return every.join(has, ["corpus", "stage"], "left").select("corpus", "stage", status.alias("status"), F.coalesce("has", F.lit(False)).alias("has_artifact"))

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusqa.functions.text import occurrences
-from corpusqa.schemas import CJK, LangPack
+from corpusqa.functions.text import has_own_attribution, occurrences, paragraph_list, visible_length
+from corpusqa.schemas import CJK, SPACES, LangPack
 
 KEY = ["corpus", "seq"]
 
@@ -37,69 +33,53 @@ def span_blocks(paras: DataFrame, opener: str, closer: str) -> DataFrame:
     return out.where("first < last").select(*KEY, "first", "last")
 
 
-class Coalescer:
-    """The fold of one section's paragraphs: which of them flow into the one before."""
-
-    def __init__(self, target: int, pack: LangPack) -> None:
-        self.target, self.opener, self.closer = target, pack.openers[0], pack.closers[0]
-        self.verb, self.scene, self.colon = re.compile(pack.attribution), re.compile(pack.scene), "："
-
-    def shift(self, p: str) -> bool:
-        return length(p) <= 16 and self.scene.match(p) is not None
-
-    def blocks(self, paras: list[str]) -> set[int]:
-        """Paragraphs within a quote that runs over several."""
-        inside: set[int] = set()
-        begun = None
-        for i, p in enumerate(paras):
-            if self.closer in p:
-                inside.update(range(begun, i + 1) if begun is not None else ())
-                begun = None
-            elif begun is None and p.startswith(self.opener):
-                begun = i
-        return inside
-
-    def flows(self, before: str, p: str) -> bool:
-        """Whether ``p`` joins the (merged) paragraph before."""
-        quoted, quote = before.startswith(self.opener), p.startswith(self.opener)
-        if quote:
-            return not quoted and before.endswith(self.colon)
-        if length(before) >= self.target:
-            return False
-        attributed = self.verb.search(p) is not None
-        if quoted:
-            return not attributed and self.closer in before and before.rsplit(self.closer, 1)[1].strip() != ""
-        return attributed or self.opener not in p  # a quote of no known speaker could be given to the wrong one
-
-    def __call__(self, paras: list[str]) -> list[str]:
-        out: list[str] = []
-        blocks = self.blocks(paras)
-        for i, p in enumerate(paras):
-            if out and i < len(paras) - 1 and not self.shift(p) and not {i, i - 1} & blocks and self.flows(out[-1], p):
-                out[-1] += p
-            else:
-                out.append(p)
-        return out
-
-
-def length(text: str) -> int:
-    """Characters that are not white space."""
-    return sum(map(len, text.split()))
+def _features(para: Column, pack: LangPack) -> Column:
+    """What the fold must know of a paragraph."""
+    opener, closer = pack.openers[0], pack.closers[0]
+    n = visible_length(para).cast("bigint")
+    return F.struct(
+        para.alias("p"), n.alias("n"), para.startswith(opener).alias("q"), para.contains(opener).alias("o"), para.contains(closer).alias("c"), para.endswith("：").alias("colon"),
+        para.rlike(pack.attribution).alias("attr"), has_own_attribution(para, closer).alias("own"), ((n <= 16) & para.rlike(f"^(?:{pack.scene})")).alias("shift"),
+    )
 
 
-def coalesce_paragraphs(sections: DataFrame, target: int = 110, pack: LangPack = CJK) -> DataFrame:
-    """(corpus, seq, text): short paragraphs merged in order; without newlines the text is unchanged (null stays null).
+def merge_flags(ps: str, target: int) -> Column:
+    """For each of the paragraphs ``ps`` (features; with the place of the last closer in ``last_closer``) whether it flows into the one before: a fold with a state of fixed size.
 
-    Sections are folded independently, a row at a time within Arrow batches, so that none is grouped.
+    The state holds the place, what the merged paragraph before is like, and whether a quote runs over
+    paragraphs; it only counts as a block up to the last paragraph with a closer.  Flags are gathered as text in
+    pieces of bounded length, so that no step copies what it has gathered.
     """
-    para = F.expr(r"filter(transform(split(text, '\n'), l -> trim(BOTH ' \t\r' FROM l)), l -> l <> '')")
-    merge = Coalescer(target, pack)
+    start = (
+        "named_struct('i', 0, 'q', false, 'n', 0L, 'colon', false, 'own', false, 'hc', false, 'opened', false, 'block', false, "
+        "'cur', '', 'done', cast(array() AS array<string>))"
+    )
+    inside = "((a.opened OR (p.q AND NOT p.c)) AND a.i <= last_closer)"
+    narrative = f"NOT a.q AND NOT p.q AND a.n < {target} AND (p.attr OR NOT p.o)"
+    introduced = "NOT a.q AND p.q AND a.colon"
+    attributed = f"a.q AND NOT p.q AND a.n < {target} AND a.own AND NOT p.attr"
+    merged = f"a.i > 0 AND a.i < size({ps}) - 1 AND NOT p.shift AND NOT {inside} AND NOT a.block AND (({narrative}) OR ({introduced}) OR ({attributed}))"
+    after = (
+        "named_struct('i', a.i + 1, 'q', if(m, a.q, p.q), 'n', if(m, a.n + p.n, p.n), 'colon', p.colon, 'own', if(p.c, p.own, m AND a.hc), 'hc', p.c OR (m AND a.hc), "
+        f"'opened', NOT p.c AND (a.opened OR p.q), 'block', {inside}, "
+        "'cur', concat(if(length(a.cur) < 1024, a.cur, ''), if(m, '1', '0')), 'done', if(length(a.cur) < 1024, a.done, concat(a.done, array(a.cur))))"
+    )
+    step = f"element_at(transform(array({merged}), m -> {after}), 1)"  # one name for what is read often
+    return F.expr(f"aggregate({ps}, {start}, (a, p) -> {step}, a -> flatten(transform(concat(a.done, array(a.cur)), c -> split(c, ''))))")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"corpus": pdf["corpus"], "seq": pdf["seq"], "text": [None if ps is None else "\n".join(merge(list(ps))) for ps in pdf["ps"]]})
 
-    return sections.select(*KEY, para.alias("ps")).mapInPandas(fold, "corpus string, seq bigint, text string")
+def coalesce_paragraphs(sections: DataFrame, target: int = 110, pack: LangPack = CJK) -> DataFrame:
+    """(corpus, seq, text): heading lines first, then the paragraphs, short ones merged in order (null stays null).
+
+    Nothing but the ends of paragraphs moves: without headings, the paragraphs' characters stay as they are, in their order.
+    """
+    lines = F.transform(F.split("text", "\n"), lambda l: F.btrim(l, F.lit(SPACES)))
+    parts = sections.select(*KEY, F.filter(lines, lambda l: l.startswith("#")).alias("heads"), F.transform(paragraph_list(F.col("text")), lambda p: _features(p, pack)).alias("ps"))
+    parts = parts.withColumn("last_closer", F.expr("array_max(transform(ps, (x, j) -> if(x.c, j, -1)))"))
+    flagged = parts.withColumn("flags", merge_flags("ps", target))
+    body = F.expr("array_join(transform(ps, (x, j) -> concat(if(j > 0 AND get(flags, j) = '0', '\\n', ''), x.p)), '')")
+    between = F.when((F.size("heads") > 0) & (F.size("ps") > 0), "\n").otherwise("")
+    return flagged.select(*KEY, F.concat(F.array_join("heads", "\n"), between, body).alias("text"))
 
 
 def upsert_segment(docs: DataFrame, segments: DataFrame, begin: str, end: str) -> DataFrame:

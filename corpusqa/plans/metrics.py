@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from corpusqa.functions import text as fn
 from corpusqa.operators import dups, metrics, rewrite
 from corpusqa.plans.registry import query
-from corpusqa.plans.tables import CHANGED, CHARS, PARAS, SEC, SENTS, changed, sections, table, values
-from corpusqa.schemas import LATIN
-from corpusqa.sources import publish, scratch
+from corpusqa.plans.tables import BODY, CHANGED, CHARS, CJK_SEC, PARAS, SEC, SENTS, changed, cjk, paras, sections, sents, table, values
+from corpusqa.schemas import CJK, LATIN
+from corpusqa.sources import cut, numbered, publish, scratch, spread
 
 TERMS = LATIN.lexicon
 SPEAKERS = ("en", "er", "es", "on")
@@ -31,7 +31,7 @@ def b2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", fn.display_title(fn.section_title(heading, F.col("page_id").cast("string"))).alias("title"))
 
 
-@query("b3_paragraphs", f"WITH {PARAS} SELECT corpus, seq, CAST(pos AS BIGINT) AS pos, md5(para) AS para, length(para) AS n_chars FROM par")
+@query("b3_paragraphs", f"WITH {PARAS} SELECT corpus, seq, CAST(pos AS BIGINT) AS pos, md5(para) AS para, n AS n_chars FROM par")
 def b3(spark: SparkSession, d: str) -> DataFrame:
     return metrics.paragraphs(sections(spark, d)).select("corpus", "seq", "pos", F.md5("para").alias("para"), "n_chars")
 
@@ -86,7 +86,27 @@ def b10(spark: SparkSession, d: str) -> DataFrame:
     return rewrite.span_blocks(metrics.paragraphs(sections(spark, d)), "S", "T")
 
 
-STATS = ", ".join(f"count(*) FILTER ({c}) AS n_{k}, coalesce(sum(length(para)) FILTER ({c}), 0)::BIGINT AS chars_{k}, count(*) FILTER ({c} AND length(para) < 20) AS short_{k}" for k, c in (("all", "true"), ("narrative", "NOT starts_with(para, '\"')"), ("quote", "starts_with(para, '\"')")))
+STATS = ", ".join(f"count(*) FILTER ({c}) AS n_{k}, coalesce(sum(n) FILTER ({c}), 0)::BIGINT AS chars_{k}, count(*) FILTER ({c} AND n < 20) AS short_{k}" for k, c in (("all", "true"), ("narrative", "NOT starts_with(para, '\"')"), ("quote", "starts_with(para, '\"')")))
+
+
+CJK_QUOTE = "(starts_with(para, '“') OR starts_with(para, '「'))"
+CJK_STATS = STATS.replace("starts_with(para, '\"')", CJK_QUOTE)
+
+
+@query("b4_sentences_cjk", f"WITH {CJK_SEC}, {sents('csec', CJK.terminators)} SELECT corpus, seq, md5(sent) AS sent, count(*) AS n FROM sen GROUP BY corpus, seq, sent")
+def b4_cjk(spark: SparkSession, d: str) -> DataFrame:
+    found = metrics.sentences(cjk(sections(spark, d)), pack=CJK)
+    return found.groupBy("corpus", "seq", "sent").agg(F.count(F.lit(1)).alias("n")).withColumn("sent", F.md5("sent"))
+
+
+@query("c1_paragraph_stats_cjk", f"WITH {CJK_SEC}, {paras('csec')} SELECT corpus, seq, {CJK_STATS} FROM par GROUP BY corpus, seq")
+def c1_cjk(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.paragraph_stats(cjk(sections(spark, d)), CJK)
+
+
+@query("c2_pattern_density_cjk", f"WITH {CJK_SEC}, m AS (SELECT corpus, seq, len(regexp_extract_all({BODY}, '{CJK.negation}')) AS hits, {CHARS} AS chars FROM csec) SELECT *, CASE WHEN chars = 0 THEN 0 ELSE hits * 10000 // chars END AS per_10k FROM m")
+def c2_cjk(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.pattern_density(cjk(sections(spark, d)), CJK.negation)
 
 
 @query("c1_paragraph_stats", f"WITH {PARAS} SELECT corpus, seq, {STATS} FROM par GROUP BY corpus, seq")
@@ -94,7 +114,7 @@ def c1(spark: SparkSession, d: str) -> DataFrame:
     return metrics.paragraph_stats(sections(spark, d))
 
 
-HITS = "len(regexp_extract_all(text, '[A-Z][a-z]{4,8}'))"
+HITS = f"len(regexp_extract_all({BODY}, '[A-Z][a-z]{{4,8}}'))"
 
 
 @query("c2_pattern_density", f"WITH {SEC}, m AS (SELECT corpus, seq, {HITS} AS hits, {CHARS} AS chars FROM sec) SELECT *, CASE WHEN chars = 0 THEN 0 ELSE hits * 10000 // chars END AS per_10k FROM m")
@@ -152,9 +172,11 @@ ROLL = f"""roll AS (SELECT corpus, vol, 'v' || vol AS label, {SUMS} FROM full_me
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
-    s = sections(spark, d)
-    budget = metrics.budget_status(s, values(spark, "lo BIGINT, hi BIGINT", (5, 9), (20, 25)), 300, 3000, 6000, 45)
-    return metrics.section_metrics(s, budget=budget, marks=MARKS)
+    """Documents are measured where they lie; what is numbered, written and read again is their measures."""
+    rows = spread(table(spark, d, "documents").select(F.col("source").alias("corpus"), "doc_id", "text"))
+    m = cut(numbered(metrics.measure(rows, ["corpus", "doc_id"], marks=MARKS), "corpus", "doc_id"))
+    budget = metrics.budget_status(m, values(spark, "lo BIGINT, hi BIGINT", (5, 9), (20, 25)), 300, 3000, 6000, 45)
+    return metrics.section_metrics(m.drop("doc_id"), budget)
 
 
 @query("c8_rollup", f"WITH {PARAS}, {MET}, {ROLL} SELECT * FROM rolled")
@@ -181,7 +203,7 @@ DRIFT_ROWS = f"SELECT corpus, half, unpaired, under_floor, over_ceil, over_exemp
 )
 def c10(spark: SparkSession, d: str) -> DataFrame:
     none = values(spark, "vol BIGINT, lo BIGINT, hi BIGINT")
-    m = measured(spark, d)
+    m = cut(measured(spark, d))
     total = lambda x: metrics.rollup_metrics(x, none)
     return metrics.metric_drift(total(m), total(m.where("seq % 2 = 0")), metrics.TOLERANCES, ["corpus"])
 
@@ -200,9 +222,9 @@ def c11(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "c12_compare_states",
     f"""WITH {CHANGED}, ch AS (SELECT corpus, seq, s.text AS a, c.text AS b FROM sec s JOIN chg c USING (corpus, seq) WHERE s.text <> c.text),
-    pa AS (SELECT corpus, seq, trim(unnest(string_split(a, chr(10))), ' ' || chr(9) || chr(13)) AS para FROM ch), pb AS (SELECT corpus, seq, trim(unnest(string_split(b, chr(10))), ' ' || chr(9) || chr(13)) AS para FROM ch),
-    sa AS (SELECT corpus, count(DISTINCT seq) AS sections_before, count(*) AS paras_before, sum(length(para))::BIGINT AS chars_before, count(*) FILTER (length(para) < 20) AS short_before FROM pa WHERE para <> '' AND NOT starts_with(para, '#') GROUP BY corpus),
-    sb AS (SELECT corpus, count(DISTINCT seq) AS sections_after, count(*) AS paras_after, sum(length(para))::BIGINT AS chars_after, count(*) FILTER (length(para) < 20) AS short_after FROM pb WHERE para <> '' AND NOT starts_with(para, '#') GROUP BY corpus)
+    was AS (SELECT corpus, seq, a AS text FROM ch), {paras("was").replace("lines", "la").replace("trimmed", "ta").replace("par AS", "pa AS")}, now AS (SELECT corpus, seq, b AS text FROM ch), {paras("now").replace("lines", "lb").replace("trimmed", "tb").replace("par AS", "pb AS")},
+    sa AS (SELECT corpus, count(DISTINCT seq) AS sections_before, count(*) AS paras_before, sum(n)::BIGINT AS chars_before, count(*) FILTER (n < 20) AS short_before FROM pa GROUP BY corpus),
+    sb AS (SELECT corpus, count(DISTINCT seq) AS sections_after, count(*) AS paras_after, sum(n)::BIGINT AS chars_after, count(*) FILTER (n < 20) AS short_after FROM pb GROUP BY corpus)
     SELECT * FROM sa JOIN sb USING (corpus)""",
 )
 def c12(spark: SparkSession, d: str) -> DataFrame:

@@ -17,7 +17,12 @@ LIFE_WINDOWS = (
 BUDGET = "floor INT, ceilingDefault INT, ceilingExempt INT, newChaptersFrom INT, exemptRanges ARRAY<STRUCT<range: ARRAY<INT>>>"
 
 #: White space beyond ASCII, as a character class of both Java's and RE2's expressions.
-SPACE = r"[\s\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+SPACE = r"[\s\x{0B}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+#: The same characters, as a list.
+SPACES = " \t\n\x0b\x0c\r\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Fixed value: a sentence of marks only.
+MARKS_ONLY = r"""^[“”‘’"'（）()《》、，—…\-.]+$"""
 
 
 @dataclass(frozen=True)

@@ -163,6 +163,19 @@ def default_id(title: Column, given: Column) -> Column:
     return F.coalesce(F.nullif(given, F.lit("")), F.regexp_replace(F.trim(title), r"\s+", "-"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, dealt out to all of them; a larger one stays where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared scratch folder and read it back (cuts the lineage)."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process."""
     import tempfile
@@ -174,4 +187,5 @@ def scratch(spark: SparkSession) -> str:
         if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -142,16 +142,133 @@ def test_coalesce_keeps_text(spark):
         (["甲。", "“一", "二", "三”", "乙。", "丙。", "末。"], ["甲。", "“一", "二", "三”", "乙。丙。", "末。"]),
     ],
 )
-def test_coalescing_rules(paras, expected):
-    got = rewrite.Coalescer(110, CJK)(paras)
+def test_coalescing_rules(spark, paras, expected):
+    got = coalesced(spark, paras)
     assert "".join(got) == "".join(paras)
     assert got == expected
 
 
-def test_long_paragraphs_take_no_more():
-    long = "字 " * 110
-    assert rewrite.Coalescer(110, CJK)([long, "乙。", "末。"]) == [long, "乙。", "末。"]
-    assert rewrite.Coalescer(111, CJK)([long, "乙。", "末。"]) == [long + "乙。", "末。"]
+def coalesced(spark, paras, target=110):
+    s = spark.createDataFrame([("b", 1, "\n".join(paras))], SEC)
+    return rewrite.coalesce_paragraphs(s, target, CJK).first().text.split("\n")
+
+
+def test_long_paragraphs_take_no_more(spark):
+    long = "字 " * 109 + "字"
+    assert coalesced(spark, [long, "乙。", "末。"]) == [long, "乙。", "末。"]
+    assert coalesced(spark, [long, "乙。", "末。"], 111) == [long + "乙。", "末。"]
+
+
+def test_coalescing_leaves_headings_and_indents_out(spark):
+    assert coalesced(spark, ["# 第1章《T》", "他走了。", "天黑了。", "末。"]) == ["# 第1章《T》", "他走了。天黑了。", "末。"]
+    assert coalesced(spark, ["　　“走。”他说。", "　　", "## 二", "\xa0丙走了。\r", "末。"]) == ["## 二", "“走。”他说。丙走了。", "末。"]
+    assert coalesced(spark, ["# 只有题"]) == ["# 只有题"]
+    many = [f"{i}。" for i in range(3000)]  # flags in several pieces
+    got = coalesced(spark, many)
+    assert "".join(got) == "".join(many) and got == brute_narrative(many)
+
+
+def brute_narrative(paras, target=110):
+    out, n = [paras[0]], len(paras[0])
+    for i, p in enumerate(paras[1:], 1):
+        if i < len(paras) - 1 and n < target:
+            out[-1], n = out[-1] + p, n + len(p)
+        else:
+            out.append(p)
+            n = len(p)
+    return out
+
+
+def test_full_width_white_space(spark):
+    s = spark.createDataFrame([("b", 1, "　　“走。”他说。\n　　\n　\u00a0他走了很远\u3000很远。\n# 题 不是甲而是乙\n　# 缩进\n——\n“……………………”\n不是甲而是乙乙乙乙乙乙。"), ("b", 2, None), ("b", 3, "")], SEC)
+    got = [(r.pos, r.para, r.kind, r.n_chars) for r in metrics.paragraphs(s, CJK).orderBy("pos").collect()]
+    assert got == [(0, "“走。”他说。", "quote", 7), (2, "他走了很远\u3000很远。", "narrative", 8), (5, "——", "narrative", 2), (6, "“……………………”", "quote", 10), (7, "不是甲而是乙乙乙乙乙乙。", "narrative", 12)]
+    assert sorted(r.sent for r in metrics.sentences(s, 2, CJK).collect()) == sorted(["”他说", "他走了很远很远", "不是甲而是乙乙乙乙乙乙", "“走"])
+    stats = {r.seq: (r.n_all, r.chars_all, r.n_quote, r.chars_narrative) for r in metrics.paragraph_stats(s, CJK).collect()}
+    assert stats == {1: (5, 39, 2, 22)}
+    assert [(r.seq, r.hits, r.chars) for r in metrics.pattern_density(s, CJK.negation).orderBy("seq").collect()] == [(1, 1, 42), (2, 0, 0), (3, 0, 0)]
+    m = {r.seq: (r.chars, r.hits, r.n_all, len(r.sents)) for r in metrics.measure(s, ["corpus", "seq"], CJK).collect()}
+    assert m == {1: (42, 1, 5, 1), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0)}
+
+
+ROSTER = "name STRING, aliases ARRAY<STRING>, neg ARRAY<STRING>"
+
+
+@pytest.mark.parametrize("shard_chars", [1 << 20, 40])
+def test_mentions_of_many_forms(spark, monkeypatch, shard_chars):
+    """Text without spaces, forms that contain and overlap each other, contexts; one automaton and shards."""
+    import random
+
+    from corpusqa.operators import phrases
+
+    monkeypatch.setattr(phrases.phrase_hits, "__defaults__", (*phrases.phrase_hits.__defaults__[:-1], shard_chars))
+    rng = random.Random(3)
+    word = lambda a, b: "".join(rng.choice("甲乙丙丁é") for _ in range(rng.randint(a, b)))
+    roster = [(f"{word(1, 4)}", [word(2, 3) for _ in range(rng.randint(0, 2))] if i % 3 else None, [word(2, 3)] if i % 4 == 0 else None) for i in range(40)]
+    roster = list({r[0]: r for r in roster}.values()) + [("", [], []), ("戊", [None, ""], [None, ""])]
+    texts = [("b", i, "\n".join(word(0, 12) for _ in range(5))) for i in range(1, 30)] + [("c", 1, None), ("c", 2, ""), ("c", 3, "戊\n\n戊")]
+    expected = set()
+    for corpus, seq, text in texts:
+        for name, aliases, neg in roster:
+            forms, no = [f for f in [name, *(aliases or [])] if f], [x for x in neg or [] if x]
+            n = sum(any(f in line for f in forms) and not any(x in line for x in no) for line in (text or "").split("\n"))
+            if n:
+                expected.add((corpus, name, seq, n))
+    s, r = spark.createDataFrame(texts, SEC), spark.createDataFrame(roster, ROSTER)
+    found = cadence.mentions(s, r)
+    assert {(x.corpus, x["name"], x.seq, x.lines) for x in found.collect()} == expected
+    assert not any(x in found._jdf.queryExecution().toString() for x in ("BroadcastNestedLoopJoin", "CartesianProduct"))
+    named = r.where("name <> ''")
+    assert rows(cadence.mentions_by_prefix(s, named)) == rows(cadence.mentions(s, named))
+
+
+def test_speech_by_alias(spark):
+    s = spark.createDataFrame([("b", 1, "小五说：“走。”"), ("b", 2, "“走。”王五道。"), ("b", 3, "他对小五说：“走。”"), ("b", 4, "小五走了。")], SEC)
+    r = spark.createDataFrame([("王五", ["小五", None], None), ("李\\E四", None, None)], ROSTER)
+    assert sorted((x.seq, x["name"], x.n) for x in dups.speech_hits(s, r).collect()) == [(1, "王五", 1), (2, "王五", 1)]
+
+
+def test_cards_and_their_coverage(spark):
+    text = "# 人物卡\r\n### 1. 王五（主角）\r\n### 朝堂人物\n#### 李四 已故\n### 赵六：说明\n##### 孙七\n### A\n### 1. 王五（主角）\n### 2b、周八／周九"
+    docs = spark.createDataFrame([("x", text), ("y", None), ("z", "")], "doc STRING, text STRING")
+    cards = ledgers.character_cards(docs)
+    assert sorted((r.card, r.tokens) for r in cards.collect()) == [("周八／周九", ["周八", "周九"]), ("李四 已故", ["李四"]), ("王五（主角）", ["王五", "主角"])]
+    plan = spark.createDataFrame([("卷十三周九出场",), (None,)], "text STRING")
+    assert sorted(r.card for r in ledgers.uncovered_cards(cards, plan).collect()) == ["李四 已故", "王五（主角）"]
+
+
+def test_covering_ranges(spark):
+    """Overlapping, nested, empty, open and huge ranges, with and without keys."""
+    import random
+
+    from corpusqa.operators.intervals import covering, product, until_next
+
+    rng = random.Random(6)
+    points = [(rng.choice("xy"), p) for p in [rng.randint(-50, 300) for _ in range(60)] + [None, 0, -(1 << 62), (1 << 62) + 1, (1 << 63) - 1]]
+    ranges = [(rng.choice("xy"), a, a + rng.choice([0, 0, 1, 3, 17, 64, 500]), i) for i, a in enumerate(rng.randint(-60, 300) for _ in range(50))]
+    ranges += [("x", -(1 << 63), (1 << 63) - 1, 98), ("y", 5, 3, 99), ("x", None, 5, 100), ("y", 1, None, 101)]
+    p, r = spark.createDataFrame(points, "k STRING, seq BIGINT"), spark.createDataFrame(ranges, "k STRING, lo BIGINT, hi BIGINT, id INT")
+    hold = lambda x, row: x is not None and row[1] is not None and row[2] is not None and row[1] <= x <= row[2]
+    keyed = covering(p, r, keys=("k",))
+    assert {(x.k, x.seq, x.id) for x in keyed.collect()} == {(k, x, row[3]) for k, x in points for row in ranges if row[0] == k and hold(x, row)}
+    free = covering(p, r.drop("k"))
+    assert sorted((x.seq, x.id) for x in free.collect()) == sorted({(x, row[3]) for _, x in points for row in ranges if hold(x, row)})
+    for df in (keyed, free):
+        assert not any(x in df._jdf.queryExecution().toString() for x in ("BroadcastNestedLoopJoin", "CartesianProduct"))
+    assert covering(p, r.where("false")).count() == 0
+    starts = spark.createDataFrame([(5, "b"), (1, "a"), (9, "c")], "start BIGINT, name STRING")
+    assert sorted((x.start, x.hi) for x in until_next(starts).collect()) == [(1, 4), (5, 8), (9, (1 << 63) - 1)]
+    days = spark.createDataFrame([("2020-01-01", "2020-02-01", 1)], "lo STRING, hi STRING, id INT").selectExpr("date(lo) lo", "date(hi) hi", "id")
+    day = spark.createDataFrame([("2020-01-31",), ("2020-02-02",)], "seq STRING").selectExpr("date(seq) seq")
+    assert [x.id for x in covering(day, days).collect()] == [1]
+    assert product(p.select("seq"), r.select("id")).count() == len(points) * len(ranges)
+
+
+def test_bucket_of_each_kind(spark):
+    starts = spark.createDataFrame([("a", 1, "a1"), ("a", 10, "a10"), ("b", 5, "b5")], "kind STRING, start BIGINT, name STRING")
+    df = spark.createDataFrame([(0,), (1,), (7,), (10,), (99,)], "seq BIGINT")
+    got = sorted((r.seq, r["name"] or "") for r in reconcile.bucket_of(df, starts).collect())
+    assert got == [(0, ""), (1, "a1"), (7, "a1"), (7, "b5"), (10, "a10"), (10, "b5"), (99, "a10"), (99, "b5")]
 
 
 def test_short_names_are_met_by_prefix(spark):
