@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, partitions
 
 #: Candidates of a block at most (about; a task holds their postings), and at least where that leaves few blocks.
-BLOCK_ROWS, LEAST_ROWS = 1 << 16, 1 << 11
+BLOCK_ROWS, LEAST_ROWS = 1 << 16, 1 << 12
 #: Candidates whose scores a query fills at a time.
 CHUNK = 1 << 13
 #: Share of a chunk's rows from which on a term's postings are one array.
@@ -82,14 +82,13 @@ class Postings:
         return scores
 
     def best(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best, of equal ones the first."""
+        """(places in order, scores) of the k best, of equal ones the first."""
         scores = self.accumulate(query)
-        if len(scores) <= k:
-            return np.arange(len(scores)), scores.astype(np.int64)
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        above = np.flatnonzero(scores > least)
-        equal = np.flatnonzero(scores == least)[: k - len(above)]
-        places = np.concatenate((above, equal))
+        places = np.arange(len(scores))
+        if len(scores) > k:
+            least = np.partition(scores, len(scores) - k)[len(scores) - k]
+            above = np.flatnonzero(scores > least)
+            places = np.sort(np.concatenate((above, np.flatnonzero(scores == least)[: k - len(above)])))
         return places, scores[places].astype(np.int64)
 
 
@@ -134,17 +133,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             rows, ids, lengths, weights = _columns(batch.slice(first))
             ends = np.cumsum(lengths).tolist()
             out: list[list] = [[], [], [], [], []]
-            for i, (row, vec_id, end) in enumerate(zip(rows.tolist(), ids.to_pylist(), ends)):
+            for i, (row, vec_id, end) in enumerate(zip(rows.tolist(), ids.to_pylist(), ends)) if chunks else ():
                 query = weights[end - int(lengths[i]) : end]
-                for chunk in chunks:
-                    places, scores = chunk.best(query, k + 1)  # its own row may be among them
-                    other = chunk.rows[places] != row
-                    places, scores = places[other], scores[other]
-                    out[0].append(np.full(len(places), row))
-                    out[1].extend([vec_id] * len(places))
-                    out[2].append(chunk.rows[places])
-                    out[3].append(chunk.ids.take(pa.array(places)))
-                    out[4].append(scores)
+                places, scores = zip(*(chunk.best(query, k + 1) for chunk in chunks))  # its own row may be among them
+                met_rows, met_ids, met_scores = np.concatenate([c.rows[p] for c, p in zip(chunks, places)]), pa.concat_arrays([c.ids.take(pa.array(p)) for c, p in zip(chunks, places)]), np.concatenate(scores)
+                first_best = np.argsort(~met_scores, kind="stable")  # chunks, and places in them, are in the order of ties
+                first_best = first_best[met_rows[first_best] != row][:k]
+                out[0].append(np.full(len(first_best), row))
+                out[1].extend([vec_id] * len(first_best))
+                out[2].append(met_rows[first_best])
+                out[3].append(met_ids.take(pa.array(first_best)))
+                out[4].append(met_scores[first_best])
             if out[0]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out[0])), pa.array(out[1], pa.int64()), pa.array(np.concatenate(out[2])), pa.concat_arrays(out[3]), pa.array(np.concatenate(out[4]))],
