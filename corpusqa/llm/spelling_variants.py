@@ -123,7 +123,7 @@ def keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         back = lengths[row] - 1 - at
         tail = np.add.reduceat(np.where(back < (m - half)[row], letter * power[back], np.uint64(0)), starts)
         for side, text in enumerate((head, tail)):
-            which = mix(text + mix(m.astype(np.uint64) * np.uint64(2) + np.uint64(side)))
+            which = mix(text + mix(m.astype(np.uint64) * np.uint64(2) + np.uint64(side + _BASE // 3)))
             for i, (a, b) in enumerate(KEPT):
                 key = mix(which ^ mix(mix(sums[a] + np.uint64(i)) + sums[b]))
                 out.append((every, key.view(np.int64), np.full(len(words), longer)))
@@ -144,7 +144,9 @@ def near_words(words: DataFrame) -> DataFrame:
     keyed = words.select("word", "n").where("word <> ''").mapInArrow(run, "key long, longer boolean, word string, n long")
     a = keyed.where("NOT longer").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
     b = keyed.select("key", "longer", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    met = a.join(b, "key").where((F.col("longer") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
+    # Each pair in one order, whatever keys may be equal by chance.
+    ordered = F.when(F.col("longer"), F.length("b") == F.length("a") + 1).otherwise((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
+    met = a.join(b, "key").where(ordered & (F.levenshtein("a", "b", 1) == 1))
     pairs = met.select("a", "a_n", "b", "b_n").distinct()
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("other"), F.col("b_n").alias("other_n")), F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("other"), F.col("a_n").alias("other_n"))))
     return pairs.select(both.alias("x")).select("x.*")
