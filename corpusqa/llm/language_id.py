@@ -6,8 +6,9 @@ the product of their numbers.  Landmark documents give the Nystroem features of
 one-versus-rest kernel ridge regression on them gives a margin for each language, and a batch of
 texts is scored by two matrix products.
 
-Defined results: a null text, or one without a letter, gets ``und`` and score 0; rows without text
-or label are not learned from; if nothing can be learned all rows get ``und`` and 0; ties go to the
+Defined results: a null text, or one without a letter, gets ``und`` and score 0; such rows and rows
+without a label are not learned from, whatever doc_id they have; a repeated row counts as often as it
+is chosen; if nothing can be learned all rows get ``und`` and 0; ties go to the
 language first in order; repeated rows give repeated rows; columns of the input other than text,
 ``lang_pred`` and ``score`` are kept.
 """
@@ -79,27 +80,32 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMA
     Rows are taken in the order of a hash of doc_id within each language, by turns.  They reach
     the driver as bit tables of fixed size (10 kB each), not as texts.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("order"))
+    fit_rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col("lang").alias("label"), "text", F.xxhash64("text").alias("text_hash"))
+    known = fit_rows.select("doc_id", "label", "text_hash", F.xxhash64(F.col("doc_id")).alias("order"))
     # Counts by the hash's beginning tell how far each language must be read, so that no language is one task's group.
     ranged = known.withColumn("beginning", F.shiftright("order", 48))
-    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("beginning"))
-    last = ranged.groupBy("lang", "beginning").count().withColumn("upto", upto).groupBy("lang").agg(F.min(F.when(F.col("upto") >= sample_rows, F.col("beginning"))).alias("last"))
-    known = ranged.join(F.broadcast(last), "lang").where("last IS NULL OR beginning <= last")  # a row for each language, as the model has
-    chosen = known.selectExpr("doc_id", "lang", "order", "row_number() OVER (PARTITION BY lang ORDER BY order, doc_id) AS turn")
+    upto = F.sum("count").over(Window.partitionBy("label").orderBy("beginning"))
+    last = ranged.groupBy("label", "beginning").count().withColumn("upto", upto).groupBy("label").agg(F.min(F.when(F.col("upto") >= sample_rows, F.col("beginning"))).alias("last"))
+    known = ranged.join(F.broadcast(last), "label").where("last IS NULL OR beginning <= last")  # a row for each language, as the model has
+    chosen = known.selectExpr("doc_id", "label", "text_hash", "row_number() OVER (PARTITION BY label ORDER BY order, doc_id, text_hash) AS turn")
     # The last turn that any language may need bounds the rows before the final choice.
-    chosen = chosen.where(F.col("turn") <= sample_rows).orderBy("turn", "lang").limit(sample_rows)
-    picked = docs.select("doc_id", "text", F.col("lang").alias("label")).join(F.broadcast(chosen.select("doc_id", F.col("lang").alias("label"), "turn")), ["doc_id", "label"])
+    chosen = chosen.where(F.col("turn") <= sample_rows).orderBy("turn", "label", "doc_id", "text_hash").limit(sample_rows)
+    turns = chosen.groupBy(F.col("doc_id").alias("chosen_id"), F.col("label").alias("chosen_label"), F.col("text_hash").alias("chosen_hash")).agg(F.collect_list("turn").alias("turns"))
+    same = F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("label") == F.col("chosen_label")) & (F.col("text_hash") == F.col("chosen_hash"))
+    picked = fit_rows.join(F.broadcast(turns), same)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = [np.packbits(c).tobytes() for c in presence(*text_buffer(part.column(0)))]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), part.column(1), part.column(2), part.column(3)], names=["bits", "label", "turn", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *part.columns[1:]], names=["bits", "label", "turns", "doc_id", "text_hash"])
 
-    rows = picked.select("text", "label", "turn", F.col("doc_id").cast("long")).mapInArrow(bits, "bits binary, label string, turn int, doc_id long").toPandas()
+    marked = picked.select("text", "label", "turns", F.col("doc_id").cast("long"), "text_hash").mapInArrow(bits, "bits binary, label string, turns array<int>, doc_id long, text_hash long")
+    # Repeated rows meet in one: each chosen row is one row of the model, however many are equal to it.
+    rows = marked.groupBy("label", "doc_id", "text_hash").agg(F.first("bits").alias("bits"), F.first("turns").alias("turns")).toPandas()
     if rows.empty:
         return KernelModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    rows = rows.sort_values(["turn", "label", "doc_id"], kind="stable")
+    rows = rows.explode("turns").sort_values(["turns", "label", "doc_id"], kind="stable")
     unpacked = lambda part: np.stack([np.unpackbits(np.frombuffer(b, np.uint8))[: sum(CELLS)] for b in part])
     marks = unpacked(rows["bits"].iloc[:landmarks])
     cells = np.flatnonzero(marks.any(0))
@@ -117,7 +123,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMA
     label = rows["label"].to_numpy()
     target = np.where(label[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     solved = np.linalg.solve(features.T @ features + ridge * len(features) * np.eye(features.shape[1]), features.T @ target)
-    return KernelModel(languages, cells, np.ascontiguousarray(scaled.T), (root @ solved).astype(np.float32))
+    weights = (root @ solved).astype(np.float32)
+    if not np.isfinite(weights).all():
+        raise ArithmeticError("the kernel regression has no finite solution")
+    return KernelModel(languages, cells, np.ascontiguousarray(scaled.T), weights)
 
 
 def predict(docs: DataFrame, model: KernelModel) -> DataFrame:

@@ -71,9 +71,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, roun
 
     The driver gets hashed cells of the sample, at most ``SAMPLE_BYTES`` bytes of text each.
     """
-    known = labels.where("grade IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "grade")
-    short = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).select("doc_id")
-    chosen = known.join(short, "doc_id").select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample_rows)
+    known = labels.where("grade IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("grade").cast("int").alias("grade"))
+    rated = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("text_hash", F.xxhash64("text"))
+    chosen = known.join(rated.select("doc_id", "text_hash"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "text_hash").limit(sample_rows)
+    grades = chosen.groupBy("doc_id", "text_hash").agg(F.collect_list("grade").alias("grades"))
+    picked = rated.join(F.broadcast(grades), ["doc_id", "text_hash"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -85,13 +87,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, roun
                     words.append(w.astype(np.int32).tobytes())
                     cells.append(c.astype(np.int32).tobytes())
                     shares.append((n / max(1, len(g))).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *(pa.array(v, pa.binary()) for v in (words, cells, shares))], names=["doc_id", "grade", "words", "cells", "shares"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(v, pa.binary()) for v in (words, cells, shares))], names=["doc_id", "text_hash", "grades", "words", "cells", "shares"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("doc_id").cast("long"), "grade").mapInArrow(hashed, "doc_id long, grade int, words binary, cells binary, shares binary").toPandas()
+    cells_of = picked.select("text", F.col("doc_id").cast("long"), "text_hash", "grades").mapInArrow(hashed, "doc_id long, text_hash long, grades array<int>, words binary, cells binary, shares binary")
+    # Equal rows meet in one, with as many grades as were chosen of them.
+    rows = cells_of.groupBy("doc_id", "text_hash").agg(*(F.first(c).alias(c) for c in ("grades", "words", "cells", "shares"))).toPandas()
     none = OrdinalModel(np.zeros(WORD_CELLS, np.float32), np.zeros(GRAM_CELLS, np.float32), np.zeros(GRADES - 1))
     if rows.empty:
         return none
-    rows = rows.sort_values(["doc_id", "grade"])
+    rows = rows.explode("grades").rename(columns={"grades": "grade"}).sort_values(["doc_id", "grade", "text_hash"])
     words = [np.frombuffer(b, np.int32) for b in rows["words"]]
     cells = [np.frombuffer(b, np.int32) for b in rows["cells"]]
     seen = np.bincount(np.concatenate(words), minlength=WORD_CELLS)
@@ -101,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, roun
     gram_scale = 30.0
     value = np.concatenate([np.concatenate((np.full(len(w), 0.2, np.float32), gram_scale * np.frombuffer(s, np.float32))) for w, s in zip(words, rows["shares"])])
     doc = np.repeat(np.arange(len(rows)), [len(w) + len(c) for w, c in zip(words, cells)])
-    y = rows["grade"].to_numpy()
+    y = rows["grade"].to_numpy(np.int64)
     above = (y[:, None] > np.arange(GRADES - 1)[None]).astype(np.float64)
     balance = np.bincount(y, minlength=GRADES)
     weight = (len(y) / np.maximum(1, balance))[y] ** 0.5
