@@ -110,13 +110,14 @@ def life_steps(people: DataFrame) -> DataFrame:
 def life_verdicts(steps: DataFrame, people: DataFrame, sections: DataFrame, spans: DataFrame, end: int) -> DataFrame:
     """Steps (corpus, name, seq, year, carrier) whose year is outside the window of people (name, born, ends), with its kind.
 
-    Years are the declared one, else those of the step's volume in ``spans`` (lo, hi, year_lo, year_hi).
+    Years are the declared one, else those of the step's volume in ``spans`` (lo, hi, year_lo, year_hi; with corpus, each corpus has its own).
     Steps without a section number are ``undated``, those of sections in no volume ``no_span``; steps
     whose section does not exist are left out.
     """
     undated = steps.where("seq IS NULL").withColumn("kind", F.lit("undated"))
     there = steps.join(sections.select("corpus", "seq").distinct(), ["corpus", "seq"], "left_semi")
-    placed = there.join(covering(there, spans), "seq", "left").select(*steps.columns, *(c for c in spans.columns if c not in steps.columns))
+    keys = tuple(c for c in ("corpus",) if c in spans.columns)
+    placed = there.join(covering(there, spans, keys=keys), [*keys, "seq"], "left").select(*steps.columns, *(c for c in spans.columns if c not in steps.columns))
     dated = placed.where("lo IS NOT NULL").withColumns({"at_lo": F.coalesce("year", "year_lo"), "at_hi": F.coalesce("year", "year_hi"), "exempt": F.col("carrier").isin(*CARRIERS)})
     out = undated.unionByName(placed.where("lo IS NULL").select(*steps.columns, F.lit("no_span").alias("kind")))
     return out.unionByName(life_windows(dated, people, ["name"], F.lit(end)).select(*steps.columns, "kind"))

@@ -95,6 +95,44 @@ def lint_quotes(docs: DataFrame, opener: str = "(", closer: str = ")") -> DataFr
     return _finding(out.withColumn("pos", F.coalesce("surplus.pos", "open_pos")), "quote_imbalance", F.col("total"))
 
 
+def lint_all(docs: DataFrame, core: tuple[str, ...], person: str = PERSON, least_level: int = 3) -> DataFrame:
+    """(doc, check, line, detail): the findings of all checks of lines, from one reading of the documents.
+
+    Lines are dealt out by document once; every window of the checks is within a document, so that
+    they are sorted anew, not moved.  A line's findings are an array.
+    """
+    in_order = Window.partitionBy("doc").orderBy("pos")
+    upto, before = in_order.rowsBetween(Window.unboundedPreceding, 0), in_order.rowsBetween(Window.unboundedPreceding, -1)
+    lines = doc_lines(docs)
+    bare = F.trim(F.regexp_replace("line", "`[^`]*`", ""))
+    is_row = bare.startswith("|")
+    lines = lines.withColumns({"before": F.last("level", ignorenulls=True).over(before), "is_row": is_row, "run": F.sum(F.when(is_row, 0).otherwise(1)).over(upto), "cells": F.when(is_row, F.size(F.split(bare, r"\|"))), "separator": bare.rlike(r"^\|[\s:|-]+$")})
+    within = Window.partitionBy("doc", "at")
+    named = F.when(F.col("level") >= least_level, card_name("heading"))
+    is_card = (F.col("level") >= least_level) & (F.col("fields") > 0) & named.rlike(person)
+    lines = lines.withColumn("fields", F.when(F.col("at").isNotNull(), F.count("key").over(within)))
+    lines = lines.withColumn("first_key", F.min("pos").over(Window.partitionBy("doc", F.coalesce("at", F.lit(-1)), "key")))
+    lines = lines.withColumns({"is_card": is_card, "name": named}).withColumn("first_card", F.min(F.when(F.col("is_card"), F.col("pos"))).over(Window.partitionBy("doc", "level", "name")))
+    rows_of = Window.partitionBy("doc", "run", "is_row")
+    lines = lines.withColumn("top", F.col("pos") == F.min("pos").over(rows_of))
+    lines = lines.withColumn("header", F.last(F.when(F.col("top") | F.col("separator"), F.col("cells")), ignorenulls=True).over(rows_of.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    meant = F.expr("get(filter(array(" + ", ".join(f"'{c}'" for c in core) + "), c -> contains(key, c)), 0)")
+    lines = lines.withColumn("core", F.when((F.length("key") <= 8) & ~F.col("key").rlike("[（(]"), meant))
+    same = Window.partitionBy("doc", "core")
+    lines = lines.withColumns({"spelt": F.when(F.col("core").isNotNull(), F.array_sort(F.collect_set("key").over(same))), "first_core": F.min("pos").over(same)})
+    told = {
+        "glued_heading": (F.col("level").isNotNull() & F.col("heading").contains("##"), F.col("heading")),
+        "level_jump": (F.col("level") > F.col("before") + 1, F.concat_ws(">", "before", "level")),
+        "dup_card": (F.col("is_card") & (F.col("pos") > F.col("first_card")), F.concat_ws("@", "name", "first_card")),
+        "dup_field": (F.col("key").isNotNull() & (F.col("pos") > F.col("first_key")), F.concat_ws("@", "key", "first_key")),
+        "colon": (F.col("line").rlike(r"^- \*\*[^*：:]{1,20}:"), F.col("key")),
+        "field_alias": ((F.size("spelt") > 1) & (F.col("pos") == F.col("first_core")), F.array_join("spelt", "/")),
+        "table_columns": (F.col("is_row") & (F.col("cells") != F.col("header")), F.concat_ws("/", "cells", "header")),
+    }
+    each = F.array(*(F.when(met, F.struct(F.lit(check).alias("check"), detail.cast("string").alias("detail"))) for check, (met, detail) in told.items()))
+    return lines.select("doc", F.col("pos").alias("line"), F.explode(F.array_compact(each)).alias("x")).select("doc", "x.check", "line", "x.detail")
+
+
 def lint_summary(findings: DataFrame) -> DataFrame:
     """(doc, tier, n, verdict): findings by tier; tier 1 fails the document."""
     tier = F.create_map(*(F.lit(x) for kv in TIERS.items() for x in kv))[F.col("check")]

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusqa.operators import gates
+from corpusqa.operators import gates, metrics, rules
+from corpusqa.plans.metrics import MARKS, MET
 from corpusqa.plans.registry import query
-from corpusqa.plans.tables import CHANGED, SEC, changed, sections, table, values
+from corpusqa.plans.tables import CHANGED, PARAS, SEC, changed, sections, table, values
+from corpusqa.sources import numbered
 
 FOUND = f"{SEC}, fi AS (SELECT corpus, CASE WHEN length(text) < 300 THEN 'under' WHEN length(text) > 6000 THEN 'over' ELSE 'marks' END AS rule, CASE WHEN length(text) BETWEEN 300 AND 6000 THEN 'info' ELSE 'fail' END AS severity, seq FROM sec WHERE length(text) < 300 OR length(text) > 6000 OR contains(text, '%%%'))"
 
@@ -72,3 +74,39 @@ def i7(spark: SparkSession, d: str) -> DataFrame:
 def i8(spark: SparkSession, d: str) -> DataFrame:
     vols = values(spark, "vol BIGINT, lo BIGINT, hi BIGINT", (1, 1, 10), (2, 11, 30), (3, 31, 45))
     return gates.enforced(vols, sections(spark, d), values(spark, "lo BIGINT, hi BIGINT", (12, 14), (48, 99)))
+
+
+RULES = rules.section_rules(300, 6000, 50, 150)
+RULE_FINDINGS = f"""{PARAS}, {MET}, rf AS (SELECT corpus, rule, severity, seq, NULL::VARCHAR AS subject, n::BIGINT AS n, detail FROM (
+    SELECT corpus, seq, 'under_floor' AS rule, 'fail' AS severity, chars AS n, chars || ' < 300' AS detail FROM full_met WHERE chars < 300
+    UNION ALL SELECT corpus, seq, 'over_ceiling', 'warn', chars, chars || ' > 6000' FROM full_met WHERE chars > 6000
+    UNION ALL SELECT corpus, seq, 'no_paragraph', 'fail', 0, NULL FROM full_met WHERE n_all = 0
+    UNION ALL SELECT corpus, seq, 'unpaired_quotes', 'fail', abs(opens - closes), opens || '/' || closes FROM full_met WHERE opens <> closes
+    UNION ALL SELECT corpus, seq, 'half_width_quotes', 'warn', half, NULL FROM full_met WHERE half > 0
+    UNION ALL SELECT corpus, seq, 'fragmented', 'info', short_all, short_all || '/' || n_all FROM full_met WHERE n_all > 0 AND short_all * 100 >= 50 * n_all
+    UNION ALL SELECT corpus, seq, 'dense_pattern', 'info', hits, NULL FROM full_met WHERE hits * 10000 > 150 * chars))"""
+
+
+def rule_findings(spark: SparkSession, d: str) -> DataFrame:
+    """All rules of sections on the documents, measured where they lie."""
+    rows = table(spark, d, "documents").select(F.col("source").alias("corpus"), "doc_id", "text")
+    return rules.evaluate(numbered(metrics.measure(rows, ["corpus", "doc_id"], marks=MARKS), "corpus", "doc_id"), RULES)
+
+
+@query("i7_rule_findings", f"WITH {RULE_FINDINGS} SELECT * FROM rf")
+def i7b(spark: SparkSession, d: str) -> DataFrame:
+    return rule_findings(spark, d)
+
+
+@query("i7_verdict_of_rules", f"WITH {RULE_FINDINGS} SELECT corpus, count(*) FILTER (severity = 'fail') AS fails, count(*) FILTER (severity = 'warn') AS warns, count(*) FILTER (severity = 'info') AS infos, count(*) FILTER (severity = 'fail') > 0 AS failed FROM rf GROUP BY corpus")
+def i7c(spark: SparkSession, d: str) -> DataFrame:
+    return rules.verdict(rule_findings(spark, d))
+
+
+STEP_ROWS = (("length", "fail", "under_floor"), ("length", "fail", "no_paragraph"), ("length", "report", "over_ceiling"), ("quotes", "fail", "unpaired_quotes"), ("quotes", "report", "half_width_quotes"), ("style", "report", "fragmented"), ("style", "report", "dense_pattern"), ("ledger", "fail", "absent"))
+STEP_VALUES = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in STEP_ROWS)
+
+
+@query("i7_gate_of_rules", f"WITH {RULE_FINDINGS}, s(step, kind, rule) AS (VALUES {STEP_VALUES}), c AS (SELECT rule, count(*) AS n FROM rf GROUP BY rule), g AS (SELECT step, kind, coalesce(sum(n), 0)::BIGINT AS n FROM s LEFT JOIN c USING (rule) GROUP BY ALL) SELECT *, kind = 'fail' AND n > 0 AS failed FROM g")
+def i7d(spark: SparkSession, d: str) -> DataFrame:
+    return gates.gate_summary(rule_findings(spark, d), values(spark, "step STRING, kind STRING, rule STRING", *STEP_ROWS))

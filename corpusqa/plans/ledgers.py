@@ -9,6 +9,7 @@ from corpusqa.operators import cadence, dups, ledgers, metrics
 from corpusqa.plans.metrics import SPEAKER_VALUES, SPEAKERS, SPEECH, SPOKEN
 from corpusqa.plans.registry import query
 from corpusqa.plans.tables import SEC, SENTS, sections, table, values
+from corpusqa.sources import nested, scratch
 
 NAMES = ("Eriner", "Nicht", "Thedre", "Thble", "Zzzz")
 ROSTER_SQL = "r(name) AS (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ")"
@@ -189,6 +190,65 @@ def f7c(spark: SparkSession, d: str) -> DataFrame:
     return verdicts.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+LEDGERS = "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE conv_id % 9 NOT IN (4, 5)"
+
+
+def custody_files(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """A custody ledger of each conversation as a line of JSON files; some are absent, don't parse, or have chapters that are texts, or none."""
+    c = table(spark, d, "conversations").where("conv_id % 9 <> 4")
+    ch = F.expr("CASE WHEN turn % 13 = 5 THEN 'five' ELSE cast(turn AS string) END")
+    step = F.struct("turn", F.struct(ch.alias("ch"), F.col("role").alias("holder"), F.expr("if(turn % 5 = 4, array(), array('the', 'que'))").alias("anchors"), F.array(F.lit("der")).alias("handover")).alias("step"))
+    steps = F.transform(F.array_sort(F.collect_list(step)), lambda x: x["step"])
+    chains = c.groupBy("conv_id").agg(steps.alias("steps"))  # a conversation's turns
+    line = F.to_json(F.struct(F.col("conv_id").cast("string").alias("corpus"), F.array(F.struct(F.lit("talk").alias("id"), "steps")).alias("chains")))
+    broken = F.concat(F.lit('{"chains": 1, "corpus": "'), F.col("conv_id").cast("string"), F.lit('"}'))
+    path = scratch(spark)
+    chains.select(F.when(F.col("conv_id") % 9 == 5, broken).otherwise(line)).write.text(path)
+    expected = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("corpus"))
+    return nested.custody(nested.read_lines(spark, path), expected)
+
+
+@query(
+    "a2_custody_from_json",
+    f"WITH l AS ({LEDGERS}) SELECT conv_id::VARCHAR AS corpus, CASE WHEN turn % 13 <> 5 THEN turn END AS ch, role AS holder, CASE WHEN turn % 13 = 5 OR turn < 1 THEN 'bad_number' WHEN turn % 7 = 6 THEN CASE WHEN turn % 14 = 6 THEN 'pending' ELSE 'missing' END WHEN turn NOT BETWEEN 1 AND 8 THEN 'skipped' WHEN turn % 5 = 4 THEN 'no_anchor' ELSE 'active' END AS status FROM l",
+)
+def a2_custody(spark: SparkSession, d: str) -> DataFrame:
+    said = table(spark, d, "conversations").where("turn % 14 = 6").select(F.col("conv_id").cast("string").alias("corpus"), F.col("turn").alias("seq"))
+    return ledgers.custody_status(custody_files(spark, d)["steps"], turns(spark, d), said, 1, 8).select("corpus", "ch", "holder", "status")
+
+
+@query(
+    "a2_custody_faults",
+    f"WITH l AS ({LEDGERS}), f AS (SELECT conv_id, 'custody_field' AS rule, 'fail' AS severity, '$.chains[0].steps[' || i || '].ch' AS subject FROM l WHERE turn % 13 = 5 UNION ALL SELECT DISTINCT conv_id, 'custody_field', 'fail', '$.chains' FROM conversations WHERE conv_id % 9 = 5 UNION ALL SELECT DISTINCT conv_id, 'custody_missing', 'info', NULL FROM conversations WHERE conv_id % 9 = 4) SELECT conv_id::VARCHAR AS corpus, rule, severity, NULL::BIGINT AS seq, subject, 1::BIGINT AS n, NULL::VARCHAR AS detail FROM f",
+)
+def a2_faults(spark: SparkSession, d: str) -> DataFrame:
+    return custody_files(spark, d)["findings"]
+
+
+@query(
+    "a2_life_from_json",
+    f"WITH {SEC}, v(lo, hi, y0, y1) AS (VALUES (1, 10, 1992, 1993), (11, 20, 1993, 1996), (21, 35, 1996, 1996)), p AS (SELECT o_orderkey AS name, year(o_orderdate) AS born, CASE WHEN o_orderstatus = 'F' THEN year(o_orderdate) + 1 END AS ends, 'src' || (o_custkey % 20) AS corpus FROM orders), "
+    "st AS (SELECT l_orderkey AS name, CASE WHEN l_linenumber < 7 THEN l_partkey % 60 + 1 END AS seq, CASE WHEN l_returnflag = 'A' THEN year(l_shipdate) END AS y, l_suppkey % 7 = 0 AS l0 FROM lineitem), "
+    "j AS (SELECT st.name, CASE WHEN st.seq IS NULL THEN 'undated' WHEN v.lo IS NULL THEN 'no_span' WHEN coalesce(y, y0) < born THEN 'before_birth' WHEN l0 THEN NULL WHEN coalesce(y, y0) > least(ends, 1997) THEN 'after_end' WHEN coalesce(y, y1) > least(ends, 1997) THEN 'reaches_past' END AS kind FROM st JOIN p USING (name) LEFT JOIN sec ON sec.corpus = p.corpus AND sec.seq = st.seq LEFT JOIN v ON st.seq BETWEEN v.lo AND v.hi WHERE st.seq IS NULL OR sec.seq IS NOT NULL) SELECT name, kind, count(*) AS n FROM j WHERE kind IS NOT NULL GROUP BY ALL",
+)
+def a2_life(spark: SparkSession, d: str) -> DataFrame:
+    """Each order is a person of a life ledger; ledgers are lines of JSON files and are read, unnested and judged."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct(F.expr("if(l_linenumber < 7, l_partkey % 60 + 1, null)").alias("chapter"), F.expr("if(l_returnflag = 'A', year(l_shipdate), null)").alias("year"), F.expr("if(l_suppkey % 7 = 0, 'document', 'in_person')").alias("kind")).alias("x"))
+    landed = lines.groupBy("o_orderkey").agg(F.collect_list("x").alias("landed"))
+    person = F.struct(F.col("o_orderkey").alias("name"), F.year("o_orderdate").alias("birth_year"), F.expr("if(o_orderstatus = 'F', year(o_orderdate) + 1, null)").alias("death_year"), "landed")
+    path = scratch(spark)
+    corpus = F.concat(F.lit("src"), (F.col("o_custkey") % 20).cast("string"))
+    table(spark, d, "orders").join(landed, "o_orderkey").select(F.to_json(F.struct(corpus.alias("corpus"), F.array(person).alias("people")))).write.text(path)
+    volumes = F.expr("array(named_struct('vol', 1, 'from', 1992, 'to', 1993, 'chapters', '1-10'), named_struct('vol', 2, 'from', 1993, 'to', 1996, 'chapters', '11—20'), named_struct('vol', 3, 'from', 1996, 'to', null, 'chapters', '21 – 35'))")
+    corpora = table(spark, d, "documents").select(F.col("source").alias("corpus")).distinct()
+    corpora.select(F.to_json(F.struct("corpus", volumes.alias("volume_years")))).write.mode("append").text(path)
+    tables = nested.life_windows(nested.read_lines(spark, path), corpora)
+    people = tables["people"].select(F.col("name").cast("bigint").alias("name"), "born", "ends")
+    steps = tables["landings"].select("corpus", F.col("name").cast("bigint").alias("name"), "seq", "year", "carrier")
+    verdicts = ledgers.life_verdicts(steps, people, sections(spark, d), tables["spans"], 1997)
+    return verdicts.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 RANGES = "SELECT c_nationkey AS vol, min(c_custkey) AS lo, max(c_custkey) AS hi, count(*) AS y0, count(*) FILTER (c_acctbal > 0) AS y1 FROM customer"
 
 

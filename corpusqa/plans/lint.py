@@ -81,8 +81,10 @@ TIER_SQL = "CASE \"check\" " + " ".join(f"WHEN '{c}' THEN {t}" for c, t in lint.
 
 @query("h10_lint_summary", f"WITH {MARKED}, f AS (SELECT * FROM ({ALL}) t(doc, \"check\", line, detail)) SELECT doc, {TIER_SQL} AS tier, count(*) AS n, CASE WHEN {TIER_SQL} = 1 THEN 'fail' ELSE 'report' END AS verdict FROM f GROUP BY ALL")
 def h10(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for check in FIND:
-        one = found(spark, d, check)
-        out = one if out is None else out.unionByName(one)
-    return lint.lint_summary(out)
+    return lint.lint_summary(lint.lint_all(marked(spark, d), CORE, CARD))
+
+
+@query("h10_lint_findings", f"WITH {MARKED} SELECT * FROM ({ALL}) t(doc, \"check\", line, detail)")
+def h10b(spark: SparkSession, d: str) -> DataFrame:
+    """All checks of lines in one pass."""
+    return lint.lint_all(marked(spark, d), CORE, CARD)
