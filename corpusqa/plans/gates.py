@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusqa.operators import gates, metrics, rules
 from corpusqa.plans.metrics import MARKS, MET
 from corpusqa.plans.registry import query
-from corpusqa.plans.tables import CHANGED, PARAS, SEC, changed, sections, table, values
+from corpusqa.plans.tables import CHANGED, PARAS, SEC, changed, sections, table, trimmed, values
 from corpusqa.sources import numbered
 
 FOUND = f"{SEC}, fi AS (SELECT corpus, CASE WHEN length(text) < 300 THEN 'under' WHEN length(text) > 6000 THEN 'over' ELSE 'marks' END AS rule, CASE WHEN length(text) BETWEEN 300 AND 6000 THEN 'info' ELSE 'fail' END AS severity, seq FROM sec WHERE length(text) < 300 OR length(text) > 6000 OR contains(text, '%%%'))"
@@ -46,6 +46,42 @@ def i4(spark: SparkSession, d: str) -> DataFrame:
     return gates.changed_sections(s.where("doc_id % 89 <> 0"), changed(s), ["corpus", "doc_id"])
 
 
+MOVED = f"""{SEC}, bef AS (SELECT corpus, doc_id, text FROM sec),
+    aft AS (SELECT corpus, CASE doc_id % 50 WHEN 7 THEN doc_id + 10000000 WHEN 8 THEN doc_id + 20000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 50 = 8 THEN text || chr(10) || 'x y' WHEN doc_id % 97 = 0 THEN text || '!' ELSE text END AS text FROM sec WHERE doc_id % 101 <> 0
+      UNION ALL SELECT corpus, doc_id + 30000000, text FROM sec WHERE doc_id % 50 = 9 UNION ALL SELECT corpus, doc_id + 40000000, 'zz' || doc_id FROM sec WHERE doc_id % 50 = 11),
+    fresh AS (SELECT * FROM aft ANTI JOIN bef USING (corpus, doc_id)), gone AS (SELECT * FROM bef ANTI JOIN aft USING (corpus, doc_id)),
+    fe AS (SELECT *, md5(text) AS s, row_number() OVER (PARTITION BY md5(text) ORDER BY corpus, doc_id) AS turn FROM fresh), ge AS (SELECT *, md5(text) AS s, row_number() OVER (PARTITION BY md5(text) ORDER BY corpus, doc_id) AS turn FROM gone),
+    eq AS (SELECT fe.corpus, fe.doc_id, ge.corpus AS from_corpus, ge.doc_id AS from_doc_id FROM fe JOIN ge USING (s, turn)),
+    fr AS (SELECT * FROM fresh ANTI JOIN eq USING (corpus, doc_id)), gr AS (SELECT corpus, doc_id, text FROM gone WHERE NOT EXISTS (SELECT 1 FROM eq WHERE from_corpus = gone.corpus AND from_doc_id = gone.doc_id)),
+    bl AS (SELECT corpus, doc_id, {trimmed("l")} AS line FROM (SELECT corpus, doc_id, unnest(string_split(text, chr(10))) AS l FROM bef)), fl AS (SELECT corpus, doc_id, {trimmed("l")} AS line FROM (SELECT corpus, doc_id, unnest(string_split(text, chr(10))) AS l FROM fr)),
+    bt AS (SELECT corpus, doc_id, line, count(*) AS k, sum(count(*)) OVER (PARTITION BY corpus, doc_id) AS n FROM bl WHERE line <> '' GROUP BY corpus, doc_id, line), ft AS (SELECT corpus, doc_id, line, count(*) AS k, sum(count(*)) OVER (PARTITION BY corpus, doc_id) AS n FROM fl WHERE line <> '' GROUP BY corpus, doc_id, line),
+    li AS (SELECT f.corpus, f.doc_id, b.corpus AS from_corpus, b.doc_id AS from_doc_id, sum(least(f.k, b.k)) / greatest(any_value(f.n), any_value(b.n)) AS likeness FROM ft f JOIN bt b USING (line) GROUP BY f.corpus, f.doc_id, b.corpus, b.doc_id),
+    pa AS (SELECT li.*, row_number() OVER (ORDER BY likeness DESC, from_corpus, from_doc_id, li.corpus, li.doc_id) AS r FROM li JOIN gr ON gr.corpus = from_corpus AND gr.doc_id = from_doc_id WHERE likeness >= 0.5),
+    gd AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS a, []::BIGINT[] AS b, []::BIGINT[] AS took UNION ALL SELECT r, CASE WHEN ok THEN list_append(a, f) ELSE a END, CASE WHEN ok THEN list_append(b, g) ELSE b END, CASE WHEN ok THEN list_append(took, r) ELSE took END
+      FROM (SELECT pa.r, gd.a, gd.b, gd.took, pa.doc_id AS f, pa.from_doc_id AS g, NOT list_contains(gd.a, pa.doc_id) AND NOT list_contains(gd.b, pa.from_doc_id) AS ok FROM gd JOIN pa ON pa.r = gd.r + 1)),
+    rn AS (SELECT * EXCLUDE (r) FROM pa WHERE list_contains((SELECT took FROM gd ORDER BY r DESC LIMIT 1), r) UNION ALL SELECT corpus, doc_id, from_corpus, from_doc_id, 1.0 FROM eq),
+    lf AS (SELECT * FROM fresh ANTI JOIN rn USING (corpus, doc_id)),
+    sm AS (SELECT lf.corpus, lf.doc_id, bef.corpus AS from_corpus, bef.doc_id AS from_doc_id, 1.0 AS likeness, 0 AS o FROM lf JOIN bef USING (text) UNION ALL SELECT li.*, 1 FROM li JOIN lf USING (corpus, doc_id) WHERE likeness >= 0.5),
+    cp AS (SELECT corpus, doc_id, from_corpus, from_doc_id, likeness FROM (SELECT *, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY o, likeness DESC, from_corpus, from_doc_id) AS i FROM sm) WHERE i = 1),
+    mv AS (SELECT corpus, doc_id, 'renamed' AS status, from_corpus, from_doc_id, likeness FROM rn UNION ALL SELECT corpus, doc_id, 'copied', from_corpus, from_doc_id, likeness FROM cp)"""
+
+
+@query(
+    "i4_moved_sections",
+    f"WITH RECURSIVE {MOVED} SELECT corpus, doc_id, status, from_corpus, from_doc_id, round(likeness::DOUBLE * 1000)::BIGINT AS likeness FROM mv UNION ALL SELECT corpus, doc_id, 'added', NULL, NULL, NULL FROM lf ANTI JOIN cp USING (corpus, doc_id) UNION ALL SELECT a.corpus, a.doc_id, 'modified', NULL, NULL, NULL FROM aft a JOIN bef b ON a.corpus = b.corpus AND a.doc_id = b.doc_id WHERE a.text <> b.text",
+)
+def i4b(spark: SparkSession, d: str) -> DataFrame:
+    """Some documents have another key, some another key and a line more, some are there twice, some are new, some gone."""
+    before = table(spark, d, "documents").select(F.col("source").alias("corpus"), "doc_id", "text")
+    key = F.expr("CASE doc_id % 50 WHEN 7 THEN doc_id + 10000000 WHEN 8 THEN doc_id + 20000000 ELSE doc_id END")
+    text = F.expr("CASE WHEN doc_id % 50 = 8 THEN concat(text, '\n', 'x y') WHEN doc_id % 97 = 0 THEN concat(text, '!') ELSE text END")
+    after = before.where("doc_id % 101 <> 0").select("corpus", key.alias("doc_id"), text.alias("text"))
+    after = after.unionByName(before.where("doc_id % 50 = 9").withColumn("doc_id", F.col("doc_id") + 30000000))
+    after = after.unionByName(before.where("doc_id % 50 = 11").select("corpus", (F.col("doc_id") + 40000000).alias("doc_id"), F.concat(F.lit("zz"), F.col("doc_id").cast("string")).alias("text")))
+    out = gates.moved_sections(before, after, ["corpus", "doc_id"])
+    return out.withColumn("likeness", F.round(F.col("likeness") * 1000).cast("bigint"))
+
+
 @query(
     "i5_compact_ranges",
     f"WITH {SEC}, k AS (SELECT DISTINCT corpus, seq FROM sec JOIN labels USING (doc_id)), g AS (SELECT corpus, seq, seq - row_number() OVER (PARTITION BY corpus ORDER BY seq) AS grp FROM k), r AS (SELECT corpus, min(seq) AS a, max(seq) AS b, row_number() OVER (PARTITION BY corpus ORDER BY min(seq)) AS run FROM g GROUP BY corpus, grp) SELECT corpus, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY run) FILTER (run <= 10) AS ranges, greatest(count(*) - 10, 0) AS more FROM r GROUP BY corpus",

@@ -13,6 +13,7 @@ from corpusqa.plans.registry import query
 from corpusqa.plans.tables import BODY, CHANGED, CHARS, CJK_SEC, PARAS, SEC, SENTS, changed, cjk, paras, sections, sents, table, values
 from corpusqa.schemas import CJK, LATIN
 from corpusqa.sources import cut, numbered, publish, scratch, spread
+from corpusqa.sources.snapshots import Store
 
 TERMS = LATIN.lexicon
 SPEAKERS = ("en", "er", "es", "on")
@@ -241,6 +242,17 @@ def c13(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("corpus").cast("string").alias("corpus")).agg(F.count(F.lit(1)).alias("sections"), F.sum("chars").alias("chars"))
 
 
+@query("c13_snapshot_commits", f"WITH {SEC}, m AS (SELECT corpus, seq, {CHARS} AS chars FROM sec) SELECT corpus, count(*) AS sections, sum(chars)::BIGINT AS chars FROM m WHERE corpus NOT LIKE '%3' OR seq % 2 = 0 GROUP BY corpus")
+def c13b(spark: SparkSession, d: str) -> DataFrame:
+    """Published, published anew in part, and staged once more without a commit, which readers don't see."""
+    store = Store(spark, scratch(spark))
+    rows = cut(sections(spark, d).select("corpus", "seq", fn.char_count(F.col("text")).alias("chars")))
+    store.publish(rows)
+    store.publish(rows.where("corpus LIKE '%3' AND seq % 2 = 0"))
+    store.stage(rows.limit(10), "lost")
+    return store.read().groupBy("corpus").agg(F.count(F.lit(1)).alias("sections"), F.sum("chars").alias("chars"))
+
+
 GRAMS = "g AS (SELECT corpus, seq, substr(text, i, 40) AS gram, i FROM sec, unnest(range(1, length(text) - 38)) r(i) WHERE length(text) >= 40)"
 
 
