@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,23 +27,71 @@ def windows(sections: DataFrame, width: int, skip: str | None = None) -> DataFra
     return rows.where(~F.col("gram").rlike(skip)) if skip else rows
 
 
+class WindowHasher:
+    """Hashes of all windows of a text, from prefix sums of a polynomial in a ring modulo 2**64."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.power = self.inverse = np.ones(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.power):
+            steps = (np.full(n + n // 4, b, np.uint64) for b in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+            self.power, self.inverse = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), x))) for x in steps)
+
+    def __call__(self, text: str, width: int) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(codes) - width + 1
+        if n < 1:
+            return np.zeros(0, np.uint64)
+        self._grow(len(codes))
+        codes = (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        codes ^= codes >> np.uint64(32)
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * self.power[: len(codes)], out=total[1:])
+        return (total[width:] - total[:n]) * self.inverse[:n]
+
+
+def repeated_windows(text: str, width: int, hasher: WindowHasher) -> Iterator[tuple[str, int, int]]:
+    """(window, places, distance of the first and last) of each window that a text has twice or more; equal hashes are compared by text."""
+    h = hasher(text, width)
+    order = np.argsort(h, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1], [True]))) if len(h) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
+        places: dict[str, list[int]] = {}
+        for i in order[a:b].tolist():
+            window = text[i : i + width]
+            seen = places.setdefault(window, [0, i, i])
+            seen[0], seen[2] = seen[0] + 1, i
+        yield from ((window, n, last - first) for window, (n, first, last) in places.items() if n > 1)
+
+
 def section_repeats(sections: DataFrame, width: int = 12, skip: str | None = None, strip: str | None = None, apart: bool = False) -> DataFrame:
     """(corpus, seq, gram, n) of windows that a section has twice or more.
 
-    Hashes of windows are sorted within the section; only windows next to one of equal hash are taken
-    out and counted by text.  ``strip`` deletes characters beforehand; ``skip`` leaves windows out that match;
-    ``apart`` asks for two places that don't overlap.
+    A section's windows are hashed and sorted where it lies; only the repeated ones leave its row, once
+    each.  ``strip`` deletes characters beforehand; ``skip`` leaves windows out that match; ``apart`` asks for two
+    places that don't overlap.
     """
-    s = sections.withColumn("text", F.regexp_replace("text", strip, "")) if strip else sections
-    chars = s.where(F.length("text") > width).select(*KEY, F.split("text", "").alias("cs"))
-    gram = f"array_join(slice(cs, i, {width}), '')"
-    hashes = f"sort_array(transform(sequence(1, size(cs) - {width} + 1), i -> struct(xxhash64({gram}) AS h, i AS pos)))"
-    again = "filter(hs, (x, i) -> x.h <=> get(hs, i - 1).h OR x.h <=> get(hs, i + 1).h)"
-    found = F.expr(f"element_at(transform(array({hashes}), hs -> transform({again}, x -> x.pos)), 1)")  # one name for what a lambda reads often
-    rows = chars.select(*KEY, "cs", found.alias("ps")).select(*KEY, F.explode(F.expr(f"transform(ps, i -> struct(i AS pos, {gram} AS gram))")).alias("g")).select(*KEY, "g.pos", "g.gram")
+    s = sections.select(*KEY, (F.regexp_replace("text", strip, "") if strip else F.col("text")).alias("text")).where(F.length("text") > width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WindowHasher()
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column(2)):
+                for x in repeated_windows(text.as_py(), width, hasher):
+                    at.append(i)
+                    found.append(x)
+            place = pa.array(at, pa.int64())
+            grams, n, reach = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(grams, pa.string()), pa.array(n, pa.int64()), pa.array(reach, pa.int64())], names=[*KEY, "gram", "n", "reach"])
+
+    kinds = ", ".join(f"{k} {sections.schema[k].dataType.simpleString()}" for k in KEY)
+    out = s.mapInArrow(run, f"{kinds}, gram string, n long, reach long")
     if skip:
-        rows = rows.where(~F.col("gram").rlike(skip))
-    out = rows.groupBy(*KEY, "gram").agg(F.count(F.lit(1)).alias("n"), (F.max("pos") - F.min("pos")).alias("reach")).where("n > 1")
+        out = out.where(~F.col("gram").rlike(skip))
     return (out.where(F.col("reach") >= width) if apart else out).drop("reach")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusqa import sources as src
 from corpusqa.plans.lint import MARKED, marked
 from corpusqa.plans.registry import query
-from corpusqa.plans.tables import SEC, sections, table, values
+from corpusqa.plans.tables import SEC, sections, table
 
 
 @query("a1_sections", f"WITH {SEC} SELECT corpus, seq, doc_id, md5(text) AS text FROM sec")
@@ -42,16 +42,24 @@ OUTLINE = "'第' || (page_id % 40 + 1) || '章《' || trim(regexp_extract(html,
 )
 def a3(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").withColumn("line", F.concat(F.lit("第"), (F.col("page_id") % 40 + 1).cast("string"), F.lit("章《"), F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("》")))
-    # An outline text for each corpus: its pages' declarations in order.
-    outline = pages.groupBy((F.col("page_id") % 7).cast("string").alias("corpus")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return src.declared_titles(outline)
+    # Each page declares its section in an outline text of its own; the first page of a number holds.
+    return src.declared_titles(pages.select((F.col("page_id") % 7).cast("string").alias("corpus"), "page_id", F.col("line").alias("text")), order="page_id")
 
 
-@query("a4_volume_ranges", f"WITH {SEC} SELECT corpus, (seq + 9) // 10 AS vol, min(seq) AS lo, max(seq) AS hi FROM sec GROUP BY ALL")
+TENS = ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十")
+
+
+@query(
+    "a4_volume_ranges",
+    f"WITH {SEC}, d AS (SELECT corpus, (seq + 9) // 10 AS vol, min(seq) AS lo, max(seq) AS hi FROM sec GROUP BY ALL) SELECT corpus, vol, lo, hi FROM d WHERE corpus NOT LIKE '%3' UNION ALL SELECT corpus, vol, lo, hi FROM d WHERE corpus LIKE '%3' AND vol <= 10",
+)
 def a4(spark: SparkSession, d: str) -> DataFrame:
-    declared = sections(spark, d).select("corpus", "seq", F.expr("(seq + 9) div 10").alias("vol"))
-    text = values(spark, "corpus STRING, text STRING", ("none", "第一卷：10章（第1—10章）"))
-    return src.first_volumes(src.volumes_from_declared(declared), src.volumes_from_text(text).where("corpus <> 'none'"))
+    """Ranges of declared sections; corpora that declare none take those of an outline text."""
+    numbers = sections(spark, d).select("corpus", "seq", F.expr("(seq + 9) div 10").alias("vol"))
+    numeral = F.element_at(F.array(*(F.lit(x) for x in TENS)), F.col("vol").cast("int"))
+    line = F.concat(F.lit("第"), numeral, F.lit("卷："), F.expr("cast(hi - lo + 1 AS string)"), F.lit("章（第"), F.col("lo").cast("string"), F.lit("—"), F.col("hi").cast("string"), F.lit("章）\n"))
+    outline = src.volumes_from_declared(numbers).where("vol <= 10").select("corpus", line.alias("text"))
+    return src.first_volumes(src.volumes_from_declared(numbers.where("corpus NOT LIKE '%3'")), src.volumes_from_text(outline))
 
 
 @query(
@@ -122,6 +130,19 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
     return src.upsert(base, incoming, "k", "o_orderkey")
 
 
+@query(
+    "a10_upsert_by_title",
+    "WITH b AS (SELECT regexp_replace(trim(p_name), '\\s+', '-', 'g') AS id, min(p_partkey) AS v FROM part GROUP BY 1), i AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'own-' || p_partkey ELSE regexp_replace(trim(p_name), '\\s+', '-', 'g') END AS id, p_partkey AS v FROM part WHERE p_size % 5 = 0), l AS (SELECT id, max(v) AS v FROM i GROUP BY id) SELECT * FROM l UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM l)",
+)
+def a10b(spark: SparkSession, d: str) -> DataFrame:
+    """Imported rows without an id take their title's."""
+    part = table(spark, d, "part")
+    titled = lambda df, given: df.select(src.default_id(F.col("p_name"), given).alias("id"), F.col("p_partkey").alias("v"))
+    base = titled(part, F.lit("")).groupBy("id").agg(F.min("v").alias("v"))
+    given = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("own-"), F.col("p_partkey").cast("string")))
+    return src.upsert(base, titled(part.where("p_size % 5 = 0"), given), "id", "v")
+
+
 @query("a11_report_roundtrip", f"WITH {SEC} SELECT corpus, 'under' AS rule, count(*) AS n FROM sec WHERE length(text) < 300 GROUP BY corpus")
 def a11(spark: SparkSession, d: str) -> DataFrame:
     path = src.scratch(spark)

@@ -7,14 +7,6 @@ from dataclasses import dataclass, field
 SECTIONS = "corpus STRING, seq BIGINT, text STRING"
 FINDINGS = "corpus STRING, rule STRING, severity STRING, seq BIGINT, subject STRING, n BIGINT, detail STRING"
 CUSTODY = "chains ARRAY<STRUCT<id: STRING, steps: ARRAY<STRUCT<ch: INT, holder: STRING, anchors: ARRAY<STRING>, handover: ARRAY<STRING>>>, terminal: STRUCT<ch: INT, why: STRING, forbid_after: ARRAY<STRING>>>>"
-ONSETS = "characters ARRAY<STRUCT<name: STRING, aliases: ARRAY<STRING>, first_appearance: INT, first_speech: INT>>"
-LIFE_WINDOWS = (
-    "book_end_year INT, volume_years ARRAY<STRUCT<vol: INT, `from`: INT, `to`: INT, chapters: STRING>>, chapter_year_overrides MAP<STRING, INT>, "
-    "people ARRAY<STRUCT<name: STRING, birth_year: INT, death_year: INT, node: STRING, status: STRING, "
-    "landed: ARRAY<STRUCT<chapter: INT, year: INT, kind: STRING, note: STRING>>, planned: ARRAY<STRUCT<chapter: INT, vol: INT, year: INT, kind: STRING, note: STRING>>, "
-    "landed_range: STRUCT<first: INT, last: INT>>>"
-)
-BUDGET = "floor INT, ceilingDefault INT, ceilingExempt INT, newChaptersFrom INT, exemptRanges ARRAY<STRUCT<range: ARRAY<INT>>>"
 
 #: White space beyond ASCII, as a character class of both Java's and RE2's expressions.
 SPACE = r"[\s\x{0B}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"

@@ -55,11 +55,11 @@ def ledger_findings(ledger: DataFrame, expected: DataFrame, key: str = "corpus")
     return out.select(key, F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), finding.alias("finding"))
 
 
-def declared_titles(df: DataFrame, text: str = "text", by: str = "corpus") -> DataFrame:
-    """(corpus, seq, title) of every ``第N章《T》`` in outline texts; the first of a number holds."""
+def declared_titles(df: DataFrame, text: str = "text", by: str = "corpus", order: str | None = None) -> DataFrame:
+    """(corpus, seq, title) of every ``第N章《T》`` in outline texts; the first of a number holds (of several texts, the first by ``order``)."""
     rx = "第\\\\s*(\\\\d+)\\\\s*章[^《\\n]{0,6}《([^》\\n]+)》"
-    pairs = df.select(by, F.posexplode(F.expr(f"arrays_zip(regexp_extract_all({text}, '{rx}', 1), regexp_extract_all({text}, '{rx}', 2))")).alias("pos", "x"))
-    pairs = pairs.select(by, "pos", F.col("x.0").cast("bigint").alias("seq"), F.col("x.1").alias("title"))
+    pairs = df.select(by, (F.col(order) if order else F.lit(0)).alias("_order"), F.posexplode(F.expr(f"arrays_zip(regexp_extract_all({text}, '{rx}', 1), regexp_extract_all({text}, '{rx}', 2))")).alias("pos", "x"))
+    pairs = pairs.select(by, F.struct("_order", "pos").alias("pos"), F.col("x.0").cast("bigint").alias("seq"), F.col("x.1").alias("title"))
     return pairs.groupBy(by, "seq").agg(F.min_by("title", "pos").alias("title"))
 
 
@@ -81,11 +81,6 @@ def volumes_from_text(df: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("corpus", numeral(F.regexp_extract("line", rx, 1)).cast("bigint").alias("vol"), F.regexp_extract("line", rx, 2).cast("bigint").alias("lo"), F.regexp_extract("line", rx, 3).cast("bigint").alias("hi")).distinct()
 
 
-def volumes_explicit(spark: SparkSession, rows: list[tuple[int, int, int]]) -> DataFrame:
-    """(vol, lo, hi) for all corpora."""
-    return spark.createDataFrame(rows, "vol BIGINT, lo BIGINT, hi BIGINT")
-
-
 def first_volumes(*sources: DataFrame) -> DataFrame:
     """The volumes of the first source that has any for a corpus."""
     out = sources[0]
