@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.operators.intervals import product
 from corpusqa.operators.phrases import phrase_hits
+from corpusqa.operators.scans import previous
 
 KEY = ["corpus", "seq"]
 
@@ -49,8 +50,8 @@ def mentions_by_prefix(sections: DataFrame, roster: DataFrame, k: int = 4) -> Da
 
 def cadence(found: DataFrame, roster: DataFrame, sections: DataFrame) -> DataFrame:
     """(corpus, name, sections, lines, first, last, max_gap, tail_gap); names never met have nulls and zeros."""
-    gap = F.col("seq") - F.lag("seq").over(Window.partitionBy("corpus", "name").orderBy("seq"))
-    by_name = found.withColumn("gap", gap).groupBy("corpus", "name").agg(F.count(F.lit(1)).alias("sections"), F.sum("lines").alias("lines"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.coalesce(F.max("gap"), F.lit(0)).cast("bigint").alias("max_gap"))
+    gaps = previous(found, ["corpus", "name"], "seq").withColumn("gap", F.col("seq") - F.col("before"))
+    by_name = gaps.groupBy("corpus", "name").agg(F.count(F.lit(1)).alias("sections"), F.sum("lines").alias("lines"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.coalesce(F.max("gap"), F.lit(0)).cast("bigint").alias("max_gap"))
     ends = sections.groupBy("corpus").agg(F.max("seq").alias("end"))
     every = product(ends, roster.select("name").distinct())  # each name is reported for each corpus
     out = every.join(by_name, ["corpus", "name"], "left")

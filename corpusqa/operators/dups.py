@@ -96,10 +96,26 @@ def section_repeats(sections: DataFrame, width: int = 12, skip: str | None = Non
 
 
 def neighbour_repeats(sections: DataFrame, width: int = 12, distance: int = 1) -> DataFrame:
-    """(corpus, seq, shared): distinct windows that a section shares with the one ``distance`` later."""
-    g = windows(sections, width).select(*KEY, F.xxhash64("gram").alias("h"), F.hash("gram").alias("h2")).distinct()
-    later = g.select("corpus", (F.col("seq") - distance).alias("seq"), "h", "h2")
-    return g.join(later, ["corpus", "seq", "h", "h2"]).groupBy(*KEY).agg(F.count(F.lit(1)).alias("shared"))
+    """(corpus, seq, shared): distinct windows that a section shares with the one ``distance`` later.
+
+    The two texts meet by their numbers, and their windows' hashes are compared there; equal ones by text.
+    """
+    first = sections.select(*KEY, "text").where(F.length("text") >= width)
+    later = first.select("corpus", (F.col("seq") - distance).alias("seq"), F.col("text").alias("later"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WindowHasher()
+        for batch in batches:
+            shared = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = a.as_py(), b.as_py()
+                (x, i), (y, j) = (np.unique(hasher(t, width), return_index=True) for t in (a, b))
+                _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                shared.append(sum(a[p : p + width] == b[q : q + width] for p, q in zip(i[at].tolist(), j[to].tolist())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64())], names=[*KEY, "shared"])
+
+    kinds = ", ".join(f"{k} {sections.schema[k].dataType.simpleString()}" for k in KEY)
+    return first.join(later, KEY).select(*KEY, "text", "later").mapInArrow(run, f"{kinds}, shared long").where("shared > 0")
 
 
 def speech_hits(sections: DataFrame, roster: DataFrame, pack: LangPack = CJK, near: int = 12, lead: int = 4) -> DataFrame:

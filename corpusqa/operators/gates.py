@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusqa.operators.intervals import covering
+from corpusqa.operators.scans import CELL_BITS, previous, running_sum
 from corpusqa.schemas import SPACES
 from corpusqa.sources import cut
 
@@ -117,12 +118,10 @@ def moved_sections(before: DataFrame, after: DataFrame, key: list[str], content:
     return out.select(*key, F.coalesce("status", "plain").alias("status"), *(f"from_{k}" for k in key), "likeness")
 
 
-def compact_ranges(df: DataFrame, part: str, n: str, most: int = 10) -> DataFrame:
+def compact_ranges(df: DataFrame, part: str, n: str, most: int = 10, bits: int = CELL_BITS) -> DataFrame:
     """(part, ranges, more): distinct integers as ``a-b`` runs, the first ``most`` and how many more."""
-    rows = df.select(part, n).distinct()
-    w = Window.partitionBy(part).orderBy(n)
-    new = F.when(F.col(n) == F.lag(n).over(w) + 1, 0).otherwise(1)
-    marked = rows.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = previous(df.select(part, n).where(F.col(n).isNotNull()).distinct(), [part], n, bits=bits)
+    marked = running_sum(rows, [part], n, F.when(F.col(n) == F.col("before") + 1, 0).otherwise(1), "run", bits)
     runs = marked.groupBy(part, "run").agg(F.min(n).alias("a"), F.max(n).alias("b"))
     label = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
     listed = runs.where(F.col("run") <= most).groupBy(part).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", label.alias("label")))), lambda x: x["label"]), ",").alias("ranges"))

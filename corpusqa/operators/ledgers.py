@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusqa.operators.intervals import covering, product
+from corpusqa.operators.intervals import covering, product, until_next
 from corpusqa.operators.phrases import contained
 from corpusqa.schemas import SPACE
 from corpusqa.sources import numeral
@@ -281,6 +281,17 @@ def knowledge_matrix(facts: DataFrame, secrets: list[str], as_of=None) -> DataFr
     return latest.groupBy("person").pivot("secret", secrets).agg(F.first("state"))
 
 
+def knowledge_matrices(facts: DataFrame, secrets: list[str], as_of: DataFrame) -> DataFrame:
+    """(seq, person, a column for each secret): everyone's states as of each number of ``as_of`` (seq), all from one reading of the facts.
+
+    A fact (person, secret, seq, state) holds up to the next one; of several with one number the greatest state.
+    """
+    latest = facts.groupBy("person", "secret", "seq").agg(F.max("state").alias("state"))
+    spans = until_next(latest.withColumnRenamed("seq", "start"), keys=("person", "secret")).withColumnRenamed("start", "lo")
+    held = covering(as_of, spans).select("seq", "person", "secret", "state")
+    return held.groupBy("seq", "person").pivot("secret", secrets).agg(F.first("state"))
+
+
 def knowledge_overreach(uses: DataFrame, facts: DataFrame) -> DataFrame:
     """(person, secret, uses): uses before the person knows, or without ever knowing."""
     known = facts.groupBy("person", "secret").agg(F.min("seq").alias("known_from"))

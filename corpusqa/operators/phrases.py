@@ -18,6 +18,8 @@ from corpusqa.sources import cut
 
 #: Characters of the phrases of one automaton.
 SHARD_CHARS = 1 << 21
+#: Phrases up to which they are fetched before they are counted.
+MOST_FORMS = 50_000
 
 
 def _automaton(forms: list[str]):
@@ -48,14 +50,18 @@ def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, text: str
 
     Empty and null phrases are in no text, null texts have none; equal phrases count once.
     """
-    forms = cut(phrases.select(F.col(form).alias("form")).where("form IS NOT NULL AND form <> ''").distinct())
-    total = forms.agg(F.coalesce(F.sum(F.length("form")), F.lit(0))).first()[0]
+    forms = phrases.select(F.col(form).alias("form")).where("form IS NOT NULL AND form <> ''").distinct()
+    few = [r[0] for r in forms.limit(MOST_FORMS + 1).collect()]
+    total = sum(map(len, few)) if len(few) <= MOST_FORMS else None
+    if total is None or total > shard_chars:
+        forms = cut(forms)
+        total = forms.agg(F.sum(F.length("form"))).first()[0]
     rows = texts.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(text).alias("text")).where("text IS NOT NULL AND text <> ''")
     names = [f"k{i}" for i in range(len(keys))]
     schema = ", ".join([*(f"k{i} {texts.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)), "line long, form string"])
     n = len(keys)
     if total <= shard_chars:
-        held = texts.sparkSession.sparkContext.broadcast([r[0] for r in forms.collect()])  # of a size checked above
+        held = texts.sparkSession.sparkContext.broadcast(few if len(few) <= MOST_FORMS else [r[0] for r in forms.collect()])  # of a size checked above
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(held.value)

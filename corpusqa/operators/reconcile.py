@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.operators.intervals import covering, product, until_next
+from corpusqa.operators.scans import previous
 
 
 def mirror_diff(src: DataFrame, mirror: DataFrame, key: list[str], content: str) -> DataFrame:
@@ -58,8 +59,7 @@ def progress_check(progress: DataFrame, sections: DataFrame, mirror: DataFrame)
 
 def sequence_gaps(sections: DataFrame) -> DataFrame:
     """(corpus, seq): numbers from 1 to the last that have no section, found between neighbours."""
-    w = Window.partitionBy("corpus").orderBy("seq")
-    pairs = sections.select("corpus", "seq").distinct().withColumn("before", F.coalesce(F.lag("seq").over(w), F.lit(0)))
+    pairs = previous(sections.select("corpus", "seq").where("seq IS NOT NULL").distinct(), ["corpus"], "seq").withColumn("before", F.coalesce("before", F.lit(0)))
     return pairs.where("seq > before + 1").select("corpus", F.explode(F.expr("sequence(before + 1, seq - 1)")).alias("seq"))
 
 

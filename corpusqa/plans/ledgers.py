@@ -413,6 +413,15 @@ def k4(spark: SparkSession, d: str) -> DataFrame:
     return ledgers.knowledge_matrix(facts(spark, d), SECRETS, 600)
 
 
+@query(
+    "k4_knowledge_matrices",
+    "WITH a AS (SELECT unnest([100, 250, 600, 999]) AS seq), f AS (SELECT a.seq, user_id AS person, event_type AS secret, arg_max(CASE event_id % 4 WHEN 0 THEN 'knows' WHEN 1 THEN 'half' WHEN 2 THEN 'wrong' ELSE 'not' END, event_id) AS state FROM events JOIN a ON event_id <= a.seq GROUP BY ALL) SELECT seq::BIGINT AS seq, person, " + ", ".join(f"max(state) FILTER (secret = '{s}') AS {s}" for s in SECRETS) + " FROM f GROUP BY seq, person",
+)
+def k4b(spark: SparkSession, d: str) -> DataFrame:
+    """The matrices as of several events, from one as-of join."""
+    return ledgers.knowledge_matrices(facts(spark, d), SECRETS, values(spark, "seq BIGINT", (100,), (250,), (600,), (999,)))
+
+
 @query(
     "k5_knowledge_overreach",
     "WITH k AS (SELECT user_id, min(ts) AS t FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT e.user_id AS person, 'product' AS secret, count(*) AS uses FROM events e LEFT JOIN k USING (user_id) WHERE event_type = 'purchase' AND (t IS NULL OR e.ts < t) GROUP BY e.user_id",

@@ -347,3 +347,31 @@ def test_titles_by_volume(spark):
     got = {(r.id, r.status, r.severity) for r in reconcile.title_reconcile(declared, actual).collect()}
     assert got == {(2, "mismatch", "fail"), (4, "section_missing", "fail"), (9, "section_missing", "warn"), (4, "beyond_source", "warn"), (9, "beyond_source", "warn"), (3, "undeclared", "warn"), (5, "undeclared", "warn")}
     assert {r.severity for r in reconcile.title_reconcile(declared, actual, True).where("status = 'section_missing'").collect()} == {"warn"}
+
+
+@pytest.mark.parametrize("bits", [0, 3, 16])
+def test_scans_over_cells(spark, bits):
+    import itertools
+    import random
+
+    from corpusqa.operators.scans import previous, running_sum
+
+    rng = random.Random(bits)
+    numbers = {p: sorted(rng.sample(range(-40, 200), 60)) for p in ("x", "y", None)}
+    df = spark.createDataFrame([(p, n) for p, ns in numbers.items() for n in ns], "p STRING, n BIGINT")
+    before = {(r.p, r.n): r.before for r in previous(df, ["p"], "n", bits=bits).collect()}
+    sums = {(r.p, r.n): r.s for r in running_sum(df, ["p"], "n", F.col("n") % 3, "s", bits).collect()}
+    rem = lambda n: int(__import__("math").fmod(n, 3))
+    for p, ns in numbers.items():
+        assert [before[p, n] for n in ns] == [None, *ns[:-1]]
+        assert [sums[p, n] for n in ns] == list(itertools.accumulate(map(rem, ns)))
+    runs = {r.p: (r.ranges, r.more) for r in gates.compact_ranges(df, "p", "n", 1000, bits).collect() if r.p}
+    for p in ("x", "y"):
+        assert sum(a != b - 1 for a, b in itertools.pairwise(numbers[p])) + 1 == len(__import__("re").findall(r"(?:^|,)", runs[p][0]))
+
+
+def test_matrices_as_of_many(spark):
+    facts = spark.createDataFrame([("p", "s", 3, "half"), ("p", "s", 9, "knows"), ("q", "s", 5, "not"), ("q", "t", 1, "wrong"), ("q", "t", 1, "half")], "person STRING, secret STRING, seq BIGINT, state STRING")
+    as_of = spark.createDataFrame([(0,), (4,), (9,), (100,)], "seq BIGINT")
+    got = sorted((r.seq, r.person, r.s, r.t) for r in ledgers.knowledge_matrices(facts, ["s", "t"], as_of).collect())
+    assert got == [(4, "p", "half", None), (4, "q", None, "wrong"), (9, "p", "knows", None), (9, "q", "not", "wrong"), (100, "p", "knows", None), (100, "q", "not", "wrong")]
