@@ -16,17 +16,6 @@ from corpusqa.schemas import CJK, LangPack
 KEY = ["corpus", "seq"]
 
 
-def windows(sections: DataFrame, width: int, skip: str | None = None) -> DataFrame:
-    """(corpus, seq, pos, gram): all windows of ``width`` characters, without those that match ``skip``.
-
-    The text is split once; only windows are exploded, never with the text beside them.
-    """
-    chars = sections.where(F.length("text") >= width).select(*KEY, F.split("text", "").alias("cs"))
-    grams = F.expr(f"transform(sequence(1, size(cs) - {width} + 1), i -> struct(i AS pos, array_join(slice(cs, i, {width}), '') AS gram))")
-    rows = chars.select(*KEY, F.explode(grams).alias("g")).select(*KEY, F.col("g.pos").cast("bigint").alias("pos"), "g.gram")
-    return rows.where(~F.col("gram").rlike(skip)) if skip else rows
-
-
 class WindowHasher:
     """Hashes of all windows of a text, from prefix sums of a polynomial in a ring modulo 2**64."""
 

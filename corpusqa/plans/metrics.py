@@ -67,6 +67,16 @@ def b7(spark: SparkSession, d: str) -> DataFrame:
     return dups.speech_hits(sections(spark, d), values(spark, "name STRING", *((n,) for n in SPEAKERS)), SPEECH).select("corpus", "seq", "name")
 
 
+SPEAKER_FORMS = (("en", "en"), ("en", "an"), ("es", "es"), ("es", "ion"))
+
+
+@query("b7_speech_by_alias", f"WITH {SEC}, said AS ({SPOKEN.format(sec='sec', names=', '.join(f"('{form}')" for _, form in SPEAKER_FORMS))}), of(name, form) AS (VALUES {', '.join(map(str, SPEAKER_FORMS))}) SELECT DISTINCT corpus, seq, of.name FROM said JOIN of ON of.form = said.name")
+def b7_alias(spark: SparkSession, d: str) -> DataFrame:
+    """Names with an alias each; what an alias says, its name says."""
+    roster = values(spark, "name STRING, aliases ARRAY<STRING>", ("en", ["an", None]), ("es", ["ion", ""]))
+    return dups.speech_hits(sections(spark, d), roster, SPEECH).select("corpus", "seq", "name")
+
+
 @query("b8_own_attribution", f"WITH {PARAS} SELECT corpus, seq, CAST(pos AS BIGINT) AS pos, length(regexp_replace(split_part(para, ')', -1), '\\s', '', 'g')) > 0 AS own FROM par WHERE contains(para, ')')")
 def b8(spark: SparkSession, d: str) -> DataFrame:
     p = metrics.paragraphs(sections(spark, d)).where(F.col("para").contains(")"))
