@@ -183,11 +183,11 @@ ROLL = f"""roll AS (SELECT corpus, vol, 'v' || vol AS label, {SUMS} FROM full_me
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
-    """Documents are measured where they lie; what is numbered, written and read again is their measures."""
+    """Documents are measured where they lie; what is numbered, written and read again is their measures, and then the metrics of each section."""
     rows = spread(table(spark, d, "documents").select(F.col("source").alias("corpus"), "doc_id", "text"))
     m = cut(numbered(metrics.measure(rows, ["corpus", "doc_id"], marks=MARKS), "corpus", "doc_id"))
     budget = metrics.budget_status(m, values(spark, "lo BIGINT, hi BIGINT", (5, 9), (20, 25)), 300, 3000, 6000, 45)
-    return metrics.section_metrics(m.drop("doc_id"), budget)
+    return cut(metrics.section_metrics(m.drop("doc_id"), budget))
 
 
 @query("c8_rollup", f"WITH {PARAS}, {MET}, {ROLL} SELECT * FROM rolled")
@@ -214,7 +214,7 @@ DRIFT_ROWS = f"SELECT corpus, half, unpaired, under_floor, over_ceil, over_exemp
 )
 def c10(spark: SparkSession, d: str) -> DataFrame:
     none = values(spark, "vol BIGINT, lo BIGINT, hi BIGINT")
-    m = cut(measured(spark, d))
+    m = measured(spark, d)
     total = lambda x: metrics.rollup_metrics(x, none)
     return metrics.metric_drift(total(m), total(m.where("seq % 2 = 0")), metrics.TOLERANCES, ["corpus"])
 
