@@ -5,11 +5,12 @@ adjacent pairs whose concatenation is a piece, the one with the best score (then
 merged, until none is left.  No piece of a supported vocabulary holds a word mark after another
 character, so a text falls into chunks (a run of word marks and what follows up to the next) that
 are segmented apart; short chunks of an Arrow batch are worked on in lock step, one agenda a row,
-long ones with a heap.  Each chunk is compared with the sentencepiece library when it is first
-met in a task, its ids and its decoding; a difference ends the job.
+long ones with a heap.  The ids of each chunk are compared with the sentencepiece library's when it is
+first met in a task.  The two differ for no text of a model that ``PieceCodec`` accepts; should they, the job ends
+with an error, as ids of a doubtful segmentation are of no use.
 
 Defined results: null text counts as empty; an empty text has only the begin and end ids; repeated
-rows give repeated rows; extra columns are kept unless they bear the name of a result column.
+rows give repeated rows; columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations

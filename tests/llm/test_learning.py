@@ -88,3 +88,19 @@ def test_tails_against_plain_sums(spark, documents, sf_dir):
     assert ordinal_quality.rate(odd.where("false"), model).count() == 0
     nothing = ordinal_quality.fit(documents.where("false"), labels)
     assert [r.tail_2 for r in ordinal_quality.rate(odd.limit(1), nothing).collect()] == [0.5]
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Names that the stages use inside, nulls, ties and repeated rows."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 30")
+    docs = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
+    names = ["carried_text", "row", "score", "lang_pred", "removed", "n_lines", "gone_id", "component_id", "item_id"]
+    docs = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = corpus_pipeline.cut(stage(spark, docs, sf_dir))
+        assert docs.columns[-len(names) :] == names and 0 < docs.count() <= before, name
+        assert [tuple(r) for r in docs.select(*names).distinct().collect()] == [tuple(range(len(names)))], name
+    assert docs.where("doc_id IS NULL").count() == 1 and docs.where("text IS NULL").count() == 0
