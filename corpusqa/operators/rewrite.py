@@ -77,9 +77,9 @@ def coalesce_paragraphs(sections: DataFrame, target: int = 110, pack: LangPack =
     parts = sections.select(*KEY, F.filter(lines, lambda l: l.startswith("#")).alias("heads"), F.transform(paragraph_list(F.col("text")), lambda p: _features(p, pack)).alias("ps"))
     parts = parts.withColumn("last_closer", F.expr("array_max(transform(ps, (x, j) -> if(x.c, j, -1)))"))
     flagged = parts.withColumn("flags", merge_flags("ps", target))
-    body = F.expr("array_join(transform(ps, (x, j) -> concat(if(j > 0 AND get(flags, j) = '0', '\\n', ''), x.p)), '')")
-    between = F.when((F.size("heads") > 0) & (F.size("ps") > 0), "\n").otherwise("")
-    return flagged.select(*KEY, F.concat(F.array_join("heads", "\n"), between, body).alias("text"))
+    # The flags are an argument, not read within the lambda: there the optimizer would put the whole fold, to run it for each paragraph.
+    body = F.expr("array_join(zip_with(ps, flags, (x, f) -> concat(if(f = '0', '\\n', ''), x.p)), '')")  # the first flag is 0
+    return flagged.select(*KEY, F.concat(F.array_join("heads", "\n"), body).alias("text"), (F.size("heads") > 0).alias("headed")).select(*KEY, F.expr("if(headed, text, substring(text, 2))").alias("text"))
 
 
 def upsert_segment(docs: DataFrame, segments: DataFrame, begin: str, end: str) -> DataFrame:

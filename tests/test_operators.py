@@ -121,6 +121,13 @@ def test_upsert_segment_is_idempotent(spark):
     assert rows(rewrite.upsert_segment(once, segments, "<b>", "<e>")) == rows(once)
 
 
+def test_coalesce_folds_a_section_once(spark):
+    """The fold is no part of a lambda, which would run it for each paragraph."""
+    plan = rewrite.coalesce_paragraphs(spark.createDataFrame([("a", 1, "甲。\n乙。")], SEC))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan
+    assert not any("aggregate(" in line[line.find("lambdafunction(") :] for line in plan.split("\n") if "lambdafunction(" in line)
+
+
 def test_coalesce_keeps_text(spark):
     text = "短句。\n又一句。\n他道：\n“走。”\n次日\n“开口\n未完”\n末段。"
     s = spark.createDataFrame([("b", 1, text), ("b", 2, ""), ("b", 3, None)], SEC)
