@@ -59,9 +59,9 @@ MOVED = f"""{SEC}, bef AS (SELECT corpus, doc_id, text FROM sec),
     pa AS (SELECT li.*, row_number() OVER (ORDER BY likeness DESC, from_corpus, from_doc_id, li.corpus, li.doc_id) AS r FROM li JOIN gr ON gr.corpus = from_corpus AND gr.doc_id = from_doc_id WHERE likeness >= 0.5),
     gd AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS a, []::BIGINT[] AS b, []::BIGINT[] AS took UNION ALL SELECT r, CASE WHEN ok THEN list_append(a, f) ELSE a END, CASE WHEN ok THEN list_append(b, g) ELSE b END, CASE WHEN ok THEN list_append(took, r) ELSE took END
       FROM (SELECT pa.r, gd.a, gd.b, gd.took, pa.doc_id AS f, pa.from_doc_id AS g, NOT list_contains(gd.a, pa.doc_id) AND NOT list_contains(gd.b, pa.from_doc_id) AS ok FROM gd JOIN pa ON pa.r = gd.r + 1)),
-    rn AS (SELECT * EXCLUDE (r) FROM pa WHERE list_contains((SELECT took FROM gd ORDER BY r DESC LIMIT 1), r) UNION ALL SELECT corpus, doc_id, from_corpus, from_doc_id, 1.0 FROM eq),
+    rn AS (SELECT * EXCLUDE (r) FROM pa WHERE list_contains((SELECT took FROM gd ORDER BY r DESC LIMIT 1), r) UNION ALL SELECT corpus, doc_id, from_corpus, from_doc_id, 1::DOUBLE FROM eq),
     lf AS (SELECT * FROM fresh ANTI JOIN rn USING (corpus, doc_id)),
-    sm AS (SELECT lf.corpus, lf.doc_id, bef.corpus AS from_corpus, bef.doc_id AS from_doc_id, 1.0 AS likeness, 0 AS o FROM lf JOIN bef USING (text) UNION ALL SELECT li.*, 1 FROM li JOIN lf USING (corpus, doc_id) WHERE likeness >= 0.5),
+    sm AS (SELECT lf.corpus, lf.doc_id, bef.corpus AS from_corpus, bef.doc_id AS from_doc_id, 1::DOUBLE AS likeness, 0 AS o FROM lf JOIN bef USING (text) UNION ALL SELECT li.*, 1 FROM li JOIN lf USING (corpus, doc_id) WHERE likeness >= 0.5),
     cp AS (SELECT corpus, doc_id, from_corpus, from_doc_id, likeness FROM (SELECT *, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY o, likeness DESC, from_corpus, from_doc_id) AS i FROM sm) WHERE i = 1),
     mv AS (SELECT corpus, doc_id, 'renamed' AS status, from_corpus, from_doc_id, likeness FROM rn UNION ALL SELECT corpus, doc_id, 'copied', from_corpus, from_doc_id, likeness FROM cp)"""
 

@@ -40,3 +40,15 @@ def test_query(spark, sf_dir, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert rows == sorted(tuple(str(r[i]) for i in at) for r in found.fetchall())
+
+
+def test_moved_sections_tell_the_likeness_of_copies_in_full(spark, tmp_path):
+    """9's copy is renamed from 58, so that 58's own successor, a line longer, is a copy: 15 of 16 lines, no 0.9."""
+    text = "\n".join(f"line {i}" for i in range(15))
+    spark.createDataFrame([(9, text, "a"), (58, text, "a")], "doc_id BIGINT, text STRING, source STRING").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ["corpus", "doc_id", "status", "from_corpus", "from_doc_id", "likeness"]
+    got = sorted(tuple(r) for r in registry.queries()["i4_moved_sections"](spark, str(tmp_path)).select(*columns).collect())
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(duck.sql(registry.oracle_sql()["i4_moved_sections"]).select(*columns).fetchall())
+    assert ("a", 20000058, "copied", "a", 9, 938) in got
