@@ -29,6 +29,8 @@ from .common import mix, unused
 
 LEAST_CHARS = 24
 BLANK = 0
+#: Numbers of the states that ``_longest_order`` holds at a time, beside a few for each halving.
+HELD_ENDS = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -81,16 +83,54 @@ def _repeated_anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         low, best, high = (middle, found, high) if found else (low, best, middle - 1)
     if best:
         return [best]
-    # The places of each line in b, from the last on: a rising run takes one of them at most.
+    return _longest_order(a, b)
+
+
+def _longest_order(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """One longest common order of lines that aren't blank, as places in a and b; all pairs of equal lines count, none is held.
+
+    ``ends[k]`` is the first place in b at which k + 1 lines of what a has had so far can end.  Of it, only some
+    states are kept: those between are made again when the way back comes there, half by half.
+    """
     where: dict[int, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        if b[j] != BLANK:
-            where.setdefault(b[j], []).append(j)
-    if sum(len(where.get(v, ())) for v in a) > 1 << 20:  # too many to hold: each to its like in number; the rest is aligned between them
-        pairs = [(i, where[v].pop()) for i, v in enumerate(a) if where.get(v)]
-    else:
-        pairs = [(i, j) for i, v in enumerate(a) for j in where.get(v, ())]
-    return [pairs[k] for k in _longest_rising([j for _, j in pairs])]
+    for j, v in enumerate(b):
+        if v != BLANK:
+            where.setdefault(v, []).append(j)
+    steps = [i for i, v in enumerate(a) if v in where]
+    places = {v: np.array(where[v]) for v in {a[i] for i in steps}}
+
+    def after(ends: np.ndarray, i: int) -> np.ndarray:
+        js = places[a[i]]
+        ks = np.searchsorted(ends, js)
+        first = np.flatnonzero(np.concatenate(([True], ks[1:] != ks[:-1])))
+        out = np.append(ends, js[first[-1]]) if ks[-1] == len(ends) else ends.copy()
+        out[ks[first]] = js[first]
+        return out
+
+    out: list[tuple[int, int]] = []
+    need = -1  # how many pairs are still to be found; -1: as many as there can be
+    todo = [(0, len(steps), np.zeros(0, np.int64))]
+    while todo:
+        lo, hi, ends = todo.pop()
+        if need == 0 or lo == hi:
+            continue
+        if hi - lo == 1 or (hi - lo) * (len(ends) + hi - lo) <= HELD_ENDS:
+            states = [ends]
+            for k in range(lo, hi):
+                states.append(after(states[-1], steps[k]))
+            for k in range(hi - 1, lo - 1, -1):
+                later = states.pop()
+                need = len(later) if need < 0 else need
+                # The last line of a that has the place at which the pairs still to be found end.
+                if need and b[j := int(later[need - 1])] == a[steps[k]]:
+                    out.append((steps[k], j))
+                    need -= 1
+            continue
+        middle, state = (lo + hi) // 2, ends
+        for k in range(lo, middle):
+            state = after(state, steps[k])
+        todo += [(lo, middle, ends), (middle, hi, state)]
+    return out[::-1]
 
 
 def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:

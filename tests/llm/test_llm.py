@@ -510,6 +510,18 @@ def test_patience_blocks():
     assert line_dedup.patience_blocks([1, 2, 3], [1, 2, 3]) == [(0, 0, 3)]
 
 
+def test_longest_order_is_one_rule_at_all_sizes():
+    """x again and again before (x z1 x z2 ...), no two lines of which follow each other on both sides: 2n lines in order, however many pairs of equal lines there are."""
+    for n in (10, 1100):  # 200 and 2.4 M pairs of equal lines
+        spaced = lambda lines, junk: [v for i, x in enumerate(lines) for v in (x, junk + i)]
+        both = [v for i in range(n) for v in (1, 10 + i)]
+        a, b = spaced([1] * n + both, 1 << 20), spaced(both, 1 << 30)
+        found = line_dedup._repeated_anchors(a, b)
+        assert len(found) == 2 * n
+        assert all(a[i] == b[j] for i, j in found) and all(x < y for x, y in zip(found, found[1:]))
+        assert [j for _, j in found] == sorted({j for _, j in found})
+
+
 def test_patience_blocks_repeated():
     p = [1, 2, 3]
     assert line_dedup.patience_blocks([7, *p, 8, *p, 9], [5, *p, 6]) == [(1, 1, 3)]
