@@ -9,7 +9,7 @@ from corpusqa.operators import cadence, dups, ledgers, metrics
 from corpusqa.plans.metrics import SPEAKER_VALUES, SPEAKERS, SPEECH, SPOKEN
 from corpusqa.plans.registry import query
 from corpusqa.plans.tables import SEC, SENTS, sections, table, values
-from corpusqa.sources import nested, scratch
+from corpusqa.sources import cut, nested, scratch
 
 NAMES = ("Eriner", "Nicht", "Thedre", "Thble", "Zzzz")
 ROSTER_SQL = "r(name) AS (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ")"
@@ -243,9 +243,10 @@ def a2_life(spark: SparkSession, d: str) -> DataFrame:
     corpora = table(spark, d, "documents").select(F.col("source").alias("corpus")).distinct()
     corpora.select(F.to_json(F.struct("corpus", volumes.alias("volume_years")))).write.mode("append").text(path)
     tables = nested.life_windows(nested.read_lines(spark, path), corpora)
-    people = tables["people"].select(F.col("name").cast("bigint").alias("name"), "born", "ends")
-    steps = tables["landings"].select("corpus", F.col("name").cast("bigint").alias("name"), "seq", "year", "carrier")
-    verdicts = ledgers.life_verdicts(steps, people, sections(spark, d), tables["spans"], 1997)
+    # Each table is read out of the JSON once, however often the verdicts ask for it.
+    people = cut(tables["people"].select(F.col("name").cast("bigint").alias("name"), "born", "ends"))
+    steps = cut(tables["landings"].select("corpus", F.col("name").cast("bigint").alias("name"), "seq", "year", "carrier"))
+    verdicts = ledgers.life_verdicts(steps, people, sections(spark, d), cut(tables["spans"]), 1997)
     return verdicts.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 

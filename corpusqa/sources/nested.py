@@ -40,8 +40,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed(ledgers: DataFrame) -> DataFrame:
     """(corpus, at, v, faults): the root of each ledger; one that is no JSON object has the fault and no value."""
-    v = F.try_parse_json("json")
-    whole = F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    whole = F.when(F.ltrim("json", F.lit(" \t\n\r")).startswith("{"), F.try_parse_json("json"))
     return ledgers.select("corpus", F.lit("$").alias("at"), whole.alias("v")).withColumn("faults", F.when(F.col("v").isNull(), F.array(F.lit("$"))).otherwise(F.expr(_EMPTY)))
 
 
@@ -111,6 +110,11 @@ def onsets(ledgers: DataFrame, expected: DataFrame) -> dict[str, DataFrame]:
     return {"onsets": people.where("name IS NOT NULL").select("corpus", "name", "aliases", "first_appearance", "first_speech"), "findings": faults_of("onsets", expected, ledgers, root, wrong, people)}
 
 
+def _step(phase: str):
+    """An element of a phase's array as a struct, with where it is."""
+    return lambda x, i: F.struct(F.lit(phase).alias("phase"), F.concat("at", F.lit(f".{phase}["), i, F.lit("]")).alias("at"), x.alias("v"), F.lit(None).cast("bigint").alias("end"))
+
+
 def life_windows(ledgers: DataFrame, expected: DataFrame, last_year: int = 779) -> dict[str, DataFrame]:
     """ends (corpus, end), spans (corpus, vol, lo, hi, year_lo, year_hi), overrides (corpus, seq, year), people (corpus, name, born, ends, node, status),
     landings (corpus, name, phase, seq, year, vol, carrier) and findings of life ledgers.
@@ -126,21 +130,22 @@ def life_windows(ledgers: DataFrame, expected: DataFrame, last_year: int = 779)
     spans = vols.where(ranged).select("corpus", "vol", *(F.regexp_extract("chapters", ends, i).cast("bigint").alias(c) for i, c in ((1, "lo"), (2, "hi"))), "year_lo", F.coalesce("year_hi", "year_lo").alias("year_hi"))
     people, wrong_people = elements(root.select("corpus", "at", "v", "faults"), "$.people")
     people = fields(people, [Field("name", "$.name", "string"), Field("born", "$.birth_year", "bigint"), Field("ends", "$.death_year", "bigint"), Field("node", "$.node", "string"), Field("status", "$.status", "string"), Field("first", "$.landed_range.first", "bigint"), Field("last", "$.landed_range.last", "bigint")])
-    steps, wrong = None, [wrong_vols, wrong_people]
+    # Steps of all phases leave a person in one pass; the ends of a range are steps with nothing but a number.
+    listed, wrong = [], [wrong_vols, wrong_people]
     for phase in ("landed", "planned"):
-        each, bad = elements(people.select("corpus", "name", "at", "v", "faults"), f"$.{phase}")
-        each = fields(each, [Field("seq", "$.chapter", "bigint"), Field("year", "$.year", "bigint"), Field("vol", "$.vol", "bigint"), Field("carrier", "$.kind", "string", "'in_person'")]).withColumn("phase", F.lit(phase))
-        steps = each if steps is None else steps.unionByName(each)
-        wrong.append(bad)
+        held = F.try_variant_get("v", f"$.{phase}", "array<variant>")
+        listed.append(F.coalesce(F.transform(held, _step(phase)), F.array()))
+        wrong.append(people.where(_present("v", f"$.{phase}") & held.isNull()).select("corpus", F.array(F.concat("at", F.lit(f".{phase}"))).alias("faults")))
+    listed.append(F.transform(F.array_compact(F.array("first", "last")), lambda n: F.struct(F.lit("range").alias("phase"), F.col("at"), F.lit(None).cast("variant").alias("v"), n.alias("end"))))
+    steps = people.select("corpus", "name", F.explode(F.concat(*listed)).alias("x")).select("corpus", "name", "x.phase", "x.at", "x.v", "x.end", F.expr(_EMPTY).alias("faults"))
+    steps = fields(steps, [Field("seq", "$.chapter", "bigint"), Field("year", "$.year", "bigint"), Field("vol", "$.vol", "bigint"), Field("carrier", "$.kind", "string", "'in_person'")]).withColumn("seq", F.coalesce("seq", "end"))
     columns = ["corpus", "name", "phase", "seq", "year", "vol", "carrier"]
-    none = F.lit(None).cast("bigint")
-    across = people.select("corpus", "name", F.lit("range").alias("phase"), F.explode(F.array_compact(F.array("first", "last"))).alias("seq"), none.alias("year"), none.alias("vol"), F.lit("in_person").alias("carrier"))
     return {
         "ends": root.where("v IS NOT NULL").select("corpus", "end"),
         "spans": spans,
         "overrides": root.select("corpus", F.explode("years").alias("seq", "year")).select("corpus", F.col("seq").try_cast("bigint").alias("seq"), "year").where("seq IS NOT NULL"),
         "people": people.where("name IS NOT NULL").select("corpus", "name", "born", "ends", "node", "status"),
-        "landings": steps.select(*columns).unionByName(across).where("name IS NOT NULL"),
+        "landings": steps.select(*columns).where("name IS NOT NULL"),
         "findings": faults_of("life", expected, ledgers, root, vols, people, steps, *wrong),
     }
 

@@ -1,12 +1,15 @@
 """Operators on small inputs: CJK texts, nulls, ties, empties, invariants, mutations."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusqa import sources as src
 from corpusqa.functions import text as fn
-from corpusqa.operators import cadence, dups, gates, ledgers, lint, metrics, reconcile, rewrite
+from corpusqa.operators import cadence, dups, gates, ledgers, lint, metrics, phrases, reconcile, rewrite
+from corpusqa.plans.tables import values
 from corpusqa.schemas import CJK, CUSTODY
+from corpusqa.sources import nested
 
 SEC = "corpus STRING, seq BIGINT, text STRING"
 
@@ -382,3 +385,16 @@ def test_matrices_as_of_many(spark):
     as_of = spark.createDataFrame([(0,), (4,), (9,), (100,)], "seq BIGINT")
     got = sorted((r.seq, r.person, r.s, r.t) for r in ledgers.knowledge_matrices(facts, ["s", "t"], as_of).collect())
     assert got == [(4, "p", "half", None), (4, "q", None, "wrong"), (9, "p", "knows", None), (9, "q", "not", "wrong"), (100, "p", "knows", None), (100, "q", "not", "wrong")]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+
+
+
+
+def test_life_steps_leave_the_json_in_one_pass(spark):
+    tables = nested.life_windows(spark.createDataFrame([("a", '{"people": [{"name": "n", "landed": [{"chapter": 1}], "planned": [{"chapter": 2, "kind": "reported"}], "landed_range": {"first": 3}}, {"name": "m", "landed": 1}]}')], "corpus STRING, json STRING"), spark.createDataFrame([("a",)], "corpus STRING"))
+    assert rows(tables["landings"].select("name", "phase", "seq", "carrier")) == [("n", "landed", 1, "in_person"), ("n", "planned", 2, "reported"), ("n", "range", 3, "in_person")]
+    assert rows(tables["findings"].select("subject")) == [("$.people[1].landed",)]
+    assert sum("LogicalRDD" in line for line in optimized(tables["landings"])) == 1
