@@ -10,6 +10,8 @@ from corpusqa.operators.phrases import phrase_hits
 from corpusqa.operators.scans import previous
 
 KEY = ["corpus", "seq"]
+#: Slots of the hashes of names' prefixes.
+SLOTS = 1 << 20
 
 
 def mentions(sections: DataFrame, roster: DataFrame) -> DataFrame:
@@ -40,8 +42,11 @@ def mentions_by_prefix(sections: DataFrame, roster: DataFrame, k: int = 4) -> Da
     forms = roster.select("name", listed("aliases"), listed("neg")).select("name", "aliases", "neg", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases"))).alias("form")).where("form <> ''")
     names = forms.withColumn("g", F.substring("form", 1, k))
     sizes = [r[0] for r in names.select(F.length("g")).distinct().collect()] or [k]  # numbers from 1 to k
-    each = F.expr("array_distinct(flatten(array(" + ", ".join(f"if(size(cs) < {n}, cast(array() AS array<string>), transform(sequence(1, greatest(1, size(cs) - {n} + 1)), i -> array_join(slice(cs, i, {n}), '')))" for n in sorted(sizes)) + ")))")
-    grams = sections.where(F.length("text") > 0).select(*KEY, F.split("text", "").alias("cs")).select(*KEY, F.explode(each).alias("g"))
+    each = F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sorted(sizes))))
+    # A text has a piece at each of its characters: those whose slot no name has go before anything is moved.
+    slot = F.pmod(F.xxhash64("g"), F.lit(SLOTS)).alias("slot")
+    pieces = sections.where(F.length("text") > 0).select(*KEY, F.explode(each).alias("g")).withColumn("slot", slot)
+    grams = pieces.join(F.broadcast(names.select(slot).distinct()), "slot", "left_semi").select(*KEY, "g").distinct()  # SLOTS numbers at most
     pairs = grams.join(names, "g").select(*KEY, "name", "aliases", "neg").distinct()
     hit = "(contains(l, name) OR exists(aliases, a -> contains(l, a))) AND NOT exists(neg, x -> contains(l, x))"
     n = F.expr(f"cast(size(filter(split(text, '\\n'), l -> {hit})) AS bigint)")

@@ -398,3 +398,12 @@ def test_life_steps_leave_the_json_in_one_pass(spark):
     assert rows(tables["landings"].select("name", "phase", "seq", "carrier")) == [("n", "landed", 1, "in_person"), ("n", "planned", 2, "reported"), ("n", "range", 3, "in_person")]
     assert rows(tables["findings"].select("subject")) == [("$.people[1].landed",)]
     assert sum("LogicalRDD" in line for line in optimized(tables["landings"])) == 1
+
+
+def test_pieces_of_no_names_are_dropped_before_the_shuffle(spark):
+    names = [("甲乙丙丁戊", [], []), ("ab", ["𠀀𠀁"], ["zz"]), ("x\ny", [], [])]
+    roster = spark.createDataFrame(names, "name STRING, aliases ARRAY<STRING>, neg ARRAY<STRING>")
+    s = spark.createDataFrame([("c", 1, "说甲乙丙丁戊\nzz ab\n𠀀𠀁ab"), ("c", 2, "a"), ("c", 3, None), ("c", 4, "甲乙丙丁 ab𠀀𠀁")], SEC)
+    out = cadence.mentions_by_prefix(s, roster)
+    assert rows(out) == rows(cadence.mentions(s, roster)) == [("c", "ab", 1, 1), ("c", "ab", 4, 1), ("c", "甲乙丙丁戊", 1, 1)]
+    assert any("Join LeftSemi" in line for line in optimized(out))
