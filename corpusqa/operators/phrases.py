@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from corpusqa.sources import cut
 SHARD_CHARS = 1 << 21
 #: Phrases up to which they are fetched before they are counted.
 MOST_FORMS = 50_000
+#: Bytes of text that a task holds as Python strings.
+PIECE_BYTES = 1 << 20
 
 
 def _automaton(forms: list[str]):
@@ -32,6 +36,16 @@ def _automaton(forms: list[str]):
     return out
 
 
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most ``PIECE_BYTES`` of text (a longer text alone)."""
+    edge = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(edge, edge[at] + PIECE_BYTES, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _matched(batch: pa.RecordBatch, automaton, keys: int, by_line: bool) -> pa.RecordBatch:
     """The rows of a batch (keys, text) for each phrase of each text or line."""
     at, lines, forms = [], [], []
@@ -67,7 +81,7 @@ def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, text: str
             automaton = _automaton(held.value)
             for batch in batches:
                 if held.value:
-                    yield _matched(batch, automaton, n, by_line)
+                    yield from (_matched(piece, automaton, n, by_line) for piece in _pieces(batch, n))
 
         hits = rows.mapInArrow(run, schema)
     else:
@@ -94,7 +108,7 @@ def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, text: str
                 if automaton is None and listed_forms:
                     automaton, listed_forms = _automaton(listed_forms), []
                 if automaton is not None:
-                    yield _matched(batch.slice(some), automaton, n, by_line)
+                    yield from (_matched(piece, automaton, n, by_line) for piece in _pieces(batch.slice(some), n))
 
         hits = stream.mapInArrow(run_shard, schema)
     return hits.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "line", "form")

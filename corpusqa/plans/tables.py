@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusqa.sources import sections_from_table
 
@@ -18,8 +21,9 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def values(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
-    """A small fixed parameter table."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small fixed parameter table, held by the plan: no Python worker is started to read it."""
+    fields = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(fields.names, row)) for row in rows], schema=to_arrow_schema(fields)), fields)
 
 
 def changed(sections: DataFrame) -> DataFrame:

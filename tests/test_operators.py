@@ -407,3 +407,17 @@ def test_pieces_of_no_names_are_dropped_before_the_shuffle(spark):
     out = cadence.mentions_by_prefix(s, roster)
     assert rows(out) == rows(cadence.mentions(s, roster)) == [("c", "ab", 1, 1), ("c", "ab", 4, 1), ("c", "甲乙丙丁戊", 1, 1)]
     assert any("Join LeftSemi" in line for line in optimized(out))
+
+
+def test_phrases_hold_little_text_at_a_time(spark):
+    texts = ["x" * 1000] * 3000 + ["y" * (3 * phrases.PIECE_BYTES), None, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "text"])
+    pieces = list(phrases._pieces(batch, 1))
+    assert sum((p.column(1).to_pylist() for p in pieces), []) == texts
+    assert all(len(p) == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= phrases.PIECE_BYTES for p in pieces)
+
+
+def test_parameter_tables_need_no_python_worker(spark):
+    held = values(spark, "name STRING, aliases ARRAY<STRING>, n BIGINT", ("a", ["b"], 1), ("c", [], None))
+    assert rows(held) == [("a", ["b"], 1), ("c", [], None)]
+    assert not any("RDD" in line for line in optimized(held))
