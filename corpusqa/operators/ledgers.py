@@ -115,9 +115,11 @@ def life_verdicts(steps: DataFrame, people: DataFrame, sections: DataFrame, span
     whose section does not exist are left out.
     """
     undated = steps.where("seq IS NULL").withColumn("kind", F.lit("undated"))
-    there = steps.join(sections.select("corpus", "seq").distinct(), ["corpus", "seq"], "left_semi")
+    # Volumes are looked up for sections, not for steps: steps meet their section once, by its whole key.
+    there = sections.select("corpus", "seq").distinct()
     keys = tuple(c for c in ("corpus",) if c in spans.columns)
-    placed = there.join(covering(there, spans, keys=keys), [*keys, "seq"], "left").select(*steps.columns, *(c for c in spans.columns if c not in steps.columns))
+    there = there.join(covering(there, spans, keys=keys), [*keys, "seq"], "left")
+    placed = steps.join(there, ["corpus", "seq"]).select(*steps.columns, *(c for c in spans.columns if c not in steps.columns))
     dated = placed.where("lo IS NOT NULL").withColumns({"at_lo": F.coalesce("year", "year_lo"), "at_hi": F.coalesce("year", "year_hi"), "exempt": F.col("carrier").isin(*CARRIERS)})
     out = undated.unionByName(placed.where("lo IS NULL").select(*steps.columns, F.lit("no_span").alias("kind")))
     return out.unionByName(life_windows(dated, people, ["name"], F.lit(end)).select(*steps.columns, "kind"))

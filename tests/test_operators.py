@@ -392,6 +392,14 @@ def optimized(df):
 
 
 
+def test_steps_meet_sections_once_by_their_whole_key(spark):
+    steps = spark.createDataFrame([("a", 1, 1, 5, "in_person"), ("a", 1, None, None, "in_person"), ("a", 2, 9, 5, "in_person"), ("a", 2, 3, 5, "in_person")], "corpus STRING, name BIGINT, seq BIGINT, year BIGINT, carrier STRING")
+    people = spark.createDataFrame([(1, 6, 9), (2, 1, 4)], "name BIGINT, born BIGINT, ends BIGINT")
+    there = spark.createDataFrame([("a", 1), ("a", 3)], "corpus STRING, seq BIGINT")
+    out = ledgers.life_verdicts(steps, people, there, spark.createDataFrame([(1, 2, 5, 6)], "lo BIGINT, hi BIGINT, year_lo BIGINT, year_hi BIGINT"), 99)
+    assert rows(out.select("name", "kind")) == [(1, "before_birth"), (1, "undated"), (2, "no_span")]
+    assert sum("carrier#" in line and "LogicalRDD" in line for line in optimized(out)) == 3
+
 
 def test_life_steps_leave_the_json_in_one_pass(spark):
     tables = nested.life_windows(spark.createDataFrame([("a", '{"people": [{"name": "n", "landed": [{"chapter": 1}], "planned": [{"chapter": 2, "kind": "reported"}], "landed_range": {"first": 3}}, {"name": "m", "landed": 1}]}')], "corpus STRING, json STRING"), spark.createDataFrame([("a",)], "corpus STRING"))
