@@ -14,16 +14,25 @@ TIERS = {"glued_heading": 1, "level_jump": 2, "dup_card": 1, "dup_field": 2, "co
 PERSON = r"^[\u4e00-\u9fa5]{2,}$"
 
 
-def doc_lines(docs: DataFrame) -> DataFrame:
-    """Lines with the heading above them: level and heading of heading lines, ``at`` the last heading's place."""
+def marked_lines(docs: DataFrame) -> DataFrame:
+    """Lines (doc, pos, line) with level and heading of heading lines and the key of fields."""
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("bigint"))
     mark = F.regexp_extract("line", r"^(#{1,6}) +\S", 1)
     key = F.nullif(F.trim(F.regexp_extract("line", r"^- \*\*([^*：:]{1,20})[：:]", 1)), F.lit(""))
-    lines = lines.withColumn("level", F.when(F.length(mark) > 0, F.length(mark))).withColumn("heading", F.when(F.col("level").isNotNull(), F.trim(F.regexp_replace("line", r"^#{1,6} +", "")))).withColumn("key", key)
+    return lines.withColumn("level", F.when(F.length(mark) > 0, F.length(mark))).withColumn("heading", F.when(F.col("level").isNotNull(), F.trim(F.regexp_replace("line", r"^#{1,6} +", "")))).withColumn("key", key)
+
+
+def with_heading_above(lines: DataFrame) -> DataFrame:
+    """Add ``at``, the place of the last heading."""
     above = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("at", F.last(F.when(F.col("level").isNotNull(), F.col("pos")), ignorenulls=True).over(above))
 
 
+def doc_lines(docs: DataFrame) -> DataFrame:
+    """Lines with the heading above them: level and heading of heading lines, ``at`` the last heading's place."""
+    return with_heading_above(marked_lines(docs))
+
+
 def _finding(df: DataFrame, check: str, detail) -> DataFrame:
     return df.select("doc", F.lit(check).alias("check"), F.col("pos").alias("line"), detail.cast("string").alias("detail"))
 
@@ -103,10 +112,13 @@ def lint_all(docs: DataFrame, core: tuple[str, ...], person: str = PERSON, least
     """
     in_order = Window.partitionBy("doc").orderBy("pos")
     upto, before = in_order.rowsBetween(Window.unboundedPreceding, 0), in_order.rowsBetween(Window.unboundedPreceding, -1)
-    lines = doc_lines(docs)
     bare = F.trim(F.regexp_replace("line", "`[^`]*`", ""))
     is_row = bare.startswith("|")
-    lines = lines.withColumns({"before": F.last("level", ignorenulls=True).over(before), "is_row": is_row, "run": F.sum(F.when(is_row, 0).otherwise(1)).over(upto), "cells": F.when(is_row, F.size(F.split(bare, r"\|"))), "separator": bare.rlike(r"^\|[\s:|-]+$")})
+    # Only what the checks ask of a line is moved and sorted, and only for lines of which they ask something.
+    lines = marked_lines(docs).withColumns({"colon": F.col("line").rlike(r"^- \*\*[^*：:]{1,20}:"), "is_row": is_row, "cells": F.when(is_row, F.size(F.split(bare, r"\|"))), "separator": bare.rlike(r"^\|[\s:|-]+$")})
+    lines = with_heading_above(lines.drop("line").where("level IS NOT NULL OR key IS NOT NULL OR colon OR is_row"))
+    # A run of rows has as many lines before it that are none, left out or not.
+    lines = lines.withColumns({"before": F.last("level", ignorenulls=True).over(before), "run": F.col("pos") - F.count_if("is_row").over(upto)})
     within = Window.partitionBy("doc", "at")
     named = F.when(F.col("level") >= least_level, card_name("heading"))
     is_card = (F.col("level") >= least_level) & (F.col("fields") > 0) & named.rlike(person)
@@ -125,7 +137,7 @@ def lint_all(docs: DataFrame, core: tuple[str, ...], person: str = PERSON, least
         "level_jump": (F.col("level") > F.col("before") + 1, F.concat_ws(">", "before", "level")),
         "dup_card": (F.col("is_card") & (F.col("pos") > F.col("first_card")), F.concat_ws("@", "name", "first_card")),
         "dup_field": (F.col("key").isNotNull() & (F.col("pos") > F.col("first_key")), F.concat_ws("@", "key", "first_key")),
-        "colon": (F.col("line").rlike(r"^- \*\*[^*：:]{1,20}:"), F.col("key")),
+        "colon": (F.col("colon"), F.col("key")),
         "field_alias": ((F.size("spelt") > 1) & (F.col("pos") == F.col("first_core")), F.array_join("spelt", "/")),
         "table_columns": (F.col("is_row") & (F.col("cells") != F.col("header")), F.concat_ws("/", "cells", "header")),
     }

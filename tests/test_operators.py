@@ -391,6 +391,13 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString().split("\n")
 
 
+def test_lint_sorts_no_texts_of_lines(spark):
+    plan = optimized(lint.lint_all(spark.createDataFrame([("d", "plain\n# c1\n- **name：** x")], "doc STRING, text STRING"), ("name",)))
+    below = max(i for i, line in enumerate(plan) if "Window [" in line) + 1
+    assert "Project [" in plan[below] and not any(c.strip().startswith("line#") for c in plan[below].replace("Project [", "").split(", "))
+    plain = [("d", "a\n" * 3 + "| a | b |\nx\n| a |\n| a | b |\n")]  # a row alone, then a run of two
+    assert rows(lint.lint_all(spark.createDataFrame(plain, "doc STRING, text STRING"), ("name",))) == [("d", "table_columns", 6, "4/3")]
+
 
 def test_steps_meet_sections_once_by_their_whole_key(spark):
     steps = spark.createDataFrame([("a", 1, 1, 5, "in_person"), ("a", 1, None, None, "in_person"), ("a", 2, 9, 5, "in_person"), ("a", 2, 3, 5, "in_person")], "corpus STRING, name BIGINT, seq BIGINT, year BIGINT, carrier STRING")
