@@ -429,9 +429,11 @@ class Chunk:
         join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
         self.text, self.starts, self.ends, self.edge = join(texts, np.uint8), join(starts, np.int64), join(ends, np.int64), np.concatenate(edges)
         self.sizes, h = join(sizes, np.int64), join(hashes, np.uint64)
+        del hasher, hashes, starts, ends, texts, sizes, edges  # what is done with goes at once, so that less is held at the peak
         # Words, ascending, so that their buckets are ranges of hashes.
         self.words, of = np.unique(h, return_inverse=True)
         self.word_of = of.astype(np.int32)
+        del of
         self.first = np.zeros(len(self.words), np.int64)
         self.first[self.word_of[::-1]] = np.arange(len(h))[::-1]
         self.word_bucket = self.bucket_of(self.words, n_words)
@@ -440,8 +442,10 @@ class Chunk:
         self.token_edge = self.edge + np.arange(rows + 1)
         self.is_end = np.zeros(len(h) + rows, bool)
         self.is_end[self.token_edge[1:] - 1] = True
-        self.leaf = np.full(len(self.is_end), END >> (64 - DEPTH), np.int64)
-        self.leaf[~self.is_end] = (h >> np.uint64(64 - DEPTH)).astype(np.int64)
+        self.leaf = np.full(len(self.is_end), END >> (64 - DEPTH), np.int32)
+        self.leaf[~self.is_end] = (h >> np.uint64(64 - DEPTH)).astype(np.int32)
+        n_words_met = len(h)
+        del h
         # What stands before a token: a distinct word, or the start; ordered by bucket.
         names = np.append(self.words, np.uint64(START))
         bucket, low = names % np.uint64(n_pairs), (names // np.uint64(n_pairs)) & np.uint64(0xFFFFFFFF)
@@ -449,19 +453,21 @@ class Chunk:
         rank = np.empty(len(names), np.int64)
         rank[order] = np.arange(len(names))
         before = np.full(len(self.is_end), rank[-1], np.int64)
-        inside = np.flatnonzero(~self.is_end)
-        after = inside + 1
-        before[after[after < len(before)]] = rank[self.word_of[after < len(before)]]
+        # A word stands before the token that follows it; the last token of all is an end.
+        before[1:][~self.is_end[:-1]] = rank[self.word_of]
         before[self.token_edge[:-1]] = rank[-1]
         kinds = np.zeros(len(names), np.uint32)
-        if len(h):
+        if n_words_met:
             start, end = self.starts[self.first], self.ends[self.first]
             last, length = self.text[end - 1].astype(np.uint32), end - start
             ending = last * np.uint32(257) + self.text[np.maximum(end - 2, start)]
             opening = self.text[start].astype(np.uint32) * np.uint32(16) + np.minimum(length, 15).astype(np.uint32)
             squeeze = lambda v: (v * np.uint32(0x9E3779B1)) >> np.uint32(32 - CLASS_BITS)
             kinds[:-1] = squeeze(ending) | (squeeze(opening) << np.uint32(16))
-        found, of = np.unique((before << DEPTH) | self.leaf, return_inverse=True)
+        before <<= DEPTH
+        before |= self.leaf
+        found, of = np.unique(before, return_inverse=True)
+        del before
         self.pair_of = of.astype(np.int32)
         of = order[found >> DEPTH]
         self.pairs = (low[of] << np.uint64(DEPTH)) | (found & ((1 << DEPTH) - 1)).astype(np.uint64)
