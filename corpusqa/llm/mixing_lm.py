@@ -572,19 +572,28 @@ def score(docs: DataFrame) -> DataFrame:
     def finish(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         spelling, leaves = held.value
         c = Chunk(table, n_buckets, n_buckets)
+        del c.pairs, c.pair_bucket, c.classes, c.word_bucket
         parts = sorted(zip(*(replies.column(k).to_pylist() for k in ("kind", "bucket", "values"))))
         counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(v, np.int64) for kind, _, v in parts if kind == 0)])
         paths = np.concatenate([np.zeros(0, np.int16), *(np.frombuffer(v, np.int16) for kind, _, v in parts if kind == 1)]) / FINE
+        del parts, replies
+        new = np.flatnonzero(counts == 0)
+        cost = np.zeros(len(counts))
+        cost[new] = np.concatenate([np.zeros(0), *(spelling_scores(spelling, p) for p in _word_pieces(spelled(c.text, c.starts[c.first[new]], c.ends[c.first[new]])))])
+        del c.text, c.starts, c.ends, c.first
         n = counts[c.word_of]
-        total = lambda v, edge: np.diff(np.concatenate(([0.0], np.cumsum(v)))[edge])
+
+        def total(v: np.ndarray, edge: np.ndarray) -> np.ndarray:
+            sums = np.zeros(len(v) + 1)
+            np.cumsum(v, out=sums[1:])
+            return np.diff(sums[edge])
+
         n_tokens = np.diff(c.token_edge)
         base = total(np.log10(n + 1.0), c.edge) + math.log10(n_training + 1) - n_tokens * math.log10(n_all + n_distinct + 1)
         of_token = np.full(len(c.leaf), n_training, np.int64)
         of_token[~c.is_end] = n
+        del n
         known = of_token > 0
-        new = np.flatnonzero(counts == 0)
-        cost = np.zeros(len(counts))
-        cost[new] = np.concatenate([np.zeros(0), *(spelling_scores(spelling, p) for p in _word_pieces(spelled(c.text, c.starts[c.first[new]], c.ends[c.first[new]])))])
         value = np.zeros(len(c.leaf))
         value[~c.is_end] = cost[c.word_of]
         if not n_training:
