@@ -10,6 +10,9 @@ shorter word's length: words meet by equality of all that, and the words of equa
 Words are counted by task in Arrow batches, whole texts piece by piece, and summed up by Spark; the
 damage of a word depends on its document only, so that each word of a piece is damaged once.
 
+Spark sizes a table by its compressed file, and keys by the words that they are made of, far below what the rows
+take in memory; so all joins are named as merge joins, and no table goes whole to the driver and each executor.
+
 Defined results: a null or empty text has no words; a null doc_id counts as empty in the hash that
 damages; words whose damage leaves fewer than ``least`` code points don't count; equal texts of several
 rows all count; without near words a word has n_near 0, no form, and is its own root; an empty table gives no rows.
@@ -146,7 +149,7 @@ def near_words(words: DataFrame) -> DataFrame:
     b = keyed.select("key", "longer", F.col("word").alias("b"), F.col("n").alias("b_n"))
     # Each pair in one order, whatever keys may be equal by chance.
     ordered = F.when(F.col("longer"), F.length("b") == F.length("a") + 1).otherwise((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
-    met = a.join(b, "key").where(ordered & (F.levenshtein("a", "b", 1) == 1))
+    met = a.join(b.hint("merge"), "key").where(ordered & (F.levenshtein("a", "b", 1) == 1))
     pairs = met.select("a", "a_n", "b", "b_n").distinct()
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("other"), F.col("b_n").alias("other_n")), F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("other"), F.col("a_n").alias("other_n"))))
     return pairs.select(both.alias("x")).select("x.*")
@@ -157,7 +160,7 @@ def roots(forms: DataFrame) -> DataFrame:
     links = cut(forms.select("word", F.col("form").alias("root")))
     while True:
         beyond = links.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        links = cut(links.join(beyond, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")))
+        links = cut(links.join(beyond.hint("merge"), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")))
         if links.where("moved").isEmpty():
             return links.select("word", "root")
 
@@ -167,8 +170,8 @@ def group_variants(words: DataFrame, times: int = 2) -> DataFrame:
     words = cut(words)
     best = F.min(F.struct((-F.col("other_n")).alias("m"), "other")).alias("best")
     near = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
-    joined = cut(words.join(near, "word", "left"))
+    joined = cut(words.join(near.hint("merge"), "word", "left"))
     stands = -F.col("best.m") >= times * F.col("n")
     formed = joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(stands, F.col("best.other")).alias("form"), F.when(stands, -F.col("best.m")).alias("form_n"))
-    out = formed.join(roots(formed.where("form IS NOT NULL")), "word", "left")
+    out = formed.join(roots(formed.where("form IS NOT NULL")).hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -268,6 +268,22 @@ def test_variants_of_dense_words(spark):
     assert {r.word: tuple(r) for r in spelling_variants.group_variants(frame).collect()} == brute_variants(words)
 
 
+def test_variants_broadcast_nothing(spark, monkeypatch):
+    """A file of words is small, and its keys take some two hundred times as much in memory: no join may go by the file's size."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    cut = spelling_variants.cut
+    monkeypatch.setattr(spelling_variants, "cut", lambda df: cut(seen(df)))
+    frame = cut(spark.createDataFrame([("hello", 9), ("hallo", 3), ("halloo", 1)], "word STRING, n BIGINT"))
+    out = spelling_variants.group_variants(frame)
+    assert {r.word: r.root for r in seen(out).collect()} == {"hello": "hello", "hallo": "hello", "halloo": "hello"}
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_words_of_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(spelling_variants, "PIECE", 50)
     monkeypatch.setattr(spelling_variants, "GATHERED", 20)
