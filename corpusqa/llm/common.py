@@ -106,17 +106,17 @@ class WordHasher:
     """Hashes of all words of a buffer, without a Python loop over words.
 
     A word's hash is a polynomial of its bytes in a ring modulo 2**64, taken from prefix sums
-    and then mixed.
+    and then mixed.  ``piece``: bytes hashed at a time, each of which takes some 60 bytes; hashes don't depend on it.
     """
 
     BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self) -> None:
+    def __init__(self, piece: int = PIECE_BYTES) -> None:
         rng = np.random.default_rng(20240229)
         self.values = rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)[lower_table()]
         self.space = space_table()
-        self.size = 0
-        self._grow(PIECE_BYTES + 4096)
+        self.piece, self.size = piece, 0
+        self._grow(piece + 4096)
 
     def _grow(self, n: int) -> None:
         if n <= self.size:
@@ -137,7 +137,7 @@ class WordHasher:
         heads = offsets[:-1][np.diff(offsets) > 0]
         at, n = 0, len(data)
         while at < n:
-            end = min(n, at + PIECE_BYTES)
+            end = min(n, at + self.piece)
             if end < n:  # cut before a space or a row
                 room = np.flatnonzero(self.space[data[at + 1 : end]])
                 k = np.searchsorted(heads, end, "right") - 1

@@ -35,7 +35,8 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, cut, grams, mix, partitions, slices, text_buffer
@@ -43,7 +44,12 @@ from .components import components
 
 #: Bits of the tables of shingle and word counts that order shingles.
 CELL_BITS, WORD_BITS = 22, 18
-_SEGMENTS = 32
+#: Pieces of either table.  A task of the scan sends one of each, which the piece's group holds together.
+_SEGMENTS = 512
+#: Bytes of text that a task turns into shingles at a time, and hashes at a time; workers keep what they once took.
+TEXT, PIECE = 1 << 21, 1 << 18
+#: Postings that a task deals out to buckets at a time, and those that a bucket has, about.
+POSTED = 1 << 18
 #: From so many groups in one shingle's list and so many pairs for each of them, they form a cluster.
 CROWD, DENSE = 64, 32
 #: Members of a group up to which its pairs are expanded.
@@ -72,16 +78,17 @@ def shingle_order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     wide = 1 << CELL_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        cells, words = np.zeros(wide, np.int64), np.zeros(1 << WORD_BITS, np.int64)
+        hasher = WordHasher(PIECE)
+        cells, words = np.zeros(wide, np.uint32), np.zeros(1 << WORD_BITS, np.uint32)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", TEXT):
                 h, _, _ = hasher(*text_buffer(part.column(0)))
-                np.add.at(words, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), 1)
-                np.add.at(cells, (grams(h, k) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                np.add.at(words, (h >> np.uint64(64 - WORD_BITS)).view(np.int64), np.uint32(1))
+                np.add.at(cells, (grams(h, k) >> np.uint64(64 - CELL_BITS)).view(np.int64), np.uint32(1))
         for base, table in ((0, cells), (_SEGMENTS, words)):
-            for g, piece in enumerate(np.split(np.minimum(table, 65535).astype(np.uint16), _SEGMENTS)):
-                yield pa.RecordBatch.from_arrays([pa.array([base + g], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["g", "counts"])
+            names = np.arange(base, base + _SEGMENTS, dtype=np.int32)
+            packed = [np.minimum(piece, 65535).astype(np.uint16).tobytes() for piece in np.split(table, _SEGMENTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(packed, pa.binary())], names=["g", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = sum(np.frombuffer(b.as_buffer(), np.uint16).astype(np.int64) for batch in batches for b in batch.column(1))
@@ -104,10 +111,10 @@ def _packed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     tables = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = WordHasher(PIECE)
         steps, costs = tables.value
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", TEXT):
                 n, digest, group, prefix, sketch = [], [], [], [], []
                 h, _, words = hasher(*text_buffer(part.column(1)))
                 cost = np.concatenate(([0], np.cumsum(costs[(h >> np.uint64(64 - WORD_BITS)).astype(np.int64)], dtype=np.int64)))
@@ -138,6 +145,22 @@ def _posted(token: np.ndarray, n_buckets: int, columns: dict[str, np.ndarray]) -
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array([v[c].tobytes() for c in cuts], pa.binary()) for v in packed.values())], names=["bucket", *packed])
 
 
+def _buckets(postings: Column, rows: DataFrame) -> int:
+    """Buckets for so many postings of all ``rows``: at least four for each shuffle partition, so that no session's number of these makes them large."""
+    total = rows.agg(F.sum(postings)).first()[0] or 0
+    return max(4 * partitions(rows.sparkSession), -(-total // POSTED))
+
+
+def _runs(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of rows with at most POSTED postings (a row with more is alone)."""
+    edge = np.concatenate(([0], np.cumsum(sizes)))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(edge, edge[at] + POSTED, "right")) - 1)
+        yield slice(at, end)
+        at = end
+
+
 def _lists(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place and length of each run of equal tokens."""
     head = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.zeros(0, np.int64)
@@ -174,17 +197,18 @@ def _pairs(left: list[np.ndarray], right: list[np.ndarray], keys: list[np.ndarra
 
 def _meet(groups: DataFrame, num: int, den: int) -> DataFrame:
     """(crowd, a, b): pairs of groups that may link, and groups b of a cluster a."""
-    n_buckets = 4 * partitions(groups.sparkSession)
+    groups = groups.where("n > 0")
+    n_buckets = _buckets(F.expr(f"n - (n * {num}L + {den - 1}) div {den} + 1"), groups)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix = [np.frombuffer(b, np.uint64) for b in batch.column(2).to_pylist()]
-            if not prefix:
-                continue
-            sizes = np.array([len(p) for p in prefix])
-            which = np.repeat(np.arange(len(prefix)), sizes)
-            rank = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield _posted(np.concatenate(prefix), n_buckets, {"gid": batch.column(0).to_numpy()[which], "n": batch.column(1).to_numpy()[which].astype(np.int32), "rank": rank.astype(np.int32)})
+            gid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for some in _runs(pc.binary_length(batch.column(2)).to_numpy() // 8):
+                prefix = [np.frombuffer(b, np.uint64) for b in batch.column(2)[some].to_pylist()]
+                sizes = np.array([len(p) for p in prefix])
+                which = np.repeat(np.arange(len(prefix)), sizes)
+                rank = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield _posted(np.concatenate(prefix), n_buckets, {"gid": gid[some][which], "n": n[some][which].astype(np.int32), "rank": rank.astype(np.int32)})
 
     def pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         column = lambda k, t: np.concatenate([np.frombuffer(b, t) for b in pdf[k]])
@@ -219,7 +243,7 @@ def _meet(groups: DataFrame, num: int, den: int) -> DataFrame:
                         take(i + a + at, j + a + at)
         return _pairs(left, right, keys, members)
 
-    posted = groups.select("gid", "n", "prefix").where("n > 0").mapInArrow(post, "bucket int, low binary, gid binary, n binary, rank binary")
+    posted = groups.select("gid", "n", "prefix").mapInArrow(post, "bucket int, low binary, gid binary, n binary, rank binary")
     return posted.groupBy("bucket").applyInPandas(pair, "crowd boolean, a long, b long").distinct()
 
 
@@ -232,9 +256,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, set) of the documents named in ``ids`` (one row for an id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = WordHasher(PIECE)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", TEXT):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(part, 1, k, hasher)], pa.binary())], names=["id", "set"])
 
     return docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, set binary")
@@ -306,26 +330,26 @@ def _compared(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> tuple
     return found, cut(shares.join(top, "key").select("key", "share", F.col("top.id").alias("top"), F.col("top.slack").alias("most")))
 
 
-def _meet_apart(rows: DataFrame, num: int, den: int, last: bool) -> DataFrame:
+def _meet_apart(rows: DataFrame, n_buckets: int, num: int, den: int, last: bool) -> DataFrame:
     """As ``_meet`` for members (key, id, slack, difference, most): pairs with one at least that its cluster's top does not link."""
-    n_buckets = 4 * partitions(rows.sparkSession)
     unit = 2 * (num + den)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, id_, slack, most = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
-            d = [np.frombuffer(b, np.uint64) for b in batch.column(3).to_pylist()]
-            size = np.array([len(x) for x in d], np.int64)
-            apart = slack + most < 0
-            # What a partner must have in common: one of any slack, or one that is apart.
-            least = np.where(apart, np.maximum(1, -((slack + most) // unit)), -((slack - most - 1) // unit))
-            times = np.maximum(0, size - least + 1)
-            if not times.sum():
-                continue
-            which = np.repeat(np.arange(len(d)), times)
-            place = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-            token = mix(np.concatenate([x[:t] for x, t in zip(d, times.tolist())]) ^ mix(key.astype(np.uint64))[which])
-            yield _posted(token, n_buckets, {"id": id_[which], "slack": slack[which], "size": size[which].astype(np.int32), "place": place.astype(np.int32), "apart": apart[which]})
+            for some in _runs(pc.binary_length(batch.column(3)).to_numpy() // 8):
+                key, id_, slack, most = (batch.column(i)[some].to_numpy() for i in (0, 1, 2, 4))
+                d = [np.frombuffer(b, np.uint64) for b in batch.column(3)[some].to_pylist()]
+                size = np.array([len(x) for x in d], np.int64)
+                apart = slack + most < 0
+                # What a partner must have in common: one of any slack, or one that is apart.
+                least = np.where(apart, np.maximum(1, -((slack + most) // unit)), -((slack - most - 1) // unit))
+                times = np.maximum(0, size - least + 1)
+                if not times.sum():
+                    continue
+                which = np.repeat(np.arange(len(d)), times)
+                place = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+                token = mix(np.concatenate([x[:t] for x, t in zip(d, times.tolist())]) ^ mix(key.astype(np.uint64))[which])
+                yield _posted(token, n_buckets, {"id": id_[which], "slack": slack[which], "size": size[which].astype(np.int32), "place": place.astype(np.int32), "apart": apart[which]})
 
     def pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         column = lambda k, t: np.concatenate([np.frombuffer(b, t) for b in pdf[k]])
@@ -370,7 +394,8 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int) ->
         rows = found.join(tops, ["key", "share"])
         links.append(rows.where("slack + most >= 0 AND id <> top").select(F.col("id").alias("a"), F.col("top").alias("b")))
         unsure = rows.where("slack + most < 0").select("key").distinct()
-        met = cut(_meet_apart(rows.join(unsure, "key", "left_semi"), num, den, level == LEVELS - 1))
+        n_buckets = _buckets(F.expr("octet_length(difference) div 8"), found)
+        met = cut(_meet_apart(rows.join(unsure, "key", "left_semi"), n_buckets, num, den, level == LEVELS - 1))
         pairs.append(met.where("NOT crowd").select("a", "b"))
         clusters = met.where("crowd").select(F.col("a").alias("key"), F.col("b").alias("id"))
     return links, pairs

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusqa.llm.common import WordHasher
+from corpusqa.llm.common import WordHasher, text_buffer
 from corpusqa.llm import components, decontaminate, language_id, line_dedup, mixing_lm, ngram_join, ordinal_quality, piece_codec, queries, secret_scan, spot_signatures, suffix_dedup
 
 MODEL = queries.PIECES
@@ -151,6 +151,23 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
     assert got == brute_components(texts, 4, 50, 100)
 
 
+def test_ngram_join_buckets_and_pieces(spark, corpus, monkeypatch):
+    """Buckets follow the postings, whatever the session's partitions; small pieces of text, tables and postings change no result."""
+    rows = spark.createDataFrame([(i, 100) for i in range(1000)], "gid LONG, n INT")
+    assert ngram_join._buckets(F.expr("n - (n * 80L + 99) div 100 + 1"), rows) == 48
+    hasher, small = WordHasher(), WordHasher(300)
+    data, offsets = text_buffer(pa.array([t or "" for t in corpus]))
+    assert small.size < 10**4 and all(np.array_equal(x, y) for x, y in zip(hasher(data, offsets), small(data, offsets)))
+    assert [(s.start, s.stop) for s in ngram_join._runs(np.array([1, ngram_join.POSTED, 5, ngram_join.POSTED - 5, 1]))] == [(0, 1), (1, 2), (2, 4), (4, 5)]
+    order = ngram_join.shingle_order(frame(spark, corpus), 5)
+    for name, value in (("POSTED", 500), ("TEXT", 2000), ("PIECE", 300), ("_SEGMENTS", 32)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert ngram_join._buckets(F.expr("n"), rows) == 200
+    assert all(np.array_equal(x, y) for x, y in zip(order, ngram_join.shingle_order(frame(spark, corpus), 5)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(frame(spark, corpus), 5, 80, 100).collect()}
+    assert got == brute_components(corpus, 5, 80, 100)
+
+
 def test_ngram_join_of_shared_ids_and_nothing(spark):
     rows = [(1, "a b c d e f"), (1, "other words in here now"), (2, "other words in here now"), (None, "a b c d e f"), (3, None)]
     got = sorted(((r.doc_id, r.component_id) for r in ngram_join.link_components(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()), key=str)
